@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, quality, simhash
+from . import decontam, langid, packing, quality, repair, simhash
 from .common import held_out, read_table
 
 
@@ -16,6 +16,10 @@ def byte_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -42,6 +46,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repair": op1_repair,
         "op2_language_id": op2_language_id,
         "op5_simhash": op5_simhash,
         "op6_decontamination": op6_decontamination,
