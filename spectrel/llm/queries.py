@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, packing, quality, repair, simhash
+from . import decontam, html, langid, packing, quality, repair, secrets, simhash
 from .common import held_out, read_table
 
 
@@ -38,6 +38,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), byte_tokenizer())
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html": op4_html,
         "op5_simhash": op5_simhash,
         "op6_decontamination": op6_decontamination,
+        "op7_secrets": op7_secrets,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
     }
