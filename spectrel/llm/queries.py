@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, packing, quality, repair, secrets, simhash
+from . import ann, decontam, html, langid, packing, quality, repair, secrets, simhash
 from .common import held_out, read_table
 
 
@@ -42,6 +42,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), byte_tokenizer())
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
+        "op8_ann": op8_ann,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
     }
