@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html, langid, packing, quality, repair, secrets, simhash
+from . import ann, decontam, html, langid, packing, quality, repair, secrets, simhash, suffixes
 from .common import held_out, read_table
 
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repair": op1_repair,
         "op2_language_id": op2_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_html": op4_html,
         "op5_simhash": op5_simhash,
         "op6_decontamination": op6_decontamination,
