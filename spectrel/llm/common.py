@@ -127,6 +127,38 @@ def word_hashes(buf: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return starts, ends, mixed(h + (ends - starts).astype(np.uint64))
 
 
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    h = mixed(h)
+    return h & mask, (h >> np.uint64(32)) & mask
+
+
+def bloom_filter(keys: DataFrame, bits: int, parts: int = 6) -> np.ndarray:
+    """A Bloom filter of a long column, of ``bits`` bits (a power of two) whatever the data; it may let others pass, and drops none.
+
+    Each of ``parts`` tasks sends one filter, and the driver joins them one by one.
+    """
+
+    def build(batches):
+        table = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for probe in _probes(np.asarray(batch.column(0)).view(np.uint64), bits):
+                np.bitwise_or.at(table, probe >> np.uint64(3), np.uint8(128) >> (probe & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["bits"])
+
+    table = np.zeros(bits // 8, np.uint8)
+    for row in keys.coalesce(parts).mapInArrow(build, "bits binary").toLocalIterator():
+        table |= np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def bloom_has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for probe in _probes(h.view(np.uint64), 8 * len(table)):
+        out &= (table[probe >> np.uint64(3)] >> (np.uint64(7) - (probe & np.uint64(7))).astype(np.uint8)) & 1 > 0
+    return out
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32 of the id's text is 2 modulo 4 (null ids: not)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, packed_bytes, stored, text_slices, word_hashes
+from .common import bloom_filter, bloom_has, mixed, packed_bytes, stored, text_slices, word_hashes
 
 WINDOW = 10
 K = 5
@@ -123,27 +123,6 @@ def _rows(texts: DataFrame, short, passes, k: int, window: int) -> DataFrame:
     return texts.mapInArrow(run, _SCHEMA)
 
 
-def _filter_bits(grams_: DataFrame, bits: int, parts: int = 8) -> np.ndarray:
-    """A Bloom filter with two probes; the driver joins ``parts`` filters of fixed size."""
-
-    def build(batches):
-        table = np.zeros(bits, bool)
-        for batch in batches:
-            for probe in _probes(np.asarray(batch.column(0)).view(np.uint64), bits):
-                table[probe] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
-
-    table = np.zeros(bits // 8, np.uint8)
-    for row in grams_.repartition(parts).mapInArrow(build, "bits binary").collect():
-        table |= np.frombuffer(row["bits"], np.uint8)
-    return table
-
-
-def _probes(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return g & mask, (g >> np.uint64(32)) & mask
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, filter_bits: int = FILTER_BITS) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
@@ -157,14 +136,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     asked = items.where(items["item_id"].isNotNull()).select(F.lit(0).cast("long").alias("row"), items["item_id"].cast("long").alias("id"), items["text"].cast("string").alias("text"))
     wanted = stored(_rows(asked, None, None, k, window).select("id", F.explode("grams").alias("g")).select(F.col("id").alias("item_id"), "g.*").distinct(), "items")
     short = sorted(r["size"] for r in wanted.where("reach = 0").select("size").distinct().collect())
-    held = spark.sparkContext.broadcast(_filter_bits(wanted.select("gram").distinct(), filter_bits))
+    held = spark.sparkContext.broadcast(bloom_filter(wanted.select("gram").distinct(), filter_bits))
 
     def passes(g: np.ndarray) -> np.ndarray:
-        bits = held.value
-        out = np.ones(len(g), bool)
-        for probe in _probes(g, filter_bits):
-            out &= (bits[probe >> np.uint64(3)] >> (np.uint64(7) - (probe & np.uint64(7))).astype(np.uint8)) & 1 > 0
-        return out
+        return bloom_has(held.value, g)
 
     each = stored(_rows(numbered, short, passes, k, window), "grams")
     near = each.where(F.size("grams") > 0).select("row", F.explode("grams").alias("o")).select("row", "o.*")
