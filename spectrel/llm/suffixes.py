@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, mixed, stored
+from .common import BASE, BYTE_VALUES, bloom_filter, bloom_has, mixed, stored
 from .tokens import spread
 
 LENGTH = 200
@@ -29,6 +29,8 @@ HOT = 2_000
 FILTER_BITS = 1 << 26
 #: Bytes worked on at a time; long texts are cut into overlapping parts.
 PART = 1 << 16
+#: Runs worked on at a time.
+CHUNK = 3_000
 #: Runs of a task, about.
 TASK_RUNS = 60_000
 
@@ -44,8 +46,9 @@ def _hashes(buf: np.ndarray, long: bool) -> tuple[np.ndarray, np.ndarray | None]
     with np.errstate(over="ignore"):
         h = {1: BYTE_VALUES[buf]}
         size = 1
+        needed = (8, 64, 128, GRAM) if long else (GRAM,)
         while size < (128 if long else GRAM):
-            a = h[size]
+            a = h[size] if size in needed else h.pop(size)
             h[2 * size] = a[:-size] * _mod_power(size) + a[size:]
             size *= 2
         if not long:
@@ -203,7 +206,7 @@ class Matcher:
         self.columns.append((key, count, offset, many))
         self.flats.append(spread(flat, starts, sizes))
 
-    def repeated(self, chunk: int = 20_000):
+    def repeated(self, chunk: int = CHUNK):
         """(run number, first window, last window + 1) of all repeated windows, as ranges."""
         if not self.columns:
             return
@@ -252,35 +255,6 @@ def _ranges(owner: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[first], window[first], window[last] + 1
 
 
-def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    h = mixed(h)
-    return h & mask, (h >> np.uint64(32)) & mask
-
-
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for probe in _probes(h, 8 * len(bits)):
-        out &= (bits[probe >> np.uint64(3)] >> (np.uint64(7) - (probe & np.uint64(7))).astype(np.uint8)) & 1 > 0
-    return out
-
-
-def _filter(keys: DataFrame, bits: int, parts: int = 6) -> np.ndarray:
-    """A Bloom filter of a long column; the driver joins ``parts`` filters of fixed size."""
-
-    def build(batches):
-        table = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for probe in _probes(np.asarray(batch.column(0)).view(np.uint64), bits):
-                np.bitwise_or.at(table, probe >> np.uint64(3), np.uint8(128) >> (probe & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["bits"])
-
-    table = np.zeros(bits // 8, np.uint8)
-    for row in keys.coalesce(parts).mapInArrow(build, "bits binary").toLocalIterator():
-        table |= np.frombuffer(row["bits"], np.uint8)
-    return table
-
-
 _RUN_SCHEMA = "key long, d long, th long, at long, count int, offset int, span long, many int, data binary"
 
 
@@ -305,7 +279,7 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
 
     counted = stored(docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    tables = spark.sparkContext.broadcast((_filter(counted.select("key"), filter_bits), _filter(counted.where(F.col("n") > hot).select("key"), filter_bits >> 3)))
+    tables = spark.sparkContext.broadcast((bloom_filter(counted.select("key"), filter_bits), bloom_filter(counted.where(F.col("n") > hot).select("key"), filter_bits >> 3)))
 
     def emit(batches):
         twice, often = tables.value
@@ -313,7 +287,7 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
             d, th = (batch.column(i).to_numpy() for i in (0, 1))
             for data, number, at in _parts(texts_of(batch)):
                 runs = Runs(data, True)
-                some = np.flatnonzero(_has(twice, runs.key))
+                some = np.flatnonzero(bloom_has(twice, runs.key))
                 if not len(some):
                     continue
                 # equal runs of this part: one stands for all, and all are known to repeat
@@ -321,7 +295,7 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
                 many = np.where(times[which] > 1, 1, 0)
                 stands = np.zeros(len(some), bool)
                 stands[first] = True
-                hot_ = _has(often, runs.key[some])
+                hot_ = bloom_has(often, runs.key[some])
                 # 1: repeats, and stands for others; 2: repeats, no more to be asked; 3 and 4: the same for hot anchors
                 kind = np.where(many == 0, np.where(hot_, 3, 0), np.where(stands, np.where(hot_, 4, 1), 2))
                 doc = number[runs.text[some]]
@@ -343,9 +317,7 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
     def match(batches):
         matcher = Matcher()
         held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(lo, CHUNK) for b in batches for lo in range(0, b.num_rows, CHUNK)):
             key, count_, offset, many = (batch.column(i).to_numpy().astype(t) for i, t in ((0, np.int64), (4, np.int64), (5, np.int64), (7, np.int64)))
             data = batch.column(8)
             starts = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)].astype(np.int64)
@@ -381,9 +353,7 @@ def _hot(runs: DataFrame) -> DataFrame:
     first = runs.groupBy("key", "span").agg(F.sum(weight).alias("n"), F.min_by(F.struct("d", "th", "at", "count", "data"), F.struct("d", "th", "at")).alias("r")).select("key", "n", "r.*")
 
     def windows(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(lo, CHUNK) for b in batches for lo in range(0, b.num_rows, CHUNK)):
             data = batch.column(6)
             count = batch.column(5).to_numpy().astype(np.int64)
             starts = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)].astype(np.int64)
@@ -416,7 +386,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BI
         docs["doc_id"].cast("long").alias("doc_id"),
     )
     spans = stored(repeats(named.drop("doc_id"), hot, filter_bits).groupBy("d", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    suspects = spark.sparkContext.broadcast(_filter(spans.select(F.xxhash64("d", "th").alias("k")), filter_bits >> 2))
+    suspects = spark.sparkContext.broadcast(bloom_filter(spans.select(F.xxhash64("d", "th").alias("k")), filter_bits >> 2))
 
     def settle(batches):
         """Texts without repeats are done; the others' texts travel."""
@@ -424,7 +394,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BI
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
-                hit = _has(suspects.value, part.column(4).to_numpy().view(np.uint64))
+                hit = bloom_has(suspects.value, part.column(4).to_numpy())
                 digest = [None if h else hashlib.sha256(x).hexdigest() for x, h in zip(data, hit)]
                 bodies = [x if h else None for x, h in zip(data, hit)]
                 kept = [None if h or not texts else x for x, h in zip(data, hit)]
