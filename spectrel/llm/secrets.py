@@ -58,10 +58,18 @@ BUILT_IN = 6000
 THRESHOLD = 0.5
 
 
+def suspicious(text: Column) -> Column:
+    """Whether a text holds a candidate. The plain searches come first: every pattern needs what one of them looks for."""
+    plain = text.rlike("[0-9]")
+    for part in ("PRIVATE KEY", "://", "passw", "pwd", "secret", "PASSW", "SECRET"):
+        plain = plain | text.contains(part)
+    return plain & text.rlike(CANDIDATE)
+
+
 def candidates(texts: DataFrame, text_column: str = "text") -> DataFrame:
     """One row for each candidate: the other columns of ``texts``, and start (code points from 0), found, kind, before, after."""
     text = F.col(text_column)
-    hits = texts.where(text.rlike(CANDIDATE))
+    hits = texts.where(suspicious(text))
     both = hits.withColumns({"_found": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_rest": F.split(text, CANDIDATE, -1)}).drop(text_column)
     each = both.select("*", F.posexplode("_found").alias("_i", "found"))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
@@ -178,8 +186,8 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: f
     """
     columns = docs.columns
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    suspects = stored(keyed.where(F.col("text").rlike(CANDIDATE)), "suspects")
-    rest = docs.where(~F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False)))
+    suspects = stored(keyed.where(suspicious(F.col("text"))), "suspects")
+    rest = docs.where(~F.coalesce(suspicious(F.col("text")), F.lit(False)))
     found = scan(suspects.select(F.col("_row").alias("doc_id"), "text"), model, threshold).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
     both = suspects.join(found.withColumnRenamed("doc_id", "_found"), F.col("_row") == F.col("_found"), "left")
     step = F.aggregate(
