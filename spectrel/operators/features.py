@@ -103,13 +103,15 @@ def calibrate_rt(features: DataFrame, reference: str, seed: int = 1, **limits) -
         own = own.copy()
         own["obsRt"] = own["obsRt"].fillna(own["rt"]) if "obsRt" in own else own["rt"]
         if len(found) >= 40:
-            x = found["rt"].to_numpy()
-            model = DeviationModel(found["rtDev"].to_numpy(), x, "median", 10, knots=max(2, int(x.max() - x.min())), expansion=0.2, seed=seed)
+            x = found["rt_"].to_numpy()
+            model = DeviationModel(found["dev"].to_numpy(), x, "median", 10, knots=max(2, int(x.max() - x.min())), expansion=0.2, seed=seed)
             own["rt"] = own["rt"] - model(own["rt"].to_numpy())
         return own[[f.name for f in schema.fields]]
 
     found = deviations(features, reference, **limits)
-    return features.groupBy("specfile").cogroup(found.groupBy("specfile")).applyInPandas(fit, schema)
+    # new names: both sides stem from the same table
+    found = found.select(F.col("specfile").alias("run"), F.col("rt").alias("rt_"), F.col("rtDev").alias("dev"))
+    return features.groupBy("specfile").cogroup(found.groupBy("run")).applyInPandas(fit, schema)
 
 
 # ---------------------------------------------------------------- grouping

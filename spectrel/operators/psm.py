@@ -50,7 +50,7 @@ def add_calculated_mz(psms: DataFrame, guess_charge: bool = True, observed: str
     """excMz of valid matches from the peptide's mass. Each peptide's mass is worked out once; dipeptides (two with a comma) add up."""
     one = psms.where("isValid and peptide is not null").select("peptide").distinct()
     parts = F.split(F.col("peptide"), ",")
-    weighed = one.withColumn("_mass", F.aggregate(F.transform(parts, masses.peptide_mass), F.lit(0.0), lambda a, x: a + x))
+    weighed = one.withColumn("_mass", F.aggregate(F.transform(parts, lambda p: masses.peptide_mass(p)), F.lit(0.0), lambda a, x: a + x))
     joined = psms.join(weighed, "peptide", "left")
     charge = F.coalesce(F.col("charge"), masses.guessed_charge(F.col("_mass"), F.col(observed))) if guess_charge else F.col("charge")
     filled = joined.withColumn("charge", F.when(F.col("isValid"), charge).otherwise(F.col("charge")))
