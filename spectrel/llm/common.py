@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,37 +10,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import new_path, shared_dir, stored
+
 #: Texts are taken in slices of about so many bytes, so that the work arrays of a task stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/spectrel-checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/spectrel-{tag}-{uuid.uuid4().hex}"
+#: How Python workers give memory back: freed arrays return to the system instead of staying with idle workers.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors, gives sizes to the planner."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 texts instead of Spark's 10,000, unless the session has its own number (texts may be long), and frugal workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
-def text_slices(batch_ids, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [lo, hi) of an Arrow string column, each of about ``limit`` bytes, one row at least."""
     n = len(texts)
     if not n:
@@ -59,9 +51,11 @@ def text_slices(batch_ids, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterato
 def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``f`` to slices of about ``limit`` bytes of ``text``."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for batch in batches:
-            for lo, hi in text_slices(None, batch.column(text), limit):
+            for lo, hi in text_slices(batch.column(text), limit):
                 out = f(batch.slice(lo, hi - lo))
                 if out is not None and out.num_rows:
                     yield out
@@ -162,3 +156,6 @@ def bloom_has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32 of the id's text is 2 modulo 4 (null ids: not)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+__all__ = ["bloom_filter", "bloom_has", "held_out", "map_slices", "mixed", "new_path", "packed_bytes", "powers", "read_table", "shared_dir", "small_batches", "stored", "text_slices", "word_hashes"]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_has, mixed, packed_bytes, stored, text_slices, word_hashes
+from .common import bloom_filter, bloom_has, mixed, packed_bytes, small_batches, stored, text_slices, word_hashes
 
 WINDOW = 10
 K = 5
@@ -115,7 +115,7 @@ def spread_positions(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _rows(texts: DataFrame, short, passes, k: int, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for lo, hi in text_slices(None, batch.column(2)):
+            for lo, hi in text_slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
                 counts, kept = _kept(part.column(2), short, passes, k, window)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), kept], ["row", "id", "n_words", "grams"])
@@ -132,6 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     own, also where ids repeat or are null.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     asked = items.where(items["item_id"].isNotNull()).select(F.lit(0).cast("long").alias("row"), items["item_id"].cast("long").alias("id"), items["text"].cast("string").alias("text"))
     wanted = stored(_rows(asked, None, None, k, window).select("id", F.explode("grams").alias("g")).select(F.col("id").alias("item_id"), "g.*").distinct(), "items")

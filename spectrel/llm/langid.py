@@ -122,8 +122,12 @@ def _em(p: np.ndarray, c: np.ndarray, text: np.ndarray, n: int, pi: np.ndarray,
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents of each language; ids that are held out take no part."""
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = stored(labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id").distinct(), "sample")
+    # an even threshold leaves about twice the sample of each language, and the window takes the first of these
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("c")), "languages")
+    near = labelled.withColumn("spot", spot).join(sizes, "lang").where(F.col("spot") * F.col("c") <= F.lit(2.0 * sample * (1 << 31)))
+    order = Window.partitionBy("lang").orderBy("spot", "doc_id")
+    chosen = stored(near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id").distinct(), "sample")
     # at most ``sample`` ids of each language: small whatever the corpus
     rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
 

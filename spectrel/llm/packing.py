@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import small_batches, text_slices
 from .tokens import encoder
 
 WINDOW = 2048
@@ -162,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column:
         enc = encoder(tokenizer)
         packer = _Packer(TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for lo, hi in text_slices(None, batch.column(1)):
+            for lo, hi in text_slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 ids, counts = enc.encode(part.column(1).to_pylist(), end_id)
                 ids = ids.astype("<u4", copy=False)
@@ -176,4 +176,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column:
         if packer.rows:
             yield packer.batch()
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -75,5 +75,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6_SQL = f"""with b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+ bw as (select item_id, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i, w from b where len(w) > 0),
+ bg as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from bw),
+ d as (select doc_id, {_WORDS} as w from documents),
+ dw as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w from d, (select distinct n from bg) where len(w) >= n),
+ hits as (select doc_id, i, bg.n, item_id from (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from dw) x join bg on bg.n = x.n and bg.g = x.g),
+ places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+ items as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from hits group by doc_id)
+ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+ from d left join places using (doc_id) left join items using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": OP6_SQL}
