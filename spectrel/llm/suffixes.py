@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, bloom_filter, bloom_has, mixed, stored
+from .common import BASE, BYTE_VALUES, bloom_filter, bloom_has, mixed, small_batches, stored
 from .tokens import spread
 
 LENGTH = 200
@@ -34,6 +34,9 @@ CHUNK = 3_000
 #: Runs of a task, about.
 TASK_RUNS = 60_000
 
+#: Windows of a cell, see ``_hot``.
+CELL = 8
+
 _WINDOWS = LENGTH - GRAM + 1
 
 
@@ -329,28 +332,73 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
         for run, lo, hi in matcher.repeated():
             yield _covered(d[run], th[run], at[run] + lo, at[run] + hi - 1 + LENGTH)
 
-    dealt = runs.where("many in (0, 1)").repartition(parts, "key")
+    counted_, few = _hot(runs.where("many in (3, 4)"), hot)
+    dealt = runs.where("many in (0, 1)").select(few.columns).unionAll(few).repartition(parts, "key")
     found = dealt.mapInArrow(match, "d long, th long, lo long, hi long")
     known = runs.where("many in (1, 2, 4)").select("d", "th", F.col("at").alias("lo"), (F.col("at") + F.col("count") - 1 + LENGTH).alias("hi"))
-    return found.unionAll(known).unionAll(_hot(runs.where("many in (3, 4)")))
+    return found.unionAll(known).unionAll(counted_)
 
 
 def _covered(d, th, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, th, lo, hi)], ["d", "th", "lo", "hi"])
 
 
-def _hot(runs: DataFrame) -> DataFrame:
-    """Runs of frequent anchors. Those whose whole string occurs twice repeat; of the others each window is counted.
+def _place(rows: DataFrame, *keys: str) -> DataFrame:
+    """Places of the strings (``keys``) that occur once: their sum of weights is 1, so the least place is the only one."""
+    sums = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("d").alias("d"), F.min("th").alias("th"), F.min("at").alias("at"))
+    return sums.where("n = 1").select("d", "th", "at")
+
+
+def _whole(rows: DataFrame, alone: DataFrame) -> DataFrame:
+    """What runs that don't stand for others cover, but for those that occur once."""
+    known = rows.select("d", "th", "at", "count").join(alone, ["d", "th", "at"], "left_anti")
+    return known.select("d", "th", F.col("at").alias("lo"), (F.col("at") + F.col("count") - 1 + LENGTH).alias("hi"))
 
-    What occurs once is found by sums (a string's only run is the least of its runs), and taken away by its own place,
-    so no step brings the rows of a frequent string together.
+
+def _hot(runs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of frequent anchors: what is settled by counting, and runs that tasks can compare as they do others.
+
+    Runs whose whole string occurs twice repeat. Copies are summed before the shuffle, and what occurs once is taken away
+    by its place, so no step brings the rows of a frequent string together. Of each distinct string one run is left: where
+    an anchor has few of them they go to a task; else each is cut by the windows' place into cells of CELL windows.
+    A cell repeats as a whole, or has a core (the bytes of all its windows) that occurs once, so that none of its windows
+    repeats; of the others each window is counted.
     """
-    weight = F.when(F.col("many") == 4, 2).otherwise(1)
-    alone = runs.groupBy("key", "span").agg(F.sum(weight).alias("n"), F.min("d").alias("d"), F.min("th").alias("th"), F.min("at").alias("at")).where("n = 1").select("d", "th", "at")
-    alone = stored(alone, "alone")
-    whole = runs.where("many = 3").select("d", "th", "at", "count").join(alone, ["d", "th", "at"], "left_anti").select("d", "th", F.col("at").alias("lo"), (F.col("at") + F.col("count") - 1 + LENGTH).alias("hi"))
-    # each distinct string once, with its weight: copies are summed before the shuffle
-    first = runs.groupBy("key", "span").agg(F.sum(weight).alias("n"), F.min_by(F.struct("d", "th", "at", "count", "data"), F.struct("d", "th", "at")).alias("r")).select("key", "n", "r.*")
+    weighed = runs.withColumn("n", F.when(F.col("many") == 4, 2).otherwise(1))
+    alone = stored(_place(weighed, "key", "span"), "alone")
+    whole = _whole(runs.where("many = 3"), alone)
+    row = F.struct("d", "th", "at", "count", "offset", "data")
+    first = stored(weighed.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min_by(row, F.struct("d", "th", "at")).alias("r")).select("key", "span", "n", "r.*"), "strings")
+    sizes = first.groupBy("key").agg((F.count("*") <= hot).alias("few"))
+    first = stored(first.join(sizes, "key"), "sized")
+    few = first.where("few").select("key", "d", "th", "at", "count", "offset", "span", (F.col("n") > 1).cast("int").alias("many"), "data")
+
+    def cells(batches):
+        for batch in (b.slice(lo, CHUNK) for b in batches for lo in range(0, b.num_rows, CHUNK)):
+            out: list[tuple] = []
+            for key, n, d, th, at, count, offset, data in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                lo = 0
+                while lo < count:
+                    cell = (offset - lo) // CELL
+                    hi = min(count, offset - cell * CELL + 1)
+                    part = data[lo : hi - 1 + LENGTH]
+                    # what any window of the cell holds, also where the run ends within the cell
+                    middle = data[offset - cell * CELL : offset - cell * CELL + LENGTH - CELL + 1]
+                    core, span = (int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (middle, part))
+                    out.append((key, n, d, th, at + lo, hi - lo, cell, core, span, part))
+                    lo = hi
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()]
+            names = ["key", "n", "d", "th", "at", "count", "cell", "core", "span", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    wide = first.where("not few").select("key", "n", "d", "th", "at", "count", "offset", "data")
+    pieces = stored(wide.mapInArrow(cells, "key long, n long, d long, th long, at long, count int, cell int, core long, span long, data binary"), "cells")
+    lone = stored(_place(pieces, "key", "cell", "span"), "lone-cells")
+    settled = _whole(pieces.where("n = 1"), lone)
+    # cells of one string are counted once; those with a core of their own hold no repeated window
+    bare = _place(pieces, "key", "cell", "core")
+    weights = pieces.groupBy("key", "cell", "span").agg(F.sum("n").alias("n"), F.min_by(F.struct("d", "th", "at", "count", "data"), F.struct("d", "th", "at")).alias("r")).select("key", "n", "r.*")
+    asked = weights.join(bare, ["d", "th", "at"], "left_anti")
 
     def windows(batches):
         for batch in (b.slice(lo, CHUNK) for b in batches for lo in range(0, b.num_rows, CHUNK)):
@@ -359,17 +407,17 @@ def _hot(runs: DataFrame) -> DataFrame:
             starts = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)].astype(np.int64)
             base = starts - starts[0]
             flat = np.frombuffer(data.buffers()[2], np.uint8)[starts[0] : starts[-1] + count[-1] - 1 + LENGTH]
-            whole_ = _hashes(flat, True)[1]
+            hashes = _hashes(flat, True)[1]
             row = np.repeat(np.arange(len(count)), count)
             window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             columns = [batch.column(i).to_numpy()[row] for i in (0, 1, 2, 3)]
             at = batch.column(4).to_numpy()[row] + window
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(at), pa.array(whole_[base[row] + window].view(np.int64))], ["key", "n", "d", "th", "at", "h"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(at), pa.array(hashes[base[row] + window].view(np.int64))], ["key", "n", "d", "th", "at", "h"])
 
-    each = stored(first.mapInArrow(windows, "key long, n long, d long, th long, at long, h long"), "windows")
-    once = each.groupBy("key", "h").agg(F.sum("n").alias("n"), F.min("d").alias("d"), F.min("th").alias("th"), F.min("at").alias("at")).where("n = 1").select("d", "th", "at")
-    some = each.where("n = 1").select("d", "th", "at").join(once, ["d", "th", "at"], "left_anti").select("d", "th", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    return whole.unionAll(some)
+    asked = asked.select("key", "n", "d", "th", "at", "count", "data")
+    each = stored(asked.mapInArrow(windows, "key long, n long, d long, th long, at long, h long"), "windows")
+    single = each.where("n = 1").withColumn("count", F.lit(1))
+    return whole.unionAll(settled).unionAll(_whole(single, _place(each, "key", "h"))), few
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS, texts: bool = False) -> DataFrame:
@@ -379,6 +427,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BI
     Rows are known by id and text: repeated rows repeat each other. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     named = docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("d"),
         F.xxhash64(docs["text"].cast("string"), docs["doc_id"].isNull()).alias("th"),
