@@ -20,17 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: How Python workers give memory back: freed arrays return to the system instead of staying with idle workers.
-WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1000 texts instead of Spark's 10,000, unless the session has its own number (texts may be long), and frugal workers."""
+    """Arrow batches of 1000 texts instead of Spark's 10,000, unless the session has its own number (texts may be long)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "1000")
-    for name, value in WORKER_MEMORY.items():
-        spark.sparkContext.environment.setdefault(name, value)
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -162,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column:
         enc = encoder(tokenizer)
         packer = _Packer(TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
+            for lo, hi in text_slices(batch.column(1), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, counts = enc.encode(part.column(1).to_pylist(), end_id)
                 ids = ids.astype("<u4", copy=False)

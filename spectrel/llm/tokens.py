@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -20,7 +21,7 @@ _ODD = re.compile(f"[^{_PLAIN}]")
 _PRE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _JOINABLE = re.compile(r" [^\s]")
 #: Pre-tokens kept by a worker; beyond that it starts anew.
-CACHE = 800_000
+CACHE = 400_000
 JOINED = 256
 
 
@@ -80,54 +81,64 @@ class Encoder:
             sizes[i] = len(ids)
             flats.append(np.asarray(ids, np.uint32))
             order.append(i)
-        flat = np.concatenate(flats)
-        self.starts = _room(self.starts, self.known + len(new))
-        self.sizes = _room(self.sizes, self.known + len(new))
+        self._keep(sizes, np.concatenate(flats), order)
+
+    def _keep(self, sizes: np.ndarray, flat: np.ndarray, order: list[int]) -> None:
+        """Append the ids of new pre-tokens; ``flat`` holds them in ``order``."""
+        n = len(sizes)
+        self.starts = _room(self.starts, self.known + n)
+        self.sizes = _room(self.sizes, self.known + n)
         self.ids = _room(self.ids, self.filled + len(flat))
         in_order = sizes[order]
-        self.sizes[self.known : self.known + len(new)] = sizes
+        self.sizes[self.known : self.known + n] = sizes
         self.starts[self.known + np.asarray(order)] = self.filled + np.cumsum(in_order) - in_order
         self.ids[self.filled : self.filled + len(flat)] = flat
-        self.known += len(new)
+        self.known += n
         self.filled += len(flat)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32) and each text's count; ``end`` is appended to each text."""
         if len(self.index) > self.limit:
             self._clear()
-        codes, counts, slow = [], np.zeros(len(texts), np.int64), {}
-        get = self.index.__getitem__
+        mark = None if end is None else self._mark(end)
+        lists, counts, slow = [], np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
             if not text:
-                continue
-            if not self.cached or (not text.isascii() and _ODD.search(text)) or any(s in text for s in self.special):
+                words = []
+            elif not self.cached or (not text.isascii() and _ODD.search(text)) or any(s in text for s in self.special):
                 slow[i] = text
+                words = []
             else:
                 words = _PRE.findall(text)
-                counts[i] = len(words)
-                codes.append(np.fromiter(map(get, words), np.int64, len(words)))
+            if mark is not None:
+                words.append(mark)
+            counts[i] = len(words)
+            lists.append(words)
+        code = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         self._learn()
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         sizes = self.sizes[code]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = spread(self.ids, self.starts[code], sizes)
         words = np.concatenate(([0], np.cumsum(counts)))
-        n = ends[words[1:]] - ends[words[:-1]]
-        if not slow and end is None:
-            return ids, n
         first = ends[words[:-1]]
+        n = ends[words[1:]] - first
         if slow:
-            parts = dict(zip(slow, self._whole(list(slow.values()))))
-            pieces = []
-            for i in range(len(texts)):
-                pieces.append(np.asarray(parts[i], np.uint32) if i in parts else ids[first[i] : first[i] + n[i]])
-                n[i] = len(pieces[-1])
-            ids = np.concatenate(pieces) if pieces else ids
-        if end is not None:
-            ids = np.insert(ids, np.cumsum(n), end).astype(np.uint32)
-            n = n + 1
+            whole = {i: np.asarray(x, np.uint32) for i, x in zip(slow, self._whole(list(slow.values())))}
+            pieces = [x for i in range(len(texts)) for x in ([whole[i]] if i in whole else []) + [ids[first[i] : first[i] + n[i]]]]
+            for i, x in whole.items():
+                n[i] += len(x)
+            ids = np.concatenate(pieces)
         return ids, n
 
+    def _mark(self, end: int) -> str:
+        """A key that no pre-token equals, as it mixes kinds of characters; its one id is ``end``."""
+        key = f"\0a{end}"
+        if key not in self.index:
+            self._learn()
+            self.index[key]  # noqa: B018
+            self.index.new.clear()
+            self._keep(np.ones(1, np.int64), np.array([end], np.uint32), [0])
+        return key
 
 def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[starts[i] : starts[i] + sizes[i]] for all i, one after another."""
