@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, text_slices
+from .common import new_path, small_batches, text_slices
 from .tokens import encoder, spread
 
 MAGIC = b"RPB1"
@@ -29,7 +29,7 @@ _HEADER = struct.Struct("<4sBIIQII")
 BLOCK = 1 << 20
 RULES = 15_000
 #: A pair is replaced if it occurs at least once in so many ids, round by round, and at least LEAST times.
-ROUNDS = (1_000, 4_000, 12_000, 40_000, 100_000)
+ROUNDS = (4_000, 20_000, 100_000)
 LEAST = 8
 #: Files, at most: the table of their sizes is broadcast.
 MAX_SHARDS = 65_536
@@ -39,40 +39,49 @@ _HASH_BITS = 18
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n x 2), their expansion lengths, and the remaining symbols. Symbols from ``base`` on are rules."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(base + RULES, np.int64)
     known = 0
-    for per in ROUNDS:
-        if len(seq) < 2 or known >= RULES:
-            break
+    turn = 0
+    before = 2 * len(seq)
+    # after the last threshold rounds go on as long as each takes away a quarter
+    while (turn < len(ROUNDS) or 4 * len(seq) <= 3 * before) and len(seq) > 1 and known < RULES:
+        per = ROUNDS[min(turn, len(ROUNDS) - 1)]
+        turn += 1
+        before = len(seq)
         least = max(LEAST, len(ids) // per)
-        key = (seq[:-1] << 32) | seq[1:]
-        # counts of hashed pairs are upper bounds: what passes is counted exactly
-        bucket = ((key ^ (key >> 15)) * 0x2545F491) >> 7 & ((1 << _HASH_BITS) - 1)
-        often = np.flatnonzero(np.bincount(bucket, minlength=1 << _HASH_BITS)[bucket] >= least)
-        pairs, where, count = np.unique(key[often], return_inverse=True, return_counts=True)
+        # a hash bucket whose count is enough stands for the pair last seen in it, if that alone is frequent enough
+        bucket = (seq[:-1] * np.uint32(2654435769) + seq[1:] * np.uint32(2246822519)) >> np.uint32(32 - _HASH_BITS)
+        often = np.flatnonzero((np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket])
+        key = seq[often].astype(np.uint64) << np.uint64(32) | seq[often + 1]
+        bucket = bucket[often]
+        held = np.zeros(1 << _HASH_BITS, np.uint64)
+        held[bucket] = key
+        same = held[bucket] == key
+        count = np.bincount(bucket[same], minlength=1 << _HASH_BITS)
         chosen = np.flatnonzero(count >= least)
         if len(chosen) > RULES - known:
             chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[: RULES - known]])
         if not len(chosen):
             continue
-        rank = np.full(len(pairs), -1)
-        rank[chosen] = np.arange(len(chosen))
-        rank = rank[where]
+        pairs = held[chosen]
+        rank_of = np.full(1 << _HASH_BITS, -1)
+        rank_of[chosen] = np.arange(len(chosen))
+        rank = np.where(same, rank_of[bucket], -1)
         pos, rank = often[rank >= 0], rank[rank >= 0]
-        first = np.concatenate(([True], np.diff(pos) != 1))
+        first = np.append(True, np.diff(pos) != 1)
         run = np.maximum.accumulate(np.where(first, np.arange(len(pos)), 0))
         take = (np.arange(len(pos)) - run) % 2 == 0
         pos, rank = pos[take], rank[take]
-        new = np.stack((pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF), axis=1)
-        lengths[base + known : base + known + len(new)] = lengths[new].sum(axis=1)
+        made = np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
+        lengths[base + known : base + known + len(made)] = lengths[made].sum(axis=1)
         seq[pos] = base + known + rank
         stays = np.ones(len(seq), bool)
         stays[pos + 1] = False
         seq = seq[stays]
-        rules.append(new)
-        known += len(new)
+        rules.append(made)
+        known += len(made)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return table, lengths[base : base + known], seq
 
@@ -163,9 +172,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     """Encode every whole text (null: empty), append ``end_id``, and write the ids in ascending doc_id order.
 
     Shard k holds the documents whose id is above k bounds; null ids come first. Rows that share an id follow one another
-    in the order of their ids' checksum. An empty table writes an empty file.
+    in the order of their ids as bytes. An empty table writes an empty file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = min(MAX_SHARDS, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     bounds = _bounds(docs, shards)
@@ -174,18 +184,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
         enc = encoder(tokenizer)
         small = len(enc.opens) <= 1 << 16
         for batch in batches:
-            for lo, hi in text_slices(None, batch.column(1)):
+            for lo, hi in text_slices(batch.column(1), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, counts = enc.encode(part.column(1).to_pylist(), end_id)
-                data = memoryview(ids.astype("<u2" if small else "<u4")).cast("B")
-                width = 2 if small else 4
-                ends = (np.cumsum(counts) * width).tolist()
-                blobs = [bytes(data[a:b]) for a, b in zip([0, *ends], ends)]
+                data = ids.astype("<u2" if small else "<u4")
+                ends = np.concatenate(([0], np.cumsum(counts) * data.itemsize)).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
                 number = part.column(0)
                 shard = np.searchsorted(bounds, number.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), number, pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
-                    ["shard", "doc_id", "crc", "ids"],
+                    [pa.array(shard, pa.int32()), number, blobs],
+                    ["shard", "doc_id", "ids"],
                 )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
             return row
 
         for batch in batches:
-            for s, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+            for s, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if s != shard:
                     if held:
                         yield finish()
@@ -219,8 +228,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
         if held:
             yield finish()
 
-    ids = docs.mapInArrow(encode, "shard int, doc_id long, crc long, ids binary")
-    ordered = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc")
+    ids = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
+    ordered = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(blocks, _BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
