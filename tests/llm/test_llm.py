@@ -294,6 +294,57 @@ def test_one_of_each_group(spark, odd, empty):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in neargroups.one_of_each_group(odd).collect() if r["doc_id"] is not None) == [(False, d) for d in (0, 3, 4, 5, 6, 8, 9)]
 
 
+def brute_groups(texts, least=neargroups.SIMILARITY):
+    """Numbers of the texts that stay when all pairs of shingle sets are compared."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + neargroups.WORDS]) for i in range(len(w) - neargroups.WORDS + 1)} or {tuple(w)})
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return [i for i in range(len(texts)) if root(i) == i]
+
+
+def test_blocks_of_new_words_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+    texts = []
+    for n in (80, 150, 300):
+        for share in (0.06, 0.1, 0.14, 0.18, 0.22, 0.24, 0.25, 0.3):
+            base = words(n)
+            texts.append(base)
+            texts.append(base + words(int(share * n)))
+            m = int(share * n / 2)
+            texts.append(base[: n // 3] + words(m) + base[n // 3 + m :])
+    texts = [" ".join(t) for t in texts]
+    want = brute_groups(texts)
+    assert 24 < len(want) < 60
+    assert sorted(r["doc_id"] for r in neargroups.one_of_each_group(docs_of(spark, texts)).collect()) == want
+
+
+@pytest.mark.parametrize("hot", [neargroups.HOT, 3])
+def test_interleaved_families_equal_brute_force(spark, hot, monkeypatch):
+    """Families of one template, unlike each other: members are alike only within, whatever the order of ids."""
+    monkeypatch.setattr(neargroups, "HOT", hot)
+    rng = np.random.default_rng(13)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+    template, families = words(150), [words(35) for _ in range(6)]
+    texts = [" ".join(template + f + words(6)) for _ in range(5) for f in families]
+    want = brute_groups(texts)
+    assert want == list(range(6))
+    assert sorted(r["doc_id"] for r in neargroups.one_of_each_group(docs_of(spark, texts)).collect()) == want
+
+
 # ---------------------------------------------------------------- leaks, secrets, pages, vectors
 
 
