@@ -3,7 +3,8 @@
 A vector is coded by 16 centroids for each pair of components, four bits each. Codebooks and codes minimise a residual
 whose part along the vector weighs more than the rest, as that part is what changes large inner products. A query's table
 of inner products with all centroids then scores codes by look-ups, two codes at a time, and the best are scored again
-with the vectors themselves.
+with the vectors themselves; so are all others whose code score could be off by enough to be among the nearest, as a code
+is off by no more than the length of its residual times that of the query. So the results are exact.
 
 Equal vectors are coded once and keep the K + 1 least ids: no others of them can be among anyone's K nearest. Queries
 and vectors meet block by block; a block's rows are bounded, so no task grows with the table.
@@ -25,7 +26,7 @@ PAIR = 2
 SAMPLE = 10_000
 #: Inner products above this share of the vector's length are those that matter; it sets the weight of the parallel error.
 THRESHOLD = 0.2
-#: Vectors of a block that are scored again for each query.
+#: Vectors of a block that are scored again for each query first; the k-th best of them is the bar for the rest.
 RERANK = 128
 #: Blocks at least, and rows of a block at most.
 BLOCKS, BLOCK_ROWS, QUERY_ROWS = 16, 1 << 16, 1 << 12
@@ -123,11 +124,26 @@ def _kmeans(x: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndar
     return c
 
 
+def residuals(book: Codebook, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lengths of what the codes (``paired``) leave of the vectors."""
+    x = _even(vectors)
+    m = len(book.centroids)
+    one = np.stack((codes // CENTROIDS, codes % CENTROIDS), axis=1).reshape(-1, codes.shape[1])[:m].T
+    total = np.zeros(len(x))
+    for s in range(m):
+        total += ((x[:, PAIR * s : PAIR * s + PAIR] - book.centroids[s, one[:, s]]) ** 2).sum(axis=1)
+    return np.sqrt(total)
+
+
 def scan(book: Codebook, queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, keep: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the ``keep`` vectors of largest inner product among the ``rerank`` best by code: query, vector, score."""
+    """For each query the ``keep`` vectors of largest inner product: query, vector, score. The ``rerank`` best by code set the bar."""
     index = codes.astype(np.intp)
     vectors = np.asarray(vectors, np.float64)
     n = len(vectors)
+    rerank = max(rerank, keep)
+    left = residuals(book, vectors, codes) if n > rerank else np.zeros(n)
+    # look-ups are summed in single precision
+    slack = 1e-6 * (len(codes) + 1) * (np.linalg.norm(vectors, axis=1) + left)
     who, what, scores = [], [], []
     for at in range(0, len(queries), 64):
         part = np.asarray(queries[at : at + 64], np.float64)
@@ -137,6 +153,9 @@ def scan(book: Codebook, queries: np.ndarray, vectors: np.ndarray, codes: np.nda
                 for row, code in zip(table[1:], index[1:]):
                     rough += row[code]
                 few = np.argpartition(-rough, rerank - 1)[:rerank]
+                exact = (vectors[few] * part[i]).sum(axis=1)
+                bar = np.partition(exact, rerank - keep)[rerank - keep]
+                few = np.flatnonzero(~(rough + np.linalg.norm(part[i]) * (left + slack) + 1e-36 < bar) | ~np.isfinite(rough))
             else:
                 few = np.arange(n)
             exact = (vectors[few] * part[i]).sum(axis=1)

@@ -435,6 +435,20 @@ def test_vectors(spark):
     assert set(got) == {i for i in ids if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_vectors_of_a_full_block(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20000, 64))
+    if kind == "clustered":
+        x[:8000] = x[0] + 0.01 * rng.normal(size=(8000, 64))
+    queries = x[:40:2]
+    book = ann.Codebook(x[rng.choice(len(x), 2000, replace=False)], rounds=2)
+    who, what, scores = ann.scan(book, queries, x, ann.paired(book.encode(x, 1)), 21)
+    for i, q in enumerate(queries):
+        s = (x * q).sum(axis=1)
+        assert what[who == i].tolist() == np.lexsort((np.arange(len(x)), -s))[:21].tolist()
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(60)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [1.0, nan, 0.0]), (160, [1.0, None, 2.0]), (180, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (0, [1.0, 0.0, 0.5])]
