@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-# Patterns of candidates, in Java's syntax. A run of token characters must hold a digit.
+# Patterns of candidates, in Java's syntax. They are wide; the forest removes what is no secret. A key's body
+# goes on to its END; without one, past its header lines to the next hyphen. A run of token characters must hold a letter or digit.
 _RUN = "[A-Za-z0-9+/=_.~-]"
+_KEY = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_NAMED = r"(?i:password|passwd|passphrase|pwd|secret)[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
 PATTERNS = {
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
-    "url_login": r"(?<=://)[^\s/:@\"']{1,64}+:[^\s/:@\"']{3,128}+(?=@)",
-    "assigned": r"(?<=(?:password|passwd|pwd|secret|PASSWORD|SECRET)\s?[=:]\s?[\"'])[^\s\"']{6,128}+(?=[\"'])",
-    "token": rf"(?<!{_RUN})(?=[A-Za-z+/=_.~-]*+[0-9]){_RUN}{{16,}}+",
+    "private_key": rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_KEY}|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset)[^\n]*+)*+[^-]*+)",
+    "url_login": r"(?<=://)[^\s/:@\"']*+:[^\s/@\"']++(?=@)",
+    "assigned": rf"(?<={_NAMED}[\"'])[^\s\"']{{4,}}+(?=[\"'])",
+    "unquoted": rf"(?<={_NAMED})[^\s\"'<>,;=:][^\s\"'<>,;]{{3,}}+",
+    "token": rf"(?<!{_RUN})(?=[+/=_.~-]*+[A-Za-z0-9]){_RUN}{{16,}}+",
 }
 CANDIDATE = "|".join(PATTERNS.values())
 
@@ -60,9 +64,7 @@ THRESHOLD = 0.5
 
 def suspicious(text: Column) -> Column:
     """Whether a text holds a candidate. The plain searches come first: every pattern needs what one of them looks for."""
-    plain = text.rlike("[0-9]")
-    for part in ("PRIVATE KEY", "://", "passw", "pwd", "secret", "PASSW", "SECRET"):
-        plain = plain | text.contains(part)
+    plain = text.rlike(_RUN + "{16}") | text.contains("PRIVATE KEY") | text.contains("://") | text.rlike("(?i)passw|passphrase|pwd|secret")
     return plain & text.rlike(CANDIDATE)
 
 
@@ -74,7 +76,7 @@ def candidates(texts: DataFrame, text_column: str = "text") -> DataFrame:
     each = both.select("*", F.posexplode("_found").alias("_i", "found"))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
     start = size(F.slice("_rest", 1, F.col("_i") + 1)) + size(F.slice("_found", 1, F.col("_i")))
-    kind = reduce(lambda other, name: F.when(F.col("found").rlike(f"^(?:{ {'url_login': '[^:]+:.+', 'private_key': '-----BEGIN'}[name]})"), name).otherwise(other), ("url_login", "private_key"), F.lit("token"))
+    kind = reduce(lambda other, name: F.when(F.col("found").rlike(f"^(?:{ {'url_login': '[^:]*:.+', 'private_key': '-----BEGIN'}[name]})"), name).otherwise(other), ("url_login", "private_key"), F.lit("token"))
     previous = F.get("_rest", F.col("_i"))
     following = F.get("_rest", F.col("_i") + 1)
     return each.select(
@@ -123,14 +125,19 @@ def featured(found: DataFrame) -> DataFrame:
 
 
 #: Forms of labelled findings, a secret (1) or not (0). Braces hold what ``labelled_texts`` puts in: words w, and signs,
-#: names, digits d, hexadecimal digits h and base-64 digits b and c of the given number.
+#: names, digits d, hexadecimal digits h, base-64 digits b and c, and letters a of the given number.
 FORMS = [
     (1, "{name} {sign} {q}{h40}{q}"), (1, "{name} {sign} {q}{h32}{q}"), (1, "{name} {sign} {q}{h64}{q}"), (1, "{name} {sign} {q}{b24}{q}"), (1, "{name} {sign} {q}{b32}{q}"), (1, "{name} {sign} {q}{b40}{q}"),
     (1, "{name}={h40}"), (1, "{name}={b40}"), (1, "Authorization: Bearer {b40}"), (1, "ghp_{b36}"), (1, "AKIA{B16}"), (1, "eyJ{b40}.{c40}"), (1, "{name} {sign} {q}sk_live_{b24}{q}"),
-    (1, "https://{w1}:{b12}@{w2}.example.org/"), (1, "-----BEGIN PRIVATE KEY-----\n{b40}\n{c40}\n-----END PRIVATE KEY-----"), (1, "{name} {sign} {q}xoxb-{d12}-{b24}{q}"),
+    (1, "https://{w1}:{b12}@{w2}.org/"), (1, "-----BEGIN PRIVATE KEY-----\n{b40}\n{c40}\n-----END PRIVATE KEY-----"), (1, "{name} {sign} {q}xoxb-{d12}-{b24}{q}"),
     (0, "{against} {h40}"), (0, "{against}: {h32}"), (0, "{against} = {q}{h64}{q}"), (0, "{uuid}"), (0, "id = {q}{uuid}{q}"), (0, "/{w1}/{w2}/{w3}/{w4}{d2}{ending}"), (0, "https://www.example.org/{w1}/{w2}/{w3}{d2}{ending}"),
     (0, "{d16}"), (0, "card {d16}"), (0, "{name} {sign} {q}your_{name}_here_1234567{q}"), (0, "{name} {sign} {q}xxxxxxxxxxxxxxxxxxxxxxxx0000{q}"), (0, "{w1}_{w2}_{w3}_{w4}_{d2}"), (0, "{w1}-{w2}-{w3}-{w4}-{d4}"),
     (0, "data:image/png;base64,{b40}{c40}"), (0, "sha512-{b40}{c40}"), (0, "{w1}{W2}{W3}{W4}{d2}{d4}"), (0, "2024-01-{d2}T10:{d2}/2024.02.{d2}-v1.2.3"), (0, "{w1}{d2}{w2}{w3}{w4}"), (0, "{h40}"), (0, "file {h32}.png"),
+    (1, '"{pass}": "{w1}{d2}!"'), (1, '"{pass}": "{b12}"'), (1, "{pass}: {W2}{d2}{w1}"), (1, "{pass}: {b8}"), (1, "{pass}={w3}{d1}"), (1, "{pass}={b12}"), (1, "{pass} {sign} {q}{W3}{d1}{W4}{d2}{q}"), (1, "{pass} {sign} {q}{b8}{q}"),
+    (1, "{name} {sign} {q}{a24}{q}"), (1, "{name} {sign} {q}{a20}{q}"), (1, "{name}={a24}"), (1, "redis://:{b4}@{w2}.org/"), (1, "redis://:{w3}{d1}@{w2}"), (1, "ftp://{w1}:{b40}{c40}{h40}@{w2}.org/"),
+    (0, "{pass}: {w1} {w2}"), (0, "{pass}: {kind}"), (0, "{pass} = {kind}"), (0, '"{pass}": "{kind}"'), (0, "{pass} = get{W2}()"), (0, "{pass}=${w3}"), (0, "{pass}: enter the {w1}"), (0, "{pass} {sign} {q}your_{w1}{q}"),
+    (0, "{w1}-{w2}-{w3}-{w4}"), (0, "{w1}-of-the-{w2}-{w3}"), (0, "{w1}.{w2}.{w3}.{w4}"), (0, "{w1}_{w2}_{w3}_{w4}"), (0, "{w1}{w2}{w3}{w4}"), (0, "{W2}{w1}{w3}{w4}"), (0, "{W2}{W3}{W4}{W2}"), (0, "/{w1}/{w2}/{w3}/{w4}"),
+    (0, "https://www.example.org/{w1}/{w2}/{w3}/"), (0, "====={w1}-{w2}====="), (0, "{w1}@{w2}.{w3}.example.org"), (0, "...{w1}-------------"),
 ]
 
 
@@ -145,15 +152,17 @@ def labelled_texts(spark: SparkSession, n: int = BUILT_IN) -> DataFrame:
         *[pick(some, i).alias(f"w{i}") for i in range(8)],
         pick("\" ' \"", 101).alias("q"), pick("= : = =>", 102).alias("sign"), pick(".js .py .png .html .json .pdf", 105).alias("ending"),
         pick("token secret api_key API_KEY apikey auth_token access_token access_key client_secret password TOKEN secret_key private_key", 103).alias("name"),
+        pick("password Password PASSWORD passwd pwd secret db_password passphrase", 106).alias("pass"), pick("string None null true false required optional text example", 107).alias("kind"),
         pick("commit sha1 sha256 md5 checksum hash etag digest revision rev build integrity blob", 104).alias("against"),
         digest("h").alias("h"), base("b").alias("b"), base("c").alias("c"), F.regexp_replace(digest("d"), "[a-f]", "").alias("d"),
+        F.regexp_replace(F.concat(base("e"), base("f")), "[^A-Za-z]", "").alias("a"),
     )
     # written once, so that no single expression makes everything
     made = stored(made, "findings")
     row = F.pmod("id", F.lit(len(FORMS)))
     text = F.concat_ws(" ", "w5", "w6", "w7", F.element_at(F.array(*[F.lit(t) for _, t in FORMS]), (row + 1).cast("int")), "w0", F.concat("w2", F.lit(".")))
-    fill = {c: F.col(c) for c in ("q", "sign", "ending", "name", "against", "w1", "w2", "w3", "w4")} | {f"W{i}": F.initcap(f"w{i}") for i in (2, 3, 4)}
-    fill |= {f"{c}{size}": F.substring(c, 1, size) for c, sizes in {"h": (32, 40, 64), "b": (12, 24, 32, 36, 40), "c": (40,), "d": (2, 4, 12, 16)}.items() for size in sizes}
+    fill = {c: F.col(c) for c in ("q", "sign", "ending", "name", "against", "pass", "kind", "w1", "w2", "w3", "w4")} | {f"W{i}": F.initcap(f"w{i}") for i in (2, 3, 4)}
+    fill |= {f"{c}{size}": F.substring(c, 1, size) for c, sizes in {"h": (32, 40, 64), "b": (4, 8, 12, 24, 32, 36, 40), "c": (40,), "d": (1, 2, 4, 12, 16), "a": (20, 24)}.items() for size in sizes}
     fill |= {"B16": F.upper(F.substring("b", 1, 16)), "uuid": F.concat_ws("-", *[F.substring("h", at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])}
     for key, value in fill.items():
         text = F.replace(text, F.lit("{" + key + "}"), value)

@@ -396,6 +396,20 @@ def test_secrets(spark, forest, odd, empty):
     assert secrets.scan(empty, forest).count() == 0 and secrets.redact(odd, forest).count() == odd.count()
 
 
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0102\n\nMIIEpAIBAAKCAQEAx+y/z\nqwertyuiopASDFGHJKL=\n-----END RSA PRIVATE KEY-----"
+PGP = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: A-B\n\nlQOYBF+abc-def\n=aBcD\n-----END PGP PRIVATE KEY BLOCK-----"
+HIDDEN = [
+    ('{"user": "me", "password": "%s"}', "hunter2!"), ("password: %s", "Tr0ub4dor"), ("pwd=%s", "hunter2"), ('Password = "%s"', "Gr33nRiver7"), ('api_key = "%s"', "qZkRwTbXnLpVmKdHsGfJcYtW"),
+    ("redis://%s@host", ":pw1"), ("https://%s@host", "me:" + "aB3dE5gH7k" * 20), ("see %s there", PEM), ("see %s there", PGP),
+]
+
+
+def test_forms_of_secrets(spark, forest):
+    plain = ["the password: enter it here", "a state-of-the-art-method of internationalization for you", "password = None", "----------------------", "see https://www.example.org/river/stone/winter/ for more", "password: string", "Donaudampfschifffahrtsgesellschaft"]
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(docs_of(spark, [form % x for form, x in HIDDEN] + plain), forest).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(HIDDEN)}
+
+
 def test_secret_scan_runs_no_python(spark, forest, documents):
     plan = secrets.redact(documents, forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
