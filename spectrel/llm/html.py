@@ -45,11 +45,14 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
+        self._named: list[int] = []  # for each block the innermost subtree named like something around the article, or -1
+        self._around: list[list] = []  # of such subtrees: the one above, whether a whole name says so, whether it holds main, or article
         if html:
             self._read(html)
+            self._decide()
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, container, dropped
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # name, container, dropped, subtree in _around
         text: list[str] = []
         linked = 0
         links = 0
@@ -60,6 +63,7 @@ class Page:
                 joined = " ".join("".join(text).split())
                 if joined:
                     self.blocks.append((stack[-1][1], joined, max(0, len(joined) - linked)))
+                    self._named.append(stack[-1][3])
                 text.clear()
             linked = 0
 
@@ -106,16 +110,25 @@ class Page:
             if name in VOID:
                 continue
             self._close(stack, name)
-            _, container, dropped = stack[-1]
+            _, container, dropped, around = stack[-1]
             attributes = m.group(3)
-            classes, words = "", set()
+            classes, words, whole = "", set(), set()
             if "=" in attributes:
                 for kind, a, b, c in _NAMES.findall(attributes):
                     value = unescape(a or b or c).lower()
                     if kind.lower() == "class":
                         classes = ".".join(sorted({_DIGITS.sub("#", x) for x in value.split()}))
                     words.update(_PARTS.split(value))
-            dropped = dropped or name in DROPPED or (name not in ("html", "body") and not AROUND.isdisjoint(words))
+                    whole.update(_DIGITS.sub("", x) for x in value.split())
+            dropped = dropped or name in DROPPED
+            if not dropped and name not in ("html", "body") and not AROUND.isdisjoint(words):
+                self._around.append([around, not AROUND.isdisjoint(whole), False, False])
+                around = len(self._around) - 1
+            if not dropped and name in ("main", "article"):
+                i = around
+                while i >= 0:
+                    self._around[i][2 if name == "main" else 3] = True
+                    i = self._around[i][0]
             if name in CONTAINERS and not dropped:
                 self.parents.append(container)
                 self.paths.append(f"{self.paths[container]}>{name}" + (f".{classes}" if classes else ""))
@@ -126,9 +139,33 @@ class Page:
                 continue
             if attributes.endswith("/") and name in ("svg", "math"):
                 continue
-            stack.append((name, container, dropped))
+            stack.append((name, container, dropped, around))
         flush()
 
+    def _decide(self) -> None:
+        """Drops the blocks of subtrees named like something around the article, unless they hold the article itself.
+
+        They do if they hold main; or article, where none with text is outside; or, by a name that only has such a word as a
+        part (by any, where there is no text outside), SHARE of the page's text outside links, where nothing else says which
+        is the article.
+        """
+        if not self._around:
+            return
+        sizes = [0] * len(self._around)
+        outside = False
+        alone = not any(size for (_, _, size), i in zip(self.blocks, self._named) if i < 0)
+        for (container, _, size), i in zip(self.blocks, self._named):
+            outside = outside or (i < 0 and size > 0 and re.search(r">(article|main)(?![^>.])", self.paths[container]) is not None)
+            while i >= 0:
+                sizes[i] += size
+                i = self._around[i][0]
+        total = sum(size for _, _, size in self.blocks)
+        shown: list[bool] = []
+        for (above, whole, main, article), size in zip(self._around, sizes):
+            holds = main or (not outside and (article or ((alone or not whole) and size > 0 and size >= SHARE * total)))
+            shown.append(holds and (above < 0 or shown[above]))
+        self.blocks = [b for b, i in zip(self.blocks, self._named) if i < 0 or shown[i]]
+
     @staticmethod
     def _close(stack: list, name: str) -> None:
         """What an opening tag ends: a paragraph before any block, and list items or cells of its own kind."""

@@ -425,6 +425,20 @@ def test_html_text():
     assert html.extract("<p>cut &am", None) == "cut &am" and html.extract("<article><p>a</p><p", ">article") == "a"
 
 
+ARTICLE = "<p>" + "the article itself, with enough words to be the most of this page " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("opening,close", [('<div class="content has-sidebar">', "</div>"), ('<main class="no-sidebar">', "</main>"), ('<article class="post comments-open">', "</article>"), ('<section id="social-science">', "</section>"), ('<div class="header-on"><article>', "</article></div>")])
+def test_html_article_of_a_name_with_part_of_a_word(opening, close):
+    around = '<div class="sidebar"><p>some things at the side</p></div><div class="site-footer"><p>the end of it</p></div>'
+    inside = '<div class="related"><p>other things</p></div>'
+    page = f"<body>{around}{opening}{ARTICLE}{inside}{close}</body>"
+    assert html.extract(page, None) == ARTICLE[3:-4].strip()
+    assert html.extract(f'<body><div class="overlay">{ARTICLE}</div></body>', None) == ARTICLE[3:-4].strip()
+    comments = f'<body><main>{ARTICLE}</main><div class="comments-area"><article class="comment"><p>{"long words of others " * 99}</p></article></div></body>'
+    assert html.extract(comments, None) == ARTICLE[3:-4].strip()
+
+
 def test_html_consensus(spark):
     article = '<body><div class="post1"><p>the article itself, long enough to win</p></div><div class="related9x"><p>other things of no use</p></div></body>'
     odd_page = '<body><div class="post2"><p>short</p></div><div class="extra"><p>' + "a long text at the side of it " * 9 + "</p></div></body>"
