@@ -4,9 +4,12 @@ Every window of LENGTH bytes has an anchor: of its GRAM-byte strings the one wit
 Equal windows have equal anchors at the same place, so only strings around equal anchors can repeat. Neighbouring windows
 with one anchor form a run. Anchors that occur once drop out by a count; the runs of the others are dealt by anchor, and
 each task keeps them in a logarithmic family of suffix arrays: a batch of runs is sorted, merge-scanned against all
-levels for its longest matches to the right of the anchor (and, in a mirrored family, to the left), and levels of equal
-size are merged. Windows that the longest matches allow are then compared exactly. Anchors with very many runs don't go
-to one task: Spark counts their runs, and the windows of runs that occur once, with sums made before each shuffle.
+levels for its longest matches to the right of the anchor (and, in a mirrored family, to the left), and levels of about
+equal size are merged. A window of j bytes before its anchor repeats if another one has the same j bytes to the left and
+the same LENGTH - j to the right: these are neighbours in the two arrays, with common prefixes of no less between them.
+
+Anchors with very many runs don't go to one task: Spark counts their runs, and the windows of runs that occur once, with
+sums made before each shuffle. That is the exact way for what a task can't hold; tests hold both ways against brute force.
 """
 
 from __future__ import annotations
@@ -136,6 +139,16 @@ class Level:
     def __init__(self, suffixes: np.ndarray, items: np.ndarray):
         self.suffixes, self.items = suffixes, items
 
+    def merged(self, other: Level) -> Level:
+        """Both arrays as one, in order; of equals those of ``self`` first."""
+        at = np.searchsorted(self.suffixes, other.suffixes, side="right") + np.arange(len(other.items))
+        rest = np.ones(len(self.items) + len(other.items), bool)
+        rest[at] = False
+        suffixes, items = np.empty(len(rest), self.suffixes.dtype), np.empty(len(rest), self.items.dtype)
+        for out, own, new in ((suffixes, self.suffixes, other.suffixes), (items, self.items, other.items)):
+            out[rest], out[at] = own, new
+        return Level(suffixes, items)
+
 
 class IndexFamily:
     """Suffix arrays of growing size. ``longest[i]``: the longest common prefix of item i with any other item, so far."""
@@ -146,23 +159,27 @@ class IndexFamily:
         self.lengths = np.zeros(0, np.int64)
         self.longest = np.zeros(0, np.int64)
 
+    def _common(self, a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray) -> np.ndarray:
+        """Common prefixes of row i of a and row i of b."""
+        out = np.zeros(len(a), np.int64)
+        for lo in range(0, len(a), 1 << 13):
+            x, y = (np.ascontiguousarray(s[lo : lo + (1 << 13)]).view(np.uint8).reshape(-1, self.width + 1)[:, : self.width] for s in (a, b))
+            differ = x != y
+            out[lo : lo + (1 << 13)] = np.where(differ.any(axis=1), differ.argmax(axis=1), self.width)
+        return np.minimum(out, np.minimum(self.lengths[ia], self.lengths[ib]))
+
     def _match(self, a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray) -> None:
         """Neighbours: row i of a against row i of b."""
-        if not len(a):
-            return
-        x, y = (np.ascontiguousarray(s).view(np.uint8).reshape(len(s), self.width) for s in (a, b))
-        differ = x != y
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), self.width)
-        common = np.minimum(common, np.minimum(self.lengths[ia], self.lengths[ib]))
+        common = self._common(a, ia, b, ib)
         np.maximum.at(self.longest, ia, common)
         np.maximum.at(self.longest, ib, common)
 
     def add(self, matrix: np.ndarray, lengths: np.ndarray) -> None:
-        """A new batch: rows of ``width`` bytes, of which ``lengths`` count."""
+        """A new batch: rows of ``width`` bytes, of which ``lengths`` count (below 256). Zeros fill the rest, so equal rows go by length."""
         first = len(self.lengths)
         self.lengths = np.concatenate((self.lengths, lengths))
         self.longest = np.concatenate((self.longest, np.zeros(len(lengths), np.int64)))
-        new = np.ascontiguousarray(matrix).view(f"S{self.width}").reshape(-1)
+        new = np.concatenate((matrix, lengths[:, None].astype(np.uint8) + np.uint8(1)), axis=1).view(f"S{self.width + 1}").reshape(-1)
         order = np.argsort(new, kind="stable")
         batch = Level(new[order], first + order)
         self._match(batch.suffixes[:-1], batch.items[:-1], batch.suffixes[1:], batch.items[1:])
@@ -174,12 +191,21 @@ class IndexFamily:
             after = np.flatnonzero((at < len(level.items)) & np.append(at[1:] != at[:-1], True))
             self._match(batch.suffixes[after], batch.items[after], level.suffixes[at[after]], level.items[at[after]])
         while self.levels and len(self.levels[-1].items) <= 2 * len(batch.items):
-            other = self.levels.pop()
-            suffixes, items = np.concatenate((other.suffixes, batch.suffixes)), np.concatenate((other.items, batch.items))
-            order = np.argsort(suffixes, kind="stable")
-            batch = Level(suffixes[order], items[order])
+            batch = self.levels.pop().merged(batch)
         self.levels.append(batch)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each item's place in one array of all, and the common prefix of each place with the one before it."""
+        while len(self.levels) > 1:
+            last = self.levels.pop()
+            self.levels.append(self.levels.pop().merged(last))
+        whole = self.levels[0]
+        place = np.empty(len(whole.items), np.int64)
+        place[whole.items] = np.arange(len(place))
+        common = np.zeros(len(place), np.int64)
+        common[1:] = self._common(whole.suffixes[:-1], whole.items[:-1], whole.suffixes[1:], whole.items[1:])
+        return place, common
+
 
 def _matrix(flat: np.ndarray, key: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, step: int) -> np.ndarray:
     """Rows of the 8 bytes of a key and up to ``width`` bytes of ``flat`` from ``starts`` on, forwards or backwards."""
@@ -193,62 +219,41 @@ def _matrix(flat: np.ndarray, key: np.ndarray, starts: np.ndarray, sizes: np.nda
 
 
 class Matcher:
-    """Runs of a task: two families of suffix arrays, and the exact comparison of the windows that they leave."""
+    """Runs of a task in two families of suffix arrays: of what follows from the anchor on, and of what goes before it, backwards."""
 
     def __init__(self):
-        self.right, self.left = IndexFamily(8 + LENGTH), IndexFamily(8 + _WINDOWS)
-        self.flats: list[bytes] = []
+        self.right, self.left = IndexFamily(8 + LENGTH), IndexFamily(8 + _WINDOWS - 1)
         self.columns: list[tuple] = []
 
     def add(self, key, count, offset, many, flat: np.ndarray, starts: np.ndarray) -> None:
-        sizes = count - 1 + LENGTH
-        ahead = np.minimum(sizes - offset, LENGTH)
-        back = np.minimum(offset, _WINDOWS)
+        ahead = np.minimum(count - 1 + LENGTH - offset, LENGTH)
+        back = np.minimum(offset, _WINDOWS - 1)
         self.right.add(_matrix(flat, key, starts + offset, ahead, LENGTH, 1), ahead + 8)
-        self.left.add(_matrix(flat, key, starts + offset - 1, back, _WINDOWS, -1), back + 8)
-        self.columns.append((key, count, offset, many))
-        self.flats.append(spread(flat, starts, sizes))
+        self.left.add(_matrix(flat, key, starts + offset - 1, back, _WINDOWS - 1, -1), back + 8)
+        self.columns.append((count, offset, many))
 
-    def repeated(self, chunk: int = CHUNK):
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(run number, first window, last window + 1) of all repeated windows, as ranges."""
         if not self.columns:
-            return
-        key, count, offset, many = (np.concatenate(x) for x in zip(*self.columns))
-        flat = np.concatenate(self.flats)
-        sizes = count - 1 + LENGTH
-        starts = np.cumsum(sizes) - sizes
-        right, left = self.right.longest - 8, self.left.longest - 8
+            return (np.zeros(0, np.int64),) * 3
+        count, offset, many = (np.concatenate(x) for x in zip(*self.columns))
         # window w has offset - w bytes before its anchor; both sides must match that far
-        lo = np.where(many, 0, np.maximum(0, offset - left))
-        hi = np.where(many, count, np.minimum(count, right - LENGTH + offset + 1))
-        runs = np.flatnonzero(hi > lo)
-        runs = runs[np.argsort(key[runs], kind="stable")]
-        edge = np.flatnonzero(np.append(True, key[runs][1:] != key[runs][:-1]))
-        at = 0
-        while at < len(runs):
-            # whole keys, about ``chunk`` runs at a time
-            k = int(np.searchsorted(edge, at + chunk, side="right"))
-            end = int(edge[k]) if k < len(edge) else len(runs)
-            if end <= at:
-                end = int(edge[np.searchsorted(edge, at, side="right")]) if np.searchsorted(edge, at, side="right") < len(edge) else len(runs)
-            some = runs[at:end]
-            at = end
-            n = hi[some] - lo[some]
-            owner = np.repeat(some, n)
-            window = lo[owner] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            part = spread(flat, starts[some], sizes[some])
-            whole = _hashes(part, True)[1]
-            base = np.zeros(len(key), np.int64)
-            base[some] = np.cumsum(sizes[some]) - sizes[some]
-            with np.errstate(over="ignore"):
-                h = whole[base[owner] + window] ^ key[owner]
-            _, which, times = np.unique(h, return_inverse=True, return_counts=True)
-            twice = (times[which] > 1) | (many[owner] > 0)
-            if many[some].any():
-                heavy = np.zeros(len(times), bool)
-                heavy[which[many[owner] > 0]] = True
-                twice |= heavy[which]
-            yield _ranges(owner[twice], window[twice])
+        lo = np.where(many, 0, np.maximum(0, offset - (self.left.longest - 8)))
+        hi = np.where(many, count, np.minimum(count, self.right.longest - 8 - LENGTH + offset + 1))
+        (at_left, common_left), (at_right, common_right) = self.left.joined(), self.right.joined()
+        hit = np.zeros((len(count), _WINDOWS), bool)
+        for j in range(_WINDOWS):
+            window = offset - j
+            some = np.flatnonzero((window >= lo) & (window < hi))
+            if not len(some):
+                continue
+            # places between which the common prefix is never shorter have the same bytes
+            left = np.cumsum(common_left < 8 + j)[at_left[some]]
+            right = np.cumsum(common_right < 8 + LENGTH - j)[at_right[some]]
+            _, which, times = np.unique(left << 32 | right, return_inverse=True, return_counts=True)
+            weight = times + np.bincount(which, many[some] > 0, len(times))
+            hit[some, window[some]] = weight[which] > 1
+        return _ranges(*np.nonzero(hit))
 
 
 def _ranges(owner: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,8 +334,10 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
         if not held:
             return
         d, th, at = (np.concatenate(x) for x in zip(*held))
-        for run, lo, hi in matcher.repeated():
-            yield _covered(d[run], th[run], at[run] + lo, at[run] + hi - 1 + LENGTH)
+        run, lo, hi = matcher.repeated()
+        for i in range(0, len(run), 1 << 14):
+            r = run[i : i + (1 << 14)]
+            yield _covered(d[r], th[r], at[r] + lo[i : i + (1 << 14)], at[r] + hi[i : i + (1 << 14)] - 1 + LENGTH)
 
     counted_, few = _hot(runs.where("many in (3, 4)"), hot)
     dealt = runs.where("many in (0, 1)").select(few.columns).unionAll(few).repartition(parts, "key")
