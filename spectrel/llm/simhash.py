@@ -65,31 +65,34 @@ def masks(flips: int) -> list[int]:
     return [sum(c) for n in range(flips + 1) for c in combinations(bits, n)]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Verified links (a, b) between nodes (node long, fp long; fp distinct) at ``radius`` or fewer differing bits.
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Verified links (a, b) between distinct fingerprints (fp long) at ``radius`` or fewer differing bits.
 
-    With an even radius, all that meet at a variant are linked to one another, so a chain in the order of their
+    With an even radius, all that meet at a variant are linked to one another, so a chain in the order of the
     fingerprints loses no connection.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
     ball = F.array(*[F.lit(m) for m in masks(radius // 2)])
-    met = nodes.select("node", "fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    met = prints.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     w = Window.partitionBy("variant").orderBy("fp")
-    pairs = met.select("node", "fp", F.lag("node").over(w).alias("other"), F.lag("fp").over(w).alias("other_fp")).where("other_fp is not null")
-    near = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius)
-    return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = met.select("fp", F.lag("fp").over(w).alias("other")).where("other is not null")
+    near = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    return near.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows give repeated rows. A null doc_id
-    is never a component's id; where all rows of a fingerprint have none, the component is null. Other columns are ignored.
+    Null and empty texts have fingerprint zero and link like any other. Repeated rows give repeated rows. Rows are linked
+    by their fingerprints alone, so rows of one doc_id with different texts are in components of their own, and rows
+    without an id link like others; a null doc_id is never a component's id, and where no row of a component has one, the
+    component is null. Texts are read whole, whatever their length; other columns are ignored.
     """
     each = stored(fingerprints(docs, id_column, text_column, words), "fingerprints")
     classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    # a class is known by its least id; one without any id has no links
-    found = components(links(classes.where("low is not null").select(F.col("low").alias("node"), "fp"), radius))
-    named = classes.join(found, classes["low"] == found["node"], "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return each.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = components(links(classes.select("fp"), radius))
+    named = stored(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c")), "named")
+    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    result = named.join(lowest, "c").select("fp", "component_id")
+    return each.join(result, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
