@@ -2,9 +2,11 @@
 
 A vector is coded by 16 centroids for each pair of components, four bits each. Codebooks and codes minimise a residual
 whose part along the vector weighs more than the rest, as that part is what changes large inner products. A query's table
-of inner products with all centroids then scores codes by look-ups, two codes at a time, and the best are scored again
-with the vectors themselves; so are all others whose code score could be off by enough to be among the nearest, as a code
-is off by no more than the length of its residual times that of the query. So the results are exact.
+of inner products with all centroids then scores codes by look-ups, two codes at a time. The residual's part along
+the vector, a known share of it, is made up for; the part across it is an error of a random sign. The best by code are
+scored with the vectors themselves, and so is every other whose code score is within SURE standard errors of the K + 1st
+of these. So codes decide at every size, nothing is capped, and groups whose codes can't tell their members apart are
+scored whole.
 
 Equal vectors are coded once and keep the K + 1 least ids: no others of them can be among anyone's K nearest. Queries
 and vectors meet block by block; a block's rows are bounded, so no task grows with the table.
@@ -26,10 +28,12 @@ PAIR = 2
 SAMPLE = 10_000
 #: Inner products above this share of the vector's length are those that matter; it sets the weight of the parallel error.
 THRESHOLD = 0.2
-#: Vectors of a block that are scored again for each query first; the k-th best of them is the bar for the rest.
-RERANK = 128
-#: Blocks at least, and rows of a block at most.
-BLOCKS, BLOCK_ROWS, QUERY_ROWS = 16, 1 << 16, 1 << 12
+#: Standard errors of the code score that are allowed for.
+SURE = 3.0
+#: So many times the vectors asked for are scored first; the least of the best of these is the bar for all others.
+FIRST = 4
+#: Blocks at least, and rows of a block and queries of a turn at most.
+BLOCKS, BLOCK_ROWS, QUERY_ROWS = 8, 1 << 16, 1 << 16
 
 
 class Codebook:
@@ -124,49 +128,60 @@ def _kmeans(x: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndar
     return c
 
 
-def residuals(book: Codebook, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Lengths of what the codes (``paired``) leave of the vectors."""
+def residuals(book: Codebook, vectors: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the codes (``paired``) leave of the vectors: its part along each vector, as a share of it, and the length of the rest."""
     x = _even(vectors)
     m = len(book.centroids)
     one = np.stack((codes // CENTROIDS, codes % CENTROIDS), axis=1).reshape(-1, codes.shape[1])[:m].T
-    total = np.zeros(len(x))
+    total, along = np.zeros(len(x)), np.zeros(len(x))
     for s in range(m):
-        total += ((x[:, PAIR * s : PAIR * s + PAIR] - book.centroids[s, one[:, s]]) ** 2).sum(axis=1)
-    return np.sqrt(total)
+        part = x[:, PAIR * s : PAIR * s + PAIR]
+        left = part - book.centroids[s, one[:, s]]
+        total += (left**2).sum(axis=1)
+        along += (left * part).sum(axis=1)
+    norm = np.maximum((x**2).sum(axis=1), 1e-300)
+    return along / norm, np.sqrt(np.maximum(total - along**2 / norm, 0.0))
 
 
-def scan(book: Codebook, queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, keep: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the ``keep`` vectors of largest inner product: query, vector, score. The ``rerank`` best by code set the bar."""
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, summed from the first component to the last."""
+    return np.cumsum(vectors * query, axis=1)[:, -1]
+
+
+def scan(book: Codebook, queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, keep: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query the ``keep`` vectors of largest inner product: query, vector, score; and how many were scored exactly."""
     index = codes.astype(np.intp)
     vectors = np.asarray(vectors, np.float64)
     n = len(vectors)
-    rerank = max(rerank, keep)
-    left = residuals(book, vectors, codes) if n > rerank else np.zeros(n)
-    # look-ups are summed in single precision
-    slack = 1e-6 * (len(codes) + 1) * (np.linalg.norm(vectors, axis=1) + left)
+    keep = min(keep, n)
+    most = min(FIRST * keep, n)
+    share, across = residuals(book, vectors, codes)
+    # a query's product with a vector is its product with the code and the rest, over what the code has of the vector
+    scale = np.where(share < 0.9, 1 / (1 - np.minimum(share, 0.9)), np.nan)
+    slack = scale * (sure * across / np.sqrt(max(1, book.dim - 1)) + 1e-6 * (len(codes) + 1) * (np.linalg.norm(vectors, axis=1) * (1 + np.abs(share)) + across))
     who, what, scores = [], [], []
+    scored = 0
     for at in range(0, len(queries), 64):
         part = np.asarray(queries[at : at + 64], np.float64)
         for i, table in enumerate(book.tables(part)):
-            if n > rerank:
-                rough = table[0][index[0]]
-                for row, code in zip(table[1:], index[1:]):
-                    rough += row[code]
-                few = np.argpartition(-rough, rerank - 1)[:rerank]
-                exact = (vectors[few] * part[i]).sum(axis=1)
-                bar = np.partition(exact, rerank - keep)[rerank - keep]
-                few = np.flatnonzero(~(rough + np.linalg.norm(part[i]) * (left + slack) + 1e-36 < bar) | ~np.isfinite(rough))
-            else:
-                few = np.arange(n)
-            exact = (vectors[few] * part[i]).sum(axis=1)
+            rough = table[0][index[0]]
+            for row, code in zip(table[1:], index[1:]):
+                rough += row[code]
+            rough = rough * scale
+            first = np.argpartition(-np.nan_to_num(rough, nan=-np.inf), most - 1)[:most]
+            bar = np.partition(products(vectors[first], part[i]), most - keep)[most - keep]
+            few = np.flatnonzero(~(rough + np.linalg.norm(part[i]) * slack + 1e-36 < bar) | ~np.isfinite(rough))
+            few = np.union1d(few, first)
+            exact = products(vectors[few], part[i])
             best = np.lexsort((few, -exact))[:keep]
+            scored += len(few)
             who.append(np.full(len(best), at + i))
             what.append(few[best])
             scores.append(exact[best])
-    return np.concatenate(who), np.concatenate(what), np.concatenate(scores)
+    return np.concatenate(who), np.concatenate(what), np.concatenate(scores), scored
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = K, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = K, sure: float = SURE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, the ``k`` others of largest inner product.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of another length than
@@ -213,7 +228,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, rerank: int = RERANK
         low = rows.column("low").to_numpy()
         order = np.argsort(low, kind="stable")
         codes = np.stack([np.frombuffer(c, np.uint8) for c in rows.column("code").to_pylist()])[order].T
-        who, what, scores = scan(held.value, matrix(queries), matrix(rows)[order], np.ascontiguousarray(codes), k + 1, rerank)
+        who, what, scores, _ = scan(held.value, matrix(queries), matrix(rows)[order], np.ascontiguousarray(codes), k + 1, sure)
         return pa.table([pa.array(queries.column("query_id").to_numpy()[who]), pa.array(low[order][what]), pa.array(scores)], names)
 
     near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(meet, "query_id long, low long, score double")
