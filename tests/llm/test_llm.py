@@ -3,8 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -262,18 +262,31 @@ def test_simhash_links(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**62), 2**62, 40)
     fps = {int(b) for b in base} | {int(b) ^ 1 << 5 for b in base[:20]} | {int(b) ^ (1 << 9 | 1 << 62) for b in base[:10]} | {int(b) ^ 0b111 << 20 for b in base[:5]}
-    nodes = spark.createDataFrame(list(enumerate(sorted(fps))), "node long, fp long")
     from spectrel.operators.graph import components
 
-    found = {r["node"]: r["component"] for r in components(simhash.links(nodes)).collect()}
+    found = {r["node"]: r["component"] for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
     order = sorted(fps)
     for i, a in enumerate(order):
-        for j, b in enumerate(order[:i]):
+        for b in order[:i]:
             if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
-                assert found[i] == found[j]
+                assert found[a] == found[b]
     assert len(set(found.values())) == 20
 
 
+def test_simhash_of_shared_and_missing_ids(spark, monkeypatch):
+    """Fingerprints 0 and 3 and 15 in a chain, 7 * 2**40 alone: ids don't link, rows without an id do."""
+    prints = {"A": 0, "A'": 3, "A''": 15, "B": 7 << 40}
+    table = F.create_map(*[F.lit(x) for p in prints.items() for x in p])
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("doc_id", table[F.col("text")].cast("long").alias("fp")))
+    got = lambda rows: sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    name = lambda t: f"{prints[t]:016x}"
+    for more in ([], [(4, "A")]):
+        found = got([(5, "A"), (5, "B"), (3, "A'"), *more])
+        assert (5, name("B"), 5) in found and (5, name("A"), 3) in found and (3, name("A'"), 3) in found
+    assert got([(7, "A"), (None, "A'"), (8, "A''")]) == sorted([(7, name("A"), 7), (None, name("A'"), 7), (8, name("A''"), 7)], key=str)
+    assert got([(None, "B")]) == [(None, name("B"), None)]
+
+
 def test_simhash_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     rows = simhash.near_duplicates(odd).collect()
@@ -463,18 +476,32 @@ def test_vectors(spark):
     assert set(got) == {i for i in ids if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
-@pytest.mark.parametrize("kind", ["spread", "clustered"])
-def test_vectors_of_a_full_block(kind):
+@pytest.mark.parametrize("kind,recall,most", [("spread", 0.99, 0.05), ("clustered", 0.99, 1.0)])
+def test_vectors_of_a_full_block(kind, recall, most):
+    """Recall against brute force where codes leave out nearly all vectors, and where a group is too dense for them."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(20000, 64))
+    x = rng.normal(size=(30000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     if kind == "clustered":
         x[:8000] = x[0] + 0.01 * rng.normal(size=(8000, 64))
-    queries = x[:40:2]
-    book = ann.Codebook(x[rng.choice(len(x), 2000, replace=False)], rounds=2)
-    who, what, scores = ann.scan(book, queries, x, ann.paired(book.encode(x, 1)), 21)
+    queries = x[:60:2] if kind == "clustered" else x[:60]
+    book = ann.Codebook(x[rng.choice(len(x), 4000, replace=False)], rounds=2)
+    who, what, scores, scored = ann.scan(book, queries, x, ann.paired(book.encode(x, 1)), 21)
+    hits = 0
     for i, q in enumerate(queries):
-        s = (x * q).sum(axis=1)
-        assert what[who == i].tolist() == np.lexsort((np.arange(len(x)), -s))[:21].tolist()
+        s = np.cumsum(x * q, axis=1)[:, -1]
+        hits += len(set(what[who == i].tolist()) & set(np.lexsort((np.arange(len(x)), -s))[:21].tolist()))
+        assert (scores[who == i] == s[what[who == i]]).all()
+    assert hits >= recall * 21 * len(queries) and scored <= most * len(queries) * len(x)
+
+
+def test_vectors_equal_the_exact_ones(spark):
+    """At this size nearly nothing is missed."""
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    want = {(q, r): (v, s) for q, r, v, s in con.execute(oracle_sql()["op8_ann"]).fetchall()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in queries()["op8_ann"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(want) and sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
 
 
 def test_odd_vectors(spark):
