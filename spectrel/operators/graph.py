@@ -19,23 +19,29 @@ def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a stored table, and their number and a sum of their hashes."""
+    now = stored(edges, "edges")
+    state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return now, (state["n"], state["h"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: longs or strings); the component is its least node.
 
     Loops, repeated edges and nulls are dropped. An empty table gives no rows.
     """
-    now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
-    before = None
+    now, before = _kept(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
     for _ in range(most_rounds):
+        if not before[0]:
+            break
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above u hang on the least neighbour of u
         large = both.where("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below u, and u itself, hang on the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        state = (state["n"], state["h"])
+        now, state = _kept(small.where("u <> v").distinct())
         if state == before:
             break
         before = state
