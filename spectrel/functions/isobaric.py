@@ -17,14 +17,15 @@ def normalized(matrix: list[list[float]]) -> list[list[float]]:
     return [[x / sum(row) for x in row] if sum(row) else list(row) for row in matrix]
 
 
-def padded(matrix: list[list[float]], before: int, after: int) -> list[list[float]]:
-    """Rows of shifts -before .. +after become rows of channels."""
+def padded(matrix: list[list[float]], before: int, after: int, stride: int = 1) -> list[list[float]]:
+    """Rows of shifts -before .. +after become rows of channels; a shift leads ``stride`` channels on."""
     n = len(matrix)
     out = [[0.0] * n for _ in range(n)]
     for i, row in enumerate(matrix):
         for j, x in enumerate(row[: before + 1 + after]):
-            if 0 <= i + j - before < n:
-                out[i][i + j - before] = x
+            at = i + stride * (j - before)
+            if 0 <= at < n:
+                out[i][at] = x
     return out
 
 
@@ -36,13 +37,15 @@ class IsobaricTag:
     impurities: tuple[tuple[float, ...], ...] | None = None
     before: int = 2
     after: int = 2
+    #: Channels between neighbours of one series: 2 where series with a heavy carbon and with a heavy nitrogen alternate.
+    stride: int = 1
 
     @property
     def matrix(self) -> np.ndarray:
         """Channels as columns: what a label's ions give in each channel."""
         if self.impurities is None:
             raise ValueError(f"{self.reagent} needs an impurity matrix")
-        return np.array(padded(normalized([list(r) for r in self.impurities]), self.before, self.after)).T
+        return np.array(padded(normalized([list(r) for r in self.impurities]), self.before, self.after, self.stride)).T
 
     def corrected(self, intensities) -> np.ndarray:
         return nnls(self.matrix, np.asarray(intensities, float))
@@ -76,8 +79,13 @@ TMT_LABELS = {
 
 
 def tmt(reagent: str, fragmentation: str = "hcd", impurities: tuple[tuple[float, ...], ...] | None = None) -> IsobaricTag:
-    """A TMT reagent; correction needs the lot's own impurities."""
-    return IsobaricTag(reagent, TMT_REPORTERS[reagent, fragmentation], TMT_LABELS[reagent], impurities)
+    """A TMT reagent; correction needs the lot's own impurities, a row for each channel.
+
+    Of the 10plex a channel's impurities fall into its own series only: 126, 127C .. 130C, or 127N .. 131.
+    """
+    if impurities is not None and len(impurities) != len(TMT_LABELS[reagent]):
+        raise ValueError(f"{reagent} has {len(TMT_LABELS[reagent])} channels")
+    return IsobaricTag(reagent, TMT_REPORTERS[reagent, fragmentation], TMT_LABELS[reagent], impurities, stride=2 if reagent == "TMT10plex" else 1)
 
 
 def reporter_ions(mz: Column, intensity: Column, targets: list[float], tolerance: float) -> Column:

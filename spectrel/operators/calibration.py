@@ -26,7 +26,8 @@ def calibration_targets(scans: DataFrame, psms: DataFrame | None, lock_masses: l
     if psms is not None:
         placed = scans.select("specfile", "id", F.row_number().over(Window.partitionBy("specfile").orderBy("rt", "id")).alias("pos"))
         own = psms.join(placed.select("specfile", F.col("id").alias("precursorId"), "pos"), ["specfile", "precursorId"])
-        spread = own.select("specfile", "obsMz", "excMz", (F.col("pos") + F.explode(F.array(*[F.lit(i) for i in scan_range]))).alias("pos"))
+        apart = own.select("specfile", "obsMz", "excMz", "pos", F.explode(F.array(*[F.lit(i) for i in scan_range])).alias("apart"))
+        spread = apart.select("specfile", "obsMz", "excMz", (F.col("pos") + F.col("apart")).alias("pos"))
         parts.append(spread.join(placed, ["specfile", "pos"]).select("specfile", "id", "obsMz", "excMz", F.lit("psm").alias("source")))
     if not parts:
         raise ValueError("neither lock masses nor matches are given")

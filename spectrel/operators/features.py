@@ -176,10 +176,19 @@ def cluster_metrics(table: DataFrame, time: str, mass: str, by: list[str], scali
 
 
 def tangled(boxes: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Keys of boxes (tMin, tMax, mMin, mMax) that overlap another one of their group."""
-    other = boxes.select(*by, *[F.col(c).alias(f"o_{c}") for c in (key, "tMin", "tMax", "mMin", "mMax")])
+    """Keys of boxes (tMin, tMax, mMin, mMax) that overlap another one of their group.
+
+    Boxes meet in cells of time as wide as the mean box, so each is in three of them on average; a box is asked about until
+    the first that it overlaps.
+    """
+    width = boxes.agg(F.avg(F.col("tMax") - F.col("tMin")).alias("w")).first()["w"] or 1.0
+    boxes = boxes.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("tMin") / width), F.floor(F.col("tMax") / width))))
+    other = boxes.select(*by, "_cell", *[F.col(c).alias(f"o_{c}") for c in (key, "tMin", "tMax", "mMin", "mMax")])
     meets = (F.col(key) != F.col(f"o_{key}")) & overlaps(F.col("tMin"), F.col("tMax"), F.col("o_tMin"), F.col("o_tMax")) & overlaps(F.col("mMin"), F.col("mMax"), F.col("o_mMin"), F.col("o_mMax"))
-    return boxes.join(other, by).where(meets).select(key).distinct()
+    same = F.col("_cell") == F.col("o__cell")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"o_{c}"))
+    return boxes.join(other.withColumnsRenamed({c: f"o_{c}" for c in (*by, "_cell")}), same & meets, "left_semi").select(key).distinct()
 
 
 def lfq_groups(features: DataFrame, time_limit: float = 40, mass_limit: float = 10e-6, distance_limit: float | None = None, mass: str = "mz", time: str = "rt", charges: tuple[int, ...] = (1, 2, 3, 4, 5), scaling: float | None = None, require: str | None = "isAnnotated") -> tuple[DataFrame, DataFrame]:

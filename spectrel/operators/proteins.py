@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import digest, standard_sequence
+from .tables import stored
 
 
 def peptides_of(proteins: DataFrame, rule: str = "[KR]", missed: int = 0, remove_start_m: bool = False, least: int = 6, most: int = 40, ignore_isoleucine: bool = False) -> DataFrame:
@@ -36,11 +37,14 @@ def protein_table(proteins: DataFrame, edges: DataFrame) -> DataFrame:
 
 def coverage(proteins: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, length, coveredUnique, coveredShared): residues within unique peptides, and within shared ones (the two may overlap)."""
-    spans = mark_unique(edges).select("proteinId", "isUnique", F.explode(F.sequence("startPos", "endPos")).alias("at")).distinct()
-    n = lambda flag: F.count(F.when(F.col("isUnique") == flag, 1))
-    counts = spans.groupBy("proteinId").agg(n(True).alias("u"), n(False).alias("s"))
+    spans = mark_unique(stored(edges.select("peptide", "proteinId", "startPos", "endPos", "missedCleavage"), "edges")).select("proteinId", "isUnique", "startPos", "endPos")
+    # what a span adds to those before it
+    before = Window.partitionBy("proteinId", "isUnique").orderBy("startPos", "endPos").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("n", F.greatest(F.lit(0), F.col("endPos") - F.greatest(F.col("startPos") - 1, F.coalesce(F.max("endPos").over(before), F.lit(0)))))
+    n = lambda flag: F.sum(F.when(F.col("isUnique") == flag, F.col("n")).otherwise(0))
+    counts = fresh.groupBy("proteinId").agg(n(True).alias("u"), n(False).alias("s"))
     joined = proteins.join(counts, F.col("id") == F.col("proteinId"), "left")
-    return joined.select("id", F.length("sequence").cast("long").alias("length"), F.coalesce("u", F.lit(0)).alias("coveredUnique"), F.coalesce("s", F.lit(0)).alias("coveredShared"))
+    return joined.select("id", F.length("sequence").cast("long").alias("length"), F.coalesce("u", F.lit(0)).cast("long").alias("coveredUnique"), F.coalesce("s", F.lit(0)).cast("long").alias("coveredShared"))
 
 
 def coverage_mask(proteins: DataFrame, edges: DataFrame, unique: bool = True) -> DataFrame:

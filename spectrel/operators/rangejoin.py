@@ -14,7 +14,7 @@ def _bin(value: Column, tolerance: float, mode: str) -> Column:
     return F.floor(value / (tolerance if tolerance > 0 else 1.0))
 
 
-def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: float, mode: str = "relative", on: list[str] | None = None, how: str = "inner") -> DataFrame:
+def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: float, mode: str = "relative", on: list[str] | None = None) -> DataFrame:
     """Rows whose right value lies within the tolerance around the left value (closed), and whose ``on`` columns are equal.
 
     Relative tolerances ask for positive values. Each left row is sent to three bins, whatever the data.
@@ -23,7 +23,7 @@ def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_val
     other = right.withColumn("_bin", _bin(F.col(right_value), tolerance, mode))
     a, b = F.col(left_value), F.col(right_value)
     reach = a * tolerance if mode == "relative" else F.lit(tolerance)
-    return near.join(other, [*(on or []), "_bin"], how).drop("_bin").where((b >= a - reach) & (b <= a + reach))
+    return near.join(other, [*(on or []), "_bin"]).drop("_bin").where((b >= a - reach) & (b <= a + reach))
 
 
 def nearest_match(left: DataFrame, right: DataFrame, key: list[str], left_value: str, right_value: str, tolerance: float, mode: str = "relative", on: list[str] | None = None, ties: list[str] | None = None, where: Column | None = None) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir. Where that is unset, a folder of this machine if the session runs on it alone (tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not found:
-        found = "/tmp/spectrel-checkpoints"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spectrel-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -132,30 +132,21 @@ def charge_mz(spark, sf_dir):
 def _spectra(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     key = F.xxhash64("l_orderkey", *LINE_ORDER)
-    return lines.groupBy("l_orderkey", *LINE_ORDER).count().select(F.lit("run").alias("specfile"), key.alias("specId"), F.col("l_extendedprice").alias("mass"), days("l_shipdate").alias("rt"), (F.col("l_linenumber") % 2).cast("int").alias("charge"), *[F.col(c) for c in ("l_orderkey", *LINE_ORDER)])
+    return lines.groupBy("l_orderkey", *LINE_ORDER).count().select(F.lit("run").alias("specfile"), key.alias("specId"), F.col("l_extendedprice").alias("mass"), days("l_shipdate").alias("rt"), (F.col("l_linenumber") % 2 + 1).cast("int").alias("charge"), *[F.col(c) for c in ("l_orderkey", *LINE_ORDER)])
 
 
 def _orders(spark, sf_dir) -> DataFrame:
     start = days("o_orderdate")
-    return table(spark, sf_dir, "orders").select(F.lit("run").alias("specfile"), F.col("o_orderkey").alias("featureId"), F.col("o_totalprice").alias("mass"), start.alias("rtLow"), (start + 120).alias("rtHigh"), (F.col("o_orderkey") % 2).cast("int").alias("charge"))
+    return table(spark, sf_dir, "orders").select(F.lit("run").alias("specfile"), F.col("o_orderkey").alias("featureId"), F.col("o_totalprice").alias("mass"), start.alias("rtLow"), (start + 120).alias("rtHigh"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("charge"))
 
 
 _ISO = 100 * masses.constants.ISOTOPE_STEP
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    spectra = _spectra(spark, sf_dir)
-    shifted = spectra.select("*", F.posexplode(F.array(F.lit(0.0), F.lit(1.0))).alias("turn", "error")).withColumn("wanted", F.col("mass") + F.col("error") * _ISO)
-    orders = _orders(spark, sf_dir).withColumnRenamed("mass", "f_mass").drop("specfile")
-    pairs = rangejoin.tolerance_join(shifted, orders, "wanted", "f_mass", 5e-3, "relative", ["charge"])
-    return pairs.where(F.col("rt").between(F.col("rtLow") - 6, F.col("rtHigh") + 12))
-
-
-_SPEC_KEY = ["l_orderkey", *LINE_ORDER]
-_CASCADE = f"""with s as (select distinct l_orderkey, {_LINE_ORDER}, {DAYS.format("l_shipdate")} as rt, l_linenumber % 2 as z from lineitem),
- f as (select o_orderkey as feature, o_totalprice as m, {DAYS.format("o_orderdate")} as lo, o_orderkey % 2 as z from orders),
+_CASCADE = f"""with s as (select distinct l_orderkey, {_LINE_ORDER}, {DAYS.format("l_shipdate")} as rt, l_linenumber % 2 + 1 as z from lineitem),
+ f as (select o_orderkey as feature, o_totalprice as m, {DAYS.format("o_orderdate")} as lo, o_orderkey % 2 + 1 as z from orders),
  e as (select * from (values (0, 0.0::double), (1, 1.0::double)) v(turn, error)),
- w as (select s.*, turn, error, l_extendedprice + error * {_ISO!r}::double as wanted from s, e),
+ w as (select s.*, turn, error, l_extendedprice + error * {_ISO!r}::double / z as wanted from s, e),
  b as (select *, unnest([floor(ln(wanted) / ln(1.01)) - 1, floor(ln(wanted) / ln(1.01)), floor(ln(wanted) / ln(1.01)) + 1]) as bin from w),
  p as (select b.*, feature, lo from b join (select *, floor(ln(m) / ln(1.01)) as fbin from f) f on f.fbin = b.bin and f.z = b.z and m >= wanted - wanted * 0.005 and m <= wanted + wanted * 0.005 and rt >= lo - 6 and rt <= lo + 132),
  c as (select l_orderkey, {_LINE_ORDER}, turn, error, count(*) as n_wide, sum(case when rt >= lo and rt <= lo + 120 then 1 else 0 end) as n_tight, min(feature) as only_wide, min(case when rt >= lo and rt <= lo + 120 then feature end) as only_tight from p group by all),
@@ -165,19 +156,21 @@ _CASCADE = f"""with s as (select distinct l_orderkey, {_LINE_ORDER}, {DAYS.forma
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    return features.cascade(_pairs(spark, sf_dir), _SPEC_KEY, F.col("rt").between(F.col("rtLow"), F.col("rtHigh")))
+    return features.match_features(_spectra(spark, sf_dir), _orders(spark, sf_dir), 5e-3, "relative", (0, 1), isotope_step=_ISO)
 
 
 @query(_CASCADE)
 def feature_match(spark, sf_dir):
-    return _matches(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "error", "single", F.col("featureId").alias("feature"))
+    return _matches(spark, sf_dir).join(_spectra(spark, sf_dir).drop("specfile"), "specId").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "error", "single", F.col("featureId").alias("feature"))
 
 
-@query(f"select feature, count(*) as spectra, min(l_extendedprice) as score, min(l_partkey::varchar || '-' || l_suppkey::varchar) as first_name from ({_CASCADE}) where single group by feature")
+@query(f"""select feature, spectra, score, peptide from (select feature, count(*) over (partition by feature) as spectra, l_extendedprice as score, l_partkey::varchar || '-' || l_suppkey::varchar as peptide,
+ row_number() over (partition by feature order by l_extendedprice, l_partkey::varchar || '-' || l_suppkey::varchar) as n from ({_CASCADE}) where single) where n = 1""")
 def feature_best(spark, sf_dir):
-    hits = _matches(spark, sf_dir).where("single")
     name = F.concat_ws("-", "l_partkey", "l_suppkey")
-    return hits.groupBy(F.col("featureId").alias("feature")).agg(F.count("*").alias("spectra"), F.min("l_extendedprice").alias("score"), F.min(name).alias("first_name"))
+    psms = _spectra(spark, sf_dir).select("specfile", "specId", F.col("mass").alias("score"), name.alias("peptide"), name.alias("sequence"))
+    best = features.best_annotations(_matches(spark, sf_dir), psms)
+    return best.select(F.col("featureId").alias("feature"), F.size("specIds").cast("long").alias("spectra"), "score", "peptide")
 
 
 @query("""with p as (select s_suppkey as id, c_custkey as other, c_acctbal as value, row_number() over (partition by s_suppkey order by abs(c_acctbal - s_acctbal), c_acctbal, c_custkey) as n
@@ -243,10 +236,10 @@ def proximity(spark, sf_dir):
     return linked.select(F.col("event_id").alias("id"), "event_type", F.col("island").cast("long").alias("island"), "linkage")
 
 
-@query("""with b as (select user_id, event_type, min(value) as mlo, max(value) as mhi, min(epoch_us(ts) / 1e6) as tlo, max(epoch_us(ts) / 1e6) as thi from events where value < 20 group by all)
+@query("""with b as (select user_id, event_type, min(value) as mlo, max(value) as mhi, min(epoch_us(ts) / 1e6) as tlo, max(epoch_us(ts) / 1e6) as thi from events group by all)
  select distinct a.user_id, a.event_type from b a join b o on a.event_type = o.event_type and a.user_id <> o.user_id and a.tlo <= o.thi and o.tlo <= a.thi and a.mlo <= o.mhi and o.mlo <= a.mhi""")
 def overlap_tangled(spark, sf_dir):
-    boxes = _events(spark, sf_dir).where("value < 20").groupBy("user_id", "event_type").agg(F.min("t").alias("tMin"), F.max("t").alias("tMax"), F.min("value").alias("mMin"), F.max("value").alias("mMax"))
+    boxes = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("t").alias("tMin"), F.max("t").alias("tMax"), F.min("value").alias("mMin"), F.max("value").alias("mMax"))
     named = boxes.withColumn("key", F.struct("user_id", "event_type"))
     return features.tangled(named, "key", ["event_type"]).select("key.*")
 
@@ -258,6 +251,25 @@ def cluster_metrics(spark, sf_dir):
     return m.select("user_id", "members", F.round("mean_time", 3).alias("mean_time"), F.round("mean_mass", 6).alias("mean_mass"), F.round("time_spread", 3).alias("time_spread"), F.round("mass_spread", 6).alias("mass_spread"), F.round("mean_distance", 1).alias("mean_distance"))
 
 
+def _lc_features(spark, sf_dir) -> DataFrame:
+    """Events as features of runs, one charge for each kind."""
+    charge = F.pmod(F.xxhash64("event_type"), F.lit(3)).cast("int") + 1
+    own = _events(spark, sf_dir).select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("specfile"), F.col("event_id").cast("string").alias("id"), charge.alias("charge"), (400 + F.col("value")).alias("mz"), (F.col("t") % 86400).alias("rt"))
+    return own.withColumns({"isValid": F.lit(True), "isAnnotated": F.col("id").cast("long") % 3 == 0, "intensity": F.col("mz") * 1000, "obsRt": F.lit(None).cast("double")})
+
+
+@query()
+def lfq_groups(spark, sf_dir):
+    groups, _ = features.lfq_groups(_lc_features(spark, sf_dir), time_limit=20.0)
+    return groups.select("groupId", "members", "isValid", "clusterType", F.round("mz", 6).alias("mz"), F.round("mean_time", 3).alias("time"))
+
+
+@query()
+def rt_alignment(spark, sf_dir):
+    moved = features.calibrate_rt(_lc_features(spark, sf_dir), "run0", mz_limit_ppm=25.0)
+    return moved.select("specfile", "id", F.round("obsRt", 3).alias("observed"), F.round("rt", 3).alias("aligned"))
+
+
 @query("select user_id, max(case when event_type = 'click' then value end) as click, max(case when event_type = 'view' then value end) as view, max(case when event_type = 'purchase' then value end) as purchase from events group by user_id")
 def quant_pivot(spark, sf_dir):
     own = _events(spark, sf_dir).withColumnRenamed("event_type", "specfile")
@@ -325,10 +337,10 @@ def peptide_mass(spark, sf_dir):
 
 
 def _modified():
-    return F.concat(F.lit("[u:1]"), F.substring(_letters(), 1, 3), F.lit("[u:21]"), F.substring(_letters(), 4, 100), F.lit("[DSS]"))
+    return F.concat(F.lit("[u:1]"), F.substring(_letters(), 1, 3), F.lit("[u:21]"), F.substring(_letters(), 4, 10000), F.lit("[DSS]"))
 
 
-_MOD_SQL = f"'[u:1]' || substr({_NAME}, 1, 3) || '[u:21]' || substr({_NAME}, 4, 100) || '[DSS]'"
+_MOD_SQL = f"'[u:1]' || substr({_NAME}, 1, 3) || '[u:21]' || substr({_NAME}, 4, 10000) || '[DSS]'"
 
 
 @query(f"select p_partkey as id, regexp_replace({_MOD_SQL}, '\\[[^\\]]*\\]', '', 'g') as sequence from part")
@@ -336,7 +348,7 @@ def mod_strip(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), masses.strip_modifications(_modified()).alias("sequence"))
 
 
-@query(f"select p_partkey as id, 1 as acetyl, greatest(least(length({_NAME}), 3), 1)::int as phospho, greatest(least(length({_NAME}), 103), 1)::int as linker from part")
+@query(f"select p_partkey as id, 1 as acetyl, greatest(least(length({_NAME}), 3), 1)::int as phospho, greatest(length({_NAME}), 1)::int as linker from part")
 def mod_positions(spark, sf_dir):
     found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), sequences.modification_positions(_modified()).alias("m"))
     at = lambda name: F.get(F.col("m")[name], F.lit(0))
@@ -353,11 +365,12 @@ def substrings(spark, sf_dir):
 
 
 def _protein_edges(spark, sf_dir) -> DataFrame:
-    some = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    return some.select(F.col("l_suppkey").alias("protein"), F.col("l_partkey").alias("peptide")).distinct()
+    """All lines: an order is a protein, and neighbouring orders share the peptides that their parts stand for."""
+    peptide = F.floor(F.col("l_orderkey") / 32) * 24 + F.col("l_partkey") % 24
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("protein"), peptide.alias("peptide")).distinct()
 
 
-_E = "e as (select distinct l_suppkey as protein, l_partkey as peptide from lineitem where l_quantity >= 49 and l_discount >= 0.09)"
+_E = "e as (select distinct l_orderkey as protein, (l_orderkey // 32) * 24 + l_partkey % 24 as peptide from lineitem)"
 
 
 @query(f"""with recursive {_E}, r as (select distinct protein, protein as root from e union select b.protein, r.root from r join e a on a.protein = r.protein join e b on a.peptide = b.peptide)
@@ -397,6 +410,13 @@ def peptide_classes(spark, sf_dir):
     return inference.protein_groups(_protein_edges(spark, sf_dir))["peptides"]
 
 
+@query()
+def peptide_leaders(spark, sf_dir):
+    own = _protein_edges(spark, sf_dir)
+    members = inference.protein_groups(own)["members"]
+    return proteins.map_peptides(own.select("peptide"), own.withColumnRenamed("protein", "proteinId"), members)
+
+
 # ---------------------------------------------------------------- spectra
 
 
@@ -419,6 +439,15 @@ def ms1_calibration(spark, sf_dir):
     return _calibration(spark, sf_dir).select("id", F.col("excMz").alias("target"), F.round("obsMz", 6).alias("mz"), F.round("relDev", 10).alias("rel_dev"))
 
 
+@query("""with p as (select vec_id, vec_id % 4 as run, vec_id::varchar as id, 400 + embedding[1]::double as mz, row_number() over (partition by vec_id % 4 order by vec_id) as pos from embeddings where vec_id is not null and embedding is not null),
+ d as (select unnest([-1, 0, 1]) as d) select s.id, p.id as match, round(p.mz, 6) as exc from p, d join p s on s.run = p.run and s.pos = p.pos + d.d""")
+def match_targets(spark, sf_dir):
+    ions = _ions(spark, sf_dir)
+    matches = ions.select("specfile", F.col("id").alias("precursorId"), F.col("mz")[0].alias("excMz"), F.col("rt").alias("obsMz"))
+    found = calibration.calibration_targets(ions.select("specfile", "id", "rt"), matches)
+    return found.select("id", F.col("obsMz").cast("long").cast("string").alias("match"), F.round("excMz", 6).alias("exc"))
+
+
 @query()
 def time_calibration(spark, sf_dir):
     scans = _ions(spark, sf_dir).select("specfile", "id", "rt")
@@ -442,10 +471,31 @@ def _signed(target: float):
     return -F.get(isobaric.reporter_ions(F.transform("v", lambda x: -x), F.col("v"), [-target], 0.2), F.lit(0))["mz"]
 
 
-@query()
+def _corrected(spark, sf_dir, tag: isobaric.IsobaricTag) -> DataFrame:
+    """Intensities are mixed as the tag's impurities do it, then corrected: what comes out is what went in."""
+    n = len(tag.reporters)
+    own = table(spark, sf_dir, "embeddings").where(f"size(embedding) >= {n}").select("vec_id", F.transform(F.slice("embedding", 1, n), lambda x: F.abs(x.cast("double")) * 1000).alias("t"))
+    mixed = F.array(*[sum((F.col("t")[j] * float(x) for j, x in enumerate(row)), F.lit(0.0)) for row in tag.matrix])
+    got = own.select("vec_id", isobaric.corrected_column(mixed, tag).alias("c"))
+    return got.select(F.col("vec_id").alias("id"), *[F.round(F.col("c")[k], 3).alias(f"channel_{k + 1}") for k in range(n)])
+
+
+def _corrected_sql(n: int) -> str:
+    return "select vec_id as id, " + ", ".join(f"round(abs(embedding[{k}]::double) * 1000, 3) as channel_{k}" for k in range(1, n + 1)) + f" from embeddings where len(embedding) >= {n}"
+
+
+#: A lot whose channels give 0.5 % and 4 % to the lighter and heavier neighbour of their series, and half of that beyond.
+_LOT = isobaric.tmt("TMT10plex", impurities=tuple((0.25, 0.5, 93.25, 4.0, 2.0) for _ in range(10)))
+
+
+@query(_corrected_sql(4))
 def impurity_correct(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").where("size(embedding) >= 4").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")) * 1000).alias("i"))
-    return own.select(F.col("vec_id").alias("id"), F.transform(isobaric.corrected_column(F.col("i"), isobaric.ITRAQ4), lambda x: F.round(x, 4)).alias("corrected"))
+    return _corrected(spark, sf_dir, isobaric.ITRAQ4)
+
+
+@query(_corrected_sql(10))
+def impurity_series(spark, sf_dir):
+    return _corrected(spark, sf_dir, _LOT)
 
 
 _SETUP = labels.LabelSetup()

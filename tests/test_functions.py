@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spectrel import constants
 from spectrel.functions import isobaric, labels, masses, numerics, sequences
 
-PROTEIN = "MSFLNASCTLCDEPISNRRKGEKIIELACGHLSHQECLIISGEIIELACGHLSHQECLIISECLIISGEIIELACGHLSHQECLIISECLIISGEIIELACGHLSHQECLIISRADAI"
+PROTEIN = "MGTKWQEERDLNSSKRIVGHAYPTKKLMEDQNCFRSTWPGAEKHLLVNDRYISKMGTKWQE"
 
 
 def cut(protein, rule, missed, start_m, least, most):
@@ -56,22 +56,35 @@ def test_substrings(spark):
     assert one(spark, sequences.all_substrings(F.lit("A"), F.lit("AAA"))) == []
 
 
-def test_digest_cases():
-    assert len(cut(PROTEIN, "[R]", 0, False, 1, 1000)) == PROTEIN.count("R") + 1
-    assert len(cut(PROTEIN, "[K]", 0, False, 1, 1000)) == PROTEIN.count("K") + 1
-    assert cut(PROTEIN, "[K]", 1, False, 23, 23) == [("MSFLNASCTLCDEPISNRRKGEK", 1, 23, 1)]
-    found = [p[0] for p in cut(PROTEIN, r"\w(?=[R])", 0, False, 1, 1000)]
-    assert "MSFLNASCTLCDEPISN" in found and "MSFLNASCTLCDEPISNR" not in found
-    assert len(cut(PROTEIN, "[K]", 0, False, 1, 95)) == 3 and len(cut(PROTEIN, "[K]", 0, False, 1, 94)) == 2
-    assert len(cut(PROTEIN, "[K]", 1, False, 5, 1000)) == 4
-    trimmed = [p[0] for p in cut(PROTEIN, "[K]", 1, True, 5, 40)]
-    assert len(trimmed) == 4 and {"SFLNASCTLCDEPISNRRK", "SFLNASCTLCDEPISNRRKGEK"} <= set(trimmed)
-    assert cut("", "[K]", 1, True, 1, 9) == []
+def plainly_cut(protein, letters, missed, start_m, least, most):
+    """All joins of up to ``missed`` + 1 neighbouring pieces that end with one of the letters, without a dictionary or expression."""
+    ends = [i + 1 for i, c in enumerate(protein) if c in letters and i + 1 < len(protein)] + [len(protein)]
+    starts = [0, *ends[:-1]]
+    out = set()
+    for i, a in enumerate(starts):
+        for k, b in enumerate(ends[i : i + missed + 1]):
+            out.add((protein[a:b], a + 1, b, k))
+            if start_m and a == 0 and protein[:1] == "M":
+                out.add((protein[1:b], 2, b, k))
+    return {p for p in out if least <= len(p[0]) <= most}
+
+
+@pytest.mark.parametrize("letters", ["R", "K", "KR"])
+@pytest.mark.parametrize("missed,start_m,least,most", [(0, False, 1, 1000), (1, False, 4, 9), (2, False, 1, 30), (1, True, 3, 12)])
+def test_digest_cases(letters, missed, start_m, least, most):
+    got = cut(PROTEIN, f"[{letters}]", missed, start_m, least, most)
+    want = plainly_cut(PROTEIN, letters, missed, start_m, least, most)
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_digest_before_a_letter():
+    found = [p[0] for p in cut("GGSPRAAK", r"\w(?=[R])", 0, False, 1, 1000)]
+    assert found == ["GGSP", "RAAK"] and cut("", "[K]", 1, True, 1, 9) == []
 
 
 def test_digest_column(spark):
-    rows = spark.createDataFrame([(1, PROTEIN), (2, None), (3, "")], "id int, s string").select("id", sequences.digest(F.col("s"), "[K]", 1, False, 23, 23).alias("p")).collect()
-    assert {r["id"]: [x["sequence"] for x in r["p"]] for r in rows} == {1: ["MSFLNASCTLCDEPISNRRKGEK"], 2: [], 3: []}
+    rows = spark.createDataFrame([(1, "AAKCCKDD"), (2, None), (3, "")], "id int, s string").select("id", sequences.digest(F.col("s"), "[K]", 1, False, 5, 6).alias("p")).collect()
+    assert {r["id"]: [x["sequence"] for x in r["p"]] for r in rows} == {1: ["AAKCCK", "CCKDD"], 2: [], 3: []}
 
 
 @settings(max_examples=60, deadline=None)
@@ -127,6 +140,19 @@ def test_impurities():
         isobaric.tmt("TMT6plex").matrix  # noqa: B018
 
 
+def test_impurities_stay_in_their_series():
+    lot = [[0.0, 0.0, 95.0, 5.0, 0.0]] + [[1.0, 2.0, 93.0, 3.0, 1.0]] * 9
+    tag = isobaric.tmt("TMT10plex", impurities=tuple(map(tuple, lot)))
+    share = {(a, b): x for j, a in enumerate(tag.labels) for b, x in zip(tag.labels, tag.matrix[:, j]) if x}
+    assert share["126", "127C"] == 0.05 and share["127N", "128N"] == 0.03 and share["127N", "129N"] == 0.01 and share["129C", "128C"] == 0.02 and share["131", "129N"] == 0.01
+    heavy = lambda name: "C" if name == "126" or name.endswith("C") else "N"
+    assert all(heavy(a) == heavy(b) for a, b in share)
+    true = np.arange(1.0, 11.0)
+    assert tag.corrected(tag.matrix @ true) == pytest.approx(true)
+    with pytest.raises(ValueError):
+        isobaric.tmt("TMT10plex", impurities=tuple(map(tuple, lot[:6])))
+
+
 def test_running_averages():
     x = [0, 1, 2, 3, 3, 6, 7, 10, 4, 5.5]
     assert numerics.running_mean(x, 5) == pytest.approx([1.8, 3.0, 4.2, 5.8, 6.0, 6.5])

@@ -1,83 +1,128 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spectrel.operators import access, calibration, features, inference, proteins, psm, rangejoin, windows
 
-CLUSTERS = """01_P1:p1,p2 | 02_P1:p1,p2 02_P2:p2 | 03_P1:p1,p2 03_P2:p1,p2 | 04_P1:p1,p2 04_P2:p1,p2 04_P3:p2
-05_P1:p1,p2,p3 05_P2:p1,p4 05_P3:p2,p3,p4
-06_P1:p1,p2,p3 06_P2:p2,p3 06_P3:p2,p4 06_P4:p2,p3,p4 06_P5:p2,p4
-07_P1:p1,p2 07_P2:p1,p3,p4 07_P3:p2,p3 07_P4:p3,p5 | 08_P1:p1,p2 08_P2:p3,p4 08_P3:p2,p3
-09_P1:p1,p3,p4,p5,p7 09_P2:p1,p2 09_P3:p2,p3 09_P4:p5,p6 09_P5:p6,p7
-10_P1:p1,p2 10_P2:p3,p4,p5 10_P3:p2,p3 10_P4:p2,p3,p4"""
+# ---------------------------------------------------------------- inference, against plain programs
+
+
+def graph_of(seed: int) -> dict[str, set[str]]:
+    """Proteins and their peptides: sparse clusters, some with proteins of equal peptides, parts of others, and chains."""
+    rng = np.random.default_rng(seed)
+    out: dict[str, set[str]] = {}
+    for c in range(9):
+        pool = [f"c{c}k{i}" for i in range(int(rng.integers(1, 8)))]
+        for i in range(int(rng.integers(1, 7))):
+            out[f"c{c}q{i}"] = set(rng.choice(pool, int(rng.integers(1, min(4, len(pool)) + 1)), replace=False).tolist())
+    out |= {"twinA": {"t1", "t2"}, "twinB": {"t1", "t2"}, "partOf": {"t2"}, "lone": {"x1"}}
+    return out
+
+
+@pytest.fixture(scope="module", params=[3, 4])
+def graph(request):
+    return graph_of(request.param)
 
 
 @pytest.fixture(scope="module")
-def edges(spark):
-    rows = [(name, name[:3] + p) for part in CLUSTERS.replace("|", " ").split() for name, ps in [part.split(":")] for p in ps.split(",")]
-    return spark.createDataFrame(rows, "protein string, peptide string")
+def edges(spark, graph):
+    return spark.createDataFrame([(q, k) for q, ks in graph.items() for k in sorted(ks)] * 2, "protein string, peptide string")
 
 
 @pytest.fixture(scope="module")
 def groups(edges):
-    found = inference.protein_groups(edges)
-    return {k: v.collect() for k, v in found.items()}
+    return {k: v.collect() for k, v in inference.protein_groups(edges).items()}
 
 
 def column(df, name="protein"):
     return {r[name] for r in df.collect()}
 
 
-def test_clusters(edges):
-    rows = inference.clusters(edges).collect()
-    assert {(r["protein"][:2], r["cluster"][:2]) for r in rows} == {(f"{i:02}", f"{i:02}") for i in range(1, 11)}
+def merged_of(graph):
+    """First protein of each set of peptides, and the proteins of that set."""
+    sets: dict = {}
+    for q in sorted(graph):
+        sets.setdefault(frozenset(graph[q]), []).append(q)
+    return {qs[0]: qs for qs in sets.values()}
 
 
-def test_samesets(edges):
-    same = {tuple(r["members"]) for r in inference.samesets(edges).collect() if len(r["members"]) > 1}
-    assert same == {("03_P1", "03_P2"), ("04_P1", "04_P2"), ("06_P3", "06_P5")}
+def users_of(graph):
+    return Counter(k for ks in graph.values() for k in ks)
 
 
-def test_unique(edges):
-    assert column(inference.unique_proteins(edges)) == set("01_P1 02_P1 06_P1 07_P2 07_P4 08_P1 08_P2 09_P1 10_P1 10_P2".split())
+def greedily_redundant(graph):
+    """Few peptides first, then those of frequent peptides, then names from the end; gone is what the others still explain."""
+    left, users = dict(graph), users_of(graph)
+    turns = sorted(sorted(graph, reverse=True), key=lambda q: (len(graph[q]), [-n for n in sorted((users[k] for k in graph[q]), reverse=True)]))
+    for q in turns:
+        if all(any(k in other for p, other in left.items() if p != q) for k in graph[q]):
+            del left[q]
+    return set(graph) - set(left)
 
 
-def test_subsets(edges):
-    got: dict = {}
-    for r in inference.subsets(edges).collect():
-        got.setdefault(r["protein"], set()).add(r["superset"])
-    assert got == {"02_P2": {"02_P1"}, "04_P3": {"04_P1", "04_P2"}, "06_P2": {"06_P1", "06_P4"}, "06_P3": {"06_P4"}, "06_P5": {"06_P4"}, "10_P3": {"10_P4"}}
+def supersets_of(graph):
+    return {q: {p for p in graph if graph[q] < graph[p]} for q in graph if any(graph[q] < graph[p] for p in graph)}
 
 
-def test_redundant(edges):
-    assert column(inference.redundant_proteins(edges)) == set("02_P2 03_P2 04_P2 04_P3 05_P2 06_P2 06_P3 06_P5 07_P3 08_P3 09_P3 09_P5 10_P3 10_P4".split())
+def test_clusters(edges, graph):
+    near = {q: {p for p in graph if graph[p] & graph[q]} for q in graph}
+    for _ in graph:
+        near = {q: set().union(*(near[p] for p in near[q])) for q in graph}
+    assert {r["protein"]: r["cluster"] for r in inference.clusters(edges).collect()} == {q: min(near[q]) for q in graph}
 
 
-def test_groups(groups):
-    got: dict = {}
-    for r in groups["members"]:
-        got.setdefault(r["group"], {}).setdefault(r["role"], set()).add(r["protein"])
-    lead = {g: v.get("leading") for g, v in got.items()}
-    assert set(lead) == set("01_P1 02_P1 03_P1 04_P1 05_P1 05_P3 06_P1 06_P4 07_P1 07_P2 07_P4 08_P1 08_P2 09_P1 09_P2 09_P4 10_P1 10_P2".split())
-    assert lead["03_P1"] == {"03_P1", "03_P2"} and lead["04_P1"] == {"04_P1", "04_P2"}
-    subset = {g: v["subset"] for g, v in got.items() if "subset" in v}
-    assert subset == {"02_P1": {"02_P2"}, "04_P1": {"04_P3"}, "06_P1": {"06_P2"}, "06_P4": {"06_P2", "06_P3", "06_P5"}}
-    below = {g: v["subsumable"] for g, v in got.items() if "subsumable" in v}
-    assert below == {
-        "05_P1": {"05_P2"}, "05_P3": {"05_P2"}, "07_P1": {"07_P3"}, "07_P2": {"07_P3"}, "07_P4": {"07_P3"}, "08_P1": {"08_P3"}, "08_P2": {"08_P3"}, "09_P1": {"09_P3", "09_P5"}, "09_P2": {"09_P3"},
-        "09_P4": {"09_P5"}, "10_P1": {"10_P3", "10_P4"}, "10_P2": {"10_P3", "10_P4"},
-    }
-    assert {r["protein"] for r in groups["proteins"] if r["isSubsumable"]} == set("05_P2 07_P3 08_P3 09_P3 09_P5 10_P3 10_P4".split())
-
-
-def test_peptide_classes(groups):
+def test_samesets(edges, graph):
+    assert {r["representative"]: r["members"] for r in inference.samesets(edges).collect()} == merged_of(graph)
+
+
+def test_unique(edges, graph):
+    users = users_of(graph)
+    assert column(inference.unique_proteins(edges)) == {q for q, ks in graph.items() if any(users[k] == 1 for k in ks)}
+    assert column(inference.unique_peptides(edges), "peptide") == {k for k, n in users.items() if n == 1}
+
+
+def test_subsets(edges, graph):
     got: dict = {}
-    for r in groups["peptides"]:
-        got.setdefault(r["class"], set()).add(r["peptide"])
-    assert got["unique"] == set("01_p1 01_p2 02_p1 03_p1 03_p2 04_p1 06_p1 07_p4 07_p5 08_p1 08_p4 09_p4 10_p1 10_p5".split())
-    assert got["groupUnique"] == set("02_p2 04_p2 06_p4".split())
-    assert got["groupSubsumable"] == set("05_p1 05_p4 07_p2 08_p2 08_p3 09_p2 09_p3 09_p6 09_p7 10_p2 10_p3 10_p4".split())
-    assert got["shared"] == set("05_p2 05_p3 06_p2 06_p3 07_p1 07_p3 09_p1 09_p5".split())
+    for r in inference.subsets(edges).collect():
+        got.setdefault(r["protein"], set()).add(r["superset"])
+    assert got == supersets_of(graph)
+
+
+def test_redundant(edges, graph):
+    assert column(inference.redundant_proteins(edges)) == greedily_redundant(graph)
+
+
+def test_groups(groups, graph):
+    """Leading: neither part of another protein nor redundant among the rest; what is redundant joins all that share a peptide with it."""
+    same = merged_of(graph)
+    own = {q: graph[q] for q in same}
+    users = users_of(own)
+    below = {q: ps for q, ps in supersets_of(own).items() if all(users[k] > 1 for k in own[q])}
+    rest = {q: ks for q, ks in own.items() if q not in below}
+    spare = greedily_redundant(rest)
+    want: set = {(q, m, "leading") for q in set(rest) - spare for m in same[q]}
+    for q, ps in below.items():
+        want |= {(p, m, "subset") for p in ps - spare if p in rest for m in same[q]}
+    joins = {q: {p for p in set(rest) - spare if own[p] & own[q]} for q in spare}
+    for q, ps in below.items():
+        if not any(p in rest and p not in spare for p in ps):
+            joins[q] = set().union(*(joins.get(p, set()) for p in ps))
+    want |= {(p, m, "subsumable") for q, ps in joins.items() for p in ps for m in same[q]}
+    assert {(r["group"], r["protein"], r["role"]) for r in groups["members"]} == want
+    assert {r["protein"] for r in groups["proteins"] if r["isLeading"]} == {m for q in set(rest) - spare for m in same[q]}
+
+
+def test_peptide_classes(groups, graph):
+    roles = {(r["group"], r["protein"], r["role"]) for r in groups["members"]}
+    users = users_of({q: graph[q] for q in merged_of(graph)})
+    want = {}
+    for k in users:
+        of = {g for g, q, role in roles if role != "subsumable" and k in graph[q]}
+        spare = any(role == "subsumable" and k in graph[q] for _, q, role in roles)
+        want[k] = "shared" if len(of) > 1 else "unique" if users[k] == 1 else "groupSubsumable" if spare else "groupUnique"
+    assert {r["peptide"]: r["class"] for r in groups["peptides"]} == want
 
 
 def test_scan_keeps_the_order_of_ties(spark):
@@ -157,6 +202,22 @@ def test_protein_database(spark):
     assert mask["P2"] == [False] * 4 + [True] * 3
 
 
+def test_targets_of_matches(spark):
+    scans = spark.createDataFrame([("r", f"s{i}", float(i)) for i in range(3)], "specfile string, id string, rt double")
+    psms = spark.createDataFrame([("r", "s0", 500.1, 500.0), ("r", "s2", 600.1, 600.0)], "specfile string, precursorId string, obsMz double, excMz double")
+    got = {(r["id"], r["excMz"]) for r in calibration.calibration_targets(scans, psms).collect()}
+    assert got == {("s0", 500.0), ("s1", 500.0), ("s1", 600.0), ("s2", 600.0)}
+
+
+def test_tangled_boxes_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    boxes = [(i, i % 2, *(float(x) for a in (0, 1) for x in sorted(rng.uniform(0, 60) + rng.exponential(2, 2)))) for i in range(60)]
+    table = spark.createDataFrame(boxes, "key int, g int, tMin double, tMax double, mMin double, mMax double")
+    meet = lambda a, b: a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3] and a[4] <= b[5] and b[4] <= a[5]
+    want = {a[0] for a in boxes if any(meet(a, b) for b in boxes)}
+    assert 5 < len(want) < 60 and {r["key"] for r in features.tangled(table, "key", ["g"]).collect()} == want
+
+
 def test_time_medians(spark):
     scans = spark.createDataFrame([("r", str(i), float(i)) for i in range(3)], "specfile string, id string, rt double")
     data = spark.createDataFrame([("r", "0", 1.0), ("r", "1", 4.0)], "specfile string, id string, relDev double")

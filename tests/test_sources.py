@@ -93,14 +93,14 @@ def test_features(spark, tmp_path):
         features.read_features(spark, "x.csv", "run")
 
 
-FASTA = """>sp|ID001|geneId1_taxon Protein description 1 OS=organism GN=gene_name1 PE=1 SV=1
-MERCGWVHQF
-DPVKNHQPQV
-TCYPGN
-KP*
->sp|ID002|geneId2_taxon Protein description 2 OS=organism GN=gene_name2 PE=1 SV=1
-MYTLNWQPPYDWSW
->sp|ID003|geneId3_taxon nothing
+FASTA = """>sp|Q7A|WHEEL_TOY First invented entry OS=Machina ludens GN=whl PE=2 SV=3
+MKTAYIAKQR
+QISFVKSHFS
+RQ  
+LEE*
+>sp|Q7B|AXLE_TOY Second invented entry OS=Machina ludens GN=axl PE=1 SV=1
+MAGSPKLLR
+>sp|Q7C|GONE_TOY an entry without a sequence
 """
 
 
@@ -108,20 +108,20 @@ def test_fasta(spark, tmp_path):
     path = tmp_path / "p.fasta"
     path.write_text(FASTA)
     rows = {r["id"]: r for r in fasta.proteins(fasta.read_fasta(spark, str(path))).collect()}
-    assert set(rows) == {"ID001", "ID002"} and rows["ID001"]["sequence"] == "MERCGWVHQFDPVKNHQPQVTCYPGNKP"
-    info = rows["ID001"]["headerInfo"]
-    assert (info["GN"], info["OS"], info["PE"], info["db"], info["entry"], info["gene_id"], info["taxon"]) == ("gene_name1", "organism", "1", "sp", "geneId1_taxon", "geneId1", "taxon")
+    assert set(rows) == {"Q7A", "Q7B"} and rows["Q7A"]["sequence"] == "MKTAYIAKQRQISFVKSHFSRQLEE"
+    info = rows["Q7A"]["headerInfo"]
+    assert (info["GN"], info["OS"], info["PE"], info["db"], info["entry"], info["gene_id"], info["taxon"]) == ("whl", "Machina ludens", "2", "sp", "WHEEL_TOY", "WHEEL", "TOY")
     bad = tmp_path / "bad.fasta"
-    bad.write_text("MERC\nAAA\n")
+    bad.write_text("MKTA\nGGG\n")
     with pytest.raises(ValueError):
         fasta.read_fasta(spark, str(bad))
 
 
 def test_fasta_headers(spark):
-    heads = spark.createDataFrame([("sp|ID_001|x y",), ("ID_001 y",), ("ID_001|y",), ("ID_001",)], "h string")
-    assert {r["m"]["id"] for r in heads.select(fasta.accession_header(F.col("h")).alias("m")).collect()} == {"ID_001"}
-    sgd = spark.createDataFrame([('ID001 NAME001 SGDID:1, Chr I "Protein description 1"',)], "h string").select(fasta.sgd_header(F.col("h")).alias("m")).first()["m"]
-    assert sgd == {"id": "ID001", "name": "NAME001", "description": '"Protein description 1"'}
+    heads = spark.createDataFrame([("tr|K9|x y",), ("K9 y",), ("K9|y",), ("K9",)], "h string")
+    assert {r["m"]["id"] for r in heads.select(fasta.accession_header(F.col("h")).alias("m")).collect()} == {"K9"}
+    sgd = spark.createDataFrame([('YTX7 AXL1 SGDID:S9, Chr IV from 5-70, "Turns the wheel"',)], "h string").select(fasta.sgd_header(F.col("h")).alias("m")).first()["m"]
+    assert sgd == {"id": "YTX7", "name": "AXL1", "description": '"Turns the wheel"'}
     records = spark.createDataFrame([("[decoy]sp|A|B_C d", "AAA"), ("odd header", "CCC")], "header string, sequence string")
     assert {r["id"] for r in fasta.proteins(records, force_id=True).collect()} == {"[decoy]A", "odd header"}
     with pytest.raises(Exception, match="unreadable"):
