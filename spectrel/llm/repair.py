@@ -1,9 +1,10 @@
 """Token ids in files of Re-Pair blocks.
 
-Re-Pair replaces frequent pairs of neighbouring ids by a new symbol, again and again. Here a round replaces all pairs
-above a threshold at once (from the left, where occurrences overlap), and the threshold falls from round to round. A
-block keeps its rules, the number of ids that each rule stands for, the remaining symbols and the documents' counts, so
-any range of ids can be decoded alone: the expansion lengths say where it lies among the symbols.
+Re-Pair replaces frequent pairs of neighbouring ids by a new symbol, again and again, until no pair occurs often enough to
+pay for its rule. Here a round counts all pairs and replaces those above a threshold at once, the more frequent first where
+they overlap, X. A block keeps its rules, the number of ids that each rule
+stands for, the remaining symbols and the documents' counts, so any range of ids can be decoded alone: the expansion
+lengths say where it lies among the symbols.
 
 Blocks are rows of Parquet files: Spark's committer then writes each file once, whatever executors are lost, to any
 store that Spark can reach.
@@ -23,88 +24,122 @@ from pyspark.sql import functions as F
 from .common import new_path, small_batches, text_slices
 from .tokens import encoder, spread
 
-MAGIC = b"RPB1"
+MAGIC = b"RPB2"
 _HEADER = struct.Struct("<4sBIIQII")
-#: Ids of a block, documents being kept whole; and rules of a block at most.
+#: Ids of a block, documents being kept whole.
 BLOCK = 1 << 20
-RULES = 15_000
-#: A pair is replaced if it occurs at least once in so many ids, round by round, and at least LEAST times.
-ROUNDS = (4_000, 20_000, 100_000)
-LEAST = 8
-#: Files, at most: the table of their sizes is broadcast.
-MAX_SHARDS = 65_536
-
-_HASH_BITS = 18
-
-
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (n x 2), their expansion lengths, and the remaining symbols. Symbols from ``base`` on are rules."""
+#: A pair's rule costs two symbols and a length; from this count on it saves more than that.
+LEAST = 4
+#: The first rounds replace pairs that occur once in so many ids; all others those that occur LEAST times.
+ROUNDS = (500, 2_000, 8_000, 32_000)
+#: Shards: documents of each, about, and their number at most (the table of their sizes is broadcast).
+SHARD_ROWS, MAX_SHARDS = 20_000, 65_536
+
+_HASH_BITS = 20
+
+
+def _counted(seq: np.ndarray, place: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at ``place`` those that occur ``least`` times or more without overlap, as one number; their counts; and where each begins: place, pair."""
+    # a bucket's count is no less than that of any pair in it, so only pairs of full buckets are counted one by one
+    bucket = (seq[place] * np.uint32(2654435769) + seq[place + 1] * np.uint32(2246822519)) >> np.uint32(32 - _HASH_BITS)
+    place = place[(np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket]]
+    left = seq[place]
+    key = left.astype(np.uint64) << np.uint64(bits) | seq[place + 1]
+    again = np.flatnonzero((key[1:] == key[:-1]) & (place[1:] == place[:-1] + 1)) + 1
+    if len(again):
+        # of a run of one symbol every other place counts
+        first = np.ones(len(key), bool)
+        first[again] = False
+        turn = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        place, key = place[turn % 2 == 0], key[turn % 2 == 0]
+    low = len(seq).bit_length()
+    if 2 * bits + low <= 64:
+        both = np.sort(key << np.uint64(low) | place.astype(np.uint64))
+        key, place = both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(edge, append=len(key))
+    often = count >= least
+    which = np.repeat(np.where(often, np.cumsum(often) - 1, -1), count)
+    return key[edge[often]], count[often], place[which >= 0], which[which >= 0]
+
+
+def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (n x 2), their expansion lengths, and the remaining symbols. Symbols from ``base`` on are rules.
+
+    No two neighbouring remaining symbols occur together ``least`` times or more, overlaps aside.
+    """
     seq = ids.astype(np.uint32)
+    bits = (base + len(seq)).bit_length()
     rules: list[np.ndarray] = []
-    lengths = np.ones(base + RULES, np.int64)
-    known = 0
-    turn = 0
-    before = 2 * len(seq)
-    # after the last threshold rounds go on as long as each takes away a quarter
-    while (turn < len(ROUNDS) or 4 * len(seq) <= 3 * before) and len(seq) > 1 and known < RULES:
-        per = ROUNDS[min(turn, len(ROUNDS) - 1)]
-        turn += 1
-        before = len(seq)
-        least = max(LEAST, len(ids) // per)
-        # a hash bucket whose count is enough stands for the pair last seen in it, if that alone is frequent enough
-        bucket = (seq[:-1] * np.uint32(2654435769) + seq[1:] * np.uint32(2246822519)) >> np.uint32(32 - _HASH_BITS)
-        often = np.flatnonzero((np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket])
-        key = seq[often].astype(np.uint64) << np.uint64(32) | seq[often + 1]
-        bucket = bucket[often]
-        held = np.zeros(1 << _HASH_BITS, np.uint64)
-        held[bucket] = key
-        same = held[bucket] == key
-        count = np.bincount(bucket[same], minlength=1 << _HASH_BITS)
-        chosen = np.flatnonzero(count >= least)
-        if len(chosen) > RULES - known:
-            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[: RULES - known]])
-        if not len(chosen):
+    lengths = np.ones(base, np.int64)
+    limits = [max(least, len(seq) // per) for per in ROUNDS] + [least]
+    place = np.arange(len(seq) - 1)
+    while len(place):
+        limit = limits.pop(0) if limits else least
+        pairs, count, place, which = _counted(seq, place, bits, limit)
+        if not len(pairs):
+            if not limits:
+                break
+            place = np.arange(len(seq) - 1)
             continue
-        pairs = held[chosen]
-        rank_of = np.full(1 << _HASH_BITS, -1)
-        rank_of[chosen] = np.arange(len(chosen))
-        rank = np.where(same, rank_of[bucket], -1)
-        pos, rank = often[rank >= 0], rank[rank >= 0]
-        first = np.append(True, np.diff(pos) != 1)
-        run = np.maximum.accumulate(np.where(first, np.arange(len(pos)), 0))
-        take = (np.arange(len(pos)) - run) % 2 == 0
-        pos, rank = pos[take], rank[take]
-        made = np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
-        lengths[base + known : base + known + len(made)] = lengths[made].sum(axis=1)
-        seq[pos] = base + known + rank
-        stays = np.ones(len(seq), bool)
-        stays[pos + 1] = False
-        seq = seq[stays]
+        # a pair is replaced where none of the overlapping ones is more frequent
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(pairs), dtype=np.int32)
+        at = np.full(len(seq) + 2, len(pairs), np.int32)
+        mine = rank[which]
+        at[place + 1] = mine
+        best = (mine < at[place]) & (mine < at[place + 2])
+        worth = np.bincount(which[best], minlength=len(pairs)) >= least
+        best &= worth[which]
+        chosen, where = np.flatnonzero(worth), place[best]
+        made = np.stack((pairs[chosen] >> np.uint64(bits), pairs[chosen] & np.uint64((1 << bits) - 1)), axis=1).astype(np.int64)
+        seq[where] = (len(lengths) + np.cumsum(worth) - 1)[which[best]]
+        lengths = np.concatenate((lengths, lengths[made].sum(axis=1)))
         rules.append(made)
-        known += len(made)
+        stays = np.ones(len(seq), bool)
+        stays[where + 1] = False
+        if limits:
+            seq = seq[stays]
+            place = np.arange(len(seq) - 1)
+            continue
+        # only pairs with a new symbol, or of those that stood back, can be frequent now
+        ask = np.zeros(len(seq) + 1, bool)
+        ask[place[~best]] = True
+        ask[where] = True
+        ask[np.maximum(where, 1) - 1] = True
+        # before a new symbol may stand another one, whose second half is gone
+        ask[np.maximum(where, 2) - 2] = True
+        seq, place = seq[stays], np.flatnonzero(ask[:-1][stays])
+        place = place[place < len(seq) - 1]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return table, lengths[base : base + known], seq
+    return table, lengths[base:], seq
+
+
+def _pack(symbols: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of all symbols, and each higher bit of all of them."""
+    return symbols.astype("<u2").tobytes() + b"".join(np.packbits((symbols >> np.uint32(i)) & np.uint32(1)).tobytes() for i in range(16, bits))
 
 
 def encode_block(ids: np.ndarray, counts: np.ndarray, doc_ids: list, base: int) -> bytes:
     rules, lengths, seq = compress(ids, base)
-    wide = base + len(rules) > 1 << 16
-    symbol = "<u4" if wide else "<u2"
+    bits = max(16, int(base + len(rules) - 1).bit_length())
     known = np.array([x is not None for x in doc_ids], bool)
     values = np.array([0 if x is None else x for x in doc_ids], "<i8")
-    header = _HEADER.pack(MAGIC, wide, base, len(doc_ids), len(ids), len(rules), len(seq))
-    return b"".join((header, values.tobytes(), np.packbits(known).tobytes(), counts.astype("<u4").tobytes(), rules.astype(symbol).tobytes(), lengths.astype("<u4").tobytes(), seq.astype(symbol).tobytes()))
+    header = _HEADER.pack(MAGIC, bits, base, len(doc_ids), len(ids), len(rules), len(seq))
+    return b"".join((header, values.tobytes(), np.packbits(known).tobytes(), counts.astype("<u4").tobytes(), _pack(rules.reshape(-1).astype(np.uint32), bits), lengths.astype("<u4").tobytes(), _pack(seq, bits)))
 
 
 class Block:
     """A block read back; ``ids(lo, hi)`` decodes just that range."""
 
     def __init__(self, data: bytes):
-        magic, wide, self.base, docs, self.n, rules, symbols = _HEADER.unpack_from(data)
+        magic, bits, self.base, docs, self.n, rules, symbols = _HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a Re-Pair block")
         at = _HEADER.size
-        symbol = "<u4" if wide else "<u2"
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -112,13 +147,19 @@ class Block:
             at += out.nbytes
             return out
 
+        def unpack(n: int) -> np.ndarray:
+            out = take("<u2", n).astype(np.int64)
+            for i in range(16, bits):
+                out |= np.unpackbits(take("u1", (n + 7) // 8), count=n).astype(np.int64) << i
+            return out
+
         values = take("<i8", docs)
         known = np.unpackbits(take("u1", (docs + 7) // 8), count=docs)
         self.doc_ids = [v if k else None for v, k in zip(values.tolist(), known.tolist())]
         self.counts = take("<u4", docs).astype(np.int64)
-        self.rules = take(symbol, 2 * rules).astype(np.int64).reshape(-1, 2)
+        self.rules = unpack(2 * rules).reshape(-1, 2)
         self.lengths = take("<u4", rules).astype(np.int64)
-        self.symbols = take(symbol, symbols)
+        self.symbols = unpack(symbols)
         self._table: tuple | None = None
         self._ends: np.ndarray | None = None
 
@@ -162,75 +203,51 @@ class Block:
 _BLOCK_SCHEMA = "shard int, block int, shard_start long, n_tokens long, data binary"
 
 
-def _bounds(docs: DataFrame, shards: int) -> np.ndarray:
-    """Ids that split the table into parts of about equal rows; they bound shards, and needn't be exact."""
-    got = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000).alias("q")).first()["q"] if shards > 1 else None
-    return np.unique(np.array(got or [], np.int64))
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write the ids in ascending doc_id order.
 
-    Shard k holds the documents whose id is above k bounds; null ids come first. Rows that share an id follow one another
-    in the order of their ids as bytes. An empty table writes an empty file.
+    Shards are ranges of ids; null ids come first. Rows that share an id follow one another in the order of their texts'
+    hashes, and equal rows in any order, so rows of one id may be in several shards. An empty table writes no blocks;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = min(MAX_SHARDS, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    bounds = _bounds(docs, shards)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        small = len(enc.opens) <= 1 << 16
-        for batch in batches:
-            for lo, hi in text_slices(batch.column(1), 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                ids, counts = enc.encode(part.column(1).to_pylist(), end_id)
-                data = ids.astype("<u2" if small else "<u4")
-                ends = np.concatenate(([0], np.cumsum(counts) * data.itemsize)).astype(np.int32)
-                blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                number = part.column(0)
-                shard = np.searchsorted(bounds, number.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), number, blobs],
-                    ["shard", "doc_id", "ids"],
-                )
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_ROWS))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ranged = own.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(min(MAX_SHARDS, shards), *order).sortWithinPartitions(*order)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         base = len(enc.opens)
-        kind = "<u2" if base <= 1 << 16 else "<u4"
         held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         names: list = []
-        size, shard, block, start = 0, None, 0, 0
+        size = block = start = 0
 
-        def finish():
-            nonlocal held, names, size, block, start
-            counts = np.fromiter(map(len, held), np.int64, len(held))
-            data = encode_block(np.concatenate(held), counts, names, base)
+        def finish(shard: int) -> pa.RecordBatch:
+            nonlocal held, sizes, names, size, block, start
+            data = encode_block(np.concatenate(held), np.concatenate(sizes), names, base)
             row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int32()), (start, pa.int64()), (size, pa.int64()), (data, pa.binary()))], ["shard", "block", "shard_start", "n_tokens", "data"])
-            held, names, block, start, size = [], [], block + 1, start + size, 0
+            held, sizes, names, block, start, size = [], [], [], block + 1, start + size, 0
             return row
 
+        shard = 0
         for batch in batches:
-            for s, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if s != shard:
-                    if held:
-                        yield finish()
-                    shard, block, start = s, 0, 0
-                ids = np.frombuffer(blob.as_buffer(), kind)
+            shard = batch.column(0)[0].as_py() if batch.num_rows else shard
+            for lo, hi in text_slices(batch.column(2)):
+                ids, counts = enc.encode(batch.column(2).slice(lo, hi - lo).to_pylist(), end_id)
                 if held and size + len(ids) > BLOCK:
-                    yield finish()
+                    yield finish(shard)
                 held.append(ids)
-                names.append(doc)
+                sizes.append(counts)
+                names += batch.column(1).slice(lo, hi - lo).to_pylist()
                 size += len(ids)
         if held:
-            yield finish()
+            yield finish(shard)
 
-    ids = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    ordered = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(blocks, _BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    numbered = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    numbered.mapInArrow(blocks, _BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

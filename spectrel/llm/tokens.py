@@ -1,35 +1,109 @@
 """Token ids of whole texts, with a cache of pre-tokens.
 
 The tokenizers library splits a text into pre-tokens and encodes each on its own. Most pre-tokens recur, so a worker
-keeps their ids and hands only new ones to the library, many to a call. Texts with characters outside the plain set
-below, or with the text of a special token, go to the library whole. The ids equal those of
-``Tokenizer.encode(text, add_special_tokens=False)`` in every case.
+keeps their ids and hands only new ones to the library, many to a call. The texts of a slice are split together, by
+comparing neighbouring characters' classes, and pre-tokens are looked up by a 64-bit hash and their ends. Texts with
+characters outside the plain set below, or with the text of a special token, go to the library whole. The ids equal those
+of ``Tokenizer.encode(text, add_special_tokens=False)`` in every case.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+import unicodedata
 
 import numpy as np
 
+from .common import BASE, BASE_INVERSE, mixed, powers
+
 #: Characters for which Python's character classes and the tokenizer's agree.
 _PLAIN = r"\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧€"
 _ODD = re.compile(f"[^{_PLAIN}]")
-#: The pre-tokens of byte-level vocabularies of this family.
-_PRE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _JOINABLE = re.compile(r" [^\s]")
-#: Pre-tokens kept by a worker; beyond that it starts anew.
-CACHE = 400_000
+#: Where a long text may be cut: a run of white space starts a pre-token whatever comes before.
+_CUT = re.compile(r"(?<=[^\s])\s")
+#: Characters split at a time, about.
+CHUNK = 1 << 17
+#: Pre-tokens kept by a worker; beyond that those not met again since go. Longer ones than LONGEST characters aren't kept.
+CACHE = 800_000
+LONGEST = 64
 JOINED = 256
 
+_END, _SPACE, _LETTER, _NUMBER, _OTHER = range(5)
+#: Plain characters beyond the Latin blocks are moved next to these.
+_LATIN, _POINTS, _EURO = 0x250, 0x2010, 0x20AC
+_EURO_AT = _LATIN + 0x18
+_BITS = 21
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(_EURO_AT + 1, np.uint8)
+    for i in range(1, len(out)):
+        c = "€" if i == _EURO_AT else chr(i if i < _LATIN else i - _LATIN + _POINTS)
+        kind = unicodedata.category(c)[0]
+        out[i] = _SPACE if c in "\t\n\r " else _LETTER if kind == "L" else _NUMBER if kind == "N" else _OTHER
+    return out
+
+
+_CLASS = _classes()
+_VALUE = np.random.default_rng(20250131).integers(1, 2**63, len(_CLASS), dtype=np.uint64) | np.uint64(1)
+
+
+class _Powers:
+    """Powers of the hash base and of its inverse, as many as were asked for so far."""
+
+    def __init__(self):
+        self.up, self.down = powers(BASE, 1), powers(BASE_INVERSE, 1)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = powers(BASE, n), powers(BASE_INVERSE, n)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
 
-class _Index(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
+def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens of plain texts joined by \\0: where each begins, its hash, and its ends and length in one number.
+
+    A pre-token is a run of letters, numbers or other signs with at most one blank before it, a short form such as 's, or a
+    run of white space less the last one before anything else. A \\0 is one of its own.
+    """
+    u = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
+    if u.max(initial=0) >= _LATIN:
+        u = np.where(u < _LATIN, u, np.where(u == _EURO, _EURO_AT, u - (_POINTS - _LATIN)))
+    n = len(u)
+    kind = _CLASS[u]
+    begins = np.empty(n, bool)
+    begins[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins[kind == _END] = True
+    # the last white space before a sign starts a pre-token, and if it is a blank, the sign goes with it
+    before = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] > _SPACE))
+    begins[before] = True
+    begins[before[u[before] == 32] + 1] = False
+    # short forms, where the apostrophe itself starts a pre-token
+    at = np.flatnonzero(u == 39)
+    at = at[begins[at]]
+    if len(at):
+        one, two = u[np.minimum(at + 1, n - 1)], u[np.minimum(at + 2, n - 1)]
+        single = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        double = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))
+        begins[at[single | double] + 1] = False
+        begins[at[single] + 2] = True
+        begins[at[double] + 3] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], n)
+    with np.errstate(over="ignore"):
+        up, down = _POWERS(n)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_VALUE[u] * up, out=total[1:])
+        size = end - start
+        h = mixed((total[end] - total[start]) * down[start] + size.astype(np.uint64))
+    return start, h, (size << 32) | (u[start].astype(np.int64) << 16) | u[end - 1]
 
 
 class Encoder:
@@ -52,19 +126,50 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
-        self.index.new = []
-        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        # an open hash table: the entry at each slot (-1: none); entries hold hash, ends, and where their ids are
+        self.slots = np.full(1 << _BITS, -1, np.int32)
+        self.hashes, self.ends, self.again = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.starts, self.sizes, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.known = self.filled = 0
 
+    def _make_room(self) -> None:
+        """Drop the pre-tokens that weren't met again since they came or were last sorted out; all, if that leaves too many."""
+        stay = np.flatnonzero(self.again[: self.known])
+        h, ends, starts, sizes, ids = self.hashes[stay], self.ends[stay], self.starts[stay], self.sizes[stay].astype(np.int64), self.ids
+        self._clear()
+        if 2 * len(stay) <= self.limit:
+            self._keep(h, ends, sizes, spread(ids, starts.astype(np.int64), sizes), list(range(len(stay))))
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Encode the pre-tokens that the index has met for the first time."""
-        new, self.index.new = self.index.new, []
-        if not new:
-            return
+    def _look_up(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each pre-token, -1 if there is none."""
+        mask = len(self.slots) - 1
+        at = (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        found = self.slots[at]
+        wrong = np.flatnonzero((found >= 0) & ((self.hashes[found] != h) | (self.ends[found] != ends)))
+        step = at[wrong]
+        while len(wrong):
+            step = (step + 1) & mask
+            entry = self.slots[step]
+            found[wrong] = entry
+            still = (entry >= 0) & ((self.hashes[entry] != h[wrong]) | (self.ends[entry] != ends[wrong]))
+            wrong, step = wrong[still], step[still]
+        return found
+
+    def _insert(self, first: int, h: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        entry = np.arange(first, first + len(h), dtype=np.int32)
+        while len(entry):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entry[free]
+            left = self.slots[at] != entry
+            entry, at = entry[left], (at[left] + 1) & mask
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Numbers of ids of pre-tokens, all ids, and the pre-tokens' order in these."""
         sizes = np.zeros(len(new), np.int64)
         flats, order = [], []
         joined = [i for i, w in enumerate(new) if _JOINABLE.match(w)]
@@ -81,64 +186,100 @@ class Encoder:
             sizes[i] = len(ids)
             flats.append(np.asarray(ids, np.uint32))
             order.append(i)
-        self._keep(sizes, np.concatenate(flats), order)
+        return sizes, np.concatenate(flats), order
 
-    def _keep(self, sizes: np.ndarray, flat: np.ndarray, order: list[int]) -> None:
+    def _keep(self, h: np.ndarray, ends: np.ndarray, sizes: np.ndarray, flat: np.ndarray, order: list[int]) -> None:
         """Append the ids of new pre-tokens; ``flat`` holds them in ``order``."""
         n = len(sizes)
+        for name, values in (("hashes", h), ("ends", ends), ("sizes", sizes), ("again", False)):
+            held = _room(getattr(self, name), self.known + n)
+            held[self.known : self.known + n] = values
+            setattr(self, name, held)
         self.starts = _room(self.starts, self.known + n)
-        self.sizes = _room(self.sizes, self.known + n)
         self.ids = _room(self.ids, self.filled + len(flat))
         in_order = sizes[order]
-        self.sizes[self.known : self.known + n] = sizes
-        self.starts[self.known + np.asarray(order)] = self.filled + np.cumsum(in_order) - in_order
+        self.starts[self.known + np.asarray(order, np.int64)] = self.filled + np.cumsum(in_order) - in_order
         self.ids[self.filled : self.filled + len(flat)] = flat
+        self._insert(self.known, h)
         self.known += n
         self.filled += len(flat)
 
+    def _chunk(self, text: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts that each end with \\0, and how many there are up to and with each \\0."""
+        if self.known > min(self.limit, len(self.slots) // 2):
+            self._make_room()
+        start, h, ends = split(text)
+        mark = ends == 1 << 32
+        entry = self._look_up(h, ends)
+        self.again[entry[entry >= 0]] = True
+        missing = np.flatnonzero((entry < 0) & ~mark & (ends >> 32 <= LONGEST))
+        if len(missing):
+            _, first = np.unique(h[missing], return_index=True)
+            new = missing[first]
+            stop = start[new] + (ends[new] >> 32)
+            learned = self._learn([text[a:b] for a, b in zip(start[new].tolist(), stop.tolist())])
+            self._keep(h[new], ends[new], *learned)
+            entry[missing] = self._look_up(h[missing], ends[missing])
+        known = entry >= 0
+        sizes, starts = self.sizes[entry].astype(np.int64), self.starts[entry].astype(np.int64)
+        extra = [np.array([end or 0], np.uint32)]
+        sizes[mark], starts[mark] = end is not None, self.filled
+        # ids of what isn't kept follow those of the cache for the time of this call
+        other = np.flatnonzero(~known & ~mark)
+        if len(other):
+            stop = start[other] + (ends[other] >> 32)
+            found = self._whole([text[a:b] for a, b in zip(start[other].tolist(), stop.tolist())])
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            sizes[other], starts[other] = n, self.filled + 1 + np.cumsum(n) - n
+            extra += [np.asarray(x, np.uint32) for x in found]
+        more = np.concatenate(extra)
+        self.ids = _room(self.ids, self.filled + len(more))
+        self.ids[self.filled : self.filled + len(more)] = more
+        return spread(self.ids, starts, sizes), np.cumsum(sizes)[mark]
+
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32) and each text's count; ``end`` is appended to each text."""
-        if len(self.index) > self.limit:
-            self._clear()
-        mark = None if end is None else self._mark(end)
-        lists, counts, slow = [], np.zeros(len(texts), np.int64), {}
+        n = np.zeros(len(texts), np.int64)
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        first = size = 0
+
+        def flush(upto: int) -> None:
+            nonlocal held, first, size
+            if held:
+                ids, ends = self._chunk("\0".join(held) + "\0", end)
+                n[first:upto] = np.diff(ends, prepend=0)
+                out.append(ids)
+            held, first, size = [], upto, 0
+
         for i, text in enumerate(texts):
-            if not text:
-                words = []
-            elif not self.cached or (not text.isascii() and _ODD.search(text)) or any(s in text for s in self.special):
-                slow[i] = text
-                words = []
-            else:
-                words = _PRE.findall(text)
-            if mark is not None:
-                words.append(mark)
-            counts[i] = len(words)
-            lists.append(words)
-        code = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        self._learn()
-        sizes = self.sizes[code]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = spread(self.ids, self.starts[code], sizes)
-        words = np.concatenate(([0], np.cumsum(counts)))
-        first = ends[words[:-1]]
-        n = ends[words[1:]] - first
-        if slow:
-            whole = {i: np.asarray(x, np.uint32) for i, x in zip(slow, self._whole(list(slow.values())))}
-            pieces = [x for i in range(len(texts)) for x in ([whole[i]] if i in whole else []) + [ids[first[i] : first[i] + n[i]]]]
-            for i, x in whole.items():
-                n[i] += len(x)
-            ids = np.concatenate(pieces)
-        return ids, n
-
-    def _mark(self, end: int) -> str:
-        """A key that no pre-token equals, as it mixes kinds of characters; its one id is ``end``."""
-        key = f"\0a{end}"
-        if key not in self.index:
-            self._learn()
-            self.index[key]  # noqa: B018
-            self.index.new.clear()
-            self._keep(np.ones(1, np.int64), np.array([end], np.uint32), [0])
-        return key
+            text = text or ""
+            odd = not self.cached or (_ODD.search(text) if not text.isascii() or not text.isprintable() else False) or any(s in text for s in self.special)
+            if odd or len(text) > 2 * CHUNK:
+                flush(i)
+                parts = [np.asarray(self._whole([text])[0], np.uint32)] if odd else [self._chunk(p + "\0", None)[0] for p in _pieces(text)]
+                parts += [] if end is None else [np.array([end], np.uint32)]
+                n[i] = sum(map(len, parts))
+                out += parts
+                first = i + 1
+                continue
+            held.append(text)
+            size += len(text) + 1
+            if size >= CHUNK:
+                flush(i + 1)
+        flush(len(texts))
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), n
+
+
+def _pieces(text: str):
+    """Parts of a long plain text that can be encoded on their own."""
+    lo = 0
+    while lo < len(text):
+        m = _CUT.search(text, lo + CHUNK)
+        hi = m.start() if m else len(text)
+        yield text[lo:hi]
+        lo = hi
+
 
 def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[starts[i] : starts[i] + sizes[i]] for all i, one after another."""
