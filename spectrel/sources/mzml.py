@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
+from functools import reduce
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -208,57 +211,146 @@ def _xml_arrays(values: dict[str, list]) -> str:
     return "".join(out) + "  </binaryDataArrayList>\n"
 
 
-def write_mzml(metadata: DataFrame, arrays_: DataFrame, folder: str, ids: list[str] | None = None, index: bool = True, names: dict[str, str] | None = None, chromatograms: DataFrame | None = None) -> DataFrame:
-    """Write each run to an (indexed) mzML file in a folder that all executors share; returns (specfile, path, spectra).
+def chromatogram_xml(index: int, row: dict, values: dict[str, list], names: dict[str, str]) -> str:
+    size = max((len(v) for v in values.values()), default=0)
+    ref = f' dataProcessingRef={quoteattr(row["dataProcessingRef"])}' if row.get("dataProcessingRef") else ""
+    return f'<chromatogram index="{index}" id={quoteattr(row["id"])} defaultArrayLength="{size}"{ref}>\n' + _xml_params(row["params"], "  ", names) + _xml_arrays(values) + "</chromatogram>\n"
 
-    Offsets make a file sequential, so a run is one task. A file is written under another name first and then renamed, so
-    a lost task leaves nothing half done. Spectra come in the order of their numbers, or of ``ids``.
-    """
-    del chromatograms  # runs without spectra are not written; chromatograms have no writer of their own
-    known = names or {}
-    rows = metadata.join(arrays_.withColumn("arrays", F.map_concat(F.create_map(F.lit("mz"), "mz", F.lit("i"), "i"), "extra")).select("specfile", "id", "arrays"), ["specfile", "id"])
-    if ids is not None:
-        rows = rows.where(F.col("id").isin(ids))
-    packed = rows.select("specfile", "id", F.to_json(F.struct("id", "attributes", "params", "scanListParams", "scanList", "precursorList", "arrays")).alias("j"))
 
-    def write(run: pd.DataFrame) -> pd.DataFrame:
+_HEAD, _SPECTRA, _CHROMATOGRAMS = 0, 1, 2
+_LISTS = re.compile(r"\s*<(spectrum|chromatogram)List\b([^>]*)>")
+
+
+def _elements(rows: DataFrame, section: int, names: dict[str, str]) -> DataFrame:
+    """(specfile, section, n, id, text) of rows (specfile, n, j: JSON of an element with its arrays)."""
+
+    def render(batches):
         import json
 
-        specfile = run["specfile"].iloc[0]
-        order = {k: n for n, k in enumerate(ids)} if ids is not None else None
-        run = run.assign(_o=[order[i] if order else int(i) for i in run["id"]]).sort_values("_o")
-        target = Path(folder) / f"{specfile}.mzML"
-        part = target.with_suffix(f".part-{hashlib.sha1(str(len(run)).encode()).hexdigest()[:8]}")
-        offsets, digest, at = [], hashlib.sha1(), 0
-        with part.open("wb") as out:
-
-            def put(text: str) -> None:
-                nonlocal at
-                data = text.encode("ISO-8859-1", "xmlcharrefreplace")
-                out.write(data)
-                digest.update(data)
-                at += len(data)
-
-            put('<?xml version="1.0" encoding="ISO-8859-1"?>\n')
-            put('<indexedmzML xmlns="http://psi.hupo.org/ms/mzml">\n' if index else "")
-            put(f'<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0" id={quoteattr(specfile)}>\n<run id={quoteattr(specfile)}>\n<spectrumList count="{len(run)}" defaultDataProcessingRef="spectrel">\n')
-            for n, j in enumerate(run["j"]):
+        for batch in batches:
+            out = []
+            for specfile, n, j in zip(batch["specfile"], batch["n"], batch["j"]):
                 row = json.loads(j)
-                for key in ("params", "scanListParams", "scanList", "precursorList"):
-                    row.setdefault(key, None)
-                offsets.append((at, row["attributes"]["id"]))
-                put(spectrum_xml(n, _filled(row), {k: v for k, v in row["arrays"].items() if v is not None}, known))
-            put("</spectrumList>\n</run>\n</mzML>\n")
-            if index:
-                start = at
-                entries = "".join(f"<offset idRef={quoteattr(i)}>{o}</offset>\n" for o, i in offsets)
-                put(f'<indexList count="1">\n<index name="spectrum">\n{entries}</index>\n</indexList>\n<indexListOffset>{start}</indexListOffset>\n<fileChecksum>')
-                put(digest.hexdigest())
-                put("</fileChecksum>\n</indexedmzML>\n")
-        part.rename(target)
-        return pd.DataFrame({"specfile": [specfile], "path": [str(target)], "spectra": [len(run)]})
-
-    return packed.groupBy("specfile").applyInPandas(write, "specfile string, path string, spectra long")
+                values = {k: v for k, v in (row.pop("arrays", None) or {}).items() if v is not None}
+                if section == _SPECTRA:
+                    for key in ("params", "scanListParams", "scanList", "precursorList"):
+                        row.setdefault(key, None)
+                    out.append((specfile, section, n, row["attributes"]["id"], spectrum_xml(n, _filled(row), values, names)))
+                else:
+                    for p in row.setdefault("params", None) or []:
+                        _fill(p)
+                    out.append((specfile, section, n, row["id"], chromatogram_xml(n, row, values, names)))
+            yield pd.DataFrame(out, columns=["specfile", "section", "n", "id", "text"])
+
+    return rows.mapInPandas(render, "specfile string, section int, n long, id string, text string")
+
+
+def write_mzml(metadata: DataFrame, arrays_: DataFrame, folder: str, ids: list[str] | None = None, index: bool = True, names: dict[str, str] | None = None, chromatograms: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Write each run to an (indexed) mzML file in a folder that all executors share; returns (specfile, path, spectra).
+
+    Spectra come in their order in the source, or in that of ``ids``; chromatograms follow. ``runs`` (specfile, xml) gives
+    what a file says about itself: its lists of vocabularies, files, software, instruments and processing. Elements become
+    text in parallel; offsets and the checksum make a file sequential, so its text then streams through one task. A file is
+    written under a name of the task's attempt and renamed, so a lost task leaves nothing half done.
+    """
+    known = names or {}
+    own = metadata if ids is None else metadata.where(F.col("id").isin(ids))
+    order = F.col("ord") if ids is None else F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("id"))
+    n = (F.row_number().over(Window.partitionBy("specfile").orderBy("o", "id")) - 1).cast("long").alias("n")
+    numbered = own.select("specfile", "id", order.alias("o")).select("specfile", "id", n)
+    values = arrays_.select("specfile", "id", F.map_concat(F.create_map(F.lit("mz"), "mz", F.lit("i"), "i"), "extra").alias("arrays"))
+    rows = own.join(values, ["specfile", "id"]).join(numbered, ["specfile", "id"])
+    parts = [_elements(rows.select("specfile", "n", F.to_json(F.struct("id", "attributes", "params", "scanListParams", "scanList", "precursorList", "arrays")).alias("j")), _SPECTRA, known)]
+    counts = rows.groupBy("specfile").agg(F.count("*").alias("spectra"))
+    if chromatograms is not None:
+        last = chromatograms.select("specfile", (F.row_number().over(Window.partitionBy("specfile").orderBy("id")) - 1).cast("long").alias("n"), F.to_json(F.struct("id", "dataProcessingRef", "params", "arrays")).alias("j"))
+        parts.append(_elements(last, _CHROMATOGRAMS, known))
+        counts = counts.join(chromatograms.groupBy("specfile").agg(F.count("*").alias("chromatograms")), "specfile", "full")
+    else:
+        counts = counts.withColumn("chromatograms", F.lit(None).cast("long"))
+    heads = counts.join(runs.select("specfile", "xml"), "specfile", "left") if runs is not None else counts.withColumn("xml", F.lit(None).cast("string"))
+    sizes = F.concat_ws(" ", F.coalesce("spectra", F.lit(0)), F.coalesce("chromatograms", F.lit(0)))
+    parts.append(heads.select("specfile", F.lit(_HEAD).alias("section"), F.lit(0).cast("long").alias("n"), sizes.alias("id"), F.coalesce("xml", F.lit("")).alias("text")))
+    everything = reduce(DataFrame.unionByName, parts)
+
+    def write(batches):
+        attempt = TaskContext.get().taskAttemptId()
+        file = None
+        for batch in batches:
+            for specfile, section, _, id_, text in zip(*(batch[c] for c in ("specfile", "section", "n", "id", "text"))):
+                if section == _HEAD:
+                    if file is not None:
+                        yield file.end()
+                    file = _File(Path(folder), specfile, attempt, index, text, *map(int, id_.split()))
+                else:
+                    file.add(section, id_, text)
+        if file is not None:
+            yield file.end()
+
+    dealt = everything.repartition("specfile").sortWithinPartitions("specfile", "section", "n")
+    return dealt.mapInPandas(write, "specfile string, path string, spectra long")
+
+
+class _File:
+    """A run's file while it is written."""
+
+    def __init__(self, folder: Path, specfile: str, attempt: int, index: bool, xml: str, spectra: int, chromatograms: int):
+        self.specfile, self.index, self.sizes = specfile, index, {_SPECTRA: spectra, _CHROMATOGRAMS: chromatograms}
+        self.target = folder / f"{specfile}.mzML"
+        self.part = folder / f"{specfile}.part-{attempt}"
+        self.out, self.digest, self.at = self.part.open("wb"), hashlib.sha1(), 0
+        self.offsets: dict[int, list[tuple[int, str]]] = {_SPECTRA: [], _CHROMATOGRAMS: []}
+        self.section = _HEAD
+        self.attributes = {m.group(1): re.sub(r'\s*count="[^"]*"', "", m.group(2)).rstrip("/ ") for m in _LISTS.finditer(xml)}
+        self.put('<?xml version="1.0" encoding="ISO-8859-1"?>\n')
+        self.put('<indexedmzML xmlns="http://psi.hupo.org/ms/mzml">\n' if index else "")
+        at = xml.find("<mzML")
+        first = _LISTS.search(xml)
+        if at >= 0 and first:
+            self.put(xml[at : first.start()] + "\n")
+        else:
+            self.put(f'<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0" id={quoteattr(specfile)}>\n<run id={quoteattr(specfile)}>\n')
+
+    def put(self, text: str) -> None:
+        data = text.encode("ISO-8859-1", "xmlcharrefreplace")
+        self.out.write(data)
+        self.digest.update(data)
+        self.at += len(data)
+
+    def turn(self, section: int) -> None:
+        """End the list that is open, and open that of the next section."""
+        names = {_SPECTRA: "spectrum", _CHROMATOGRAMS: "chromatogram"}
+        if self.section:
+            self.put(f"</{names[self.section]}List>\n")
+        self.section = section
+        if section:
+            attributes = self.attributes.get(names[section]) or ' defaultDataProcessingRef="spectrel"'
+            self.put(f'<{names[section]}List count="{self.sizes[section]}"{attributes}>\n')
+
+    def add(self, section: int, id_: str, text: str) -> None:
+        if section != self.section:
+            self.turn(section)
+        self.offsets[section].append((self.at, id_))
+        self.put(text)
+
+    def end(self) -> pd.DataFrame:
+        self.turn(_HEAD)
+        self.put("</run>\n</mzML>\n")
+        if self.index:
+            start = self.at
+            lists = [(name, self.offsets[s]) for s, name in ((_SPECTRA, "spectrum"), (_CHROMATOGRAMS, "chromatogram")) if self.offsets[s]]
+            self.put(f'<indexList count="{len(lists)}">\n')
+            for name, offsets in lists:
+                self.put(f'<index name="{name}">\n')
+                for at, id_ in offsets:
+                    self.put(f"<offset idRef={quoteattr(id_)}>{at}</offset>\n")
+                self.put("</index>\n")
+            self.put(f"</indexList>\n<indexListOffset>{start}</indexListOffset>\n<fileChecksum>")
+            self.put(self.digest.hexdigest())
+            self.put("</fileChecksum>\n</indexedmzML>\n")
+        self.out.close()
+        self.part.rename(self.target)
+        return pd.DataFrame({"specfile": [self.specfile], "path": [str(self.target)], "spectra": [self.sizes[_SPECTRA]]})
 
 
 def _filled(row: dict) -> dict:

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import shutil
 
 import pytest
@@ -63,6 +64,24 @@ def test_mzml_written_and_read(spark, run, tmp_path):
     assert [tuple(r)[2:4] for r in t["arrays"].orderBy("id").collect()] == [tuple(r)[2:4] for r in again["arrays"].orderBy("id").collect()]
 
 
+def test_mzml_with_chromatograms_and_metadata(spark, run, tmp_path):
+    about = '<cvList count="1"><cv id="MS"/></cvList><softwareList count="1"><software id="maker"/></softwareList>'
+    chromatogram = '<chromatogramList count="1" defaultDataProcessingRef="q"><chromatogram index="0" id="TIC" defaultArrayLength="2"><cvParam accession="MS:1000235" name="" value=""/><binaryDataArrayList count="2">{}</binaryDataArrayList></chromatogram></chromatogramList>'
+    text = run.read_text().replace('<run id="run1">', about + '<run id="run1" startTimeStamp="2024">').replace("</run>", chromatogram.format(binary([0.5, 1.0], "MS:1000595") + binary([7, 8], "MS:1000515")) + "</run>")
+    run.write_text(text)
+    t = mzml.read_run(spark, str(run))
+    (tmp_path / "out").mkdir()
+    done = mzml.write_mzml(t["metadata"], t["arrays"], str(tmp_path / "out"), ids=["5", "4"], chromatograms=t["chromatograms"], runs=t["runs"]).collect()
+    assert [(r["specfile"], r["spectra"]) for r in done] == [("run1", 2)] and [x.name for x in (tmp_path / "out").iterdir()] == ["run1.mzML"]
+    text = (tmp_path / "out" / "run1.mzML").read_text("ISO-8859-1")
+    assert about in text and 'startTimeStamp="2024"' in text and text.index("scan=5") < text.index('id="controllerType=0 scan=4"') and '<chromatogramList count="1" defaultDataProcessingRef="q">' in text
+    assert text[int(text.split('idRef="TIC">')[1].split("<")[0]) :].startswith("<chromatogram index")
+    assert hashlib.sha1(text.split("<fileChecksum>")[0].encode("ISO-8859-1") + b"<fileChecksum>").hexdigest() in text
+    again = mzml.read_run(spark, str(tmp_path / "out" / "run1.mzML"))
+    plain = lambda x: [(r["id"], r["arrays"]) for r in x["chromatograms"].collect()]
+    assert plain(again) == plain(t) and len(plain(t)) == 1
+
+
 def test_percolator(spark, tmp_path):
     path = tmp_path / "p.tsv"
     path.write_text("PSMId\tscore\tq-value\tposterior_error_prob\tpeptide\tproteinIds\nrun_7_2_1\t3.5\t0.001\t0.01\tK.AAC[UNIMOD:4]K.R\tP1\tP2\nrun_7_2_2\t1.5\t0.001\t0.01\tK.AAK.R\tP1\n")
