@@ -19,6 +19,8 @@ from .common import held_out, map_slices, stored
 BUCKETS = 1 << 16
 #: Labelled documents of each language that the model is fitted on, in the order of their hashed ids.
 SAMPLE = 1500
+#: Languages that are learned, the most frequent ones (of equals the first by name); the model holds BUCKETS numbers of each.
+LANGUAGES = 128
 #: Trigrams overlap, so their likelihood counts letters about three times; the penalty allows for it.
 PENALTY = 3.0
 STEPS = 12
@@ -119,17 +121,17 @@ def _em(p: np.ndarray, c: np.ndarray, text: np.ndarray, n: int, pi: np.ndarray,
     return pi, np.bincount(text, c * np.log(np.maximum(mix, 1e-300)), n)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents of each language; ids that are held out take no part."""
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
+    """Fit on at most ``sample`` labelled documents of each of the ``most`` most frequent languages; ids that are held out take no part."""
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out()).select("doc_id", "lang")
     # an even threshold leaves about twice the sample of each language, and the window takes the first of these
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("c")), "languages")
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "lang").limit(most), "languages")
     near = labelled.withColumn("spot", spot).join(sizes, "lang").where(F.col("spot") * F.col("c") <= F.lit(2.0 * sample * (1 << 31)))
     order = Window.partitionBy("lang").orderBy("spot", "doc_id")
-    chosen = stored(near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id").distinct(), "sample")
+    chosen = stored(near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct(), "sample")
     # at most ``sample`` ids of each language: small whatever the corpus
-    rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column("lang").to_pylist()
@@ -140,12 +142,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         total = np.bincount(where, n, len(key)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array([names[i] for i in key // BUCKETS], pa.string()), pa.array(key % BUCKETS), pa.array(total)], ["lang", "bucket", "n"])
 
-    got = map_slices(rows.select("lang", "text"), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(got["lang"].unique().tolist())
-    counts = np.zeros((BUCKETS, len(languages)))
-    if len(got):
-        counts[got["bucket"].to_numpy(), [languages.index(x) for x in got["lang"]]] = got["n"].to_numpy()
-    return Model(languages, counts)
+    def dense(table: pa.Table) -> pa.Table:
+        out = np.zeros(BUCKETS, np.int64)
+        out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    got = map_slices(rows.select("lang", "text"), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    each = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in got.groupBy("lang").applyInArrow(dense, "lang string, counts binary").toLocalIterator()}
+    languages = sorted(each)
+    return Model(languages, np.stack([each[x] for x in languages], axis=1).astype(float) if languages else np.zeros((BUCKETS, 0)))
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
