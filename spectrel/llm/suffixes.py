@@ -28,8 +28,8 @@ LENGTH = 200
 GRAM = 32
 #: An anchor with more runs than this is counted by Spark instead of one task.
 HOT = 2_000
-#: Bits of the Bloom filters of repeated and of hot anchors, and of documents with repeats.
-FILTER_BITS = 1 << 26
+#: Bits of the Bloom filters of repeated and of hot anchors, and of documents with repeats: at most, and for each key.
+FILTER_BITS, KEY_BITS = 1 << 28, 12
 #: Bytes worked on at a time; long texts are cut into overlapping parts.
 PART = 1 << 16
 #: Runs worked on at a time.
@@ -286,8 +286,9 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counted = stored(docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    tables = spark.sparkContext.broadcast((bloom_filter(counted.select("key"), filter_bits), bloom_filter(counted.where(F.col("n") > hot).select("key"), filter_bits >> 3)))
+    sizes = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("runs"), F.count("*").alias("keys"), F.count_if(F.col("n") > hot).alias("hot")).first()
+    total = sizes["runs"]
+    tables = spark.sparkContext.broadcast((bloom_filter(counted.select("key"), _bits(sizes["keys"], filter_bits)), bloom_filter(counted.where(F.col("n") > hot).select("key"), _bits(sizes["hot"], filter_bits))))
 
     def emit(batches):
         twice, often = tables.value
@@ -346,6 +347,11 @@ def repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BITS) ->
     return found.unionAll(known).unionAll(counted_)
 
 
+def _bits(keys: int, most: int) -> int:
+    """Bits of a filter of so many keys: a power of two."""
+    return min(most, max(1 << 16, 1 << (KEY_BITS * keys).bit_length()))
+
+
 def _covered(d, th, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, th, lo, hi)], ["d", "th", "lo", "hi"])
 
@@ -442,7 +448,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, filter_bits: int = FILTER_BI
         docs["doc_id"].cast("long").alias("doc_id"),
     )
     spans = stored(repeats(named.drop("doc_id"), hot, filter_bits).groupBy("d", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    suspects = spark.sparkContext.broadcast(bloom_filter(spans.select(F.xxhash64("d", "th").alias("k")), filter_bits >> 2))
+    suspects = spark.sparkContext.broadcast(bloom_filter(spans.select(F.xxhash64("d", "th").alias("k")), _bits(spans.count(), filter_bits)))
 
     def settle(batches):
         """Texts without repeats are done; the others' texts travel."""
