@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import new_path, shared_dir, stored
@@ -27,6 +27,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, so that names of an operator's own can't clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("whole")
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [lo, hi) of an Arrow string column, each of about ``limit`` bytes, one row at least."""
     n = len(texts)
@@ -115,28 +120,40 @@ def word_hashes(buf: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return starts, ends, mixed(h + (ends - starts).astype(np.uint64))
 
 
+#: A Bloom filter is made in so many pieces, each by one task; a key's upper bits name its piece.
+PIECES = 16
+
+
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
+    """Two bits of a filter of ``bits`` bits, both in the piece of the key."""
+    size = bits // PIECES
+    first = (h >> np.uint64(60)) * np.uint64(size)
     h = mixed(h)
-    return h & mask, (h >> np.uint64(32)) & mask
+    return first + (h & np.uint64(size - 1)), first + ((h >> np.uint64(32)) & np.uint64(size - 1))
 
 
-def bloom_filter(keys: DataFrame, bits: int, parts: int = 6) -> np.ndarray:
-    """A Bloom filter of a long column, of ``bits`` bits (a power of two) whatever the data; it may let others pass, and drops none.
-
-    Each of ``parts`` tasks sends one filter, and the driver joins them one by one.
-    """
+def bloom_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of a long column of hashes, of ``bits`` bits (a power of two) whatever the data; it may let others pass, and drops none."""
+    size = bits // PIECES // 8
 
     def build(batches):
-        table = np.zeros(bits // 8, np.uint8)
+        tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            for probe in _probes(np.asarray(batch.column(0)).view(np.uint64), bits):
-                np.bitwise_or.at(table, probe >> np.uint64(3), np.uint8(128) >> (probe & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["bits"])
-
+            h = np.asarray(batch.column(0)).view(np.uint64)
+            which = (h >> np.uint64(60)).astype(np.int64)
+            for piece in np.unique(which).tolist():
+                table = tables.setdefault(piece, np.zeros(size, np.uint8))
+                for probe in _probes(h[which == piece], bits):
+                    probe = probe - np.uint64(8 * size * piece)
+                    np.bitwise_or.at(table, probe >> np.uint64(3), np.uint8(128) >> (probe & np.uint64(7)).astype(np.uint8))
+        if tables:
+            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["piece", "bits"])
+
+    key = F.col(keys.columns[0])
+    dealt = keys.select(key.alias("key")).repartition(PIECES, F.shiftrightunsigned(key, 60))
     table = np.zeros(bits // 8, np.uint8)
-    for row in keys.coalesce(parts).mapInArrow(build, "bits binary").toLocalIterator():
-        table |= np.frombuffer(row["bits"], np.uint8)
+    for row in dealt.mapInArrow(build, "piece int, bits binary").toLocalIterator():
+        table[size * row["piece"] : size * (row["piece"] + 1)] = np.frombuffer(row["bits"], np.uint8)
     return table
 
 
@@ -152,4 +169,4 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-__all__ = ["bloom_filter", "bloom_has", "held_out", "map_slices", "mixed", "new_path", "packed_bytes", "powers", "read_table", "shared_dir", "small_batches", "stored", "text_slices", "word_hashes"]
+__all__ = ["bloom_filter", "bloom_has", "held_out", "map_slices", "mixed", "new_path", "packed_bytes", "powers", "read_table", "shared_dir", "small_batches", "stored", "text_slices", "whole_rows", "word_hashes"]
