@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, decontam, html, langid, packing, quality, repair, secrets, simhash, suffixes
 from .common import held_out, read_table
@@ -43,7 +44,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
+    found = secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
+    return found.select("doc_id", "start", "length", "kind", F.sha2("found", 256).alias("found_sha256"), "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

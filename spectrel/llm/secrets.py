@@ -7,29 +7,28 @@ reviewed findings can be given instead. Nothing is shuffled: candidates stay wit
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_rows
 
 # Patterns of candidates, in Java's syntax. They are wide; the forest removes what is no secret. A key's body
-# goes on to its END; without one, past its header lines to the next hyphen. A run of token characters must hold a letter or digit.
+# goes on to its END; without one, past its header lines to the next hyphen. A run of token characters must hold a letter or
+# digit. What LEAD matches at the start of a candidate leads up to it: no pattern looks behind itself over more than a character.
 _RUN = "[A-Za-z0-9+/=_.~-]"
 _KEY = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 _NAMED = r"(?i:password|passwd|passphrase|pwd|secret)[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
 PATTERNS = {
     "private_key": rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_KEY}|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset)[^\n]*+)*+[^-]*+)",
-    "url_login": r"(?<=://)[^\s/:@\"']*+:[^\s/@\"']++(?=@)",
-    "assigned": rf"(?<={_NAMED}[\"'])[^\s\"']{{4,}}+(?=[\"'])",
-    "unquoted": rf"(?<={_NAMED})[^\s\"'<>,;=:][^\s\"'<>,;]{{3,}}+",
+    "url_login": r"://[^\s/:@\"']*+:[^\s/@\"']++(?=@)",
+    "assigned": rf"{_NAMED}(?:[\"'][^\s\"']{{4,}}+(?=[\"'])|[^\s\"'<>,;=:][^\s\"'<>,;]{{3,}}+)",
     "token": rf"(?<!{_RUN})(?=[+/=_.~-]*+[A-Za-z0-9]){_RUN}{{16,}}+",
 }
 CANDIDATE = "|".join(PATTERNS.values())
+LEAD = rf"^(?:://|{_NAMED}[\"']?)"
 
 # Words of the dictionary, of neighbours that speak for or against a secret, and frequent letter pairs.
 DICTIONARY = (
@@ -72,15 +71,17 @@ def candidates(texts: DataFrame, text_column: str = "text") -> DataFrame:
     """One row for each candidate: the other columns of ``texts``, and start (code points from 0), found, kind, before, after."""
     text = F.col(text_column)
     hits = texts.where(suspicious(text))
-    both = hits.withColumns({"_found": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_rest": F.split(text, CANDIDATE, -1)}).drop(text_column)
-    each = both.select("*", F.posexplode("_found").alias("_i", "found"))
+    both = hits.withColumns({"_matches": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_rest": F.split(text, CANDIDATE, -1)}).drop(text_column)
+    each = both.select("*", F.posexplode("_matches").alias("_i", "_match"))
+    each = each.withColumn("_lead", F.when(F.col("_match").rlike(f"^{_RUN}{{16,}}+$"), "").otherwise(F.regexp_extract("_match", LEAD, 0)))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    start = size(F.slice("_rest", 1, F.col("_i") + 1)) + size(F.slice("_found", 1, F.col("_i")))
-    kind = reduce(lambda other, name: F.when(F.col("found").rlike(f"^(?:{ {'url_login': '[^:]*:.+', 'private_key': '-----BEGIN'}[name]})"), name).otherwise(other), ("url_login", "private_key"), F.lit("token"))
-    previous = F.get("_rest", F.col("_i"))
+    start = size(F.slice("_rest", 1, F.col("_i") + 1)) + size(F.slice("_matches", 1, F.col("_i"))) + F.length("_lead")
+    found = F.substr("_match", F.length("_lead") + 1)
+    kind = F.when(F.col("_match").startswith("://"), "url_login").when(F.col("_match").startswith("-----BEGIN"), "private_key").otherwise("token")
+    previous = F.concat(F.get("_rest", F.col("_i")), "_lead")
     following = F.get("_rest", F.col("_i") + 1)
     return each.select(
-        *[c for c in texts.columns if c != text_column], start.cast("long").alias("start"), "found", kind.alias("kind"),
+        *[c for c in texts.columns if c != text_column], start.cast("long").alias("start"), found.alias("found"), kind.alias("kind"),
         F.substring(previous, F.greatest(F.length(previous) - 47, F.lit(1)), F.lit(48)).alias("before"), F.substring(following, F.lit(1), F.lit(24)).alias("after"),
     )
 
@@ -178,7 +179,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomFores
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
-    """Findings that the forest takes for secrets: doc_id, start, length (code points), kind, found, score.
+    """Findings that the forest takes for secrets: doc_id, start, length (code points), kind, found (in clear), score.
 
     Null and empty texts have none; repeated rows give repeated findings; other columns are ignored.
     """
@@ -191,20 +192,19 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
 def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret in text replaced by ``mark`` and n_chars counted anew; all rows and columns stay.
 
-    Texts with a finding are put together again from the pieces between secrets; no other row leaves its partition.
+    Texts with a finding, of any length, are put together again from the pieces between secrets; no other row leaves its
+    partition. Columns may have any names.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    suspects = stored(keyed.where(suspicious(F.col("text"))), "suspects")
+    suspects = stored(docs.where(suspicious(F.col("text"))).select(F.monotonically_increasing_id().alias("row"), "text", whole_rows(docs)), "suspects")
     rest = docs.where(~F.coalesce(suspicious(F.col("text")), F.lit(False)))
-    found = scan(suspects.select(F.col("_row").alias("doc_id"), "text"), model, threshold).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    both = suspects.join(found.withColumnRenamed("doc_id", "_found"), F.col("_row") == F.col("_found"), "left")
+    found = scan(suspects.select(F.col("row").alias("doc_id"), "text"), model, threshold).groupBy(F.col("doc_id").alias("row")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    both = suspects.join(found, "row", "left")
     step = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, x: F.struct(F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), (x["start"] + x["length"]).alias("at")),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
     )
-    changed = both.withColumn("text", F.coalesce(step, "text")).select(columns)
+    changed = both.select(*[F.coalesce(step, "text").alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns])
     everything = changed.unionByName(rest)
-    return everything.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else everything
+    return everything.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else everything
