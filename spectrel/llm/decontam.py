@@ -127,15 +127,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. Null and empty texts have no
-    words: no hits, and such items never occur. ``spans`` are the hit runs of words [from, to), null if none. Items
+    words: no hits, and such items never occur. Texts are read whole, and ids of items may be of any type. ``spans`` are the hit runs of words [from, to), null if none. Items
     without an id take no part; repeated item rows count once for each item_id. Each row of ``docs`` is judged on its
     own, also where ids repeat or are null.
     """
     spark = docs.sparkSession
     small_batches(spark)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
-    asked = items.where(items["item_id"].isNotNull()).select(F.lit(0).cast("long").alias("row"), items["item_id"].cast("long").alias("id"), items["text"].cast("string").alias("text"))
-    wanted = stored(_rows(asked, None, None, k, window).select("id", F.explode("grams").alias("g")).select(F.col("id").alias("item_id"), "g.*").distinct(), "items")
+    # items go by the numbers of their rows, as ids may be of any type
+    asked = stored(items.where(items["item_id"].isNotNull()).select(F.monotonically_increasing_id().alias("id"), items["item_id"].cast("string").alias("name"), items["text"].cast("string").alias("text")), "asked")
+    wanted = stored(_rows(asked.select(F.lit(0).cast("long").alias("row"), "id", "text"), None, None, k, window).select("id", F.explode("grams").alias("g")).select(F.col("id").alias("item_id"), "g.*").distinct(), "items")
     short = sorted(r["size"] for r in wanted.where("reach = 0").select("size").distinct().collect())
     held = spark.sparkContext.broadcast(bloom_filter(wanted.select("gram").distinct(), filter_bits))
 
@@ -160,7 +161,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     spans = starts.groupBy("row", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("row").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")
     )
-    found = hits.select("row", "item_id").distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list(F.col("item_id").cast("string")))).alias("items"))
+    named = hits.select("row", "item_id").distinct().join(asked.select(F.col("id").alias("item_id"), "name"), "item_id")
+    found = named.groupBy("row").agg(F.collect_set("name").alias("names")).select("row", F.size("names").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort("names")).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return each.select("row", F.col("id").alias("doc_id"), "n_words").join(spans, "row", "left").join(found, "row", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
