@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -115,6 +116,61 @@ def test_repair_round_trip(ids, data):
     assert (cut == len(ids)) or (block.document(1) == ids[cut:]).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=400))
+def test_repair_ends_where_no_rule_pays(ids):
+    _, lengths, left = repair.compress(np.array(ids * 4, np.uint32), 10)
+    counts: Counter = Counter()
+    at = {}
+    for i, pair in enumerate(zip(left.tolist(), left[1:].tolist())):
+        if at.get(pair) != i - 1:
+            counts[pair] += 1
+            at[pair] = i
+        else:
+            at.pop(pair)
+    assert max(counts.values(), default=0) < repair.LEAST and (lengths > 1).all()
+
+
+def plainly_differenced(sizes, k):
+    """Sums of Karmarkar-Karp differencing over lists."""
+    turns = itertools.count(len(sizes))
+    heap = [(-x if k > 1 else 0, i, [x] + [0] * (k - 1)) for i, x in enumerate(sizes)]
+    while len(heap) > 1:
+        heap.sort(key=lambda x: x[:2])
+        (_, _, a), (_, _, b) = heap.pop(0), heap.pop(0)
+        sums = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        heap.append((sums[-1] - sums[0], next(turns) + 1, sums))
+    return heap[0][2]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 512), min_size=1, max_size=40), st.integers(1, 9))
+def test_differencing_equals_the_plain_program(sizes, k):
+    assert packing.difference(sizes, k)[1].tolist() == plainly_differenced(sizes, k)
+
+
+def test_long_texts(spark):
+    """One text of many slices, beside short ones."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdefghijklmnop é'"), int(n))) for n in rng.integers(1, 12, 3000)]
+    long = " ".join(words[i] for i in rng.integers(0, 3000, 250_000)) + "z" * 300_000
+    docs = docs_of(spark, ["short", long, None, long[:-1] + "y"])
+    enc = Encoder(byte_tokenizer())
+    want = enc.tokenizer.encode(long, add_special_tokens=False).ids
+    ids, n = enc.encode(["short", long], end=0)
+    assert ids.tolist()[n[0] :] == [*want, 0]
+    got = {r["doc_id"]: r for r in repair.round_trip(docs, byte_tokenizer()).collect()}
+    assert got[1]["n_tokens"] == len(want) + 1 and got[1]["ids_crc32"] == zlib.crc32(np.array([*want, 0], "<u4").tobytes())
+    pieces = packing.pack_documents(docs, byte_tokenizer()).where("doc_id = 1").collect()
+    assert sum(p["length"] for p in pieces) == len(want) + 1
+    assert {r["doc_id"] for r in neargroups.one_of_each_group(docs).collect()} == {0, 1, 2}
+    removed = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(docs.where("doc_id <> 3")).collect()}
+    assert removed[1][0] == len(long.encode()) and removed[1][1] >= 300_000
+    item = spark.createDataFrame([(1, " ".join(long.split()[200_000:200_030]))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, item).where("contaminated").collect()} == {1, 3}
+    assert len({r["component_id"] for r in simhash.near_duplicates(docs).where("doc_id in (1, 3)").collect()}) == 1
+
+
 def test_repair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 2000)
     assert len(repair.compress(ids, 100)[2]) < len(ids) / 8
@@ -158,6 +214,62 @@ def test_language_mixtures():
     assert names[3:] == ["und"] * 3 and scores[3:] == [0.0] * 3
 
 
+def plain_mixture(model, text):
+    """EM over a text's trigrams in plain loops, and sets of languages as long as the penalised likelihood grows."""
+    _, bucket, count = langid.trigrams([text])
+    p, c, m = [model.p[b] for b in bucket], count.tolist(), len(model.languages)
+
+    def em(pi):
+        for _ in range(langid.STEPS):
+            new = [0.0] * m
+            for row, n in zip(p, c):
+                total = sum(x * q for x, q in zip(row, pi))
+                for i in range(m):
+                    new[i] += n * row[i] * pi[i] / total
+            pi = [x / sum(c) for x in new]
+        return pi, sum(n * np.log(sum(x * q for x, q in zip(row, pi))) for row, n in zip(p, c))
+
+    full, _ = em([1 / m] * m)
+    order = sorted(range(m), key=lambda i: -full[i])
+    best = [float(i == order[0]) for i in range(m)]
+    reached = sum(n * np.log(row[order[0]]) for row, n in zip(p, c))
+    for size in range(2, m + 1):
+        start = [full[i] + 1e-6 if i in order[:size] else 0.0 for i in range(m)]
+        pi, ll = em([x / sum(start) for x in start])
+        if ll - reached <= langid.PENALTY * np.log(max(sum(c), 2)):
+            break
+        best, reached = pi, ll
+    return best
+
+
+def test_mixtures_equal_the_plain_program(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, 40)
+    texts = [r["text"][:900] for r in docs.where("length(text) > 300").orderBy("doc_id").limit(25).collect()]
+    mixed = [a + " " + b for a, b in zip(texts[:12], texts[12:24])]
+    pi, _ = model.mixtures(texts + mixed)
+    for text, row in zip(texts + mixed, pi):
+        assert row.tolist() == pytest.approx(plain_mixture(model, text), abs=1e-9)
+    assert sum((row > 0).sum() > 1 for row in pi[25:]) >= 4
+
+
+def test_weights_equal_the_plain_program():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(30, int(n), replace=False)), rng.normal(size=int(n)), float(rng.integers(0, 2))) for n in rng.integers(1, 9, 80)]
+    model = quality.Ftrl(29)
+    z, n = [0.0] * 30, [0.0] * 30
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+    for at, value, label in rows:
+        model.learn(at, value, label)
+        w = [weight(i) for i in at]
+        error = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, value)))) - label
+        for i, wi, x in zip(at, w, value):
+            g = error * x
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * wi
+            n[i] += g * g
+    assert model.weights().tolist() == pytest.approx([weight(i) for i in range(30)])
+
+
 def test_language_of_odd_rows(odd, empty):
     model = langid.fit(odd)
     assert langid.identify(odd, model).count() == odd.count() and langid.identify(empty, langid.fit(empty)).count() == 0
@@ -389,6 +501,8 @@ def test_decontamination_equals_brute_force(spark, documents):
 def test_decontamination_of_odd_rows(spark, odd, empty):
     table = spark.createDataFrame([(1, "same words here same words here same words here same")], "item_id long, text string")
     assert decontam.decontaminate(empty, table).count() == 0 and decontam.decontaminate(odd, table.limit(0)).where("contaminated").count() == 0
+    named = spark.createDataFrame([("b", "1234567890"), ("a", "1234567890"), ("a", "1234567890")], "item_id string, text string")
+    assert {(r["n_items"], r["items_sha256"]) for r in decontam.decontaminate(odd, named).where("contaminated").collect()} == {(2, hashlib.sha256(b"a,b").hexdigest())}
     rows = decontam.decontaminate(odd, table).collect()
     assert len(rows) == odd.count() and {r["doc_id"] for r in rows if r["contaminated"]} == {6, 7} and {r["n_hit"] for r in rows if r["doc_id"] == 6} == {118}
 
@@ -544,6 +658,37 @@ def test_pipeline(spark):
     assert docs.columns[:3] == ["doc_id", "start", "length"]
 
 
+def test_pipeline_equals_plain_programs(spark, tmp_path):
+    """Documents that each stage must drop or change, and clean ones; columns of the operators' own names."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    base = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) > 600").orderBy("doc_id").limit(12).collect()]
+    words = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), 6)) for _ in range(n))
+    item = words(25)
+    texts = [f"{b} {words(30)}" for b in base]
+    texts += [texts[0], texts[1] + " and a few words more", texts[2].upper(), f"{words(60)} {' '.join(item.split()[5:17])} {words(60)}", "12345 67890 !!! 111", None, f'{words(70)} password = "Tr0ub4dor7xy" {words(40)}']
+    rows = [(i, t, "en", "s", len(t or ""), i, "x", i, "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, d long, whole string, score long, lang_pred string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+    alone = [lettered[i] for i in brute_groups([texts[i] for i in lettered])]
+    spans = {tuple(item.split()[i : i + 10]) for i in range(16)}
+    clean = [i for i in alone if not any(tuple(texts[i].lower().split()[k : k + 10]) in spans for k in range(len(texts[i].split())))]
+    assert {12, 13, 14, 15, 16, 17}.isdisjoint(clean) and 18 in clean
+    got = docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        got = stage(spark, got, str(tmp_path))
+        assert got.columns == docs.columns
+        assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == (lettered, alone, clean, clean)[n]
+    kept = {r["doc_id"]: r for r in got.collect()}
+    assert "Tr0ub4dor7xy" not in kept[18]["text"] and kept[18]["text"].count("[secret]") == 1 and all(r["text"] == texts[d] and r["score"] == d and r["whole"] == "x" for d, r in kept.items() if d != 18)
+    enc = Encoder(byte_tokenizer())
+    want = {d: len(enc.tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for d, r in kept.items()}
+    check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), want)
+
+
 def test_pipeline_of_odd_rows(spark, odd, tmp_path):
     import corpus_pipeline
 
