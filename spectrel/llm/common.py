@@ -120,14 +120,15 @@ def word_hashes(buf: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return starts, ends, mixed(h + (ends - starts).astype(np.uint64))
 
 
-#: A Bloom filter is made in so many pieces, each by one task; a key's upper bits name its piece.
+#: A Bloom filter is made in so many pieces, each by one task; a key's lowest bits name its piece (keys may be
+#: least hashes, whose upper bits are all alike).
 PIECES = 16
 
 
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of a filter of ``bits`` bits, both in the piece of the key."""
     size = bits // PIECES
-    first = (h >> np.uint64(60)) * np.uint64(size)
+    first = (h & np.uint64(PIECES - 1)) * np.uint64(size)
     h = mixed(h)
     return first + (h & np.uint64(size - 1)), first + ((h >> np.uint64(32)) & np.uint64(size - 1))
 
@@ -140,7 +141,7 @@ def bloom_filter(keys: DataFrame, bits: int) -> np.ndarray:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
             h = np.asarray(batch.column(0)).view(np.uint64)
-            which = (h >> np.uint64(60)).astype(np.int64)
+            which = (h & np.uint64(PIECES - 1)).astype(np.int64)
             for piece in np.unique(which).tolist():
                 table = tables.setdefault(piece, np.zeros(size, np.uint8))
                 for probe in _probes(h[which == piece], bits):
@@ -150,7 +151,7 @@ def bloom_filter(keys: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["piece", "bits"])
 
     key = F.col(keys.columns[0])
-    dealt = keys.select(key.alias("key")).repartition(PIECES, F.shiftrightunsigned(key, 60))
+    dealt = keys.select(key.alias("key")).repartition(PIECES, key.bitwiseAND(PIECES - 1))
     table = np.zeros(bits // 8, np.uint8)
     for row in dealt.mapInArrow(build, "piece int, bits binary").toLocalIterator():
         table[size * row["piece"] : size * (row["piece"] + 1)] = np.frombuffer(row["bits"], np.uint8)
