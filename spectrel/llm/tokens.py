@@ -4,7 +4,8 @@ The tokenizers library splits a text into pre-tokens and encodes each on its own
 keeps their ids and hands only new ones to the library, many to a call. The texts of a slice are split together, by
 comparing neighbouring characters' classes, and pre-tokens are looked up by a 64-bit hash and their ends. Texts with
 characters outside the plain set below, or with the text of a special token, go to the library whole. The ids equal those
-of ``Tokenizer.encode(text, add_special_tokens=False)`` in every case.
+of ``Tokenizer.encode(text, add_special_tokens=False)`` in every case. Two kinds of vocabularies are cached so: byte-level
+ones whose pre-tokens take a blank before them, and lower-case ones that drop white space and mark the ends of words.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ CACHE = 800_000
 LONGEST = 64
 JOINED = 256
 
+#: Fixed values of the lower-case vocabulary: how it splits texts, and what ends a word.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+
 _END, _SPACE, _LETTER, _NUMBER, _OTHER = range(5)
 #: Plain characters beyond the Latin blocks are moved next to these.
 _LATIN, _POINTS, _EURO = 0x250, 0x2010, 0x20AC
@@ -65,11 +70,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(text: str, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pre-tokens of plain texts joined by \\0: where each begins, its hash, and its ends and length in one number.
 
     A pre-token is a run of letters, numbers or other signs with at most one blank before it, a short form such as 's, or a
-    run of white space less the last one before anything else. A \\0 is one of its own.
+    run of white space less the last one before anything else. A \\0 is one of its own. With ``words``, white space is no
+    part of any, and a number is a pre-token of its own.
     """
     u = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
     if u.max(initial=0) >= _LATIN:
@@ -80,10 +86,13 @@ def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins[:1] = True
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
     begins[kind == _END] = True
-    # the last white space before a sign starts a pre-token, and if it is a blank, the sign goes with it
-    before = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] > _SPACE))
-    begins[before] = True
-    begins[before[u[before] == 32] + 1] = False
+    if words:
+        begins[kind == _NUMBER] = True
+    else:
+        # the last white space before a sign starts a pre-token, and if it is a blank, the sign goes with it
+        before = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] > _SPACE))
+        begins[before] = True
+        begins[before[u[before] == 32] + 1] = False
     # short forms, where the apostrophe itself starts a pre-token
     at = np.flatnonzero(u == 39)
     at = at[begins[at]]
@@ -96,6 +105,9 @@ def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begins[at[double] + 3] = True
     start = np.flatnonzero(begins)
     end = np.append(start[1:], n)
+    if words:
+        there = kind[start] != _SPACE
+        start, end = start[there], end[there]
     with np.errstate(over="ignore"):
         up, down = _POWERS(n)
         total = np.empty(n + 1, np.uint64)
@@ -117,14 +129,40 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         model = spec.get("model", {})
         self.cached = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+        self.words = self._drops_space(spec.get("normalizer") or {}, pre, model)
         vocab = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        # ids that start a pre-token with a blank, or end a word
+        self.marks = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
-            if token[:1] == "Ġ":
-                self.opens[i] = True
+            if token.endswith(_WORD_END) if self.words else token[:1] == "Ġ":
+                self.marks[i] = True
         self.limit = cache
         self._clear()
 
+    @staticmethod
+    def _drops_space(normalizer: dict, pre: dict, model: dict) -> bool:
+        """Whether this is a lower-case vocabulary with ends of words, split by WORD_PATTERN."""
+        steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normalizer.get("normalizers", [])]
+        parts = pre.get("pretokenizers", [])
+        if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+            return False
+        cut, level = parts
+        plain = cut["pattern"] == {"Regex": WORD_PATTERN} and cut["behavior"] == "Removed" and cut["invert"] and not level["use_regex"] and not level["add_prefix_space"]
+        return bool(plain and model.get("type") == "BPE" and not model.get("dropout") and model.get("end_of_word_suffix") == _WORD_END)
+
+    def _plain(self, text: str) -> str | None:
+        """The text to split here, or None if the library has to take it whole."""
+        if not (self.cached or self.words) or any(s in text for s in self.special):
+            return None
+        if text.isascii() and text.isprintable():
+            return text.lower() if self.words else text
+        if _ODD.search(text):
+            return None
+        if not self.words:
+            return text
+        text = text.lower()
+        return None if _ODD.search(text) else text
+
     def _clear(self) -> None:
         # an open hash table: the entry at each slot (-1: none); entries hold hash, ends, and where their ids are
         self.slots = np.full(1 << _BITS, -1, np.int32)
@@ -172,13 +210,13 @@ class Encoder:
         """Numbers of ids of pre-tokens, all ids, and the pre-tokens' order in these."""
         sizes = np.zeros(len(new), np.int64)
         flats, order = [], []
-        joined = [i for i, w in enumerate(new) if _JOINABLE.match(w)]
+        joined = [i for i, w in enumerate(new) if self.words or _JOINABLE.match(w)]
         chunks = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        for chunk, ids in zip(chunks, self._whole(["".join([new[i] for i in c]) for c in chunks])):
+        for chunk, ids in zip(chunks, self._whole([(" " if self.words else "").join([new[i] for i in c]) for c in chunks])):
             ids = np.asarray(ids, np.uint32)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(chunk) and cuts[0] == 0:
-                sizes[chunk] = np.diff(cuts, append=len(ids))
+            cuts = np.flatnonzero(self.marks[ids])
+            if len(cuts) == len(chunk) and (cuts[-1] == len(ids) - 1 if self.words else cuts[0] == 0):
+                sizes[chunk] = np.diff(cuts, prepend=-1) if self.words else np.diff(cuts, append=len(ids))
                 flats.append(ids)
                 order += chunk
         rest = np.flatnonzero(sizes == 0).tolist()
@@ -208,7 +246,7 @@ class Encoder:
         """Ids of plain texts that each end with \\0, and how many there are up to and with each \\0."""
         if self.known > min(self.limit, len(self.slots) // 2):
             self._make_room()
-        start, h, ends = split(text)
+        start, h, ends = split(text, self.words)
         mark = ends == 1 << 32
         entry = self._look_up(h, ends)
         self.again[entry[entry >= 0]] = True
@@ -254,16 +292,16 @@ class Encoder:
 
         for i, text in enumerate(texts):
             text = text or ""
-            odd = not self.cached or (_ODD.search(text) if not text.isascii() or not text.isprintable() else False) or any(s in text for s in self.special)
-            if odd or len(text) > 2 * CHUNK:
+            plain = self._plain(text)
+            if plain is None or len(text) > 2 * CHUNK:
                 flush(i)
-                parts = [np.asarray(self._whole([text])[0], np.uint32)] if odd else [self._chunk(p + "\0", None)[0] for p in _pieces(text)]
+                parts = [np.asarray(self._whole([text])[0], np.uint32)] if plain is None else [self._chunk(p + "\0", None)[0] for p in _pieces(plain)]
                 parts += [] if end is None else [np.array([end], np.uint32)]
                 n[i] = sum(map(len, parts))
                 out += parts
                 first = i + 1
                 continue
-            held.append(text)
+            held.append(plain)
             size += len(text) + 1
             if size >= CHUNK:
                 flush(i + 1)
