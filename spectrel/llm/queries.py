@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, langid, packing, quality, repair, secrets, simhash, suffixes
+from . import ann, decontam, fullpacking, html, langid, lexical, packing, quality, repair, secrets, simhash, suffixes, whitening
 from .common import held_out, read_table
 
 
@@ -17,6 +17,12 @@ def byte_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(read_table(spark, sf_dir, "documents"), byte_tokenizer())
 
@@ -62,6 +68,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fullpacking.pack_whole(read_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repair": op1_repair,
@@ -74,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": op8_ann,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
+        "op11_lexical": op11_lexical,
+        "op12_whitening": op12_whitening,
+        "op13_best_fit": op13_best_fit,
     }
 
 
@@ -99,5 +120,22 @@ OP8_SQL = """with v as (select vec_id, min(embedding::double[]) as e from embedd
  select query_id, n::int as rank, vec_id, score from r where n <= 20"""
 
 
+_TERMS = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+OP11_SQL = f"""with d as (select row_number() over () as r, doc_id, text from documents),
+ t as (select r, doc_id, {_TERMS} as term from d),
+ p as (select r, doc_id, term, count(*)::bigint as tf from t group by r, doc_id, term),
+ l as (select r, sum(tf)::bigint as n from p group by r),
+ c as (select count(*)::bigint as docs, sum(n)::bigint as terms from l),
+ f as (select term, count(*)::bigint as df from p group by term),
+ i as (select distinct item_id, {_TERMS} as term from benchmark),
+ w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from f, c),
+ m as (select r, (10 + (90 * n * docs) // terms)::bigint as m from l, c),
+ s as (select item_id, p.r, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from i join w using (term) join p using (term) join m on m.r = p.r group by item_id, p.r, p.doc_id),
+ o as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as n from s where score > 0)
+ select item_id, n::int as rank, doc_id, score from o where n <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op8_ann": OP8_SQL}
+    return {"op6_decontamination": OP6_SQL, "op8_ann": OP8_SQL, "op11_lexical": OP11_SQL}
