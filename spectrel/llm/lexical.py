@@ -74,11 +74,13 @@ def to_bytes(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def from_bytes(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(raw < 128)
     first = np.concatenate(([0], last[:-1] + 1))
     place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first) if len(last) else np.zeros(0, np.int64)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
 
 
 def decoded(block: bytes) -> tuple[np.ndarray, np.ndarray]:
