@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def _bin(value: Column, tolerance: float, mode: str) -> Column:
     if mode == "relative":
@@ -34,7 +36,14 @@ def nearest_match(left: DataFrame, right: DataFrame, key: list[str], left_value:
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def bounds_within(left: DataFrame, right: DataFrame, key: list[str], left_value: str, right_value: str, tolerance: float, mode: str, position: str) -> DataFrame:
-    """For each left row the first position, and the one after the last, of right values within the tolerance; no match: nulls."""
-    hits = tolerance_join(left, right, left_value, right_value, tolerance, mode).groupBy(*key).agg(F.min(position).alias("low"), (F.max(position) + 1).alias("high"))
+def bounds_within(left: DataFrame, right: DataFrame, key: list[str], left_value: str, right_value: str, tolerance: float, mode: str, order: list[str]) -> DataFrame:
+    """For each left row the first position, and the one after the last, of right values within the tolerance; no match: nulls.
+
+    Positions count the right rows from 0 by value and then ``order``, whatever their number (``ordered.numbered``). Values
+    within a tolerance are neighbours in that order, so equal values needn't meet the left rows one by one: each distinct
+    value brings its first and last position.
+    """
+    placed = numbered(right.select(right_value, *order), [], [right_value, *order], "_position")
+    spans = placed.groupBy(right_value).agg(F.min("_position").alias("_low"), F.max("_position").alias("_high"))
+    hits = tolerance_join(left, spans, left_value, right_value, tolerance, mode).groupBy(*key).agg(F.min("_low").alias("low"), (F.max("_high") + 1).alias("high"))
     return left.join(hits, key, "left")

@@ -1,28 +1,11 @@
-"""Row windows: running averages, ranks and islands of continuous values."""
+"""Row windows: running averages and islands of continuous values. Groups may be of any size (``ordered``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def running(table: DataFrame, value: str, m: int, order: list[str], by: list[str], kind: str = "median", into: str = "running") -> DataFrame:
-    """Mean or median of each ``m`` rows in a row; the first m - 1 rows of a group have none and are left out.
-
-    ``by`` splits the table into groups that each fit a task; without any, all rows go to one.
-    """
-    w = Window.partitionBy(*by).orderBy(*order)
-    frame = w.rowsBetween(-(m - 1), 0)
-    f = F.percentile(value, 0.5) if kind == "median" else F.avg(value)
-    return table.withColumns({into: f.over(frame), "_n": F.row_number().over(w)}).where(F.col("_n") >= m).drop("_n")
-
-
-def islands(table: DataFrame, value: str, limit, order: list[str], by: list[str], into: str = "island") -> DataFrame:
-    """Numbers of the groups of values whose neighbours differ by no more than ``limit``; from 0, in each group of ``by``."""
-    w = Window.partitionBy(*by).orderBy(value, *order)
-    gap = F.col(value) - F.lag(value).over(w) > limit
-    marked = table.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int"))
-    return marked.withColumn(into, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+from .ordered import islands, numbered, running
 
 
 def mass_time_islands(table: DataFrame, mass: str, time: str, mass_limit: float, time_limit: float, order: list[str], by: list[str], into: str = "island") -> DataFrame:
@@ -30,5 +13,14 @@ def mass_time_islands(table: DataFrame, mass: str, time: str, mass_limit: float,
     first = islands(table, mass, mass_limit, order, by, "_a")
     second = islands(first, time, time_limit, order, [*by, "_a"], "_b")
     third = islands(second, mass, mass_limit, order, [*by, "_a", "_b"], "_c")
-    w = Window.partitionBy(*by).orderBy("_a", "_b", "_c")
-    return third.withColumn(into, F.dense_rank().over(w) - 1).drop("_a", "_b", "_c")
+    # islands are numbered by a table of one row for each
+    steps = ["_a", "_b", "_c"]
+    names = numbered(third.select(*by, *steps).distinct(), by, steps, into)
+    names = names.withColumnsRenamed({c: f"_r{c}" for c in (*by, *steps)})
+    same = F.lit(True)
+    for c in (*by, *steps):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    return third.join(names, same).drop(*steps, *[f"_r{c}" for c in (*by, *steps)])
+
+
+__all__ = ["islands", "mass_time_islands", "running"]

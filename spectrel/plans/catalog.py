@@ -184,11 +184,9 @@ def nearest_ref(spark, sf_dir):
 @query("""with r as (select p_retailprice as v, row_number() over (order by p_retailprice, p_partkey) - 1 as pos from part), m as (select s_suppkey as id, 900 + abs(s_acctbal) / 20 as v from supplier)
  select m.id, min(r.pos)::bigint as low, (max(r.pos) + 1)::bigint as high from m left join r on r.v between m.v - m.v * 0.001 and m.v + m.v * 0.001 group by m.id""")
 def tolerant_bounds(spark, sf_dir):
-    from pyspark.sql import Window
-
-    part = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("r"), (F.row_number().over(Window.orderBy("p_retailprice", "p_partkey")) - 1).cast("long").alias("pos"))
+    part = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("r"), "p_partkey")
     left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (900 + F.abs("s_acctbal") / 20).alias("v"))
-    return rangejoin.bounds_within(left, part, ["id"], "v", "r", 0.001, "relative", "pos").select("id", "low", "high")
+    return rangejoin.bounds_within(left, part, ["id"], "v", "r", 0.001, "relative", ["p_partkey"]).select("id", "low", "high")
 
 
 # ---------------------------------------------------------------- windows and groups
