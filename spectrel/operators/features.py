@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import constants
 from ..functions.masses import overlaps, relative_mass_to_log2
 from ..functions.numerics import DeviationModel
+from .ordered import null_safe_join, numbered
 from .rangejoin import nearest_match, tolerance_join
+from .tables import stored
 from .windows import mass_time_islands
 
 # ---------------------------------------------------------------- matching
@@ -117,53 +119,115 @@ def calibrate_rt(features: DataFrame, reference: str, seed: int = 1, **limits) -
 # ---------------------------------------------------------------- grouping
 
 
-def proximity_groups(time: np.ndarray, mass: np.ndarray, category: np.ndarray, limit: float) -> np.ndarray:
-    """Single linkage by ascending distance up to ``limit``, where no group may hold a category twice. Ties: by positions."""
-    n = len(time)
-    near = _close_pairs(time, mass, limit)
-    parent = list(range(n))
-    members = [{c} for c in category.tolist()]
+def _close_pairs(nodes: DataFrame, limit: float, by: list[str]) -> DataFrame:
+    """(a, b, d): pairs of nodes (_node, _t, _m, _c) of one group, of different categories, at most ``limit`` apart; a < b.
+
+    Nodes meet in square cells as wide as the limit: each looks into its own cell, and into four of the eight around it, so
+    a pair is found once.
+    """
+    side = limit if limit > 0 else 1.0
+    cell = lambda c: F.floor(F.col(c) / side)
+    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    left = nodes.select(*by, *[F.col(c).alias(f"a{c}") for c in ("_node", "_t", "_m", "_c")], F.explode(around).alias("_to"), cell("_t").alias("_x"), cell("_m").alias("_y"))
+    left = left.withColumns({"_x": F.col("_x") + F.col("_to.x"), "_y": F.col("_y") + F.col("_to.y")})
+    right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in by], *[F.col(c).alias(f"b{c}") for c in ("_node", "_t", "_m", "_c")], cell("_t").alias("b_x"), cell("_m").alias("b_y"))
+    same = (F.col("_x") == F.col("b_x")) & (F.col("_y") == F.col("b_y"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    own = (F.col("_to.x") == 0) & (F.col("_to.y") == 0)
+    distance = F.sqrt((F.col("a_t") - F.col("b_t")) * (F.col("a_t") - F.col("b_t")) + (F.col("a_m") - F.col("b_m")) * (F.col("a_m") - F.col("b_m")))
+    pairs = left.join(right, same & (~own | (F.col("a_node") < F.col("b_node"))) & (F.col("a_c") != F.col("b_c")) & (distance <= limit))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), distance.alias("d"))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    for a, b in near:
-        a, b = root(a), root(b)
-        if a != b and members[a].isdisjoint(members[b]):
-            a, b = min(a, b), max(a, b)
-            parent[b] = a
-            members[a] |= members[b]
-    return np.array([root(i) for i in range(n)], np.int64)
+#: Edges, and categories of their groups, that one task takes one by one.
+FEW_EDGES = 100_000
 
 
-def _close_pairs(time: np.ndarray, mass: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Pairs within the limit, by distance and positions; only neighbours in time are looked at."""
-    order = np.argsort(time, kind="stable")
-    t = time[order]
-    ends = np.searchsorted(t, t + limit, side="right")
-    n = ends - np.arange(len(t)) - 1
-    a = np.repeat(np.arange(len(t)), n)
-    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-    a, b = order[a], order[b]
-    d = np.sqrt((time[a] - time[b]) ** 2 + (mass[a] - mass[b]) ** 2)
-    keep = d <= limit
-    a, b, d = np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]
-    return list(zip(*(x[np.lexsort((b, a, d))].tolist() for x in (a, b))))
+def _one_by_one(edges: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+    """(gone, root): what is left to merge, by ascending distance and positions."""
+    kinds = {root: set(own) for root, own in zip(groups["root"], groups["kinds"])}
+    root = {g: g for g in kinds}
 
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
 
-def group_by_proximity(table: DataFrame, time: str, mass: str, category: str, limit: float, by: list[str], order: list[str], into: str = "linkage") -> DataFrame:
-    """Numbers of proximity groups in each group of ``by`` (small: an island of continuous values). Order decides between equals."""
-    schema = table.withColumn(into, F.lit(0).cast("long")).schema
+    for x, y in edges.sort_values(["d", "a", "b"])[["x", "y"]].itertuples(index=False):
+        x, y = sorted((top(x), top(y)))
+        if x != y and kinds[x].isdisjoint(kinds[y]):
+            root[y] = x
+            kinds[x] |= kinds[y]
+    gone = [g for g in root if top(g) != g]
+    return pd.DataFrame({"gone": pd.Series(gone, dtype="int64"), "root": pd.Series([top(g) for g in gone], dtype="int64")})
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        rows[into] = proximity_groups(rows[time].to_numpy(float), rows[mass].to_numpy(float), rows[category].to_numpy(), limit)
-        return rows[[f.name for f in schema.fields]]
 
-    return table.groupBy(*by).applyInPandas(link, schema)
+def _linked(nodes: DataFrame, pairs: DataFrame, most_rounds: int) -> DataFrame | None:
+    """(node, root) of the nodes that were merged into another: single linkage by ascending distance without equal categories.
+
+    Each round merges the pairs of groups whose shortest edge is the shortest of both: no edge that comes before it touches
+    either, so taking edges one by one would find the two groups as they are now. Groups that share a category can never
+    merge, so their edges are dropped at once, and of several edges between two groups the shortest decides. A group holds
+    a category once, so its list of categories is as long as there are categories at most. Once FEW_EDGES are left in all,
+    which a long chain of ascending distances would spread over many rounds, one task takes them one by one.
+    """
+    groups = stored(nodes.select(F.col("_node").alias("root"), F.array("_c").alias("kinds")), "groups")
+    found: DataFrame | None = None
+    edge = F.struct("d", "a", "b")
+    edges = stored(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("e")), "links")
+    for n in range(most_rounds):
+        of_edges = groups.join(edges.select(F.explode(F.array("x", "y")).alias("root")).distinct(), "root", "left_semi")
+        if edges.count() + of_edges.agg(F.coalesce(F.sum(F.size("kinds")), F.lit(0))).first()[0] <= FEW_EDGES:
+            rest = edges.select("x", "y", "e.d", "e.a", "e.b", F.lit(0).alias("_all")).groupBy("_all").cogroup(of_edges.withColumn("_all", F.lit(0)).groupBy("_all"))
+            return _moved(found, stored(rest.applyInPandas(_one_by_one, "gone long, root long"), "moves"))
+        ends = edges.select(F.col("x").alias("g"), "e").unionAll(edges.select(F.col("y").alias("g"), "e"))
+        first = ends.groupBy("g").agg(F.min("e").alias("e"))
+        # an edge that is the first of both its groups comes twice
+        both = first.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("root"), F.max("g").alias("gone")).where("n = 2")
+        moves = stored(both.select("gone", "root"), "moves")
+        if moves.isEmpty():
+            return found
+        found = _moved(found, moves)
+        if n % 5 == 4:
+            found = stored(found, "roots")
+        joined = groups.join(moves, groups["root"] == moves["gone"], "left").select(F.coalesce(moves["root"], groups["root"]).alias("root"), "kinds")
+        groups = stored(joined.groupBy("root").agg(F.flatten(F.collect_list("kinds")).alias("kinds")), "groups")
+        for end in ("x", "y"):
+            edges = edges.join(moves.select(F.col("gone").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        edges = edges.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e"))
+        for end in ("x", "y"):
+            edges = edges.join(groups.select(F.col("root").alias(end), F.col("kinds").alias(f"of_{end}")), end)
+        edges = stored(edges.where(~F.arrays_overlap("of_x", "of_y")).select("x", "y", "e"), "links")
+    raise RuntimeError("the linkage did not settle")
+
+
+def _moved(found: DataFrame | None, moves: DataFrame) -> DataFrame:
+    """(node, root) after further moves, which apply to the roots so far."""
+    new = moves.select(F.col("gone").alias("node"), "root")
+    if found is None:
+        return new
+    later = moves.select(F.col("gone").alias("was"), F.col("root").alias("now"))
+    return found.join(later, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")).unionAll(new)
+
+
+def group_by_proximity(table: DataFrame, time: str, mass: str, category: str, limit: float, by: list[str], order: list[str], into: str = "linkage", most_rounds: int = 10_000) -> DataFrame:
+    """Numbers of proximity groups in each group of ``by``: single linkage by ascending distance up to ``limit``, where no group may hold a category twice.
+
+    Ties: by positions, which follow ``order``; a group's number is its first position. Groups of ``by`` may be of any size:
+    close pairs come from cells, and merges are made in rounds. Rows without time or mass stay alone; rows without a
+    category count as of one category.
+    """
+    numbers = stored(numbered(table, [], [*by, *order], "_node"), "nodes")
+    first = numbers.groupBy(*by).agg(F.min("_node").alias("_first"))
+    placed = null_safe_join(numbers, first, by).withColumn(into, F.col("_node") - F.col("_first")).drop("_first")
+    nodes = placed.select("_node", *by, F.col(time).cast("double").alias("_t"), F.col(mass).cast("double").alias("_m"), F.coalesce(F.col(category).cast("string"), F.lit("")).alias("_c")).where(F.col("_t").isNotNull() & F.col("_m").isNotNull())
+    roots = _linked(nodes, _close_pairs(nodes, limit, by), most_rounds)
+    if roots is None:
+        return placed.drop("_node")
+    # the number of a root in its group, brought to all that hang on it
+    roots = roots.select("node", F.col("root").alias("_root")).join(placed.select(F.col("_node").alias("_root"), F.col(into).alias("_number")), "_root").select(F.col("node").alias("_node"), "_number")
+    return placed.join(roots, "_node", "left").withColumn(into, F.coalesce("_number", into)).drop("_node", "_number")
 
 
 def cluster_metrics(table: DataFrame, time: str, mass: str, by: list[str], scaling: float = 1.0) -> DataFrame:
@@ -231,4 +295,4 @@ def annotate_groups(members: DataFrame, larger_better: bool, key: str = "groupId
     return members.where("isAnnotated").groupBy(key).agg((F.max(entry) if larger_better else F.min(entry)).alias("b")).select(key, "b.*")
 
 
-__all__ = ["annotate_features", "annotate_groups", "best_annotations", "calibrate_rt", "cascade", "cluster_metrics", "deviations", "group_by_proximity", "intensity_matrix", "lfq_groups", "match_features", "match_statistics", "proximity_groups", "relative_mass_to_log2", "tangled"]
+__all__ = ["annotate_features", "annotate_groups", "best_annotations", "calibrate_rt", "cascade", "cluster_metrics", "deviations", "group_by_proximity", "intensity_matrix", "lfq_groups", "match_features", "match_statistics", "relative_mass_to_log2", "tangled"]

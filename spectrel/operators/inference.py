@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .ordered import numbered
 from .tables import stored
 
 
@@ -47,34 +49,47 @@ def subsets(edges: DataFrame) -> DataFrame:
     return shared.where("c = n").select("protein", "superset")
 
 
-def _redundant(rows: pd.DataFrame) -> list:
-    """Greedy removal in one cluster: few peptides first, then frequent ones, then names from the end."""
-    own = rows.groupby("protein")["peptide"].apply(set)
-    frequency = rows.groupby("peptide")["protein"].nunique().to_dict()
-    order = []
-    for protein in sorted(own.index, reverse=True):
-        seen = sorted((frequency[p] for p in own[protein]), reverse=True)
-        if seen[-1] > 1:
-            order.append((len(seen), [-x for x in seen], len(order), protein))
-    gone = []
-    for *_, protein in sorted(order):
-        if all(frequency[p] > 1 for p in own[protein]):
-            for p in own[protein]:
-                frequency[p] -= 1
-            gone.append(protein)
-    return gone
-
-
-def redundant_proteins(edges: DataFrame, cluster: DataFrame | None = None) -> DataFrame:
-    """Proteins that aren't needed to explain all peptides, by a greedy order. Clusters are independent, and each is one task's group."""
-    kind = edges.schema["protein"].dataType.simpleString()
-    cluster = clusters(edges) if cluster is None else cluster
+def redundant_proteins(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """Proteins that aren't needed to explain all peptides, by a greedy order: few peptides first, then frequent ones, then names from the end.
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"protein": pd.Series(_redundant(rows), dtype=rows["protein"].dtype)})
-
-    shared = edges.select("protein", "peptide").distinct().join(cluster, "protein")
-    return shared.groupBy("cluster").applyInPandas(greedy, f"protein {kind}")
+    Proteins are taken in that order, and one goes if each of its peptides is still held by another. That is decided for
+    many proteins at once, in rounds, with the same outcome: a peptide's *frequency* is the number of proteins that still
+    hold it, and it falls by no more than the number of undecided proteins before a protein in the order. So a protein
+    with a peptide of frequency 1 stays for certain; and one goes for certain if all its peptides' frequencies would be
+    above 1 even if all undecided proteins before it went. The first undecided protein is always one or the other, and
+    proteins that share no peptides don't wait for each other. Frequencies are kept in a table, no cluster or peptide is
+    ever gathered in one task, and each round writes what it decided.
+    """
+    own = stored(edges.select("protein", "peptide").distinct(), "edges")
+    frequency = own.groupBy("peptide").agg(F.count(F.lit(1)).alias("f"))
+    # frequencies from the highest, each with how often it occurs: they sort as the full lists do, and stay short
+    often = own.join(frequency, "peptide").groupBy("protein", "f").agg(F.count(F.lit(1)).alias("times"))
+    seen = F.sort_array(F.collect_list(F.struct((-F.col("f")).alias("f"), (-F.col("times")).alias("times"))))
+    candidates = often.groupBy("protein").agg(F.min("f").alias("least"), F.sum("times").alias("n"), seen.alias("seen")).where("least > 1")
+    turn = numbered(candidates.select("protein", "n", "seen"), [], ["n", "seen", F.desc("protein")], "turn").select("protein", "turn")
+    # a protein's place among its peptide's candidates: proteins before it that are undecided are at most this less the first place that is
+    placed = numbered(own.join(turn, "protein").select("protein", "turn", "peptide"), ["peptide"], ["turn"], "place")
+    waiting = stored(placed.select("protein", "peptide", "place"), "waiting")
+    left = stored(frequency.join(waiting.select("peptide").distinct(), "peptide", "left_semi"), "frequencies")
+    gone = []
+    for _ in range(most_rounds):
+        first = waiting.groupBy("peptide").agg(F.min("place").alias("first")).join(left, "peptide")
+        kept = F.col("f") - (F.col("place") - F.col("first"))
+        state = waiting.join(first, "peptide").groupBy("protein").agg(F.min("f").alias("least"), F.min(kept).alias("kept"))
+        decided = F.when(F.col("least") <= 1, F.lit(False)).when(F.col("kept") > 1, F.lit(True))
+        state = stored(state.select("protein", decided.alias("goes")), "round")
+        waits, goes = state.agg(F.count_if(F.col("goes").isNull()), F.count_if("goes")).first()
+        if goes:
+            gone.append(state.where("goes").select("protein"))
+        if not waits:
+            break
+        fewer = waiting.join(state.where("goes").select("protein"), "protein", "left_semi").groupBy("peptide").agg(F.count(F.lit(1)).alias("lost"))
+        waiting = stored(waiting.join(state.where("goes is null").select("protein"), "protein", "left_semi"), "waiting")
+        if goes:
+            left = stored(left.join(fewer, "peptide", "left").select("peptide", (F.col("f") - F.coalesce("lost", F.lit(0))).alias("f")), "frequencies")
+    else:
+        raise RuntimeError("the greedy order did not settle")
+    return reduce(DataFrame.unionAll, gone) if gone else own.select("protein").limit(0)
 
 
 def protein_groups(edges: DataFrame) -> dict[str, DataFrame]:
@@ -85,14 +100,14 @@ def protein_groups(edges: DataFrame) -> dict[str, DataFrame]:
     groupUnique, groupSubsumable, shared).
     """
     own = stored(edges.select("protein", "peptide").distinct(), "edges")
-    cluster = stored(clusters(own), "clusters")
+    cluster = clusters(own)
     same = stored(samesets(own), "samesets")
     merged = stored(same.select(F.col("representative").alias("protein"), F.explode("peptides").alias("peptide")), "merged")
     unique = unique_proteins(merged)
     below = stored(subsets(merged).join(unique, "protein", "left_anti"), "subsets")
     small = below.select("protein").distinct()
     rest = stored(merged.join(small, "protein", "left_anti"), "rest")
-    subsumable = stored(redundant_proteins(rest, clusters(rest)), "subsumable")
+    subsumable = stored(redundant_proteins(rest), "subsumable")
     # a protein of unique peptides has one that no other has, so redundancy never takes it
     leading = stored(rest.select("protein").distinct().join(subsumable, "protein", "left_anti"), "leading")
 

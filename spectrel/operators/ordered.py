@@ -31,8 +31,8 @@ def _windows(by: list[str], order: Order) -> tuple[WindowSpec, WindowSpec]:
     return Window.partitionBy("_part", *by).orderBy(*order), Window.partitionBy(*by or [F.lit(0)]).orderBy("_part")
 
 
-def _joined(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """``other`` has a row for each key; null keys meet null keys."""
+def null_safe_join(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both with equal keys, where null keys meet null keys."""
     other = other.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
@@ -47,7 +47,7 @@ def numbered(table: DataFrame, by: list[str], order: Order, into: str = "positio
     counts = placed.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = placed.withColumn(into, F.row_number().over(rows) - F.lit(1))
-    found = _joined(own, counts.withColumn("_earlier", earlier).drop("_n"), ["_part", *by])
+    found = null_safe_join(own, counts.withColumn("_earlier", earlier).drop("_n"), ["_part", *by])
     return found.withColumn(into, (F.col(into) + F.col("_earlier")).cast("long")).drop("_part", "_earlier")
 
 
@@ -63,12 +63,12 @@ def islands(table: DataFrame, value: str, limit, order: list[str], by: list[str]
     # a range of nulls alone has no last value, but then there is none before it either
     last = last.withColumn("_before", F.lag("_last").over(before)).drop("_last")
     previous = F.when(F.row_number().over(rows) == 1, F.col("_before")).otherwise(F.lag(value).over(rows))
-    marked = _joined(placed, last, keys).withColumn("_previous", previous).drop("_before")
+    marked = null_safe_join(placed, last, keys).withColumn("_previous", previous).drop("_before")
     marked = marked.withColumn("_new", F.coalesce(F.col(value) - F.col("_previous") > limit, F.lit(False)).cast("long")).drop("_previous")
     news = marked.groupBy(*keys).agg(F.sum("_new").alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = marked.withColumn(into, F.sum("_new").over(rows.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    found = _joined(own, news.withColumn("_earlier", earlier).drop("_n"), keys)
+    found = null_safe_join(own, news.withColumn("_earlier", earlier).drop("_n"), keys)
     return found.withColumn(into, F.col(into) + F.col("_earlier")).drop("_part", "_earlier")
 
 

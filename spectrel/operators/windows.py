@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .ordered import islands, numbered, running
+from .ordered import islands, null_safe_join, numbered, running
 
 
 def mass_time_islands(table: DataFrame, mass: str, time: str, mass_limit: float, time_limit: float, order: list[str], by: list[str], into: str = "island") -> DataFrame:
@@ -16,11 +15,7 @@ def mass_time_islands(table: DataFrame, mass: str, time: str, mass_limit: float,
     # islands are numbered by a table of one row for each
     steps = ["_a", "_b", "_c"]
     names = numbered(third.select(*by, *steps).distinct(), by, steps, into)
-    names = names.withColumnsRenamed({c: f"_r{c}" for c in (*by, *steps)})
-    same = F.lit(True)
-    for c in (*by, *steps):
-        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
-    return third.join(names, same).drop(*steps, *[f"_r{c}" for c in (*by, *steps)])
+    return null_safe_join(third, names, [*by, *steps]).drop(*steps)
 
 
 __all__ = ["islands", "mass_time_islands", "running"]

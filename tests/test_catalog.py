@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from spectrel.plans.catalog import QUERIES, SQL
+from test_operators import greedily_redundant, plain_classes, plain_groups, plain_linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,9 +32,43 @@ def test_query_equals_sql(spark, duck, name):
     assert got == plain(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.fixture(scope="module")
+def lines():
+    """Orders as proteins and their peptides, as the inference queries have them."""
+    graph: dict = {}
+    for order, part in duckdb.sql(f"select l_orderkey, l_partkey from '{SF}/lineitem.parquet'").fetchall():
+        graph.setdefault(order, set()).add(order // 32 * 24 + part % 24)
+    return graph
+
+
+def test_redundant_query(spark, lines):
+    want = greedily_redundant(lines)
+    assert want and sorted(r["protein"] for r in QUERIES["redundant"](spark, SF).collect()) == sorted(want)
+
+
+def test_group_queries(spark, lines):
+    want, _ = plain_groups(lines)
+    got = [(r["group"], r["protein"], r["role"]) for r in QUERIES["protein_groups"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    classes = [tuple(r) for r in QUERIES["peptide_classes"](spark, SF).select("peptide", "class").collect()]
+    assert dict(classes) == plain_classes(lines, want) and len(classes) == len(dict(classes))
+
+
+def test_proximity_query(spark, duck):
+    rows: dict = {}
+    for event, kind, island in duck.execute(SQL["continuity"]).fetchall():
+        rows[event] = (kind, island)
+    groups: dict = {}
+    for event, user, value, t in duck.execute("select event_id, user_id, value, epoch_us(ts) / 1e6 as t from events order by t, event_id").fetchall():
+        groups.setdefault(rows[event], []).append((event, (t, value * 1000, user)))
+    want = {event: (*key, n) for key, own in groups.items() for (event, _), n in zip(own, plain_linkage([x for _, x in own], 30000.0))}
+    got = QUERIES["proximity"](spark, SF).collect()
+    assert len(got) == len(want) and {r["id"]: (r["event_type"], r["island"], r["linkage"]) for r in got} == want
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"redundant", "protein_groups", "peptide_classes", "proximity"}))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= (name != "redundant")
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

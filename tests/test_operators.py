@@ -1,10 +1,12 @@
+import itertools
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectrel.operators import access, calibration, features, inference, proteins, psm, rangejoin, windows
+from spectrel.operators import access, calibration, features, inference, ordered, proteins, psm, rangejoin, windows
 
 # ---------------------------------------------------------------- inference, against plain programs
 
@@ -94,8 +96,37 @@ def test_redundant(edges, graph):
     assert column(inference.redundant_proteins(edges)) == greedily_redundant(graph)
 
 
-def test_groups(groups, graph):
-    """Leading: neither part of another protein nor redundant among the rest; what is redundant joins all that share a peptide with it."""
+def giant(kind):
+    """One cluster: all proteins share a peptide, a chain in the order of names, a ring of pairs, or a hot protein of all peptides."""
+    rng = np.random.default_rng(3)
+    if kind == "star":
+        return {f"p{i:04}": {"all", f"k{rng.integers(60)}", f"k{rng.integers(60)}"} for i in range(400)}
+    if kind == "chain":
+        return {f"p{i:04}": {f"k{i // 2}", f"k{(i + 1) // 2}", f"m{i // 8}"} for i in range(48)}
+    if kind == "ring":
+        names = rng.permutation(300)
+        return {f"p{names[i]:04}": {f"k{i}", f"k{(i + 1) % 300}"} for i in range(300)}
+    return {"whole": {f"k{i}" for i in range(500)}} | {f"p{i:04}": {f"k{j}" for j in rng.integers(0, 500, rng.integers(1, 9))} for i in range(400)}
+
+
+@pytest.mark.parametrize("kind", ["star", "chain", "ring", "hot"])
+def test_redundant_in_one_giant_cluster(spark, kind):
+    graph = giant(kind)
+    edges = spark.createDataFrame([(q, k) for q, ks in graph.items() for k in ks], "protein string, peptide string")
+    want = greedily_redundant(graph)
+    assert want and column(inference.redundant_proteins(edges.repartition(3))) == want
+
+
+def test_redundant_without_edges(edges):
+    assert inference.redundant_proteins(edges.limit(0)).count() == 0
+    assert inference.redundant_proteins(edges.limit(1)).count() == 0
+
+
+def plain_groups(graph):
+    """(group, protein, role), and the leading proteins.
+
+    Leading: neither part of another protein nor redundant among the rest; what is redundant joins all that share a peptide with it.
+    """
     same = merged_of(graph)
     own = {q: graph[q] for q in same}
     users = users_of(own)
@@ -110,19 +141,33 @@ def test_groups(groups, graph):
         if not any(p in rest and p not in spare for p in ps):
             joins[q] = set().union(*(joins.get(p, set()) for p in ps))
     want |= {(p, m, "subsumable") for q, ps in joins.items() for p in ps for m in same[q]}
-    assert {(r["group"], r["protein"], r["role"]) for r in groups["members"]} == want
-    assert {r["protein"] for r in groups["proteins"] if r["isLeading"]} == {m for q in set(rest) - spare for m in same[q]}
+    return want, {m for q in set(rest) - spare for m in same[q]}
 
 
-def test_peptide_classes(groups, graph):
-    roles = {(r["group"], r["protein"], r["role"]) for r in groups["members"]}
+def plain_classes(graph, roles):
+    """The class of each peptide, by the groups that hold it."""
     users = users_of({q: graph[q] for q in merged_of(graph)})
+    holders: dict = {}
+    for g, q, role in roles:
+        for k in graph[q]:
+            holders.setdefault(k, set()).add((g, role))
     want = {}
     for k in users:
-        of = {g for g, q, role in roles if role != "subsumable" and k in graph[q]}
-        spare = any(role == "subsumable" and k in graph[q] for _, q, role in roles)
+        of = {g for g, role in holders[k] if role != "subsumable"}
+        spare = any(role == "subsumable" for _, role in holders[k])
         want[k] = "shared" if len(of) > 1 else "unique" if users[k] == 1 else "groupSubsumable" if spare else "groupUnique"
-    assert {r["peptide"]: r["class"] for r in groups["peptides"]} == want
+    return want
+
+
+def test_groups(groups, graph):
+    want, leading = plain_groups(graph)
+    assert {(r["group"], r["protein"], r["role"]) for r in groups["members"]} == want
+    assert {r["protein"] for r in groups["proteins"] if r["isLeading"]} == leading
+
+
+def test_peptide_classes(groups, graph):
+    roles = {(r["group"], r["protein"], r["role"]) for r in groups["members"]}
+    assert {r["peptide"]: r["class"] for r in groups["peptides"]} == plain_classes(graph, roles)
 
 
 def test_scan_keeps_the_order_of_ties(spark):
@@ -165,9 +210,36 @@ def test_feature_matching_cascade(spark):
     assert rows == {"s1": (0.0, True, "f1"), "s2": (0.0, False, None), "s4": (1.0, True, "f1")}
 
 
-def test_proximity_keeps_categories_apart():
-    time, mass, cat = np.array([0, 1, 2, 50.0]), np.zeros(4), np.array(["a", "b", "a", "a"])
-    assert features.proximity_groups(time, mass, cat, 5).tolist() == [0, 0, 2, 3]
+def plain_linkage(rows, limit):
+    """Pairs by distance and positions, one by one; rows are (time, mass, category) in order. The first position of each row's group."""
+    group = list(range(len(rows)))
+    kinds = [{c} for _, _, c in rows]
+    pairs = [(math.sqrt((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2), i, j) for (i, x), (j, y) in itertools.combinations(enumerate(rows), 2)]
+    for d, i, j in sorted(pairs):
+        a, b = sorted((group[i], group[j]))
+        if d <= limit and a != b and not kinds[a] & kinds[b]:
+            kinds[a] |= kinds[b]
+            group = [a if g == b else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("limit, spread, kinds, few", [(5.0, 60, 4, 0), (3.0, 12, 9, 0), (0.0, 3, 3, 0), (40.0, 40, 60, 0), (5.0, 60, 4, 500), (3.0, 12, 9, 100_000)])
+def test_proximity_equals_the_plain_program(spark, limit, spread, kinds, few, monkeypatch):
+    """Random points, points on a lattice (ties), a dense island, and one category for each; by rounds, and with the last edges in one task."""
+    monkeypatch.setattr(features, "FEW_EDGES", few)
+    rng = np.random.default_rng(int(limit) + kinds)
+    points = {g: [(float(t), float(m), f"c{rng.integers(kinds)}") for t, m in (rng.integers(0, spread, (60, 2)) if g == 2 or limit == 0 else rng.uniform(0, spread, (60, 2)))] for g in (1, 2, None)}
+    table = spark.createDataFrame([(g, i, *row) for g, rows in points.items() for i, row in enumerate(rows)], "g int, i int, t double, m double, c string")
+    got = {(r["g"], r["i"]): r["linkage"] for r in features.group_by_proximity(table.repartition(3), "t", "m", "c", limit, ["g"], ["i"]).collect()}
+    for g, rows in points.items():
+        assert [got[(g, i)] for i in range(len(rows))] == plain_linkage(rows, limit)
+
+
+def test_proximity_of_odd_rows(spark):
+    table = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 1.0, 0.0, "b"), (3, 2.0, 0.0, "a"), (4, 50.0, 0.0, "a"), (5, None, 0.0, "b"), (6, 1.5, 0.0, None), (7, 1.5, 0.0, None)], "i int, t double, m double, c string").withColumn("g", F.lit("x"))
+    got = {r["i"]: r["linkage"] for r in features.group_by_proximity(table, "t", "m", "c", 5.0, ["g"], ["i"]).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 3, 5: 4, 6: 1, 7: 0}
+    assert features.group_by_proximity(table.limit(0), "t", "m", "c", 5.0, ["g"], ["i"]).count() == 0
 
 
 def test_lfq_groups(spark):
@@ -192,6 +264,68 @@ def test_islands(spark):
     assert [r["island"] for r in windows.islands(t, "v", 1.0, ["id"], ["g"]).orderBy("v").collect()] == [0, 0, 1, 1, 2]
 
 
+@pytest.fixture(scope="module")
+def values(spark):
+    """A group of most rows, small groups, a null group, nulls and many equal values."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, None if x % 17 == 3 else float(x)) for i, (g, x) in enumerate(zip(rng.choice([1, 1, 1, 1, 2, 3, None], 700).tolist(), rng.integers(0, 400, 700).tolist()))]
+    rows = [(g if g is None else int(g), i, v) for g, i, v in rows] + [(9, 1000, 5.0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small tables keep several ranges
+    yield rows, spark.createDataFrame(rows, "g int, id int, v double").repartition(3)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def in_order(rows):
+    """Rows of each group by value, nulls first, and id."""
+    groups: dict = {}
+    for g, i, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[1])):
+        groups.setdefault(g, []).append((i, v))
+    return groups
+
+
+def test_numbers_and_islands_across_ranges(spark, values):
+    rows, table = values
+    parts = ordered.ranges(table, ["g"], ["v", "id"])
+    assert parts.where("g = 1").select("_part").distinct().count() > 1
+    numbers = {r["id"]: r["position"] for r in ordered.numbered(table, ["g"], ["v", "id"]).collect()}
+    everywhere = {r["id"]: r["position"] for r in ordered.numbered(table, [], ["id"]).collect()}
+    islands = {r["id"]: r["island"] for r in ordered.islands(table, "v", 1.0, ["id"], ["g"]).collect()}
+    assert everywhere == {i: n for n, i in enumerate(sorted(r[1] for r in rows))}
+    for own in in_order(rows).values():
+        island, last = 0, None
+        for n, (i, v) in enumerate(own):
+            island += v is not None and last is not None and v - last > 1.0
+            last = v if v is not None else last
+            assert (numbers[i], islands[i]) == (n, island)
+    assert ordered.numbered(table.limit(0), ["g"], ["v"]).count() == ordered.islands(table.limit(0), "v", 1.0, ["id"], ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("block, m, kind, by", [(8, 5, "mean", ["g"]), (3, 7, "median", ["g"]), (16, 1, "mean", []), (10, 10, "median", [])])
+def test_running_values_across_blocks(spark, values, block, m, kind, by, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    rows, table = values
+    got = {r["id"]: r["running"] for r in ordered.running(table.na.fill(0.5, ["v"]), "v", m, ["id"], by, kind).collect()}
+    want = {}
+    groups: dict = {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        own = groups.setdefault(g if by else 0, [])
+        own.append(0.5 if v is None else v)
+        if len(own) >= m:
+            want[i] = float(np.mean(own[-m:]) if kind == "mean" else np.median(own[-m:]))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_bounds_of_positions(spark):
+    rng = np.random.default_rng(4)
+    right = [(i, float(v)) for i, v in enumerate(rng.integers(90, 110, 300) / 1.0)]
+    left = [(i, float(v)) for i, v in enumerate(rng.uniform(85, 115, 40))]
+    got = {r["k"]: (r["low"], r["high"]) for r in rangejoin.bounds_within(spark.createDataFrame(left, "k int, x double"), spark.createDataFrame(right, "id int, y double"), ["k"], "x", "y", 0.02, "relative", ["id"]).collect()}
+    ordered_values = sorted(v for _, v in right)
+    for k, x in left:
+        near = [n for n, v in enumerate(ordered_values) if x - x * 0.02 <= v <= x + x * 0.02]
+        assert got[k] == ((near[0], near[-1] + 1) if near else (None, None))
+
+
 def test_protein_database(spark):
     t = spark.createDataFrame([("P1", "AAAKCCCKDDD"), ("P2", "AAAKEEE"), ("P3", "")], "id string, sequence string")
     edges = proteins.peptides_of(t, "[K]", least=3)
