@@ -1,8 +1,10 @@
 """Main text of web pages by consensus of hosts.
 
-Each page's containers are scored by the running text they hold; the best one's generalised tag-class path is the page's
-vote. Spark counts votes by host and path, and every page is extracted again with its host's winning path, or with its
-own best container where the page has no such path or no text there.
+What is named as something around the article (menus, side bars, adverts, reader comments) goes first. A page's container
+is then the smallest that holds all of the article as far as the page shows it: its main or article elements, or else all
+blocks of running text. Its generalised tag-class path is the page's vote. Spark counts votes by host and path, and every
+page is extracted again from all its containers of the host's winning path, or from its own where those hold less than
+``LEAST`` of the running text that its own does. A headline before them belongs to the text.
 """
 
 from __future__ import annotations
@@ -24,18 +26,39 @@ CONTAINERS = frozenset("html body main article section div td blockquote center"
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th pre address figure figcaption fieldset details summary hr hgroup".split()) | CONTAINERS | DROPPED
 #: An opening tag ends an open element of these, if no element of the second set is between.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 AROUND = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside widget widgets ad ads advert adverts advertisement adsense "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside complementary contentinfo widget widgets ad ads advert adverts advertisement adsense "
     "banner promo promotion promoted sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing "
-    "social related recommended recommendations comment comments commentlist disqus discussion respond reply replies login signup search pagination pager toolbar skip".split()
+    "social related recommended recommendations login signup search pagination pager toolbar skip".split()
 )
+COMMENTS = frozenset("comment comments commentlist commenting disqus respond reply replies".split())
+#: Words that say nothing of their own in a name: site-footer is a footer, comments-area are comments; but comments-open, no-sidebar and social-science are none.
+STRUCTURE = frozenset("area areas section sections list wrap wrapper container box block inner outer left right top upper lower site page global my our user users reader readers item items thread threads form module region unit slot col column row group mobile desktop sticky first last".split())
+#: Names of comments may also say what is commented on, or what of a comment it is.
+OF_COMMENTS = STRUCTURE | frozenset("post article entry body text content author meta title".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|/?[a-zA-Z][^>]*+(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[^a-z]+")
-#: A container must hold so much of the page's text to be the article.
-SHARE = 0.6
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A block of so many characters outside links is running text.
+RUNNING = 80
+#: The host's path decides where it holds at least so much of the running text of the page's own container.
+LEAST = 0.5
+
+
+def names_what(value: str) -> str | None:
+    """Whether a class, id or role names "comments", something else "around" the article, or neither."""
+    found = None
+    for name in value.split():
+        parts = set(_PARTS.split(_HUMP.sub("-", name).lower())) - {""}
+        if parts & COMMENTS and parts <= COMMENTS | OF_COMMENTS:
+            return "comments"
+        if parts & AROUND and parts <= AROUND | STRUCTURE:
+            found = "around"
+    return found
 
 
 class Page:
@@ -45,14 +68,16 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
+        self._headlines: list[bool] = []  # for each block whether it is a first-level heading
         self._named: list[int] = []  # for each block the innermost subtree named like something around the article, or -1
-        self._around: list[list] = []  # of such subtrees: the one above, whether a whole name says so, whether it holds main, or article
+        self._around: list[list] = []  # of such subtrees: the one above, whether it is of comments, whether it holds main, or article
         if html:
             self._read(html)
             self._decide()
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # name, container, dropped, subtree in _around
+        # name, container, dropped, subtree in _around, whether only headings count
+        stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, -1, False)]
         text: list[str] = []
         linked = 0
         links = 0
@@ -61,13 +86,15 @@ class Page:
             nonlocal linked
             if text:
                 joined = " ".join("".join(text).split())
-                if joined:
-                    self.blocks.append((stack[-1][1], joined, max(0, len(joined) - linked)))
-                    self._named.append(stack[-1][3])
+                name, container, _, around, only = stack[-1]
+                if joined and (not only or name in HEADINGS):
+                    self.blocks.append((container, joined, max(0, len(joined) - linked)))
+                    self._headlines.append(name == "h1")
+                    self._named.append(around)
                 text.clear()
             linked = 0
 
-        at, end, raw = 0, len(html), None
+        at, end = 0, len(html)
         while at < end:
             m = _TAG.search(html, at)
             stop = m.start() if m else end
@@ -88,8 +115,7 @@ class Page:
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == name:
                             flush()
-                            if name != "a":
-                                links = 0
+                            links = 0
                             del stack[i:]
                             break
                 elif name == "a":
@@ -110,19 +136,22 @@ class Page:
             if name in VOID:
                 continue
             self._close(stack, name)
-            _, container, dropped, around = stack[-1]
+            _, container, dropped, around, only = stack[-1]
             attributes = m.group(3)
-            classes, words, whole = "", set(), set()
+            classes, kind = "", None
             if "=" in attributes:
-                for kind, a, b, c in _NAMES.findall(attributes):
-                    value = unescape(a or b or c).lower()
-                    if kind.lower() == "class":
-                        classes = ".".join(sorted({_DIGITS.sub("#", x) for x in value.split()}))
-                    words.update(_PARTS.split(value))
-                    whole.update(_DIGITS.sub("", x) for x in value.split())
-            dropped = dropped or name in DROPPED
-            if not dropped and name not in ("html", "body") and not AROUND.isdisjoint(words):
-                self._around.append([around, not AROUND.isdisjoint(whole), False, False])
+                for attribute, a, b, c in _NAMES.findall(attributes):
+                    value = unescape(a or b or c)
+                    if attribute.lower() == "class":
+                        classes = ".".join(sorted({_DIGITS.sub("#", x) for x in value.lower().split()}))
+                    named = names_what(value)
+                    kind = named if named == "comments" or not kind else kind
+            if name == "header" and not dropped and _in_article(self.paths[container]):
+                only = True  # of an article's own header the headings are a part of it
+            else:
+                dropped = dropped or name in DROPPED
+            if not dropped and kind and name not in ("html", "body"):
+                self._around.append([around, kind == "comments", False, False])
                 around = len(self._around) - 1
             if not dropped and name in ("main", "article"):
                 i = around
@@ -139,32 +168,28 @@ class Page:
                 continue
             if attributes.endswith("/") and name in ("svg", "math"):
                 continue
-            stack.append((name, container, dropped, around))
+            stack.append((name, container, dropped, around, only))
         flush()
 
     def _decide(self) -> None:
-        """Drops the blocks of subtrees named like something around the article, unless they hold the article itself.
+        """Drops comments, and subtrees named like something else around the article, unless they hold the article itself.
 
-        They do if they hold main; or article, where none with text is outside; or, by a name that only has such a word as a
-        part (by any, where there is no text outside), SHARE of the page's text outside links, where nothing else says which
-        is the article.
+        The latter do if they hold main; or article, where no article or main outside of them has text; and all do if no text
+        is left otherwise. Comments never do.
         """
         if not self._around:
             return
-        sizes = [0] * len(self._around)
-        outside = False
-        alone = not any(size for (_, _, size), i in zip(self.blocks, self._named) if i < 0)
-        for (container, _, size), i in zip(self.blocks, self._named):
-            outside = outside or (i < 0 and size > 0 and re.search(r">(article|main)(?![^>.])", self.paths[container]) is not None)
-            while i >= 0:
-                sizes[i] += size
-                i = self._around[i][0]
-        total = sum(size for _, _, size in self.blocks)
+        outside = any(i < 0 and _in_article(self.paths[container]) for (container, _, _), i in zip(self.blocks, self._named))
         shown: list[bool] = []
-        for (above, whole, main, article), size in zip(self._around, sizes):
-            holds = main or (not outside and (article or ((alone or not whole) and size > 0 and size >= SHARE * total)))
-            shown.append(holds and (above < 0 or shown[above]))
-        self.blocks = [b for b, i in zip(self.blocks, self._named) if i < 0 or shown[i]]
+        talk: list[bool] = []
+        for above, comments, main, article in self._around:
+            shown.append(not comments and (main or (article and not outside)) and (above < 0 or shown[above]))
+            talk.append(comments or (above >= 0 and talk[above]))
+        keep = [i < 0 or shown[i] for i in self._named]
+        if not any(keep):
+            keep = [not talk[i] for i in self._named]
+        self.blocks = [b for b, k in zip(self.blocks, keep) if k]
+        self._headlines = [h for h, k in zip(self._headlines, keep) if k]
 
     @staticmethod
     def _close(stack: list, name: str) -> None:
@@ -179,40 +204,84 @@ class Page:
             elif open_ in walls or open_ in CONTAINERS or (not ends and open_ in BLOCKS):
                 return
 
+    def _joint(self, containers: set[int]) -> int:
+        """The innermost container that holds all of these."""
+        lines = []
+        for i in containers:
+            line = [i]
+            while self.parents[line[-1]] >= 0:
+                line.append(self.parents[line[-1]])
+            lines.append(line[::-1])
+        same = 0
+        for level in zip(*lines):
+            if len(set(level)) > 1:
+                break
+            same = level[0]
+        return same
+
     def best(self) -> int:
-        """The deepest container with SHARE of the text outside links; article and main go before others."""
-        totals = [0] * len(self.paths)
-        for container, _, size in self.blocks:
-            totals[container] += size
-        for i in range(len(totals) - 1, 0, -1):
-            totals[self.parents[i]] += totals[i]
-        if not totals[0]:
-            return 0
-        enough = [i for i, t in enumerate(totals) if t >= SHARE * totals[0]]
-        named = [i for i in enough if re.search(r">(article|main)[^>]*$", self.paths[i])]
-        if named:
-            return named[-1]
-        depth = [p.count(">") for p in self.paths]
-        return max(enough, key=lambda i: (depth[i], -i))
+        """The smallest container of all main elements with text, else of all article elements, else of all running text, else of all text outside links."""
+        for name in ("main", "article"):
+            found = set()
+            for container, _, _ in self.blocks:
+                outermost = None
+                while container > 0:
+                    if _element(self.paths[container]) == name:
+                        outermost = container
+                    container = self.parents[container]
+                if outermost:
+                    found.add(outermost)
+            if found:
+                return self._joint(found)
+        for least in (RUNNING, 1, 0):
+            found = {container for container, _, size in self.blocks if size >= least}
+            if found:
+                return self._joint(found)
+        return 0
 
-    def text(self, chosen: set[int]) -> str:
-        """Blocks in the chosen containers or below, in page order."""
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        """For each block whether it is in the chosen containers or below."""
         inside = [i in chosen for i in range(len(self.paths))]
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parents[i]]
-        return "\n\n".join(t for c, t, _ in self.blocks if inside[c])
+        return [inside[container] for container, _, _ in self.blocks]
+
+    def running(self, chosen: set[int]) -> int:
+        """Characters outside links in the chosen containers."""
+        return sum(size for (_, _, size), i in zip(self.blocks, self._inside(chosen)) if i)
+
+    def text(self, chosen: set[int]) -> str:
+        """Blocks in the chosen containers or below, in page order; and the headlines right before them, if they have none."""
+        inside = self._inside(chosen)
+        if True in inside and not any(h and i for h, i in zip(self._headlines, inside)):
+            first = inside.index(True)
+            inside = [i or (h and n < first) for n, (i, h) in enumerate(zip(inside, self._headlines))]
+        return "\n\n".join(text for (_, text, _), i in zip(self.blocks, inside) if i)
+
+
+def _element(path: str) -> str:
+    """The element's name of the last step of a path."""
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def _in_article(path: str) -> bool:
+    return any(step.partition(".")[0] in ("article", "main") for step in path.split(">"))
 
 
 def extract(html: str | None, path: str | None) -> str:
     page = Page(html)
-    found = page.text({i for i, p in enumerate(page.paths) if p == path}) if path else ""
-    return found or page.text({page.best()})
+    own = {page.best()}
+    shared = {i for i, p in enumerate(page.paths) if p == path} if path else set()
+    if shared and page.running(shared) >= LEAST * page.running(own):
+        own = shared
+    return page.text(own)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html); other columns are ignored.
 
-    Null or empty html gives an empty text. Pages without a host in their url vote together. Of equally frequent paths
+    Null or empty html gives an empty text, and so does a page of reader comments alone. Pages of any length are read whole,
+    one after another. Pages without a host in their url vote together. Of equally frequent paths
     the one first in the alphabet wins. Repeated rows are extracted each.
     """
     host = F.lower(F.coalesce(F.regexp_extract(pages["url"], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))

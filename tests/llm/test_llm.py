@@ -566,13 +566,82 @@ def test_html_article_of_a_name_with_part_of_a_word(opening, close):
     assert html.extract(comments, None) == ARTICLE[3:-4].strip()
 
 
+LONG = [f"Sentence {i} of the article goes on for quite a while, so that its paragraph counts as running text of the page." for i in range(9)]
+TALK = "<p>" + "I don't agree with the author at all, and here is my long reply to it. " * 9 + "</p>"
+SIDE = '<div class="sidebar"><p>' + "some things at the side " * 9 + '</p></div><nav><a href="/">home</a></nav>'
+P = [f"<p>{x}</p>" for x in LONG]
+
+
+#: body, and the numbers of the article's paragraphs, with the headline H first where there is one
+PAGES = {
+    "parts of other lengths": (f'<div class="content"><div class="p1">{P[0]}{P[1]}</div><div class="p2">{P[2]}</div></div>{SIDE}', "012"),
+    "lead and body": (f'<div class="wrap"><div class="lead">{P[0]}</div><div class="text">{P[1]}{P[2]}{P[3]}{P[4]}</div></div>{SIDE}', "01234"),
+    "sections": (f"<section>{P[0]}{P[1]}{P[2]}</section><section>{P[3]}</section>", "0123"),
+    "quotation": (f'<div id="story">{P[0]}<blockquote>{P[1]}{P[2]}{P[3]}</blockquote>{P[4]}</div>{SIDE}', "01234"),
+    "cells": (f"<table><tr><td>{P[0]}{P[1]}</td><td>{P[2]}</td></tr></table>", "012"),
+    "layout table": (f'<table><tr><td><a href="/a">one</a><br><a href="/b">two</a></td><td>{P[0]}{P[1]}</td></tr></table>', "01"),
+    "two articles": (f"<main><article>{P[0]}</article><article>{P[1]}{P[2]}</article></main>", "012"),
+    "two articles, the first longer": (f"<main><article>{P[0]}{P[1]}</article><article>{P[2]}</article></main>", "012"),
+    "longer comments": (f'<div class="post">{P[0]}</div><div class="comments-area">{TALK}{TALK}</div>', "0"),
+    "comments as articles": (f'<div class="post">{P[0]}{P[1]}</div><div class="comments"><article>{TALK}</article></div>', "01"),
+    "comments of a post": (f'<article>{P[0]}<section id="post-comments"><article class="comment">{TALK}</article></section></article>', "0"),
+    "comments in camel case": (f'<div class="story">{P[0]}</div><div id="userComments">{TALK}</div>', "0"),
+    "disqus": (f'<div class="story">{P[0]}</div><div id="disqus_thread">{TALK}</div>', "0"),
+    "longer sidebar": (f'<div class="post">{P[0]}</div><div class="my-sidebar">{TALK}</div>', "0"),
+    "class of a paragraph": (f'<article>{P[0]}<p class="social-science">{LONG[1]}</p><p class="ad-free">{LONG[2]}</p></article>', "012"),
+    "open comments": (f'<article class="post comments-open has-sidebar">{P[0]}{P[1]}</article>', "01"),
+    "headline before": (f"<h1>H</h1><article>{P[0]}{P[1]}</article>{SIDE}", "H01"),
+    "headline in a header": (f'<header><h1>The site</h1></header><article><header><h1>H</h1><p>by someone</p></header>{P[0]}</article>', "H0"),
+    "headline in the article": (f"<h1>The site</h1><article><h1>H</h1>{P[0]}</article>", "H0"),
+    "masthead": (f'<div class="masthead"><h1>The site</h1></div><div class="entry">{P[0]}{P[1]}</div>', "01"),
+    "page header with text": (f"<header><p>{TALK}</p></header><main>{P[0]}</main><footer>{TALK}</footer>", "0"),
+    "overlay": (f'<div class="overlay"><div>{P[0]}{P[1]}</div></div>', "01"),
+    "overlay and article": (f'<div class="overlay"><p>{LONG[8]}</p></div><article>{P[0]}</article>', "0"),
+    "article in a wrapper": (f'<div class="header"><article>{P[0]}{P[1]}</article></div>{SIDE}', "01"),
+    "advert inside": (f'<article>{P[0]}<div class="ad-slot">{P[7]}</div>{P[1]}<aside>{P[6]}</aside></article>', "01"),
+    "form and script": (f"<div>{P[0]}<form>{P[7]}</form><script>var x = '<p>no</p>'</script>{P[1]}</div>", "01"),
+    "discussion of results": (f'<article><section id="results">{P[0]}</section><section id="discussion">{P[1]}</section></article>', "01"),
+    "unnamed links": (f'<div><a href="/1">one thing</a> <a href="/2">another</a></div><div class="x">{P[0]}{P[1]}</div>', "01"),
+    "list in an article": (f"<article>{P[0]}<ul><li>{LONG[1]}<li>{LONG[2]}</ul></article>", "012"),
+    "notice": (f'<div class="notice">{P[8]}</div><div role="complementary">{P[7]}</div><div class="story">{P[0]}</div>', "0"),
+    "only comments": (f'<div class="comments">{TALK}</div>', ""),
+    "short": ("<div><p>A few words.</p><p>More.</p></div>", None),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_html_of_varied_pages(name):
+    body, want = PAGES[name]
+    found = html.extract(f"<html><head><title>T</title></head><body>{body}</body></html>", None)
+    assert found == ("A few words.\n\nMore." if want is None else "\n\n".join("H" if x == "H" else LONG[int(x)] for x in want))
+
+
 def test_html_consensus(spark):
-    article = '<body><div class="post1"><p>the article itself, long enough to win</p></div><div class="related9x"><p>other things of no use</p></div></body>'
-    odd_page = '<body><div class="post2"><p>short</p></div><div class="extra"><p>' + "a long text at the side of it " * 9 + "</p></div></body>"
-    rows = [(i, "http://u:p@H.org:80/x", article) for i in range(3)] + [(9, "http://h.org/y", odd_page), (10, None, odd_page), (11, "http://h.org/z", None)]
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[0][0] == "the article itself, long enough to win" and got[9] == ("short", 5) and got[10][0].startswith("a long") and got[11] == ("", 0)
-    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    """Pages of one host agree on a path; it decides unless it holds little of what the page's own container has."""
+    article = f'<body><div class="post1">{P[0]}{P[1]}</div></body>'
+    more = f'<body><div class="post2">{P[0]}{P[1]}</div><div class="extra"><p>{LONG[3]}</p></div></body>'
+    little = f'<body><div class="post2"><p>short</p></div><div class="extra"><p>{"a long text that is all there is on this page " * 9}</p></div></body>'
+    rows = [(i, "http://u:p@H.org:80/x", article) for i in range(3)] + [(8, "http://h.org/more", more), (9, "http://h.org/y", little), (10, None, more), (11, "http://h.org/z", None)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, path string, n int")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract_pages(table).collect()}
+    both = f"{LONG[0]}\n\n{LONG[1]}"
+    assert got[0] == (both, len(both)) == got[8] and got[10][0] == f"{both}\n\n{LONG[3]}"
+    assert "long text" in got[9][0] and got[11] == ("", 0)
+    assert html.extract_pages(table.limit(0)).count() == 0
+
+
+def test_html_query_finds_all_of_the_articles(spark):
+    """The text of each page's article element, by a plain reading of the tables' pages."""
+    from html import unescape
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|ul|ol|li|h2|h3|blockquote|div|section)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inner))
+        texts = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks]
+        want[r["page_id"]] = "\n\n".join(t for t in texts if t)
+    got = {r["page_id"]: r["text"] for r in queries()["op4_html"](spark, SF).collect()}
+    assert got == want
 
 
 def test_vectors(spark):
