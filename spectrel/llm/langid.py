@@ -19,8 +19,8 @@ from .common import held_out, map_slices, stored
 BUCKETS = 1 << 16
 #: Labelled documents of each language that the model is fitted on, in the order of their hashed ids.
 SAMPLE = 1500
-#: Languages that are learned, the most frequent ones (of equals the first by name); the model holds BUCKETS numbers of each.
-LANGUAGES = 128
+#: Likelihoods (trigrams times languages) that are held at a time, but for a single text's.
+ENTRIES = 1 << 22
 #: Trigrams overlap, so their likelihood counts letters about three times; the penalty allows for it.
 PENALTY = 3.0
 STEPS = 12
@@ -50,11 +50,26 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Model:
-    """Languages in the order of their names, and the probability of each bucket in each."""
+    """Languages in the order of their names, and counts of buckets: how often (``n``) each ``bucket`` occurs in each ``language`` (its place).
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    Only what occurs is held, so the model grows with the number of languages and their own trigrams.
+    """
+
+    def __init__(self, languages: list[str], bucket: np.ndarray, language: np.ndarray, n: np.ndarray):
         self.languages = languages
-        self.p = ((counts + SMOOTHING) / (counts.sum(axis=0, keepdims=True) + SMOOTHING * BUCKETS)).astype(np.float64)
+        order = np.lexsort((language, bucket))
+        self.bucket, self.language, self.n = bucket[order].astype(np.int32), language[order].astype(np.int32), n[order].astype(np.float64)
+        self.begins = np.searchsorted(self.bucket, np.arange(BUCKETS + 1)).astype(np.int64)
+        self.totals = np.bincount(self.language, self.n, len(languages)) + SMOOTHING * BUCKETS
+
+    def rows(self, bucket: np.ndarray) -> np.ndarray:
+        """The probability of each of these buckets in each language."""
+        kinds, where = np.unique(bucket, return_inverse=True)
+        counts = np.full((len(kinds), len(self.languages)), SMOOTHING)
+        sizes = self.begins[kinds + 1] - self.begins[kinds]
+        at = np.repeat(self.begins[kinds] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        counts[np.repeat(np.arange(len(kinds)), sizes), self.language[at]] += self.n[at]
+        return (counts / self.totals)[where]
 
     def mixtures(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (texts x languages, zero outside the chosen set) and numbers of trigrams."""
@@ -64,7 +79,21 @@ class Model:
         pi = np.zeros((n, m))
         if not m or not len(text):
             return pi, total
-        p, c = self.p[bucket], count.astype(np.float64)
+        ends = np.searchsorted(text, np.arange(1, n + 1))
+        lo = 0
+        while lo < n:
+            first = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, first + ENTRIES // m, side="right")))
+            last = int(ends[hi - 1])
+            if last > first:
+                pi[lo:hi] = self._mixtures(hi - lo, text[first:last] - lo, bucket[first:last], count[first:last], total[lo:hi])
+            lo = hi
+        return pi, total
+
+    def _mixtures(self, n: int, text: np.ndarray, bucket: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+        m = len(self.languages)
+        pi = np.zeros((n, m))
+        p, c = self.rows(bucket), count.astype(np.float64)
         full, ll_full = _em(p, c, text, n, np.full((n, m), 1 / m), STEPS)
         order = np.argsort(-full, axis=1, kind="stable")
         top = order[:, 0]
@@ -86,7 +115,7 @@ class Model:
             wins = better - ll[open_] > price[open_]
             pi[open_[wins]], ll[open_[wins]] = got[wins], better[wins]
             open_ = open_[wins & (ll_full[open_] - better > price[open_])]
-        return pi, total
+        return pi
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
         pi, total = self.mixtures(texts)
@@ -121,17 +150,17 @@ def _em(p: np.ndarray, c: np.ndarray, text: np.ndarray, n: int, pi: np.ndarray,
     return pi, np.bincount(text, c * np.log(np.maximum(mix, 1e-300)), n)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
-    """Fit on at most ``sample`` labelled documents of each of the ``most`` most frequent languages; ids that are held out take no part."""
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` labelled documents of each language; ids that are held out take no part. Every language is learned."""
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out()).select("doc_id", "lang")
     # an even threshold leaves about twice the sample of each language, and the window takes the first of these
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "lang").limit(most), "languages")
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("c")), "languages")
     near = labelled.withColumn("spot", spot).join(sizes, "lang").where(F.col("spot") * F.col("c") <= F.lit(2.0 * sample * (1 << 31)))
     order = Window.partitionBy("lang").orderBy("spot", "doc_id")
     chosen = stored(near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct(), "sample")
-    # at most ``sample`` ids of each language: small whatever the corpus
-    rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    # at most ``sample`` ids of each language; the planner sends them to all tasks where they are few, by their size on disk
+    rows = docs.select("doc_id", "lang", "text").where("lang is not null").join(chosen, ["doc_id", "lang"], "left_semi")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column("lang").to_pylist()
@@ -142,21 +171,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
         total = np.bincount(where, n, len(key)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array([names[i] for i in key // BUCKETS], pa.string()), pa.array(key % BUCKETS), pa.array(total)], ["lang", "bucket", "n"])
 
-    def dense(table: pa.Table) -> pa.Table:
-        out = np.zeros(BUCKETS, np.int64)
-        out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
-
     got = map_slices(rows.select("lang", "text"), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    each = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in got.groupBy("lang").applyInArrow(dense, "lang string, counts binary").toLocalIterator()}
-    languages = sorted(each)
-    return Model(languages, np.stack([each[x] for x in languages], axis=1).astype(float) if languages else np.zeros((BUCKETS, 0)))
+    found = got.toArrow()  # as many rows as languages have trigrams, BUCKETS of each at most
+    languages = sorted(set(found.column("lang").to_pylist()))
+    place = {x: i for i, x in enumerate(languages)}
+    which = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
+    return Model(languages, found.column("bucket").to_numpy(), which, found.column("n").to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score, languages and shares.
 
-    A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. Equally strong
+    A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. A text of any
+    length is read whole: its trigrams are counted first, and there are BUCKETS of them at most. Equally strong
     languages go by name. ``score`` is the language's share, lowered for short texts. Columns of these names are replaced.
     """
     new = ("lang_pred", "score", "languages", "shares")

@@ -3,7 +3,8 @@
 Each task packs the documents of its own input partition, so nothing is shuffled and a lost task is simply run again
 (the ids it gives depend on its partition's number and rows only). Whole windows are cut from long documents first; what
 remains is gathered into groups of ``GROUP`` windows, and each group's pieces are differenced: the two partial
-partitions with the largest imbalance merge with opposing order until one near-equal partition is left. Is a window then
+partitions with the largest imbalance merge with opposing order until one near-equal partition is left. Small pieces that
+follow each other go as one, so that a group has few to difference however short its documents are. Is a window then
 over capacity, the group gets one window more. The last group of a partition is cut so that what doesn't fill a window
 becomes sequences whose lengths are powers of two, which need no padding.
 """
@@ -27,6 +28,8 @@ WINDOW = 2048
 GROUP = 128
 #: The remainders are cut into pieces of so many tokens at most: small pieces balance well.
 PIECE = 512
+#: Pieces that follow each other are differenced as one up to so many tokens: two bundles hold more than this, so a group has at most 2 * GROUP * WINDOW / BUNDLE.
+BUNDLE = 256
 #: Free tokens a window, within which the imbalance may stay.
 SLACK = 3
 
@@ -72,6 +75,17 @@ def difference(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(window[:n], np.int64), sums
 
 
+def bundles(sizes: list[int]) -> tuple[list[int], list[int]]:
+    """The bundle of each piece, and the bundles' sizes: pieces in their order, up to BUNDLE together; longer ones alone."""
+    bundle, total = [], []
+    for n in sizes:
+        if not total or total[-1] + n > BUNDLE:
+            total.append(0)
+        total[-1] += n
+        bundle.append(len(total) - 1)
+    return bundle, total
+
+
 class _Packer:
     """Pieces of one partition; ``rows`` holds finished ones."""
 
@@ -119,14 +133,15 @@ class _Packer:
         return taken
 
     def group(self, pieces: list[tuple], k: int) -> None:
-        sizes = [len(p[2]) for p in pieces]
+        bundle, sizes = bundles([len(p[2]) for p in pieces])
         while True:
             window, sums = difference(sizes, k)
             if not len(sums) or sums.max() <= WINDOW:
                 break
             k += 1
         fill = [0] * k
-        for piece, w in zip(pieces, window.tolist()):
+        for piece, b in zip(pieces, bundle):
+            w = int(window[b])
             self.emit(piece, self.sequence + w, fill[w])
             fill[w] += len(piece[2])
         self.sequence += k
@@ -154,7 +169,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column:
     """Pieces of all documents, packed into sequences of at most WINDOW tokens.
 
     A null text counts as empty (the end id alone). Null and repeated ids are kept as they are: each row is packed.
-    An empty table gives no rows; other columns are ignored. ``sequence_id`` holds the input partition's number above
+    An empty table gives no rows; other columns are ignored. A very long text is encoded whole, and its full windows are
+    written at once; very many short or empty ones are bundled. ``sequence_id`` holds the input partition's number above
     bit 36 and a running number below.
     """
 

@@ -89,6 +89,26 @@ def test_packing(documents):
         assert p["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and p["doc_tokens"] == len(want[p["doc_id"]])
 
 
+def test_packing_many_empty_documents():
+    """300,000 documents of the end id alone: few pieces to difference, and no great memory."""
+    import tracemalloc
+
+    tracemalloc.start()
+    packer = packing._Packer(0)
+    one = np.ones(1, "<u4")
+    rows = 0
+    for i in range(300_000):
+        packer.add(i, one)
+        if len(packer.rows) > 10_000:
+            assert max(r[6] for r in packer.rows) < packing.WINDOW
+            rows += packer.batch().num_rows
+    packer.end()
+    rows += packer.batch().num_rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 300_000 and most < 300e6 and len(packing.bundles([1] * 262_000)[1]) < 1100
+
+
 def test_packing_of_odd_rows(odd, empty):
     assert packing.pack_documents(empty, byte_tokenizer()).count() == 0
     got = packing.pack_documents(odd, byte_tokenizer())
@@ -208,16 +228,38 @@ def test_language_mixtures():
     for i, text in enumerate((a, b)):
         _, bucket, n = langid.trigrams([text])
         counts[bucket, i] = n
-    model = langid.Model(["aa", "bb"], counts)
+    model = langid.Model(["aa", "bb"], *np.nonzero(counts), counts[np.nonzero(counts)])
     names, scores, sets, shares = model.predict([a, b, a + b, "", None, "123 !!"])
     assert names[:2] == ["aa", "bb"] and sets[0] == ["aa"] and set(sets[2]) == {"aa", "bb"} and shares[2][0] == pytest.approx(0.5, abs=0.1)
     assert names[3:] == ["und"] * 3 and scores[3:] == [0.0] * 3
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """200 languages, each of its own letters; likelihoods are taken in parts that give the same."""
+    rng = np.random.default_rng(5)
+    words = [["".join(chr(0x4E00 + 3 * k + int(x)) for x in rng.integers(0, 3, 5)) for _ in range(20)] for k in range(200)]
+    text = lambda k: " ".join(rng.choice(words[k], 60))
+    docs = spark.createDataFrame([(i, text(i % 200), f"lang{i % 200:03}", "x") for i in range(1600)], "doc_id long, text string, lang string, score string")
+    model = langid.fit(docs)
+    assert model.languages == [f"lang{k:03}" for k in range(200)]
+    new = [text(k) for k in range(200)]
+    assert [n for n in model.predict(new)[0]] == model.languages
+    whole = model.mixtures(new)[0]
+    monkeypatch.setattr(langid, "ENTRIES", 50_000)
+    assert (model.mixtures(new)[0] == whole).all()
+
+
+def test_language_of_a_long_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    long = " ".join(r["text"] for r in docs.where("lang = 'de'").collect() if r["text"]) * 3
+    assert len(long) > 4 * 2**17 and langid.identify(docs_of(spark, [long, None, ""]), model).orderBy("doc_id").first()["lang_pred"] == "de"
+
+
 def plain_mixture(model, text):
     """EM over a text's trigrams in plain loops, and sets of languages as long as the penalised likelihood grows."""
     _, bucket, count = langid.trigrams([text])
-    p, c, m = [model.p[b] for b in bucket], count.tolist(), len(model.languages)
+    p, c, m = [model.rows(np.array([b]))[0] for b in bucket], count.tolist(), len(model.languages)
 
     def em(pi):
         for _ in range(langid.STEPS):
