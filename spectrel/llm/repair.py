@@ -219,7 +219,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        base = len(enc.opens)
+        base = len(enc.marks)
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         names: list = []

@@ -16,19 +16,25 @@ from pyspark.sql import functions as F
 from .common import stored, whole_rows
 
 # Patterns of candidates, in Java's syntax. They are wide; the forest removes what is no secret. A key's body
-# goes on to its END; without one, past its header lines to the next hyphen. A run of token characters must hold a letter or
-# digit. What LEAD matches at the start of a candidate leads up to it: no pattern looks behind itself over more than a character.
-_RUN = "[A-Za-z0-9+/=_.~-]"
+# goes on to its END; without one, past its header lines to the next hyphen. A value in quotes goes on to the closing one,
+# blanks and the other quote included. A run of token characters must hold a letter or digit, and isn't a name that a value
+# follows. What LEAD matches at the start of a candidate leads up to it: no pattern looks behind itself over more than a
+# character.
+_RUN = "[A-Za-z0-9+/_.~-]"
 _KEY = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
-_NAMED = r"(?i:password|passwd|passphrase|pwd|secret)[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
+_WORD = "pass(?:word|wd|phrase|code)?|pwd|secret|api[_-]?key|access[_-]?key|auth[_-]?key|account[_-]?key|token|credentials?"
+_SIGN = r"[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
+_NAMED = rf"(?i:{_WORD})(?:[_-][A-Za-z0-9_-]{{0,24}}+)?{_SIGN}"
+_HEADER = rf"(?i:authorization){_SIGN}[\"']?(?i:basic|bearer|token|apikey)\s+"
 PATTERNS = {
     "private_key": rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_KEY}|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset)[^\n]*+)*+[^-]*+)",
     "url_login": r"://[^\s/:@\"']*+:[^\s/@\"']++(?=@)",
-    "assigned": rf"{_NAMED}(?:[\"'][^\s\"']{{4,}}+(?=[\"'])|[^\s\"'<>,;=:][^\s\"'<>,;]{{3,}}+)",
-    "token": rf"(?<!{_RUN})(?=[+/=_.~-]*+[A-Za-z0-9]){_RUN}{{16,}}+",
+    "header": rf"{_HEADER}[^\s\"'<>,;]{{6,}}+",
+    "assigned": rf"{_NAMED}(?:\"[^\"\n]{{4,}}+(?=\")|'[^'\n]{{4,}}+(?=')|[^\s\"'<>,;=:][^\s\"'<>,;]{{3,}}+)",
+    "token": rf"(?<!{_RUN})(?=[+/_.~-]*+[A-Za-z0-9]){_RUN}{{16,}}+(?:={{1,2}}+(?![\"'A-Za-z0-9]))?+(?![\"']?\s?(?:=>|:=|[=:])\s?[\"'A-Za-z0-9])",
 }
 CANDIDATE = "|".join(PATTERNS.values())
-LEAD = rf"^(?:://|{_NAMED}[\"']?)"
+LEAD = rf"^(?:://|{_HEADER}|{_NAMED}[\"']?)"
 
 # Words of the dictionary, of neighbours that speak for or against a secret, and frequent letter pairs.
 DICTIONARY = (
@@ -45,7 +51,7 @@ DICTIONARY = (
     "unit update upload url use user util value var vendor version video view web week width window with word work world www year your zip"
 ).split()
 SPEAKS_FOR = "token|secret|api[_ -]?key|apikey|passwd|password|pwd|auth|authorization|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?secret|signature"
-SPEAKS_AGAINST = "commit|sha[0-9]*|md5|checksum|hash|etag|uuid|guid|digest|revision|rev|integrity|build|version|phone|card|isbn|doi|order|invoice|serial|href|src|url|path|file|image|blob"
+SPEAKS_AGAINST = "ssh-rsa|ssh-dss|ssh-ed25519|public[_ -]?key|commit|sha[0-9]*|md5|checksum|hash|etag|uuid|guid|digest|revision|rev|integrity|build|version|phone|card|isbn|doi|order|invoice|serial|href|src|url|path|file|image|blob"
 PLACEHOLDER = "example|sample|xxxx|your[_-]?|placeholder|change.?me|dummy|0000000|1234567|abcdefg|\\\\.\\\\.\\\\.|insert|redacted"
 KNOWN_PREFIX = "^(AKIA|ASIA|gh[opsu]_|github_pat_|xox[abeprs]-|sk-|[sr]k_live_|AIza|glpat-|npm_|eyJ|SG\\\\.|ya29\\\\.)"
 EXTENSION = "\\\\.(js|py|css|html?|php|png|jpe?g|gif|svg|pdf|json|xml|txt|md|java|go|rs|cpp?|h|zip|gz|tar|exe|dll|so|com|org|net)([?/#]|$)"
@@ -53,17 +59,17 @@ LETTER_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|t
 
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_hex", "f_changes", "f_case_changes", "f_pairs", "f_distinct", "f_dictionary", "f_slashes", "f_dots", "f_dashes",
-    "f_extension", "f_path_start", "f_for", "f_against", "f_assigned", "f_quoted", "f_placeholder", "f_prefix", "f_uuid", "f_named", "f_word_before", "f_word_after",
+    "f_extension", "f_path_start", "f_for", "f_against", "f_assigned", "f_quoted", "f_placeholder", "f_prefix", "f_uuid", "f_named", "f_word_before", "f_word_after", "f_words", "f_reference", "f_pass",
 ]
 TREES, DEPTH, SEED = 30, 8, 11
 #: Labelled findings that the built-in rule makes.
-BUILT_IN = 6000
+BUILT_IN = 9000
 THRESHOLD = 0.5
 
 
 def suspicious(text: Column) -> Column:
     """Whether a text holds a candidate. The plain searches come first: every pattern needs what one of them looks for."""
-    plain = text.rlike(_RUN + "{16}") | text.contains("PRIVATE KEY") | text.contains("://") | text.rlike("(?i)passw|passphrase|pwd|secret")
+    plain = text.rlike(_RUN + "{16}") | text.contains("PRIVATE KEY") | text.contains("://") | text.rlike(f"(?i){_WORD}|authorization")
     return plain & text.rlike(CANDIDATE)
 
 
@@ -73,7 +79,7 @@ def candidates(texts: DataFrame, text_column: str = "text") -> DataFrame:
     hits = texts.where(suspicious(text))
     both = hits.withColumns({"_matches": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_rest": F.split(text, CANDIDATE, -1)}).drop(text_column)
     each = both.select("*", F.posexplode("_matches").alias("_i", "_match"))
-    each = each.withColumn("_lead", F.when(F.col("_match").rlike(f"^{_RUN}{{16,}}+$"), "").otherwise(F.regexp_extract("_match", LEAD, 0)))
+    each = each.withColumn("_lead", F.when(F.col("_match").rlike(f"^{_RUN}{{16,}}+={{0,2}}$"), "").otherwise(F.regexp_extract("_match", LEAD, 0)))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
     start = size(F.slice("_rest", 1, F.col("_i") + 1)) + size(F.slice("_matches", 1, F.col("_i"))) + F.length("_lead")
     found = F.substr("_match", F.length("_lead") + 1)
@@ -92,7 +98,7 @@ def featured(found: DataFrame) -> DataFrame:
     left, right = F.lower("before"), F.col("after")
     count = lambda col, pattern: F.regexp_count(col, F.lit(pattern)).cast("double")
     is_ = lambda test: test.cast("double")
-    near = lambda words: left.rlike(f"({words})[^a-z0-9]{{0,8}}$")
+    near = lambda words: left.rlike(f"({words})([_-][a-z0-9_-]{{0,24}})?[^a-z0-9]{{0,8}}((basic|bearer|token) )?$")
     changes = count(c, "(?<=[0-9])(?=[A-Za-z])") + count(c, "(?<=[A-Za-z])(?=[0-9])")
     columns: dict[str, Column] = {
         "f_length": F.least(n, F.lit(400.0)),
@@ -120,6 +126,9 @@ def featured(found: DataFrame) -> DataFrame:
         "f_uuid": is_(low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")),
         "f_named": is_(F.col("kind") != "token"),
         "f_word_before": is_(left.rlike("[a-z]{2,} $")),
+        "f_words": count(c, "\\s"),
+        "f_reference": is_(c.rlike("^[$%{<&(*]|[({]$|[A-Za-z]\\(|^(self|this|process|os|env|settings|config|request|params|args|options|props|data|user)[.\\[]|[.](env|environ|get|config|settings)\\b")),
+        "f_pass": is_(left.rlike("(pass(word|wd|phrase|code)?|pwd|secret)([_-][a-z0-9_-]{0,24})?[^a-z0-9]{0,8}$")),
         "f_word_after": is_(right.rlike("^[\"'.,]? ?[A-Za-z]{2,}")),
     }
     return found.withColumns(columns)
@@ -137,6 +146,13 @@ FORMS = [
     (1, '"{pass}": "{w1}{d2}!"'), (1, '"{pass}": "{b12}"'), (1, "{pass}: {W2}{d2}{w1}"), (1, "{pass}: {b8}"), (1, "{pass}={w3}{d1}"), (1, "{pass}={b12}"), (1, "{pass} {sign} {q}{W3}{d1}{W4}{d2}{q}"), (1, "{pass} {sign} {q}{b8}{q}"),
     (1, "{name} {sign} {q}{a24}{q}"), (1, "{name} {sign} {q}{a20}{q}"), (1, "{name}={a24}"), (1, "redis://:{b4}@{w2}.org/"), (1, "redis://:{w3}{d1}@{w2}"), (1, "ftp://{w1}:{b40}{c40}{h40}@{w2}.org/"),
     (0, "{pass}: {w1} {w2}"), (0, "{pass}: {kind}"), (0, "{pass} = {kind}"), (0, '"{pass}": "{kind}"'), (0, "{pass} = get{W2}()"), (0, "{pass}=${w3}"), (0, "{pass}: enter the {w1}"), (0, "{pass} {sign} {q}your_{w1}{q}"),
+    (1, "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: {w1}\n\n{b40}{w2}-{c40}\n={b4}\n-----END PGP PRIVATE KEY BLOCK-----"), (1, "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{h32}\n\n{b40}\n{c40}\n-----END RSA PRIVATE KEY-----"),
+    (1, "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: {W2}-{w3}\n\n{b12}+{w1}\n={b4}\n-----END PGP PRIVATE KEY BLOCK-----"),
+    (1, '{pass} {sign} "{w1} {w2} {w3} {w4}"'), (1, "{pass}: '{w3} {w1} {d2} {w4}'"), (1, "{pass} = {q}{b4}'{b4}{q}"), (1, "{PASS}={b12}"), (1, "DB_{PASS}={W2}{d2}{b4}"), (1, "{NAME}_KEY = {q}{w1}-{w2}-{b24}!{b8}{q}"),
+    (1, "{name}: {b8}{d2}"), (1, "{name}={b12}"), (1, '"{name}": "{h12}"'), (1, '"{name}": "{b12}"'), (1, "{name} = {q}{b12}{q}"), (1, "Authorization: Basic {b12}"), (1, "Authorization: Basic {b24}=="), (1, "authorization={q}Bearer {h32}{q}"),
+    (0, "process.env.{NAME}_VALUE"), (0, "{name} = process.env.{NAME}"), (0, "{pass} = os.environ[{q}{NAME}{q}]"), (0, "{pass}: self.{w1}_{w2}"), (0, "{name} = config.{w1}.{w2}"), (0, "{pass} = request.{w1}[{q}{w2}{q}]"), (0, "ssh-rsa AAAAB3NzaC1yc2E{b40}{c40} {w1}@{w2}"),
+    (0, "ssh-ed25519 AAAAC3NzaC1lZDI1{b40}"), (0, "{pass} = {q}{kind}{q}"), (0, "{pass}: {q}{w1}{q}s {w2}"), (0, "{name}: {w1}"), (0, "{name} = {w1}_{w2}"), (0, "{name}={kind}"), (0, '"{name}": "{w1}"'), (0, "{name} {sign} {q}<your {w1}>{q}"), (0, "{PASS}=${{NAME}}"),
+    (0, "the {name}: {w1} {w2}"), (0, '"{pass}": "Enter the {w1} for the {w2} here."'), (0, "{pass}: must be at least {d1} characters"), (0, "{name} = new{W2}({w1})"), (0, "Authorization: Bearer <{w1}>"), (0, "Authorization: Basic ${w1}_{w2}"), (0, "{W2}{W3}.{w1}.{NAME}"),
     (0, "{w1}-{w2}-{w3}-{w4}"), (0, "{w1}-of-the-{w2}-{w3}"), (0, "{w1}.{w2}.{w3}.{w4}"), (0, "{w1}_{w2}_{w3}_{w4}"), (0, "{w1}{w2}{w3}{w4}"), (0, "{W2}{w1}{w3}{w4}"), (0, "{W2}{W3}{W4}{W2}"), (0, "/{w1}/{w2}/{w3}/{w4}"),
     (0, "https://www.example.org/{w1}/{w2}/{w3}/"), (0, "====={w1}-{w2}====="), (0, "{w1}@{w2}.{w3}.example.org"), (0, "...{w1}-------------"),
 ]
@@ -163,7 +179,8 @@ def labelled_texts(spark: SparkSession, n: int = BUILT_IN) -> DataFrame:
     row = F.pmod("id", F.lit(len(FORMS)))
     text = F.concat_ws(" ", "w5", "w6", "w7", F.element_at(F.array(*[F.lit(t) for _, t in FORMS]), (row + 1).cast("int")), "w0", F.concat("w2", F.lit(".")))
     fill = {c: F.col(c) for c in ("q", "sign", "ending", "name", "against", "pass", "kind", "w1", "w2", "w3", "w4")} | {f"W{i}": F.initcap(f"w{i}") for i in (2, 3, 4)}
-    fill |= {f"{c}{size}": F.substring(c, 1, size) for c, sizes in {"h": (32, 40, 64), "b": (4, 8, 12, 24, 32, 36, 40), "c": (40,), "d": (1, 2, 4, 12, 16), "a": (20, 24)}.items() for size in sizes}
+    fill |= {f"{c}{size}": F.substring(c, 1, size) for c, sizes in {"h": (12, 32, 40, 64), "b": (4, 8, 12, 24, 32, 36, 40), "c": (40,), "d": (1, 2, 4, 12, 16), "a": (20, 24)}.items() for size in sizes}
+    fill |= {"NAME": F.upper("name"), "PASS": F.upper("pass")}
     fill |= {"B16": F.upper(F.substring("b", 1, 16)), "uuid": F.concat_ws("-", *[F.substring("h", at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])}
     for key, value in fill.items():
         text = F.replace(text, F.lit("{" + key + "}"), value)
@@ -171,17 +188,30 @@ def labelled_texts(spark: SparkSession, n: int = BUILT_IN) -> DataFrame:
     return made.select(text.alias("text"), F.element_at(labels, (row + 1).cast("int")).alias("label"))
 
 
+_BUILT_IN: dict[str, RandomForestClassificationModel] = {}
+
+
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomForestClassificationModel:
-    """A forest from labelled texts (text, label): each candidate of a text has the text's label."""
+    """A forest from labelled texts (text, label): each candidate of a text has the text's label.
+
+    The one of the built-in findings depends on nothing else, so a session trains it once.
+    """
+    session = spark.sparkContext.applicationId
+    if labelled is None and session in _BUILT_IN:
+        return _BUILT_IN[session]
     rows = featured(candidates(labelled_texts(spark) if labelled is None else labelled)).select("label", *FEATURES)
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select(F.col("label").cast("double").alias("label"), "features")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", maxMemoryInMB=64).fit(table)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", maxMemoryInMB=64).fit(table)
+    if labelled is None:
+        _BUILT_IN[session] = model
+    return model
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
     """Findings that the forest takes for secrets: doc_id, start, length (code points), kind, found (in clear), score.
 
-    Null and empty texts have none; repeated rows give repeated findings; other columns are ignored.
+    Null and empty texts have none; repeated rows give repeated findings; other columns are ignored. A text of any length
+    is searched whole, in one row of one task; its findings are rows of their own.
     """
     rows = featured(candidates(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))))
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
