@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numerics import nnls
+from .numerics import nnls, nnls_rows
 
 
 def normalized(matrix: list[list[float]]) -> list[list[float]]:
@@ -102,10 +102,17 @@ def reporter_ions(mz: Column, intensity: Column, targets: list[float], tolerance
 
 
 def corrected_column(intensities: Column, tag: IsobaricTag) -> Column:
+    """Intensities without the impurities' share, none of them negative: all rows of a batch are solved together."""
     matrix = tag.matrix
 
-    @F.pandas_udf("array<double>")
-    def correct(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda x: None if x is None else nnls(matrix, np.asarray(x, float)))
+    @F.arrow_udf("array<double>")
+    def correct(rows: pa.Array) -> pa.Array:
+        there = np.flatnonzero(~np.asarray(rows.is_null()))
+        values = np.asarray(rows.take(pa.array(there)).flatten(), float).reshape(len(there), -1) if len(there) else np.zeros((0, matrix.shape[0]))
+        bounds = np.zeros(len(rows) + 1, np.int32)
+        bounds[there + 1] = matrix.shape[1]
+        missing = np.ones(len(rows), bool)
+        missing[there] = False
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(bounds), pa.int32()), pa.array(nnls_rows(matrix, values).ravel()), mask=pa.array(missing))
 
     return correct(intensities)

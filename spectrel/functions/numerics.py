@@ -31,6 +31,17 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def nnls_rows(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``nnls`` for each row of ``rows``: where the plain least-squares solution isn't negative anywhere, it is that."""
+    if not len(rows):
+        return np.zeros((0, a.shape[1]))
+    found, _, rank, _ = np.linalg.lstsq(a, rows.T, rcond=None)
+    found = found.T.copy()
+    for i in np.flatnonzero((found < 0).any(axis=1)) if rank == a.shape[1] else range(len(rows)):
+        found[i] = nnls(a, rows[i])
+    return found
+
+
 def running_mean(values: np.ndarray, m: int) -> np.ndarray:
     """Means of all m consecutive values."""
     total = np.concatenate(([0.0], np.cumsum(np.asarray(values, float))))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,33 +43,79 @@ def digest(sequence: Column, rule: str = "[KR]", missed: int = 0, remove_start_m
     ``rule`` is a regular expression or the name of an enzyme. The order is: peptides after removal of the first M, those
     of the protein's start, then the others; ``ord`` numbers it. Null and empty sequences give none.
     """
-    pattern = re.compile(constants.CLEAVAGE_RULES.get(rule, rule))
+    pattern = constants.CLEAVAGE_RULES.get(rule, rule)
 
-    @F.pandas_udf("array<struct<sequence:string,startPos:int,endPos:int,missedCleavage:int,ord:int>>")
-    def cut(proteins: pd.Series) -> pd.Series:
-        return proteins.map(lambda s: peptides(s, pattern, missed, remove_start_m, least, most))
+    @F.arrow_udf("array<struct<sequence:string,startPos:int,endPos:int,missedCleavage:int,ord:int>>")
+    def cut(proteins: pa.Array) -> pa.Array:
+        return digested(proteins, pattern, missed, remove_start_m, least, most)
 
     return cut(sequence)
 
 
-def peptides(protein: str | None, pattern: re.Pattern, missed: int, remove_start_m: bool, least: int, most: int) -> list[dict]:
-    """The digest of one protein. Array expressions would copy the growing list of cuts for each cut; this is linear."""
-    if not protein:
-        return []
-    ends = sorted({m.end() for m in pattern.finditer(protein)} | {len(protein)})
-    starts = [0, *(e for e in ends if 0 < e < len(protein))]
-    stops = [e for e in ends if e > 0]
-    spans = [(0, j, m) for m, j in enumerate(stops[: missed + 1])]
-    found = [(1, j, m) for _, j, m in spans] if remove_start_m and protein[0] == "M" else []
-    found += spans
-    for i, start in enumerate(starts[1:], 1):
-        found += [(start, j, m) for m, j in enumerate(stops[i : i + missed + 1])]
-    kept = [x for x in found if least <= x[1] - x[0] <= most]
-    return [{"sequence": protein[a:b], "startPos": a + 1, "endPos": b, "missedCleavage": m, "ord": n} for n, (a, b, m) in enumerate(kept)]
+def _cuts(proteins: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of matches within each protein, and each one's own end: protein numbers and positions, ascending."""
+    lengths = np.fromiter(map(len, proteins), np.int64, len(proteins))
+    plain = re.fullmatch(r"\[([A-Za-z]+)\]|([A-Za-z])", pattern)
+    if plain and all(map(str.isascii, proteins)):
+        # a set of letters: look them up over all proteins together
+        wanted = np.zeros(256, bool)
+        wanted[list((plain[1] or plain[2]).encode())] = True
+        at = np.flatnonzero(wanted[np.frombuffer("".join(proteins).encode(), np.uint8)]) + 1
+        stops = np.cumsum(lengths)
+        owner = np.searchsorted(stops, at)
+        at = at - (stops - lengths)[owner]
+    else:
+        find = re.compile(pattern).finditer
+        each = [np.fromiter((m.end() for m in find(p)), np.int64) for p in proteins]
+        owner, at = np.repeat(np.arange(len(proteins)), [len(x) for x in each]), np.concatenate([*each, np.zeros(0, np.int64)])
+    real = np.flatnonzero(lengths)
+    owner, at = np.concatenate((owner, real)), np.concatenate((at, lengths[real]))
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+    new = (at > 0) & np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]))[: len(at)]
+    return owner[new], at[new]
+
+
+def _slices(proteins: list[str], owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """proteins[owner][start:stop] for each."""
+    if not all(map(str.isascii, proteins)):
+        return pa.array([proteins[i][a:b] for i, a, b in zip(owner.tolist(), start.tolist(), stop.tolist())], pa.string())
+    lengths = np.fromiter(map(len, proteins), np.int64, len(proteins))
+    begins = (np.cumsum(lengths) - lengths)[owner] + start
+    sizes = stop - start
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer("".join(proteins).encode(), np.uint8)[np.repeat(begins - (ends - sizes), sizes) + np.arange(sizes.sum())]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(flat)]).cast(pa.string())
+
+
+def digested(proteins: pa.Array, pattern: str, missed: int, remove_start_m: bool, least: int, most: int) -> pa.Array:
+    """The digests of a batch: spans between cuts of all proteins at once, as arrays of numbers."""
+    texts = [p or "" for p in proteins.to_pylist()]
+    owner, stop = _cuts(texts, pattern)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    place = np.arange(len(owner)) - first[owner]
+    start = np.where(place > 0, np.append(0, stop[:-1])[: len(stop)], 0)
+    spans = []  # owner, whether after the first M's removal (0) or not (1), number of the start, missed, start, stop
+    for m in range(missed + 1):
+        i = np.flatnonzero(place + m < (first[1:] - first[:-1])[owner]) if len(owner) else owner
+        spans.append((owner[i], np.ones(len(i), np.int64), place[i], np.full(len(i), m), start[i], stop[i + m]))
+        if remove_start_m:
+            i = i[place[i] == 0]
+            i = i[[texts[k][0] == "M" for k in owner[i].tolist()]] if len(i) else i
+            spans.append((owner[i], np.zeros(len(i), np.int64), place[i], np.full(len(i), m), start[i] + 1, stop[i + m]))
+    owner, kind, number, lost, start, stop = (np.concatenate(x) for x in zip(*spans))
+    size = stop - start
+    keep = np.flatnonzero((size >= least) & (size <= most))
+    keep = keep[np.lexsort((lost[keep], number[keep], kind[keep], owner[keep]))]
+    owner, lost, start, stop = owner[keep], lost[keep], start[keep], stop[keep]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    ints = [pa.array(x.astype(np.int32)) for x in (start + 1, stop, lost, np.arange(len(owner)) - bounds[owner])]
+    made = pa.StructArray.from_arrays([_slices(texts, owner, start, stop), *ints], ["sequence", "startPos", "endPos", "missedCleavage", "ord"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), made)
 
 
 def standard_sequence(sequence: Column, ignore_isoleucine: bool) -> Column:
     return F.translate(sequence, "I", "L") if ignore_isoleucine else sequence
 
 
-__all__ = ["all_substrings", "digest", "modification_positions", "peptides", "standard_sequence", "strip_modifications"]
+__all__ = ["all_substrings", "digest", "digested", "modification_positions", "standard_sequence", "strip_modifications"]

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,19 @@ PROTEIN = "MGTKWQEERDLNSSKRIVGHAYPTKKLMEDQNCFRSTWPGAEKHLLVNDRYISKMGTKWQE"
 
 
 def cut(protein, rule, missed, start_m, least, most):
-    return [(p["sequence"], p["startPos"], p["endPos"], p["missedCleavage"]) for p in sequences.peptides(protein, re.compile(constants.CLEAVAGE_RULES.get(rule, rule)), missed, start_m, least, most)]
+    found = sequences.digested(pa.array([None, protein, ""]), constants.CLEAVAGE_RULES.get(rule, rule), missed, start_m, least, most).to_pylist()
+    assert found[0] == found[2] == [] and [p["ord"] for p in found[1]] == list(range(len(found[1])))
+    return [(p["sequence"], p["startPos"], p["endPos"], p["missedCleavage"]) for p in found[1]]
+
+
+def plain_digest(protein, pattern, missed, start_m, least, most):
+    """Each protein on its own: peptides after the first M's removal, those of the start, the others."""
+    ends = sorted({m.end() for m in re.finditer(pattern, protein)} | {len(protein)} - {0})
+    ends = [e for e in ends if e]
+    spans = [(1, b, m) for m, b in enumerate(ends[: missed + 1])] if start_m and protein[:1] == "M" else []
+    for i, a in enumerate([0, *ends[:-1]][: len(ends)]):
+        spans += [(a, b, m) for m, b in enumerate(ends[i : i + missed + 1])]
+    return [(protein[a:b], a + 1, b, m) for a, b, m in spans if least <= b - a <= most]
 
 
 def one(spark, column):
@@ -87,6 +100,15 @@ def test_digest_column(spark):
     assert {r["id"]: [x["sequence"] for x in r["p"]] for r in rows} == {1: ["AAKCCK", "CCKDD"], 2: [], 3: []}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("KRMAPé", max_size=30), max_size=6), st.integers(0, 3), st.booleans(), st.sampled_from(["[KR]", "K", "trypsin", "arg-c", r"\w(?=[R])", "(?<=K)", "[^P]"]))
+def test_digest_of_a_batch_equals_the_plain_one(proteins, missed, start_m, rule):
+    pattern = constants.CLEAVAGE_RULES.get(rule, rule)
+    found = sequences.digested(pa.array(proteins, pa.string()), pattern, missed, start_m, 2, 12).to_pylist()
+    want = [plain_digest(p, pattern, missed, start_m, 2, 12) for p in proteins]
+    assert [[(x["sequence"], x["startPos"], x["endPos"], x["missedCleavage"]) for x in own] for own in found] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("KRMAP", max_size=40), st.integers(0, 3))
 def test_digest_pieces_are_of_the_protein(protein, missed):
@@ -178,3 +200,19 @@ def test_nnls_meets_its_conditions(seed):
     x = numerics.nnls(a, b)
     gain = a.T @ (b - a @ x)
     assert (x >= 0).all() and (gain <= 1e-7).all() and np.abs(gain[x > 1e-9]).max(initial=0) < 1e-7
+
+
+def test_nnls_of_rows_equals_that_of_each():
+    rng = np.random.default_rng(2)
+    a = np.abs(rng.normal(size=(6, 4)))
+    rows = np.concatenate((rng.normal(size=(40, 6)), np.abs(rng.normal(size=(40, 4))) @ a.T))
+    want = np.array([numerics.nnls(a, r) for r in rows])
+    assert np.allclose(numerics.nnls_rows(a, rows), want, atol=1e-9) and (want == 0).any() and numerics.nnls_rows(a, rows[:0]).shape == (0, 4)
+    flat = np.ones((3, 2))
+    assert np.allclose(flat @ numerics.nnls_rows(flat, np.array([[1.0, 2.0, 3.0]]))[0], 2)
+
+
+def test_corrected_column_of_odd_rows(spark):
+    rows = [(1, [10.0, 5.0, 0.0, 1.0]), (2, None), (3, [0.0, 9.0, 0.0, 0.0])]
+    got = {r["i"]: r["c"] for r in spark.createDataFrame(rows, "i int, v array<double>").coalesce(1).select("i", isobaric.corrected_column(F.col("v"), isobaric.ITRAQ4).alias("c")).collect()}
+    assert got[2] is None and all(got[i] == pytest.approx(list(isobaric.ITRAQ4.corrected(v))) for i, v in rows if v)

@@ -162,6 +162,29 @@ def test_store_replaces_runs(spark, tmp_path):
     assert store.load(spark, str(tmp_path), "t", ["a"]).count() == 1
 
 
+def test_store_keeps_whole_tables_whole(spark, tmp_path):
+    """A reader has the version that held when it came; a failed job changes nothing; old versions go."""
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        store.load_whole(spark, root, "t")
+    store.save_whole(spark.range(3), root, "t")
+    early = store.load_whole(spark, root, "t")
+    store.save_whole(early.union(spark.range(7, 9)), root, "t")
+    assert early.count() == 3 and sorted(r["id"] for r in store.load_whole(spark, root, "t").collect()) == [0, 1, 2, 7, 8]
+    with pytest.raises(Exception):
+        store.save_whole(spark.range(2).select(F.raise_error(F.lit("stopped")).alias("id")), root, "t")
+    assert store.load_whole(spark, root, "t").count() == 5
+    store.save_whole(spark.range(1), root, "t")
+    assert store.load_whole(spark, root, "t").count() == 1 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) <= 3
+
+
+def test_store_of_all_tables_of_a_run(spark, tmp_path):
+    tables = {"runs": spark.createDataFrame([("a", 1), ("b", 2)], "specfile string, x int"), "spectra": spark.createDataFrame([("a", "s1"), ("b", "s2")], "specfile string, id string")}
+    store.save_run(tables, str(tmp_path), ("runs", "spectra"))
+    got = store.load_run(spark, str(tmp_path), ("runs", "spectra"), ["b"])
+    assert [r["id"] for r in got["spectra"].collect()] == ["s2"] and got["runs"].count() == 1
+
+
 def test_files(tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "run1.mzML").write_text("")
