@@ -141,12 +141,35 @@ def read_chromatograms(spark: SparkSession, path: str) -> DataFrame:
     return described.join(arrays(elements), ["specfile", "id"], "left")
 
 
+#: Elements whose content isn't metadata: it grows with the spectra.
+CONTENTS = ("spectrumList", "chromatogramList", "indexList")
+
+
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(specfile, xml): the file without its spectra and chromatograms. A file is one row: only metadata stays of it."""
-    raw = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.regexp_replace("value", r"(?s)(<spectrumList[^>]*>).*</spectrumList>", "$1</spectrumList>"), r"(?s)(<chromatogramList[^>]*>).*</chromatogramList>", "$1</chromatogramList>")
+    """(specfile, xml): the file without what its lists of spectra, chromatograms and offsets hold.
+
+    Files (gzip too) are read as a stream of tags: a row ends at each ">", so no file is ever held as a whole, and only the
+    tags before, between and after the lists are put together again, by their places in the file.
+    """
     name = F.regexp_replace(F.regexp_extract("_metadata.file_name", r"([^/]+)$", 1), r"(?i)\.(mzml|xml)(\.gz)?$", "")
-    return raw.select(name.alias("specfile"), body.alias("xml"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    tags = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), name.alias("specfile"), place.alias("at"), "value")
+    value, at = F.col("value"), F.col("at")
+    bounds = []
+    for x in CONTENTS:
+        bounds.append(F.min(F.when(value.contains(f"<{x}") & value.rlike(rf"<{x}(?=\s|$)[^<]*$"), at)).alias(f"open_{x}"))
+        bounds.append(F.max(F.when(value.contains(f"</{x}") & value.rlike(rf"</{x}\s*$"), at)).alias(f"close_{x}"))
+    # one row a file, of whose names the driver has a list anyway
+    inside = tags.join(F.broadcast(tags.groupBy("file").agg(*bounds)), "file")
+    shown = value
+    for x in CONTENTS:
+        inside = inside.where(F.coalesce((at <= F.col(f"open_{x}")) | (at >= F.col(f"close_{x}")), F.lit(True)))
+        shown = F.when(at == F.col(f"close_{x}"), F.lit(f"</{x}")).otherwise(shown)
+    parts = inside.select("file", "specfile", F.struct("at", shown.alias("value")).alias("part")).groupBy("file", "specfile").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    texts = F.transform("parts", lambda p: p["value"])
+    # what follows the last ">" is white space; a file that ends with it has no such row
+    ends = F.when(F.element_at(texts, -1).rlike(r"^\s*$"), F.lit("")).otherwise(F.lit(">"))
+    return parts.select("specfile", F.concat(F.array_join(texts, ">"), ends).alias("xml"))
 
 
 def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -197,6 +220,10 @@ def spectrum_xml(index: int, row: dict, values: dict[str, list], names: dict[str
             count = len(q["selectedIonList"] or [])
             out.append(f'    <precursor{ref}>\n{isolation}      <selectedIonList count="{count}">\n{ions}      </selectedIonList>\n      <activation>\n{p(q["activation"], 4)}      </activation>\n    </precursor>\n')
         out.append("  </precursorList>\n")
+    if row["productList"]:
+        isolated = [f'      <isolationWindow>\n{p(q["isolationWindow"], 4)}      </isolationWindow>\n' if q["isolationWindow"] else "" for q in row["productList"]]
+        products = "".join(f"    <product>\n{x}    </product>\n" for x in isolated)
+        out.append(f'  <productList count="{len(isolated)}">\n{products}  </productList>\n')
     out.append(_xml_arrays(values) + "</spectrum>\n")
     return "".join(out)
 
@@ -233,7 +260,7 @@ def _elements(rows: DataFrame, section: int, names: dict[str, str]) -> DataFrame
                 row = json.loads(j)
                 values = {k: v for k, v in (row.pop("arrays", None) or {}).items() if v is not None}
                 if section == _SPECTRA:
-                    for key in ("params", "scanListParams", "scanList", "precursorList"):
+                    for key in ("params", "scanListParams", "scanList", "precursorList", "productList"):
                         row.setdefault(key, None)
                     out.append((specfile, section, n, row["attributes"]["id"], spectrum_xml(n, _filled(row), values, names)))
                 else:
@@ -260,7 +287,7 @@ def write_mzml(metadata: DataFrame, arrays_: DataFrame, folder: str, ids: list[s
     numbered = own.select("specfile", "id", order.alias("o")).select("specfile", "id", n)
     values = arrays_.select("specfile", "id", F.map_concat(F.create_map(F.lit("mz"), "mz", F.lit("i"), "i"), "extra").alias("arrays"))
     rows = own.join(values, ["specfile", "id"]).join(numbered, ["specfile", "id"])
-    parts = [_elements(rows.select("specfile", "n", F.to_json(F.struct("id", "attributes", "params", "scanListParams", "scanList", "precursorList", "arrays")).alias("j")), _SPECTRA, known)]
+    parts = [_elements(rows.select("specfile", "n", F.to_json(F.struct("id", "attributes", "params", "scanListParams", "scanList", "precursorList", "productList", "arrays")).alias("j")), _SPECTRA, known)]
     counts = rows.groupBy("specfile").agg(F.count("*").alias("spectra"))
     if chromatograms is not None:
         last = chromatograms.select("specfile", (F.row_number().over(Window.partitionBy("specfile").orderBy("id")) - 1).cast("long").alias("n"), F.to_json(F.struct("id", "dataProcessingRef", "params", "arrays")).alias("j"))
@@ -362,6 +389,9 @@ def _filled(row: dict) -> dict:
         for group in [s.get("params") or [], *(s["scanWindowList"] or [])]:
             for p in group:
                 _fill(p)
+    for q in row["productList"] or []:
+        for p in q.setdefault("isolationWindow", None) or []:
+            _fill(p)
     for q in row["precursorList"] or []:
         for key in ("spectrumRef", "activation", "isolationWindow", "selectedIonList"):
             q.setdefault(key, None)

@@ -64,6 +64,38 @@ def test_mzml_written_and_read(spark, run, tmp_path):
     assert [tuple(r)[2:4] for r in t["arrays"].orderBy("id").collect()] == [tuple(r)[2:4] for r in again["arrays"].orderBy("id").collect()]
 
 
+def test_mzml_with_products(spark, run, tmp_path):
+    """Product ions' isolation windows come back from a written file, an empty one too."""
+    product = '<productList count="2"><product><isolationWindow><cvParam accession="MS:1000827" name="" value="410.5"/><userParam name="note" value="x"/></isolationWindow></product><product/></productList>'
+    text = run.read_text()
+    run.write_text(text.replace("</precursorList>", "</precursorList>" + product))
+    t = mzml.read_run(spark, str(run))
+    (tmp_path / "out").mkdir()
+    mzml.write_mzml(t["metadata"], t["arrays"], str(tmp_path / "out")).collect()
+    of = lambda x: {r["id"]: r["productList"] for r in x["metadata"].select("id", "productList").collect()}
+    again = mzml.read_run(spark, str(tmp_path / "out" / "run1.mzML"))
+    assert len(of(t)["5"]) == 2 and of(t)["5"][0]["isolationWindow"][0]["value"] == "410.5" and of(again)["5"] == of(t)["5"] and not of(again)["4"]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_run_metadata_of_a_file_in_many_parts(spark, tmp_path, packed):
+    """What is outside the lists stays as it is, whatever the number of splits; signs like > within it too."""
+    head = '<?xml version="1.0"?>\n<indexedmzML><mzML id="x"><!-- a > b --><cvList count="1"><cv id="MS"/></cvList><run id="r"><spectrumList count="3000" defaultDataProcessingRef="p">'
+    between = '</spectrumList>\n<chromatogramList count="1">'
+    tail = '</chromatogramList></run></mzML><indexList count="1"></indexList><indexListOffset>77</indexListOffset></indexedmzML>'
+    spectra = "".join(f'<spectrum index="{i}" id="scan={i}"><binary>{"QUJD" * 40}</binary></spectrum>' for i in range(3000))
+    text = (head + spectra + "\n" + between + '<chromatogram id="TIC"/>' + tail).replace('<indexList count="1">', '<indexList count="1"><offset idRef="scan=1">9</offset>')
+    path = tmp_path / ("many.mzML.gz" if packed else "many.mzML")
+    path.write_bytes(gzip.compress(text.encode()) if packed else text.encode())
+    (tmp_path / "other.mzML").write_text("<mzML><run id='o'></run></mzML>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = {r["specfile"]: r["xml"] for r in mzml.read_run_metadata(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"many": head + between + tail, "other": "<mzML><run id='o'></run></mzML>\n"}
+
+
 def test_mzml_with_chromatograms_and_metadata(spark, run, tmp_path):
     about = '<cvList count="1"><cv id="MS"/></cvList><softwareList count="1"><software id="maker"/></softwareList>'
     chromatogram = '<chromatogramList count="1" defaultDataProcessingRef="q"><chromatogram index="0" id="TIC" defaultArrayLength="2"><cvParam accession="MS:1000235" name="" value=""/><binaryDataArrayList count="2">{}</binaryDataArrayList></chromatogram></chromatogramList>'
