@@ -1,6 +1,6 @@
-"""Streams of acquired data: matches validated and islands of activity found as they arrive.
+"""Streams of acquired data: islands of activity and sliding means, found as they arrive.
 
-The reference tables are read as files appear in a folder; late rows within the watermark still count.
+Tables are read as files appear in a folder; late rows within the watermark still count.
 """
 
 from __future__ import annotations
