@@ -52,32 +52,42 @@ def calibration_data(targets: DataFrame, ions: DataFrame, tolerance: float = 10e
     return hit.select("specfile", "id", "rt", "source", F.col("b.m").alias("obsMz"), "excMz", (1 - F.col("b.m") / F.col("excMz")).alias("relDev"), (F.col("b.m") - F.col("excMz")).alias("absDev"), F.col("b.v").alias("int"))
 
 
+def weighted_medians(medians: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """For each place the mean of medians within the narrowest window of ``least`` points, its own twice the weight of others; NaN without any."""
+    places = np.arange(len(counts))
+    some = counts > 0
+    running = lambda x: np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))
+    points, filled, total = running(counts), running(some.astype(np.int64)), running(np.where(some, medians, 0.0))
+
+    def within(sums, width):
+        return sums[np.minimum(places + width + 1, len(counts))] - sums[np.maximum(places - width, 0)]
+
+    # the least width that holds the points, or else the one that reaches both ends
+    low, high = np.zeros(len(counts), np.int64), np.maximum(places, len(counts) - 1 - places)
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = within(points, middle) >= least
+        low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+    weight = within(filled, low) + some
+    value = within(total, low) + np.where(some, medians, 0.0)
+    return np.where(weight > 0, value / np.maximum(weight, 1), np.nan)
+
+
 def time_medians(scans: DataFrame, data: DataFrame, least: int = 50, deviation: str = "relDev") -> DataFrame:
     """(specfile, id, rt, correction): for each MS1 scan the mean of medians, its own with weight 1 and its neighbours' with 1/2.
 
     Neighbours are added on both sides until ``least`` points are reached, or both ends; null where there is no data.
-    A run is one group: its scans, not its data points.
+    A run is one group: its scans, not its data points. All windows of a run are found at once: sums over any window are
+    differences of running sums, and each scan's least width by bisection. Scans at the same time are ordered by id; null
+    deviations are not counted.
     """
-    medians = data.groupBy("specfile", "id").agg(F.percentile(deviation, 0.5).alias("med"), F.count("*").alias("n"))
+    known = data.where(F.col(deviation).isNotNull())
+    medians = known.groupBy("specfile", "id").agg(F.percentile(deviation, 0.5).alias("med"), F.count("*").alias("n"))
     rows = scans.select("specfile", "id", "rt").join(medians, ["specfile", "id"], "left")
 
     def widen(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values(["rt", "id"]).reset_index(drop=True)
-        med, n = run["med"].to_numpy(float), run["n"].fillna(0).to_numpy(int)
-        out = np.full(len(run), np.nan)
-        for i in range(len(run)):
-            points, values, weights, step = n[i], [], [], 0
-            if n[i]:
-                values, weights = [med[i]], [1.0]
-            while points < least and (i - step > 0 or i + step < len(run) - 1):
-                step += 1
-                for j in (i - step, i + step):
-                    if 0 <= j < len(run) and n[j]:
-                        points += n[j]
-                        values.append(med[j])
-                        weights.append(0.5)
-            if values:
-                out[i] = np.average(values, weights=weights)
+        out = weighted_medians(run["med"].to_numpy(float), run["n"].fillna(0).to_numpy(np.int64), least)
         return pd.DataFrame({"specfile": run["specfile"], "id": run["id"], "rt": run["rt"], "correction": out}).replace({np.nan: None})
 
     return rows.groupBy("specfile").applyInPandas(widen, "specfile string, id string, rt double, correction double")

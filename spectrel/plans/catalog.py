@@ -446,7 +446,12 @@ def match_targets(spark, sf_dir):
     return found.select("id", F.col("obsMz").cast("long").cast("string").alias("match"), F.round("excMz", 6).alias("exc"))
 
 
-@query()
+@query("""with v as (select vec_id, vec_id % 4 as run, embedding from embeddings where vec_id is not null and embedding is not null), i as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as n from v),
+ t as (select unnest([410.0, 425.0, 450.0])::double as e), h as (select vec_id, e, 400 + n + x as mz, row_number() over (partition by vec_id, e order by abs(400 + n + x - e), 400 + n + x) as k from i, t where abs(400 + n + x - e) <= e * 1e-4),
+ m as (select vec_id, median(1 - mz / e) as med, count(*) as points from h where k = 1 group by vec_id), s as (select v.run, v.vec_id, row_number() over (partition by v.run order by v.vec_id) as pos, m.med, m.points from v left join m using (vec_id)),
+ w as (select a.vec_id, abs(b.pos - a.pos) as far, b.med, b.points from s a join s b on a.run = b.run where b.points > 0), c as (select *, sum(points) over (partition by vec_id order by far) - sum(points) over (partition by vec_id, far) as before from w),
+ f as (select vec_id, sum(if(far = 0, 2, 1) * med) / sum(if(far = 0, 2, 1)) as correction from c where before < 10 group by vec_id)
+ select 'run' || v.run as specfile, v.vec_id::varchar as id, round(sum((400 + i.n + i.x) * (1 + coalesce(f.correction, 0)) order by i.n), 6) as total_mz from v join i using (vec_id) left join f using (vec_id) group by v.run, v.vec_id""")
 def time_calibration(spark, sf_dir):
     scans = _ions(spark, sf_dir).select("specfile", "id", "rt")
     found = calibration.time_medians(scans, _calibration(spark, sf_dir), 10)

@@ -357,3 +357,36 @@ def test_time_medians(spark):
     data = spark.createDataFrame([("r", "0", 1.0), ("r", "1", 4.0)], "specfile string, id string, relDev double")
     got = {r["id"]: r["correction"] for r in calibration.time_medians(scans, data, 5).collect()}
     assert got["0"] == pytest.approx((1 + 0.5 * 4) / 1.5) and got["2"] == pytest.approx(2.5)
+
+
+def expanded(med, n, least):
+    """Windows grown step by step on both sides."""
+    out = np.full(len(n), np.nan)
+    for i in range(len(n)):
+        own, step = [i], 0
+        while n[own].sum() < least and len(own) < len(n):
+            step += 1
+            own = list(range(max(0, i - step), min(len(n), i + step + 1)))
+        used = [(med[j], 1.0 if j == i else 0.5) for j in own if n[j]]
+        if used:
+            out[i] = sum(m * w for m, w in used) / sum(w for _, w in used)
+    return out
+
+
+def test_weighted_medians_equal_windows_grown_step_by_step():
+    rng = np.random.default_rng(8)
+    for size in [0, 1, 2, *rng.integers(3, 40, 200)]:
+        n = rng.integers(0, 6, size) * (rng.random(size) < rng.random())
+        med = np.where(n > 0, rng.normal(size=size), np.nan)
+        for least in (0, 1, 7, 1000):
+            np.testing.assert_allclose(calibration.weighted_medians(med, n, least), expanded(med, n, least), atol=1e-12)
+    many = np.ones(500_000, int)
+    assert np.allclose(calibration.weighted_medians(np.full(500_000, 3.0), many, 10**7), 3)
+
+
+def test_time_medians_of_ties_and_nulls(spark):
+    scans = spark.createDataFrame([("r", "b", 1.0), ("r", "a", 1.0), ("s", "x", 2.0)], "specfile string, id string, rt double")
+    data = spark.createDataFrame([("r", "a", 2.0), ("r", "a", None), ("s", "x", None)], "specfile string, id string, relDev double")
+    got = {r["id"]: r["correction"] for r in calibration.time_medians(scans, data, 1).collect()}
+    assert got == {"a": 2.0, "b": 2.0, "x": None}
+    assert calibration.time_medians(scans.limit(0), data, 1).count() == 0
