@@ -200,6 +200,40 @@ def test_labels_without_residues(spark):
     assert got[2]["d"] is None and got[3]["d"] == pytest.approx(labels.mass_differences("GKLM", setup()))
 
 
+def test_label_columns_equal_the_functions(spark):
+    """Random peptides of labels and other modifications, some twice, stray brackets, empty and null rows; several setups."""
+    rng = np.random.default_rng(12)
+    marks = ["", "", "", "[u:34]", "[u:5]", "[u:1]", "[u:1][u:1]", "[u:5][u:34]", "[u:21]", "[", "]", "[]"]
+    peptides = [str(rng.choice(marks)) + "".join(a + str(rng.choice(marks)) for a in rng.choice(list("KMGLR"), rng.integers(0, 7))) for _ in range(1500)]
+    peptides += ["", None, "K" * 3000 + "[u:34]", "[u:1]", "KK[u:34]", "K\nK"]
+    # states of several places, labels twice at a place, longer text as a place, an end that is never found, states that look alike, none at all
+    more = labels.LabelSetup()
+    more.add({"nTerm": ["u:5", "u:34"], "KK": "u:34", "K": ["u:34", "u:34"]}, {"u:1": "u:34", "u:21": "u:34"})
+    more.add({"K": "u:5", "cTerm": "u:34"})
+    more.add({"K": [None], "": None})
+    alike = labels.LabelSetup()
+    alike.add({"R": "u:34"})
+    alike.add({"R": "u:34", "K": None})
+    table = spark.createDataFrame(list(enumerate(peptides)), "i int, p string").repartition(4)
+    for own in (setup(STATES), setup(STATES[:2]), more, alike, labels.LabelSetup()):
+        columns = {"s": labels.label_state_column(F.col("p"), own), "d": labels.mass_differences_column(F.col("p"), own)}
+        found = table.select("i", *[c.alias(name) for name, c in columns.items()])
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["i"]: (r["s"], r["d"]) for r in found.collect()}
+        assert len(got) == len(peptides)
+        for i, peptide in enumerate(peptides):
+            state, apart = got[i]
+            if peptide is None:
+                assert state is None and apart is None
+            else:
+                assert state == labels.label_state(peptide, own), peptide
+                assert apart == pytest.approx(labels.mass_differences(peptide, own)), peptide
+    odd = labels.LabelSetup()
+    odd.add({"K": "no such label"})
+    with pytest.raises(ValueError):
+        labels.mass_differences_column(F.col("p"), odd)
+
+
 def test_reporters(spark):
     targets, tolerance = [113.1, 114.1, 115.1, 121.2], 20e-6
     mz = [90.0, 113.0985, 113.1001, 113.1006, 114.0, 115.1022, 115.1024, 121.2, 300.0]
