@@ -88,6 +88,78 @@ class Spline:
         return self._basis(np.asarray(x, float)) @ self.c
 
 
+def local_basis(knots: np.ndarray, degree: int, piece: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The degree + 1 B-splines that aren't zero on the piece from knots[piece] to the next knot, at x: one row for each x."""
+    b = np.ones((len(x), 1))
+    for k in range(1, degree + 1):
+        # knots around the piece that the functions of degree k begin and end at
+        low = knots[piece[:, None] + np.arange(1 - k, 1)]
+        high = knots[piece[:, None] + np.arange(1, k + 1)]
+        part = b / (high - low)
+        b = np.zeros((len(x), k + 1))
+        b[:, :-1] += part * (high - x[:, None])
+        b[:, 1:] += part * (x[:, None] - low)
+    return b
+
+
+def banded_solve(bands: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x of A x = right for a symmetric positive definite A, where bands[i, k] is A[i, i + k]."""
+    a, x = bands.copy(), right.copy()
+    n, w = a.shape
+    for i in range(n):
+        for k in range(1, min(w, n - i)):
+            f = a[i, k] / a[i, 0]
+            a[i + k, : w - k] -= f * a[i, k:]
+            x[i + k] -= f * x[i]
+    for i in reversed(range(n)):
+        m = min(w, n - i)
+        x[i] = (x[i] - a[i, 1:m] @ x[i + 1 : i + m]) / a[i, 0]
+    return x
+
+
+def cell_polynomials(cells: np.ndarray, moments: np.ndarray, rights: np.ndarray, n: int, least: int) -> np.ndarray:
+    """The least-squares spline of points that are known by sums of powers: n x (degree + 1) coefficients, one polynomial a cell.
+
+    Of each of ``cells`` (from 0 to n - 1, others are empty) there are the sums of u**k and of y * u**k, where u is a point's
+    place in its cell, from 0 to 1. Knots are borders of cells with at least ``least`` points between two of them, taken
+    from the left. What the points leave open is settled by the coefficients' being like their neighbours.
+    """
+    degree = rights.shape[1] - 1
+    full = np.zeros((n, moments.shape[1]))
+    right = np.zeros((n, degree + 1))
+    full[cells], right[cells] = moments, rights
+    seen = np.concatenate(([0.0], np.cumsum(full[:, 0])))
+    inner = [0]
+    while True:
+        knot = int(np.searchsorted(seen, seen[inner[-1]] + least - 0.5))
+        if knot >= n or seen[-1] - seen[knot] < least - 0.5:
+            break
+        inner.append(knot)
+    knots = np.concatenate((np.zeros(degree), inner, np.full(degree + 1, n))).astype(float)
+    every = np.arange(n)
+    piece = np.searchsorted(knots, every, side="right") - 1
+    # each function is a polynomial of u in a cell: known at degree + 1 places, it is known
+    places = np.linspace(0, 1, degree + 1)
+    values = np.stack([local_basis(knots, degree, piece, every + u) for u in places], axis=2)
+    shapes = values @ np.linalg.inv(np.vander(places, increasing=True)).T
+    hankel = full[:, np.arange(degree + 1)[:, None] + np.arange(degree + 1)]
+    gram = shapes @ hankel @ shapes.transpose(0, 2, 1)
+    load = (shapes @ right[:, :, None])[:, :, 0]
+    first = piece - degree
+    size = len(knots) - degree - 1
+    bands, side = np.zeros((size, degree + 1)), np.zeros(size)
+    for i in range(degree + 1):
+        np.add.at(side, first + i, load[:, i])
+        for k in range(degree + 1 - i):
+            np.add.at(bands, (first + i, k), gram[:, i, i + k])
+    alike = 1e-9 * max(bands[:, 0].mean(), 1e-300)
+    bands[:-1, 0] += alike
+    bands[1:, 0] += alike
+    bands[:-1, 1] -= alike
+    c = banded_solve(bands, side)
+    return (c[first[:, None] + np.arange(degree + 1)][:, None, :] @ shapes)[:, 0]
+
+
 class DeviationModel:
     """A deviation as a smooth function of a position: the mean of splines on random subsets of averaged points."""
 

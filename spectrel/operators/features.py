@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants
 from ..functions.masses import overlaps, relative_mass_to_log2
-from ..functions.numerics import DeviationModel
+from . import splines
 from .ordered import null_safe_join, numbered
 from .rangejoin import nearest_match, tolerance_join
 from .tables import stored
@@ -97,23 +97,23 @@ def deviations(features: DataFrame, reference: str, rt_limit: float = 60, mz_lim
     return best.select("specfile", "id", "rt", (F.col("rt") - F.col("refRt")).alias("rtDev"), ((1 - F.col("mz") / F.col("refMz")) * 1e6).alias("mzDevRel"))
 
 
+#: Matches that a run needs to be aligned.
+LEAST_MATCHES = 40
+
+
 def calibrate_rt(features: DataFrame, reference: str, seed: int = 1, **limits) -> DataFrame:
-    """rt of all runs aligned to a reference run; the original stays in obsRt. A run's model is fitted in one task on its matches."""
-    schema = features.schema
-
-    def fit(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own = own.copy()
-        own["obsRt"] = own["obsRt"].fillna(own["rt"]) if "obsRt" in own else own["rt"]
-        if len(found) >= 40:
-            x = found["rt_"].to_numpy()
-            model = DeviationModel(found["dev"].to_numpy(), x, "median", 10, knots=max(2, int(x.max() - x.min())), expansion=0.2, seed=seed)
-            own["rt"] = own["rt"] - model(own["rt"].to_numpy())
-        return own[[f.name for f in schema.fields]]
-
-    found = deviations(features, reference, **limits)
-    # new names: both sides stem from the same table
-    found = found.select(F.col("specfile").alias("run"), F.col("rt").alias("rt_"), F.col("rtDev").alias("dev"))
-    return features.groupBy("specfile").cogroup(found.groupBy("run")).applyInPandas(fit, schema)
+    """rt of all runs aligned to a reference run; the original stays in obsRt, if there is such a column.
+
+    A run's deviation from the reference is a spline of its matches with knots at full seconds or further apart, fitted by
+    sums (``splines``). Runs of fewer than LEAST_MATCHES matches, and features without a time, stay as they are.
+    """
+    found = deviations(features, reference, **limits).withColumnRenamed("id", "_id")
+    model = splines.fit(found, ["specfile"], "rt", "rtDev", ["_id"], expansion=0.2, fewest=LEAST_MATCHES, seed=seed)
+    moved = splines.predict(features, model, ["specfile"], "rt", "_shift")
+    changed = {"rt": F.col("rt") - F.coalesce("_shift", F.lit(0.0))}
+    if "obsRt" in features.columns:
+        changed["obsRt"] = F.coalesce("obsRt", "rt")
+    return moved.withColumns(changed).select(*[F.col(f"`{c}`") for c in features.columns])
 
 
 # ---------------------------------------------------------------- grouping

@@ -72,9 +72,10 @@ def islands(table: DataFrame, value: str, limit, order: list[str], by: list[str]
     return found.withColumn(into, F.col(into) + F.col("_earlier")).drop("_part", "_earlier")
 
 
-def running(table: DataFrame, value: str, m: int, order: list[str], by: list[str], kind: str = "median", into: str = "running") -> DataFrame:
+def running(table: DataFrame, value: str, m: int, order: list[str], by: list[str], kind: str = "median", into: str = "running", middle: str | None = None) -> DataFrame:
     """Mean or median of each ``m`` rows in a row; the first m - 1 rows of a group have none and are left out.
 
+    A window is known by its last row; of the column ``middle`` it has the value of the row in its middle (of two, the later).
     Rows are dealt into blocks by their numbers, and the last m - 1 rows of a block are also sent to the next one.
     """
     size = max(BLOCK, m)
@@ -82,7 +83,9 @@ def running(table: DataFrame, value: str, m: int, order: list[str], by: list[str
     block = F.floor(F.col("_n") / size)
     late = F.col("_n") % size > size - m
     sent = placed.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
-    frame = Window.partitionBy(*by, "_block").orderBy("_n").rowsBetween(-(m - 1), 0)
+    rows = Window.partitionBy(*by, "_block").orderBy("_n")
     f = F.percentile(value, 0.5) if kind == "median" else F.avg(value)
-    found = sent.withColumn(into, f.over(frame))
+    found = sent.withColumn(into, f.over(rows.rowsBetween(-(m - 1), 0)))
+    if middle:
+        found = found.withColumn(middle, F.lag(middle, (m - 1) // 2).over(rows))
     return found.where((F.col("_block") == block) & (F.col("_n") >= m - 1)).drop("_n", "_block")
