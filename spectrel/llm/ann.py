@@ -14,6 +14,8 @@ and vectors meet block by block; a block's rows are bounded, so no task grows wi
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -182,58 +184,80 @@ def scan(book: Codebook, queries: np.ndarray, vectors: np.ndarray, codes: np.nda
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, sure: float = SURE) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, the ``k`` others of largest inner product.
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, the ``k`` other rows of largest inner product.
 
-    Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of another length than
-    most (of equally frequent lengths the smaller is kept), nor rows without an id. Rows that share an id count as one,
-    of which the least vector is kept. Ties go to the smaller vec_id. An empty table gives no rows.
+    Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without an id. A product
+    needs equal lengths, so rows meet those of their own length, each length with its own codebook (128 bytes a component).
+    Rows that share an id are rows like any other: each is asked for itself, and found itself. Ties go to the smaller
+    vec_id. A query without other rows, and an empty table, give no rows.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     raw = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v"))
     fine = raw.where("vec_id is not null and v is not null and forall(v, x -> coalesce(abs(x) < double('infinity'), false)) and exists(v, x -> x <> 0)")
-    fine = stored(fine.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    lengths = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    dim, n = lengths["d"], lengths["n"]
-    fine = fine.where(F.size("v") == dim)
-    same = Window.partitionBy("v").orderBy("vec_id")
-    classes = fine.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = stored(classes.select(F.col("ids")[0].alias("low"), "v", "ids"), "classes")
-    sample = classes.orderBy(F.xxhash64("low"), "low").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    book = Codebook(np.asarray(sample.flatten()).reshape(-1, dim))
-    held = spark.sparkContext.broadcast(book)
-    blocks = max(BLOCKS, -(-n // BLOCK_ROWS))
-    asked = fine.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    turns = -(-(n // every + 1) // QUERY_ROWS)
-    spot = lambda column, count: F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+    fine = stored(fine.select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("v").alias("key")), "vectors")
+    lengths = fine.groupBy("d").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
+    at_least = lambda least, n, size: F.greatest(F.lit(least), F.ceil(F.col(n) / size)).cast("int")
+    lengths = stored(lengths.select("d", at_least(BLOCKS, "n", BLOCK_ROWS).alias("blocks"), at_least(1, "asked", QUERY_ROWS).alias("turns")), "lengths")
+    same = Window.partitionBy("d", "key", "v").orderBy("vec_id")
+    classes = fine.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("d", "key", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    # a class is known by its least id and its key, as rows that share an id may differ
+    classes = stored(classes.select("d", F.col("ids")[0].alias("low"), "key", "v", "ids"), "classes")
+    held = spark.sparkContext.broadcast(_codebooks(classes))
 
     def code(batches):
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-            packed = np.ascontiguousarray(paired(held.value.encode(x)).T)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], ["low", "v", "code"])
-
-    index = stored(classes.select("low", "v").mapInArrow(code, "low long, v array<double>, code binary"), "index")
-    left = index.select("*", spot("low", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
-    right = asked.select("*", spot("query_id", turns).alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+            sizes = batch.column(0).to_numpy()
+            for d in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == d))
+                packed = np.ascontiguousarray(paired(held.value[d].encode(np.asarray(part.column(3).flatten()).reshape(-1, d))).T)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in packed], pa.binary())], ["d", "low", "key", "v", "code"])
+
+    index = stored(classes.select("d", "low", "key", "v").mapInArrow(code, "d int, low long, key long, v array<double>, code binary"), "index")
+    spot = lambda name, count: F.pmod(F.xxhash64(name, "key"), F.col(count)).cast("int")
+    count_up = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    # rows of one id and vector have the same answers
+    asked = fine.where(F.col("vec_id") % every == 0).groupBy("d", "key", "v", F.col("vec_id").alias("query_id")).agg(F.count("*").alias("times"))
+    left = index.join(lengths, "d").select("d", "low", "key", "v", "code", spot("low", "blocks").alias("block"), count_up("turns").alias("turn"))
+    right = asked.join(lengths, "d").select("d", "query_id", F.col("key").alias("own"), "times", "v", spot("query_id", "turns").alias("turn"), count_up("blocks").alias("block"))
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "low", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        names = ["query_id", "own", "times", "low", "key", "score"]
         if not rows.num_rows or not queries.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim)
-        low = rows.column("low").to_numpy()
-        order = np.argsort(low, kind="stable")
+            return pa.table([pa.array([], pa.int64())] * 5 + [pa.array([], pa.float64())], names)
+        d = rows.column("d")[0].as_py()
+        matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, d)
+        low, key = rows.column("low").to_numpy(), rows.column("key").to_numpy()
+        order = np.lexsort((key, low))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in rows.column("code").to_pylist()])[order].T
-        who, what, scores, _ = scan(held.value, matrix(queries), matrix(rows)[order], np.ascontiguousarray(codes), k + 1, sure)
-        return pa.table([pa.array(queries.column("query_id").to_numpy()[who]), pa.array(low[order][what]), pa.array(scores)], names)
+        who, what, scores, _ = scan(held.value[d], matrix(queries), matrix(rows)[order], np.ascontiguousarray(codes), k + 1, sure)
+        asking = [pa.array(queries.column(c).to_numpy()[who]) for c in names[:3]]
+        return pa.table([*asking, pa.array(low[order][what]), pa.array(key[order][what]), pa.array(scores)], names)
 
-    near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(meet, "query_id long, low long, score double")
-    first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "low")
+    near = left.groupBy("d", "block", "turn").cogroup(right.groupBy("d", "block", "turn")).applyInArrow(meet, "query_id long, own long, times long, low long, key long, score double")
+    first = Window.partitionBy("query_id", "own").orderBy(F.col("score").desc(), "low", "key")
     best = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
-    each = best.join(classes.select("low", "ids"), "low").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    last = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # of the query's own class the query itself is left out, once
+    place = F.when(F.col("own") == F.col("key"), F.array_position("ids", F.col("query_id"))).otherwise(0)
+    others = F.filter("ids", lambda _, i: i + 1 != place)
+    each = best.join(classes.select("low", "key", "ids"), ["low", "key"]).select("query_id", "own", "times", F.explode(others).alias("vec_id"), "score")
+    last = Window.partitionBy("query_id", "own").orderBy(F.col("score").desc(), "vec_id")
+    ranked = each.withColumn("rank", F.row_number().over(last).cast("int")).where(F.col("rank") <= k)
+    return ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", "rank", "vec_id", "score")
+
+
+def _codebooks(classes: DataFrame) -> dict[int, Codebook]:
+    """A codebook for each length of vector, fitted on SAMPLE vectors of it at most, those of the least hashes."""
+    share = F.pmod(F.xxhash64("low", "key"), F.lit(1 << 30))
+    counts = classes.groupBy("d").agg(F.count("*").alias("n"))
+    # a few times the sample is kept before it is sorted
+    few = classes.join(counts, "d").where(share <= 4.0 * SAMPLE / F.col("n") * (1 << 30)).select("d", "low", "key", "v")
+    lowest = Window.partitionBy("d").orderBy(F.xxhash64("low", "key"), "low", "key")
+    sample = few.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= SAMPLE)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("r")
+        d = rows.column("d")[0].as_py()
+        book = Codebook(np.asarray(rows.column("v").combine_chunks().flatten()).reshape(-1, d))
+        return pa.table([pa.array([d], pa.int32()), pa.array([pickle.dumps(book)], pa.binary())], ["d", "book"])
+
+    return {r["d"]: pickle.loads(r["book"]) for r in sample.groupBy("d").applyInArrow(fit, "d int, book binary").toLocalIterator()}

@@ -747,12 +747,27 @@ def test_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(60)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [1.0, nan, 0.0]), (160, [1.0, None, 2.0]), (180, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (0, [1.0, 0.0, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = ann.search(table).collect()
-    assert {r["query_id"] for r in got} == {0, 20, 40} and len(got) == 60
+    # two rows share the id 0; the vector of another length has no others
+    assert {r["query_id"] for r in got} == {0, 20, 40} and len(got) == 80
     first = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 20)
     assert [v for _, v in first] == [i for i in range(60) if i % 3 == 2 and i != 20] + [1]
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths_and_of_shared_ids(spark):
+    """Against the SQL: lengths of 1 to 9, ids that several rows share with equal and with other vectors, a vector of a third of all rows."""
+    rng = np.random.default_rng(21)
+    rows = [(int(rng.integers(0, 200)), [float(x) for x in rng.integers(-4, 5, rng.choice([5, 5, 5, 8, 9, 1]))]) for _ in range(500)]
+    rows += [(i % 90, [1.0, -2.0, 3.0, 0.0, 1.0]) for i in range(250)] + [(40, [7.0]), (40, [7.0]), (60, [1.0] * 17)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("d", F.lit(1)).repartition(6)
+    con = duckdb.connect()
+    con.register("embeddings", table.select("vec_id", "embedding").toArrow())
+    want = sorted(con.execute(oracle_sql()["op8_ann"]).fetchall())
+    assert len({q for q, *_ in want}) > 5 and 60 in {q for q, *_ in want}
+    # products of small whole numbers are exact; codes of short vectors miss nothing
+    assert sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in ann.search(table).collect()) == want
+
+
 def test_anisotropic_codes_keep_the_parallel_part():
     x = np.random.default_rng(2).normal(size=(2000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
