@@ -75,11 +75,11 @@ def annotate_features(features: DataFrame, matches: DataFrame, best: DataFrame,
     ).drop("_m", "_specIds", "_score", "_peptide", "_sequence")
 
 
-def match_statistics(features: DataFrame, matches: DataFrame, spectra: DataFrame) -> DataFrame:
+def match_statistics(features: DataFrame, matches: DataFrame, spectra: DataFrame, keys: tuple[str, ...] = ("specfile",)) -> DataFrame:
     """One row: features, features matched, spectra, spectra matched, and both shares (null where there is nothing)."""
     f = features.agg(F.count("*").alias("features"))
     s = spectra.agg(F.count("*").alias("spectra"))
-    m = matches.where("single").agg(F.countDistinct("featureId").alias("matched_features"), F.count("*").alias("matched_spectra"))
+    m = matches.where("single").agg(F.countDistinct(*keys, "featureId").alias("matched_features"), F.count("*").alias("matched_spectra"))
     one = f.crossJoin(s).crossJoin(m)  # three tables of one row
     return one.withColumns({"feature_share": F.try_divide("matched_features", "features"), "spectrum_share": F.try_divide("matched_spectra", "spectra")})
 

@@ -466,3 +466,60 @@ def test_time_medians_of_ties_and_nulls(spark):
     got = {r["id"]: r["correction"] for r in calibration.time_medians(scans, data, 1).collect()}
     assert got == {"a": 2.0, "b": 2.0, "x": None}
     assert calibration.time_medians(scans.limit(0), data, 1).count() == 0
+
+
+def test_first_valid_and_named(spark):
+    rows = [("a", "s1", 2, True, "late"), ("a", "s1", 0, False, "invalid"), ("a", "s1", 1, True, "first"), ("b", "s1", 0, True, "other run"), ("a", "s2", 0, False, "none"), ("a", "s3", 0, None, "unknown")]
+    t = spark.createDataFrame(rows, "specfile string, id string, ord int, isValid boolean, note string").repartition(3)
+    notes = lambda df: [r["note"] for r in df.collect()]
+    assert notes(access.first_valid(t, "a", "s1")) == ["first"] and sorted(notes(access.item(t, "a", "s1"))) == ["first", "invalid", "late"]
+    assert notes(access.first_valid(t, "a", "s2")) == notes(access.first_valid(t, "a", "s3")) == notes(access.first_valid(t, "c", "s1")) == []
+    proteins_ = spark.createDataFrame([("P1", "ALBU"), ("P2", "P1"), ("P3", "KRT"), ("P0", "KRT"), (None, None)], "id string, name string")
+    found = lambda key: [r["id"] for r in access.by_id_or_name(proteins_, key).collect()]
+    # an id comes before a name, and of equal names the least id
+    assert [found(k) for k in ("P1", "ALBU", "KRT", "nothing")] == [["P1"], ["P1"], ["P0"], []]
+
+
+def test_annotated_features(spark):
+    fs = spark.createDataFrame([("a", "f1", 5), ("a", "f2", 6), ("a", "f3", 7), ("b", "f1", 8)], "specfile string, id string, extra int")
+    # f2 is met, but not by a spectrum of one peptide; a spectrum that meets several features matches none
+    met = spark.createDataFrame([("a", "s1", "f1", True), ("a", "s2", "f1", True), ("a", "s3", "f2", True), ("a", "s4", "f3", False), ("a", "s4", "f2", False)], "specfile string, specId string, featureId string, single boolean")
+    best = spark.createDataFrame([("a", "f1", ["s1", "s2"], 0.01, "PEPK[x]", "PEPK")], "specfile string, featureId string, specIds array<string>, score double, peptide string, sequence string")
+    out = features.annotate_features(fs, met, best)
+    got = {(r["specfile"], r["id"]): r for r in out.collect()}
+    assert len(got) == 4 and {k: (r["isMatched"], r["isAnnotated"], r["peptide"], r["score"], r["siiIds"], r["extra"]) for k, r in got.items()} == {
+        ("a", "f1"): (True, True, "PEPK[x]", 0.01, ["s1", "s2"], 5), ("a", "f2"): (True, False, None, None, [], 6), ("a", "f3"): (False, False, None, None, [], 7), ("b", "f1"): (False, False, None, None, [], 8),
+    }
+    spectra = spark.createDataFrame([(f"s{i}",) for i in range(8)], "specId string")
+    # features of two runs may have one id
+    both = met.unionAll(spark.createDataFrame([("b", "s9", "f1", True)], met.schema))
+    assert features.match_statistics(fs, both, spectra).first()["matched_features"] == 3
+    assert features.match_statistics(fs, met, spectra).collect()[0].asDict() == {"features": 4, "spectra": 8, "matched_features": 2, "matched_spectra": 3, "feature_share": 0.5, "spectrum_share": 0.375}
+    nothing = features.match_statistics(fs.limit(0), met.limit(0), spectra.limit(0)).collect()[0]
+    assert (nothing["features"], nothing["matched_spectra"], nothing["feature_share"], nothing["spectrum_share"]) == (0, 0, None, None)
+    bare = {(r["specfile"], r["id"]): r for r in access.remove_annotation(out, ["a"]).collect()}
+    assert len(bare) == 4 and all((r["isMatched"], r["isAnnotated"], r["peptide"], r["siiIds"], r["score"]) == (False, False, None, None, None) for k, r in bare.items() if k[0] == "a")
+    assert bare["b", "f1"] == got["b", "f1"] and access.remove_annotation(out).where("siiIds is not null").count() == 0
+
+
+def test_annotated_groups(spark):
+    rows = [(1, True, 0.2, "A[x]", "A"), (1, True, 0.9, "B", "B"), (1, False, 0.01, "C", "C"), (2, True, 0.5, "D", "D"), (2, True, 0.5, "E", "E"), (3, False, None, None, None), (4, None, 1.0, "F", "F")]
+    members = spark.createDataFrame(rows, "groupId int, isAnnotated boolean, score double, peptide string, sequence string")
+    found = lambda larger: {r["groupId"]: (r["score"], r["peptide"], r["sequence"]) for r in features.annotate_groups(members, larger).collect()}
+    assert found(True) == {1: (0.9, "B", "B"), 2: (0.5, "E", "E")} and found(False) == {1: (0.2, "A[x]", "A"), 2: (0.5, "D", "D")}
+
+
+@pytest.mark.parametrize("mode", ["relative", "absolute"])
+def test_mass_model(spark, mode):
+    from spectrel.functions.numerics import DeviationModel
+
+    x = np.linspace(300, 1200, 600)
+    model = DeviationModel(1e-6 * x / 100, x, knots=5)
+    mz = [300.5, 700.25, 1100.0, 5000.0]
+    rows = [(1, 1, mz), (2, 2, mz), (3, 1, []), (4, 1, None), (5, None, mz)]
+    t = spark.createDataFrame(rows, "i int, msLevel int, mz array<double>")
+    got = {r["i"]: r["mz"] for r in calibration.apply_mass_model(t, model, mode).collect()}
+    moved = [m * (1 + d) if mode == "relative" else m + d for m, d in zip(mz, model(mz))]
+    assert got[1] == pytest.approx(moved, rel=1e-12) and got[1] != mz and got[2] == got[5] == mz and got[3] == [] and got[4] is None
+    # away from the ends, beyond which the deviation is taken as constant, it is the trend
+    assert model(mz[1])[0] == pytest.approx(1e-6 * mz[1] / 100, abs=2e-8)
