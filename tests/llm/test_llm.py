@@ -776,6 +776,43 @@ def test_anisotropic_codes_keep_the_parallel_part():
     assert along(book.encode(x, 2)) <= along(book.encode(x, 0))
 
 
+def simhash_groups(texts, radius=simhash.RADIUS, least=neargroups.SIMILARITY):
+    """Numbers of the texts that stay when all pairs of fingerprints and of shingle sets are compared."""
+    prints = [simhash.fingerprint(t) for t in texts]
+    w = [t.lower().split() for t in texts]
+    sets = [{tuple(x[i : i + neargroups.WORDS]) for i in range(len(x) - neargroups.WORDS + 1)} or {tuple(x)} for x in w]
+    alike = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= radius or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if alike(a, b) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    return sorted(set(group))
+
+
+def test_pipeline_joins_near_copies_by_simhash(spark):
+    """Texts of near fingerprints whose shingle sets are less alike than 0.8: they are one group, and pass on their other links."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(37)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+    texts = [words(120) for _ in range(10)]
+    lines = [words(3) * 80 for _ in range(4)]
+    texts += [line + words(12) for line in lines for _ in range(3)]
+    # less than 0.8 alike with the first of their group by sets, but 0.8 or more with another
+    texts += [t[:-3] + words(3) for t in texts[10:]]
+    # a plain near copy that no fingerprint shows, as before
+    texts += [t[:55] + words(4) + t[59:] for t in texts[:5]]
+    texts = [" ".join(texts[i]) for i in rng.permutation(len(texts))]
+    want = simhash_groups(texts)
+    assert len(want) == 14 < len(brute_groups(texts)) and len(want) < len(simhash_groups(texts, least=2))
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    # copies of both kinds in many rows, and texts without words, are no other groups
+    again = docs_of(spark, [*texts, *texts, "", " "])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, again, "").collect()) == [*want, 2 * len(texts)]
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
