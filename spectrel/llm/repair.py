@@ -35,16 +35,23 @@ ROUNDS = (500, 2_000, 8_000, 32_000)
 #: Shards: documents of each, about, and their number at most (the table of their sizes is broadcast).
 SHARD_ROWS, MAX_SHARDS = 20_000, 65_536
 
-_HASH_BITS = 20
-
-
-def _counted(seq: np.ndarray, place: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs at ``place`` those that occur ``least`` times or more without overlap, as one number; their counts; and where each begins: place, pair."""
-    # a bucket's count is no less than that of any pair in it, so only pairs of full buckets are counted one by one
-    bucket = (seq[place] * np.uint32(2654435769) + seq[place + 1] * np.uint32(2246822519)) >> np.uint32(32 - _HASH_BITS)
-    place = place[(np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket]]
-    left = seq[place]
-    key = left.astype(np.uint64) << np.uint64(bits) | seq[place + 1]
+#: Buckets of pairs: many where rare pairs are asked for, and few, which stay in the processor's cache, where frequent ones are.
+_HASH_BITS, _FEW_BITS, _FREQUENT = 19, 16, 100
+_NO_PAIR = np.iinfo(np.int32).max
+#: So few places are sorted without buckets.
+_SHORT = 1 << 16
+
+
+def _counted(seq: np.ndarray, place: np.ndarray | None, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at ``place`` (None: everywhere) those that occur ``least`` times or more without overlap, as one number; their counts; and where each begins: place, pair."""
+    if place is None or len(place) > _SHORT:
+        # a bucket's count is no less than that of any pair in it, so only pairs of full buckets are counted one by one
+        left, right = (seq[:-1], seq[1:]) if place is None else (seq[place], seq[place + 1])
+        hash_bits = _FEW_BITS if least > _FREQUENT else _HASH_BITS
+        bucket = ((left * np.uint32(2654435769) + right * np.uint32(2246822519)) >> np.uint32(32 - hash_bits)).astype(np.intp)
+        full = np.flatnonzero((np.bincount(bucket, minlength=1 << hash_bits) >= least)[bucket])
+        place = full if place is None else place[full]
+    key = seq[place].astype(np.uint64) << np.uint64(bits) | seq[place + 1]
     again = np.flatnonzero((key[1:] == key[:-1]) & (place[1:] == place[:-1] + 1)) + 1
     if len(again):
         # of a run of one symbol every other place counts
@@ -76,22 +83,24 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     limits = [max(least, len(seq) // per) for per in ROUNDS] + [least]
-    place = np.arange(len(seq) - 1)
-    while len(place):
+    # made once, and set back after each round: the rank of the pair that begins before each place, and the places to ask next
+    at, ask, stays = np.full(len(seq) + 2, _NO_PAIR, np.int32), np.zeros(len(seq) + 1, bool), np.ones(len(seq), bool)
+    place = None if len(seq) > 1 else np.zeros(0, np.int64)
+    while place is None or len(place):
         limit = limits.pop(0) if limits else least
         pairs, count, place, which = _counted(seq, place, bits, limit)
         if not len(pairs):
             if not limits:
                 break
-            place = np.arange(len(seq) - 1)
+            place = None
             continue
         # a pair is replaced where none of the overlapping ones is more frequent
         rank = np.empty(len(pairs), np.int32)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(pairs), dtype=np.int32)
-        at = np.full(len(seq) + 2, len(pairs), np.int32)
         mine = rank[which]
         at[place + 1] = mine
         best = (mine < at[place]) & (mine < at[place + 2])
+        at[place + 1] = _NO_PAIR
         worth = np.bincount(which[best], minlength=len(pairs)) >= least
         best &= worth[which]
         chosen, where = np.flatnonzero(worth), place[best]
@@ -99,21 +108,25 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         seq[where] = (len(lengths) + np.cumsum(worth) - 1)[which[best]]
         lengths = np.concatenate((lengths, lengths[made].sum(axis=1)))
         rules.append(made)
-        stays = np.ones(len(seq), bool)
-        stays[where + 1] = False
         if limits:
-            seq = seq[stays]
-            place = np.arange(len(seq) - 1)
+            stays[where + 1] = False
+            seq, place = seq[stays[: len(seq)]], None if len(seq) - len(where) > 1 else np.zeros(0, np.int64)
+            stays[where + 1] = True
             continue
-        # only pairs with a new symbol, or of those that stood back, can be frequent now
-        ask = np.zeros(len(seq) + 1, bool)
-        ask[place[~best]] = True
-        ask[where] = True
-        ask[np.maximum(where, 1) - 1] = True
-        # before a new symbol may stand another one, whose second half is gone
-        ask[np.maximum(where, 2) - 2] = True
-        seq, place = seq[stays], np.flatnonzero(ask[:-1][stays])
-        place = place[place < len(seq) - 1]
+        # only pairs with a new symbol, or of those that stood back, can be frequent now; before a new symbol may stand
+        # another one, whose second half is gone
+        asked = np.concatenate((place[~best], where, np.maximum(where, 1) - 1, np.maximum(where, 2) - 2))
+        stays[where + 1] = False
+        if len(asked) > _SHORT:
+            ask[asked] = True
+            next_place = np.flatnonzero(ask[: len(seq)][stays[: len(seq)]])
+            ask[asked] = False
+        else:
+            asked = np.unique(asked[stays[asked]])
+            next_place = asked - np.searchsorted(np.sort(where), asked)
+        seq = seq[stays[: len(seq)]]
+        stays[where + 1] = True
+        place = next_place[next_place < len(seq) - 1]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return table, lengths[base:], seq
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts, with a cache of pre-tokens.
 
 The tokenizers library splits a text into pre-tokens and encodes each on its own. Most pre-tokens recur, so a worker
-keeps their ids and hands only new ones to the library, many to a call. The texts of a slice are split together, by
+keeps their ids and hands only new ones to the library (byte-level ones to its model, as they are split already). The texts of a slice are split together, by
 comparing neighbouring characters' classes, and pre-tokens are looked up by a 64-bit hash and their ends. Texts with
 characters outside the plain set below, or with the text of a special token, go to the library whole. The ids equal those
 of ``Tokenizer.encode(text, add_special_tokens=False)`` in every case. Two kinds of vocabularies are cached so: byte-level
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -21,7 +22,6 @@ from .common import BASE, BASE_INVERSE, mixed, powers
 #: Characters for which Python's character classes and the tokenizer's agree.
 _PLAIN = r"\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧€"
 _ODD = re.compile(f"[^{_PLAIN}]")
-_JOINABLE = re.compile(r" [^\s]")
 #: Where a long text may be cut: a run of white space starts a pre-token whatever comes before.
 _CUT = re.compile(r"(?<=[^\s])\s")
 #: Characters split at a time, about.
@@ -35,6 +35,11 @@ JOINED = 256
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_END = "</w>"
 
+#: The character by which a byte-level vocabulary writes each byte, in the order of bytes.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = [chr(b if b in _PRINTABLE else 256 + b - sum(x < b for x in _PRINTABLE)) for b in range(256)]
+_TO_CHARS = str.maketrans(dict(enumerate(_BYTE_CHARS)))
+
 _END, _SPACE, _LETTER, _NUMBER, _OTHER = range(5)
 #: Plain characters beyond the Latin blocks are moved next to these.
 _LATIN, _POINTS, _EURO = 0x250, 0x2010, 0x20AC
@@ -208,15 +213,20 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Numbers of ids of pre-tokens, all ids, and the pre-tokens' order in these."""
+        if not self.words:
+            # pre-tokens go to the library's model as they are, written in its characters; none holds \0
+            model = self.tokenizer.model.tokenize
+            found = [[t.id for t in model(w)] for w in "\0".join(new).encode().decode("latin-1").translate(_TO_CHARS).split(_BYTE_CHARS[0])]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), list(range(len(new)))
         sizes = np.zeros(len(new), np.int64)
         flats, order = [], []
-        joined = [i for i, w in enumerate(new) if self.words or _JOINABLE.match(w)]
-        chunks = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        for chunk, ids in zip(chunks, self._whole([(" " if self.words else "").join([new[i] for i in c]) for c in chunks])):
+        chunks = [list(range(i, min(i + JOINED, len(new)))) for i in range(0, len(new), JOINED)]
+        for chunk, ids in zip(chunks, self._whole([" ".join([new[i] for i in c]) for c in chunks])):
             ids = np.asarray(ids, np.uint32)
             cuts = np.flatnonzero(self.marks[ids])
-            if len(cuts) == len(chunk) and (cuts[-1] == len(ids) - 1 if self.words else cuts[0] == 0):
-                sizes[chunk] = np.diff(cuts, prepend=-1) if self.words else np.diff(cuts, append=len(ids))
+            if len(cuts) == len(chunk) and cuts[-1] == len(ids) - 1:
+                sizes[chunk] = np.diff(cuts, prepend=-1)
                 flats.append(ids)
                 order += chunk
         rest = np.flatnonzero(sizes == 0).tolist()

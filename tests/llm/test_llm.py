@@ -192,6 +192,25 @@ def test_long_texts(spark):
     assert len({r["component_id"] for r in simhash.near_duplicates(docs).where("doc_id in (1, 3)").collect()}) == 1
 
 
+def test_new_pretokens_go_to_the_model_as_they_are(monkeypatch):
+    """The library splits nothing again that is split already, and the ids are its own."""
+    enc = Encoder(byte_tokenizer())
+    new = [" été", "\n\n", "  ", "'s", "’", " €", "a" * 60, " Öß", "123", "\t", "...", "\xad", " "]
+    want = [enc.tokenizer.encode(w, add_special_tokens=False).ids for w in new]
+    monkeypatch.setattr(enc, "_whole", None)
+    sizes, flat, order = enc._learn(new)
+    assert order == list(range(len(new))) and sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("short", [0, 1 << 30])
+def test_repair_by_buckets_and_by_sorting_are_one(short, monkeypatch):
+    rng = np.random.default_rng(41)
+    blocks = [np.tile(rng.integers(0, k, n), 3).astype(np.uint32) for k, n in ((1, 50), (2, 300), (7, 2000), (90, 20_000), (5, 1), (3, 0))]
+    want = [repair.compress(b, 100) for b in blocks]
+    monkeypatch.setattr(repair, "_SHORT", short)
+    assert all(np.array_equal(x, y) for b, w in zip(blocks, want) for x, y in zip(w, repair.compress(b, 100)))
+
+
 def test_repair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 2000)
     assert len(repair.compress(ids, 100)[2]) < len(ids) / 8
