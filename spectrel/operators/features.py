@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,55 +13,55 @@ from .. import constants
 from ..functions.masses import overlaps, relative_mass_to_log2
 from . import splines
 from .ordered import null_safe_join, numbered
-from .rangejoin import nearest_match, tolerance_join
+from .rangejoin import nearest_match
+from .stabbing import meetings
 from .tables import stored
 from .windows import mass_time_islands
 
 # ---------------------------------------------------------------- matching
 
 
-def match_features(spectra: DataFrame, features: DataFrame, tolerance: float, mode: str = "relative", isotope_errors: tuple[int, ...] = (0,), before: float = -0.05, after: float = 0.10, match_charge: bool = True, isotope_step: float = constants.ISOTOPE_STEP, keys: tuple[str, ...] = ("specfile",)) -> DataFrame:
-    """(keys, specId, featureId, error, single) for spectra that meet features.
+def match_features(spectra: DataFrame, features: DataFrame, tolerance: float, mode: str = "relative", isotope_errors: tuple[int, ...] = (0,), before: float = -0.05, after: float = 0.10, match_charge: bool = True, isotope_step: float = constants.ISOTOPE_STEP, keys: tuple[str, ...] = ("specfile",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, specId, keep, error, single, featureId) for spectra that meet features.
+
+    ``spectra``: keys, specId (each once), mass, rt, charge, and columns to ``keep``; ``features``: keys, featureId, mass,
+    rtLow, rtHigh, charge. Isotope errors are tried in order. A feature is met if its mass is within the tolerance of the
+    shifted spectrum mass, and the spectrum's time in its range, widened by the shares ``before`` and ``after`` of its width.
+    Do several meet, only the range as it is counts. The first error with one feature left matches it (``single``); one with
+    several ends the search without a match. Spectra without a charge take no part.
 
-    ``spectra``: keys, specId, mass, rt, charge; ``features``: keys, featureId, mass, rtLow, rtHigh, charge. Isotope errors
-    are tried in order. A feature is met if its mass is within the tolerance of the shifted spectrum mass, and the
-    spectrum's time in its range, widened by the shares ``before`` and ``after`` of its width. Do several meet, only the
-    range as it is counts. The first error with one feature left matches it (``single``); one with several ends the search
-    without a match. Spectra without a charge take no part.
+    Features met are counted and never listed (``stabbing``); only spectra that are left without any try the next error.
     """
     on = [*keys, *(["charge"] if match_charge else [])]
-    asked = spectra.where("charge is not null").select(*keys, "specId", "mass", "rt", "charge")
-    errors = F.posexplode(F.array(*[F.lit(float(e)) for e in isotope_errors])).alias("turn", "error")
-    shifted = asked.select("*", errors).withColumn("wanted", F.col("mass") + F.col("error") * isotope_step / F.col("charge"))
-    kept = features.select(*keys, "featureId", F.col("mass").alias("f_mass"), "rtLow", "rtHigh", *(["charge"] if match_charge else []))
+    own = list(dict.fromkeys([*keys, "specId", "mass", "rt", "charge", *keep]))
+    waiting = stored(spectra.where("charge is not null").select(*own), "spectra")
     width = F.col("rtHigh") - F.col("rtLow")
-    wide = F.col("rt").between(F.col("rtLow") + width * before, F.col("rtHigh") + width * after)
-    pairs = tolerance_join(shifted, kept, "wanted", "f_mass", tolerance, mode, on).where(wide)
-    return cascade(pairs, [*keys, "specId"], F.col("rt").between(F.col("rtLow"), F.col("rtHigh")))
-
-
-def cascade(pairs: DataFrame, spectrum: list[str], tight: Column) -> DataFrame:
-    """Of candidates (spectrum, turn, error, featureId) those that decide a spectrum: see ``match_features``."""
-    counted = pairs.withColumn("_tight", tight.cast("int")).groupBy(*spectrum, "turn", "error").agg(
-        F.count("*").alias("n_wide"),
-        F.sum("_tight").alias("n_tight"),
-        F.min("featureId").alias("only_wide"),
-        F.min(F.when(F.col("_tight") == 1, F.col("featureId"))).alias("only_tight"),
-    )
-    left = F.when(F.col("n_wide") > 1, F.col("n_tight")).otherwise(F.col("n_wide"))
-    decided = counted.withColumn("left", left).where("left > 0")
-    w = Window.partitionBy(*spectrum).orderBy("turn")
-    first = decided.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    found = F.when(F.col("left") == 1, F.when(F.col("n_wide") > 1, F.col("only_tight")).otherwise(F.col("only_wide")))
-    return first.select(*spectrum, "error", (F.col("left") == 1).alias("single"), found.alias("featureId"))
+    boxes = features.select(*on, F.col("featureId").alias("id"), "mass", "rtLow", "rtHigh", (F.col("rtLow") + width * before).alias("low"), (F.col("rtHigh") + width * after).alias("high"))
+    boxes = stored(boxes.select(*on, "id", "mass", "low", "high", F.greatest("low", "rtLow").alias("inner_low"), F.least("high", "rtHigh").alias("inner_high")), "features")
+    found = []
+    for n, error in enumerate(map(float, isotope_errors)):
+        wanted = F.col("mass") + F.lit(error) * isotope_step / F.col("charge")
+        met = meetings(waiting, boxes, on, "specId", wanted, "rt", tolerance, mode)
+        met = met.withColumn("left", F.when(F.col("wide") > 1, F.col("tight")).otherwise(F.col("wide")))
+        if n < len(isotope_errors) - 1:
+            met = stored(met, "met")
+            waiting = met.where("left = 0").select(*own)
+        only = F.when(F.col("left") == 1, F.when(F.col("wide") > 1, F.col("only_tight")).otherwise(F.col("only_wide")))
+        found.append(met.where("left > 0").select(*keys, "specId", *keep, F.lit(error).alias("error"), (F.col("left") == 1).alias("single"), only.alias("featureId")))
+    return reduce(DataFrame.unionAll, found)
 
 
 def best_annotations(matches: DataFrame, psms: DataFrame, keys: tuple[str, ...] = ("specfile",), larger_better: bool = False) -> DataFrame:
     """For each matched feature: spectra met, and the best (score, peptide, sequence) of them."""
-    joined = matches.where("single").join(psms.select(*keys, "specId", "score", "peptide", "sequence"), [*keys, "specId"])
+    joined = matches.where("single").select(*keys, "specId", "featureId").join(psms.select(*keys, "specId", "score", "peptide", "sequence"), [*keys, "specId"])
+    return best_of(joined, keys, larger_better)
+
+
+def best_of(annotated: DataFrame, keys: tuple[str, ...] = ("specfile",), larger_better: bool = False) -> DataFrame:
+    """The same for single matches that have score, peptide and sequence already."""
     entry = F.struct("score", "peptide", "sequence")
     best = F.max(entry) if larger_better else F.min(entry)
-    return joined.groupBy(*keys, "featureId").agg(F.array_sort(F.collect_list("specId")).alias("specIds"), best.alias("b")).select(*keys, "featureId", "specIds", "b.*")
+    return annotated.groupBy(*keys, "featureId").agg(F.array_sort(F.collect_list("specId")).alias("specIds"), best.alias("b")).select(*keys, "featureId", "specIds", "b.*")
 
 
 def annotate_features(features: DataFrame, matches: DataFrame, best: DataFrame, keys: tuple[str, ...] = ("specfile",)) -> DataFrame:
@@ -295,4 +297,4 @@ def annotate_groups(members: DataFrame, larger_better: bool, key: str = "groupId
     return members.where("isAnnotated").groupBy(key).agg((F.max(entry) if larger_better else F.min(entry)).alias("b")).select(key, "b.*")
 
 
-__all__ = ["annotate_features", "annotate_groups", "best_annotations", "calibrate_rt", "cascade", "cluster_metrics", "deviations", "group_by_proximity", "intensity_matrix", "lfq_groups", "match_features", "match_statistics", "relative_mass_to_log2", "tangled"]
+__all__ = ["annotate_features", "annotate_groups", "best_annotations", "best_of", "calibrate_rt", "cluster_metrics", "deviations", "group_by_proximity", "intensity_matrix", "lfq_groups", "match_features", "match_statistics", "relative_mass_to_log2", "tangled"]
