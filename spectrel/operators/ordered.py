@@ -72,6 +72,20 @@ def islands(table: DataFrame, value: str, limit, order: list[str], by: list[str]
     return found.withColumn(into, F.col(into) + F.col("_earlier")).drop("_part", "_earlier")
 
 
+def beside(table: DataFrame, by: list[str], order: list[str], value: str, before: str, after: str) -> DataFrame:
+    """The last ``value`` of the rows before each in its group of ``by``, and the first of those after it; nulls are passed over."""
+    placed = ranges(table, by, order)
+    keys = ["_part", *by]
+    turn = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = placed.groupBy(*keys).agg(F.min_by(value, turn).alias("_first"), F.max_by(value, turn).alias("_last"))
+    forth, back = (Window.partitionBy(*by or [F.lit(0)]).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_part"), F.desc("_part")))
+    ends = ends.select(*keys, F.last("_last", True).over(forth).alias("_earlier"), F.last("_first", True).over(back).alias("_later"))
+    # both windows look back, as one that looks ahead would start anew at each row
+    forth, back = (Window.partitionBy(*keys).orderBy(*[f(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1) for f in (F.asc, F.desc))
+    found = null_safe_join(placed, ends, keys)
+    return found.withColumns({before: F.coalesce(F.last(value, True).over(forth), "_earlier"), after: F.coalesce(F.last(value, True).over(back), "_later")}).drop("_part", "_earlier", "_later")
+
+
 def running(table: DataFrame, value: str, m: int, order: list[str], by: list[str], kind: str = "median", into: str = "running", middle: str | None = None) -> DataFrame:
     """Mean or median of each ``m`` rows in a row; the first m - 1 rows of a group have none and are left out.
 

@@ -211,6 +211,34 @@ def test_feature_matching_cascade(spark):
     assert rows == {"s1": (0.0, True, "f1"), "s2": (0.0, False, None), "s4": (1.0, True, "f1")}
 
 
+@pytest.mark.parametrize("mode, tolerance", [("relative", 1e-2), ("absolute", 0.5), ("absolute", 0.0)])
+def test_nearest_match_equals_the_plain_join(spark, mode, tolerance):
+    """Equal values, equal distances, values whose distances round to the same, nulls, and left keys of several rows."""
+    rng = np.random.default_rng(5)
+    some = lambda n: [None, 100.0, 1e-20, 2e-20, -1.0, 0.5, *rng.uniform(100, 130, n), *np.round(rng.uniform(100, 110, n) * 4) / 4]
+    rows = lambda n, start: [(int(i // start), None if v is None else float(v), None if i % 29 == 9 else int(i % 3)) for i, v in enumerate(some(n))]
+    a = spark.createDataFrame(rows(90, 2), "i int, a double, k int").repartition(5)
+    b = spark.createDataFrame([(-j, v, k) for j, v, k in rows(70, 1)], "j int, b double, k int").repartition(5)
+    for on in (["k"], None):
+        got = rangejoin.nearest_match(a, b if on else b.drop("k"), ["i"], "a", "b", tolerance, mode, on, ["j"]).select("i", "a", "j", "b").collect()
+        pairs = [(x, y) for x in a.collect() for y in b.collect() if None not in (x.a, y.b) and (not on or (x.k is not None and x.k == y.k))]
+        reach = lambda v: v * tolerance if mode == "relative" else tolerance
+        best: dict = {}
+        for x, y in pairs:
+            if x.a - reach(x.a) <= y.b <= x.a + reach(x.a) and (mode == "absolute" or min(x.a, y.b) > 0):
+                best[x.i] = min(best.get(x.i, (math.inf,)), (abs(y.b - x.a), y.j, x.a, y.b))
+        assert len(best) > 10 and sorted(tuple(r) for r in got) == sorted((i, v, j, w) for i, (_, j, v, w) in best.items())
+
+
+def test_nearest_match_of_dense_values_makes_no_pairs(spark):
+    """All of 80,000 values lie within the tolerance of all others."""
+    left = spark.range(80_000).select("id", (F.col("id") / 80_000).alias("a"))
+    right = spark.range(80_000).select(F.col("id").alias("other"), (F.col("id") / 80_000).alias("b"))
+    began = time.monotonic()
+    assert rangejoin.nearest_match(left, right, ["id"], "a", "b", 2.0, "absolute", None, ["b", "other"]).where("id = other").count() == 80_000
+    assert time.monotonic() - began < 60
+
+
 def plain_matches(spectra, feats, tolerance, mode, errors, step):
     """(specId: error, single, feature), each spectrum against each feature."""
     inf = float("inf")
