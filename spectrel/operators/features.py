@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -121,29 +122,64 @@ def calibrate_rt(features: DataFrame, reference: str, seed: int = 1, **limits) -
 # ---------------------------------------------------------------- grouping
 
 
-def _close_pairs(nodes: DataFrame, limit: float, by: list[str]) -> DataFrame:
-    """(a, b, d): pairs of nodes (_node, _t, _m, _c) of one group, of different categories, at most ``limit`` apart; a < b.
+#: Of a cell and the eight around it those that it looks into, so that two cells meet once.
+_AROUND = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
 
-    Nodes meet in square cells as wide as the limit: each looks into its own cell, and into four of the eight around it, so
-    a pair is found once.
-    """
+
+def _meeting(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (_island, _x, _y, columns) with those of their own cell and of the cells around, each pair of cells once: a_ and b_ columns."""
+    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _AROUND])
+    left = table.select(*[F.col(c).alias(f"a{c}") for c in ("_island", "_x", "_y", *columns)], F.explode(around).alias("_to"))
+    right = table.select(*[F.col(c).alias(f"b{c}") for c in ("_island", "_x", "_y", *columns)])
+    left = left.withColumns({"_to_x": F.col("a_x") + F.col("_to.x"), "_to_y": F.col("a_y") + F.col("_to.y")})
+    same = (F.col("_to_x") == F.col("b_x")) & (F.col("_to_y") == F.col("b_y")) & (F.col("a_island") == F.col("b_island"))
+    return left.join(right, same).withColumn("_own", (F.col("_to.x") == 0) & (F.col("_to.y") == 0)).drop("_to", "_to_x", "_to_y")
+
+
+def _distance() -> Column:
+    return F.sqrt((F.col("a_t") - F.col("b_t")) * (F.col("a_t") - F.col("b_t")) + (F.col("a_m") - F.col("b_m")) * (F.col("a_m") - F.col("b_m")))
+
+
+def _edge() -> Column:
+    return F.struct("d", F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def _in_cells(nodes: DataFrame, limit: float) -> DataFrame:
+    """Nodes with their square cell, as wide as the limit."""
     side = limit if limit > 0 else 1.0
-    cell = lambda c: F.floor(F.col(c) / side)
-    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    left = nodes.select(*by, *[F.col(c).alias(f"a{c}") for c in ("_node", "_t", "_m", "_c")], F.explode(around).alias("_to"), cell("_t").alias("_x"), cell("_m").alias("_y"))
-    left = left.withColumns({"_x": F.col("_x") + F.col("_to.x"), "_y": F.col("_y") + F.col("_to.y")})
-    right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in by], *[F.col(c).alias(f"b{c}") for c in ("_node", "_t", "_m", "_c")], cell("_t").alias("b_x"), cell("_m").alias("b_y"))
-    same = (F.col("_x") == F.col("b_x")) & (F.col("_y") == F.col("b_y"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    own = (F.col("_to.x") == 0) & (F.col("_to.y") == 0)
-    distance = F.sqrt((F.col("a_t") - F.col("b_t")) * (F.col("a_t") - F.col("b_t")) + (F.col("a_m") - F.col("b_m")) * (F.col("a_m") - F.col("b_m")))
-    pairs = left.join(right, same & (~own | (F.col("a_node") < F.col("b_node"))) & (F.col("a_c") != F.col("b_c")) & (distance <= limit))
-    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), distance.alias("d"))
+    return nodes.withColumns({"_x": F.floor(F.col("_t") / side), "_y": F.floor(F.col("_m") / side)})
+
+
+def _close_pairs(nodes: DataFrame, limit: float) -> DataFrame:
+    """(x, y, island, e): pairs x < y of nodes (_node, _island, _t, _m, _c) of one island, of different categories, at most ``limit`` apart; e is (d, a, b), distance and nodes."""
+    met = _meeting(_in_cells(nodes, limit), ["_node", "_t", "_m", "_c"]).where((~F.col("_own") | (F.col("a_node") < F.col("b_node"))) & (F.col("a_c") != F.col("b_c")))
+    close = met.withColumn("d", _distance()).where(F.col("d") <= limit)
+    return close.select(_edge().alias("e"), F.col("a_island").alias("island")).select("e.a", "e.b", "island", "e").toDF("x", "y", "island", "e")
 
 
-#: Edges, and categories of their groups, that one task takes one by one.
-FEW_EDGES = 100_000
+def _close_groups(nodes: DataFrame, groups: DataFrame, done: float, limit: float) -> DataFrame:
+    """(x, y, island, e): the shortest edge over ``done`` and up to ``limit`` between two groups that share no category.
+
+    Groups meet in cells first, once each, and only those without a common category show their nodes in these cells.
+    """
+    placed = _in_cells(nodes, limit)
+    spots = stored(placed.select("_island", "_root", "_x", "_y").distinct(), "spots")
+    ends = [F.least("a_root", "b_root").alias("x"), F.greatest("a_root", "b_root").alias("y")]
+    met = _meeting(spots, ["_root"]).where(F.when(F.col("_own"), F.col("a_root") < F.col("b_root")).otherwise(F.col("a_root") != F.col("b_root"))).select("*", *ends)
+    apart = stored(_apart(met.select("x", "y").distinct(), groups), "apart")
+    near = met.join(apart, ["x", "y"])
+    for side in "ab":
+        points = placed.select(*[F.col(c).alias(f"{side}{c}") for c in ("_root", "_x", "_y", "_node", "_t", "_m")])
+        near = near.join(points, [f"{side}_root", f"{side}_x", f"{side}_y"])
+    close = near.withColumn("d", _distance()).where((F.col("d") <= limit) & (F.col("d") > done))
+    return close.groupBy("x", "y", F.col("a_island").alias("island")).agg(F.min(_edge()).alias("e"))
+
+
+#: Edges of an island, and categories of their groups, that one task takes one by one.
+FEW_EDGES = 500_000
+
+#: Close pairs of a node that the first distance asks for, about.
+FEW_PAIRS = 4
 
 
 def _one_by_one(edges: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
@@ -165,23 +201,29 @@ def _one_by_one(edges: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gone": pd.Series(gone, dtype="int64"), "root": pd.Series([top(g) for g in gone], dtype="int64")})
 
 
-def _linked(nodes: DataFrame, pairs: DataFrame, most_rounds: int) -> DataFrame | None:
-    """(node, root) of the nodes that were merged into another: single linkage by ascending distance without equal categories.
+def _apart(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of edges (x, y) those between groups (root, kinds) that share no category."""
+    columns = edges.columns
+    for end in ("x", "y"):
+        edges = edges.join(groups.select(F.col("root").alias(end), F.col("kinds").alias(f"of_{end}")), end)
+    return edges.where(~F.arrays_overlap("of_x", "of_y")).select(*columns)
+
+
+def _linked(groups: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame | None:
+    """(node, root) of the groups that were merged into another: single linkage by ascending distance without equal categories.
 
     Each round merges the pairs of groups whose shortest edge is the shortest of both: no edge that comes before it touches
     either, so taking edges one by one would find the two groups as they are now. Groups that share a category can never
     merge, so their edges are dropped at once, and of several edges between two groups the shortest decides. A group holds
-    a category once, so its list of categories is as long as there are categories at most. Once FEW_EDGES are left in all,
-    which a long chain of ascending distances would spread over many rounds, one task takes them one by one.
+    a category once, so its list of categories is as long as there are categories at most. Once no island has more than
+    FEW_EDGES left, which a long chain of ascending distances would spread over many rounds, one task each takes them one by one.
     """
-    groups = stored(nodes.select(F.col("_node").alias("root"), F.array("_c").alias("kinds")), "groups")
     found: DataFrame | None = None
-    edge = F.struct("d", "a", "b")
-    edges = stored(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("e")), "links")
     for n in range(most_rounds):
         of_edges = groups.join(edges.select(F.explode(F.array("x", "y")).alias("root")).distinct(), "root", "left_semi")
-        if edges.count() + of_edges.agg(F.coalesce(F.sum(F.size("kinds")), F.lit(0))).first()[0] <= FEW_EDGES:
-            rest = edges.select("x", "y", "e.d", "e.a", "e.b", F.lit(0).alias("_all")).groupBy("_all").cogroup(of_edges.withColumn("_all", F.lit(0)).groupBy("_all"))
+        sizes = edges.select("island", F.lit(1).alias("n")).unionAll(of_edges.select("island", F.size("kinds").alias("n")))
+        if (sizes.groupBy("island").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW_EDGES:
+            rest = edges.select("x", "y", "e.d", "e.a", "e.b", "island").groupBy("island").cogroup(of_edges.groupBy("island"))
             return _moved(found, stored(rest.applyInPandas(_one_by_one, "gone long, root long"), "moves"))
         ends = edges.select(F.col("x").alias("g"), "e").unionAll(edges.select(F.col("y").alias("g"), "e"))
         first = ends.groupBy("g").agg(F.min("e").alias("e"))
@@ -193,17 +235,46 @@ def _linked(nodes: DataFrame, pairs: DataFrame, most_rounds: int) -> DataFrame |
         found = _moved(found, moves)
         if n % 5 == 4:
             found = stored(found, "roots")
-        joined = groups.join(moves, groups["root"] == moves["gone"], "left").select(F.coalesce(moves["root"], groups["root"]).alias("root"), "kinds")
-        groups = stored(joined.groupBy("root").agg(F.flatten(F.collect_list("kinds")).alias("kinds")), "groups")
+        joined = groups.join(moves, groups["root"] == moves["gone"], "left").select(F.coalesce(moves["root"], groups["root"]).alias("root"), "island", "kinds")
+        groups = stored(joined.groupBy("root", "island").agg(F.flatten(F.collect_list("kinds")).alias("kinds")), "groups")
         for end in ("x", "y"):
             edges = edges.join(moves.select(F.col("gone").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        edges = edges.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e"))
-        for end in ("x", "y"):
-            edges = edges.join(groups.select(F.col("root").alias(end), F.col("kinds").alias(f"of_{end}")), end)
-        edges = stored(edges.where(~F.arrays_overlap("of_x", "of_y")).select("x", "y", "e"), "links")
+        edges = edges.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "island").agg(F.min("e").alias("e"))
+        edges = stored(_apart(edges, groups), "links")
     raise RuntimeError("the linkage did not settle")
 
 
+def _distances(nodes: DataFrame, limit: float) -> list[float]:
+    """Ascending distances up to ``limit``, each twice the one before; the first has about FEW_PAIRS pairs a node."""
+    side = limit if limit > 0 else 1.0
+    cells = nodes.groupBy("_island", F.floor(F.col("_t") / side), F.floor(F.col("_m") / side)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n, squares = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    steps = math.ceil(math.log(1.5 * squares / n / FEW_PAIRS, 4)) if n and limit > 0 else 0
+    return [limit / 2**k for k in range(max(steps, 0), -1, -1)]
+
+
+def _roots(nodes: DataFrame, limit: float, most_rounds: int) -> DataFrame | None:
+    """(node, root) of the nodes that hang on another one.
+
+    Distances are taken in steps. All edges of a step come before those of the next, and groups that an edge has left apart
+    share a category, so they stay apart: a step only asks for edges longer than those before, between groups as they are,
+    and of many between two groups keeps one. So of the pairs of a dense island, which grow with its square, few are kept.
+    """
+    found: DataFrame | None = None
+    done = None
+    for reach in _distances(nodes, limit):
+        rooted = nodes.withColumn("_root", F.col("_node"))
+        if found is not None:
+            rooted = stored(nodes.join(found, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root"), "rooted")
+        groups = stored(rooted.groupBy(F.col("_root").alias("root"), F.col("_island").alias("island")).agg(F.collect_list("_c").alias("kinds")), "groups")
+        edges = stored(_close_pairs(nodes, reach) if done is None else _close_groups(rooted, groups, done, reach), "links")
+        merged = _linked(groups, edges, most_rounds)
+        if merged is not None:
+            found = stored(_moved(found, merged.select(F.col("node").alias("gone"), "root")), "roots")
+        done = reach
+    return found
+
+
 def _moved(found: DataFrame | None, moves: DataFrame) -> DataFrame:
     """(node, root) after further moves, which apply to the roots so far."""
     new = moves.select(F.col("gone").alias("node"), "root")
@@ -217,14 +288,18 @@ def group_by_proximity(table: DataFrame, time: str, mass: str, category: str, li
     """Numbers of proximity groups in each group of ``by``: single linkage by ascending distance up to ``limit``, where no group may hold a category twice.
 
     Ties: by positions, which follow ``order``; a group's number is its first position. Groups of ``by`` may be of any size:
-    close pairs come from cells, and merges are made in rounds. Rows without time or mass stay alone; rows without a
+    close pairs come from cells in steps of distance, and merges are made in rounds. Rows without time or mass stay alone; rows without a
     category count as of one category.
     """
     numbers = stored(numbered(table, [], [*by, *order], "_node"), "nodes")
     first = numbers.groupBy(*by).agg(F.min("_node").alias("_first"))
-    placed = null_safe_join(numbers, first, by).withColumn(into, F.col("_node") - F.col("_first")).drop("_first")
-    nodes = placed.select("_node", *by, F.col(time).cast("double").alias("_t"), F.col(mass).cast("double").alias("_m"), F.coalesce(F.col(category).cast("string"), F.lit("")).alias("_c")).where(F.col("_t").isNotNull() & F.col("_m").isNotNull())
-    roots = _linked(nodes, _close_pairs(nodes, limit, by), most_rounds)
+    placed = null_safe_join(numbers, first, by).withColumn(into, F.col("_node") - F.col("_first"))
+    named = placed.select("_node", F.col("_first").alias("_island"), F.col(time).cast("double").alias("_t"), F.col(mass).cast("double").alias("_m"), F.coalesce(F.col(category).cast("string"), F.lit("")).alias("_name")).where(F.col("_t").isNotNull() & F.col("_m").isNotNull())
+    placed = placed.drop("_first")
+    # a category is known by its first node
+    kinds = named.groupBy("_name").agg(F.min("_node").alias("_c"))
+    nodes = stored(named.join(kinds, "_name").drop("_name"), "points")
+    roots = _roots(nodes, limit, most_rounds)
     if roots is None:
         return placed.drop("_node")
     # the number of a root in its group, brought to all that hang on it

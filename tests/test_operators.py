@@ -318,6 +318,37 @@ def test_proximity_equals_the_plain_program(spark, limit, spread, kinds, few, mo
         assert [got[(g, i)] for i in range(len(rows))] == plain_linkage(rows, limit)
 
 
+@pytest.mark.parametrize("few, kinds", [(0, 5), (100_000, 40)])
+def test_proximity_in_steps_equals_the_plain_program(spark, few, kinds, monkeypatch):
+    """Distances from a hundredth of the limit on, in islands of random points, of lattice points and of copies."""
+    monkeypatch.setattr(features, "FEW_EDGES", few)
+    monkeypatch.setattr(features, "FEW_PAIRS", 0.02)
+    rng = np.random.default_rng(kinds)
+    spots = {"random": rng.uniform(0, 20, (70, 2)), "lattice": rng.integers(0, 8, (70, 2)), None: rng.integers(0, 3, (70, 2)) * 4.0}
+    points = {g: [(float(t), float(m), f"c{rng.integers(kinds)}") for t, m in own] for g, own in spots.items()}
+    table = spark.createDataFrame([(g, i, *row) for g, rows in points.items() for i, row in enumerate(rows)], "g string, i int, t double, m double, c string")
+    got = {(r["g"], r["i"]): r["linkage"] for r in features.group_by_proximity(table.repartition(3), "t", "m", "c", 9.0, ["g"], ["i"]).collect()}
+    for g, rows in points.items():
+        assert [got[(g, i)] for i in range(len(rows))] == plain_linkage(rows, 9.0)
+
+
+def test_proximity_of_a_dense_island_keeps_few_pairs(spark, monkeypatch):
+    """All of 20,000 points lie within the limit of all others, so any two groups that are left share a category."""
+    kept = []
+    counted = lambda groups, edges, rounds: kept.append(edges.count()) or linked(groups, edges, rounds)
+    linked = features._linked
+    monkeypatch.setattr(features, "_linked", counted)
+    rng = np.random.default_rng(8)
+    rows = [(i, float(t), float(m), int(i % 400)) for i, (t, m) in enumerate(rng.uniform(0, 10, (20_000, 2)))]
+    table = spark.createDataFrame(rows, "i int, t double, m double, c int").withColumn("g", F.lit("x"))
+    groups: dict = {}
+    for r in features.group_by_proximity(table, "t", "m", "c", 20.0, ["g"], ["i"]).collect():
+        groups.setdefault(r["linkage"], []).append(r["c"])
+    kinds = [set(own) for own in groups.values()]
+    assert all(len(own) == len(k) for own, k in zip(groups.values(), kinds)) and all(a & b for a, b in itertools.combinations(kinds, 2))
+    assert sum(map(len, kinds)) == 20_000 and max(kept) < 400_000
+
+
 def test_proximity_of_odd_rows(spark):
     table = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 1.0, 0.0, "b"), (3, 2.0, 0.0, "a"), (4, 50.0, 0.0, "a"), (5, None, 0.0, "b"), (6, 1.5, 0.0, None), (7, 1.5, 0.0, None)], "i int, t double, m double, c string").withColumn("g", F.lit("x"))
     got = {r["i"]: r["linkage"] for r in features.group_by_proximity(table, "t", "m", "c", 5.0, ["g"], ["i"]).collect()}
