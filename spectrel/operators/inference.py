@@ -36,16 +36,27 @@ def unique_peptides(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy("peptide").count().where("count = 1").select("peptide")
 
 
+#: A bit for each peptide, by its hash.
+_BIT = "shiftleft(1L, cast(pmod(xxhash64({}), 64) as int))"
+
+
 def subsets(edges: DataFrame) -> DataFrame:
     """(protein, superset): proteins whose peptides are a proper part of another's. Only a protein's rarest peptide is looked up."""
     own = edges.select("protein", "peptide").distinct()
-    sizes = own.groupBy("protein").agg(F.count("*").alias("n"))
-    popular = own.groupBy("peptide").agg(F.count("*").alias("users"))
-    rarest = own.join(popular, "peptide").groupBy("protein").agg(F.min(F.struct("users", "peptide")).alias("r")).select("protein", F.col("r.peptide").alias("peptide"))
-    # a superset must hold the rarest peptide: candidates are counted on that alone
-    candidates = rarest.join(own.withColumnRenamed("protein", "superset"), "peptide").where("protein <> superset").select("protein", "superset")
-    candidates = candidates.join(sizes, "protein").join(sizes.select(F.col("protein").alias("superset"), F.col("n").alias("m")), "superset").where("m > n").select("protein", "superset", "n")
-    shared = candidates.join(own, "protein").join(own.withColumnRenamed("protein", "superset"), ["superset", "peptide"], "left_semi").groupBy("protein", "superset").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    sizes = own.groupBy("protein").agg(F.count("*").alias("n"), F.bit_or(F.expr(_BIT.format("peptide"))).alias("mask"))
+    return _subsets(own.join(sizes, "protein"))
+
+
+def _subsets(own: DataFrame) -> DataFrame:
+    """The same of distinct edges with n, the protein's peptides, and their bits in mask: a superset's mask holds them all, then peptides decide."""
+    seen = own.join(own.groupBy("peptide").agg(F.count("*").alias("users")), "peptide")
+    rarest = seen.groupBy("protein").agg(F.min("users").alias("users"), F.min_by("peptide", "users").alias("peptide"), F.first("n").alias("n"), F.first("mask").alias("mask"))
+    # a superset must hold the rarest peptide, so that isn't its protein's alone: candidates are counted on that
+    others = own.select("peptide", F.col("protein").alias("superset"), F.col("n").alias("m"), F.col("mask").alias("has"))
+    larger = (F.col("protein") != F.col("superset")) & (F.col("m") > F.col("n")) & (F.col("mask").bitwiseAND(F.col("has")) == F.col("mask"))
+    candidates = rarest.where("users > 1").join(others, "peptide").where(larger).select("protein", "superset", "n")
+    edges = own.select("protein", "peptide")
+    shared = candidates.join(edges, "protein").join(edges.withColumnRenamed("protein", "superset"), ["superset", "peptide"], "left_semi").groupBy("protein", "superset").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     return shared.where("c = n").select("protein", "superset")
 
 
@@ -60,7 +71,11 @@ def redundant_proteins(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame
     proteins that share no peptides don't wait for each other. Frequencies are kept in a table, no cluster or peptide is
     ever gathered in one task, and each round writes what it decided.
     """
-    own = stored(edges.select("protein", "peptide").distinct(), "edges")
+    return _redundant(stored(edges.select("protein", "peptide").distinct(), "edges"), most_rounds)
+
+
+def _redundant(own: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """The same of distinct edges, which are read several times."""
     frequency = own.groupBy("peptide").agg(F.count(F.lit(1)).alias("f"))
     # frequencies from the highest, each with how often it occurs: they sort as the full lists do, and stay short
     often = own.join(frequency, "peptide").groupBy("protein", "f").agg(F.count(F.lit(1)).alias("times"))
@@ -92,22 +107,23 @@ def redundant_proteins(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame
     return reduce(DataFrame.unionAll, gone) if gone else own.select("protein").limit(0)
 
 
-def protein_groups(edges: DataFrame) -> dict[str, DataFrame]:
-    """All results of an inference.
+def protein_groups(edges: DataFrame, with_clusters: bool = True) -> dict[str, DataFrame]:
+    """All results of an inference; without clusters only members and peptides, which don't ask for components.
 
     members: (group, protein, role in leading, subset, subsumable); a group is known by its first leading protein.
     proteins: (protein, cluster, isLeading, isSubset, isSubsumable, isSameset). peptides: (peptide, class in unique,
     groupUnique, groupSubsumable, shared).
     """
     own = stored(edges.select("protein", "peptide").distinct(), "edges")
-    cluster = clusters(own)
     same = stored(samesets(own), "samesets")
-    merged = stored(same.select(F.col("representative").alias("protein"), F.explode("peptides").alias("peptide")), "merged")
+    mask = F.expr(f"aggregate(peptides, 0L, (a, x) -> a | {_BIT.format('x')})")
+    sized = stored(same.select(F.col("representative").alias("protein"), F.explode("peptides").alias("peptide"), F.size("peptides").cast("long").alias("n"), mask.alias("mask")), "merged")
+    merged = sized.select("protein", "peptide")
     unique = unique_proteins(merged)
-    below = stored(subsets(merged).join(unique, "protein", "left_anti"), "subsets")
+    below = stored(_subsets(sized).join(unique, "protein", "left_anti"), "subsets")
     small = below.select("protein").distinct()
     rest = stored(merged.join(small, "protein", "left_anti"), "rest")
-    subsumable = stored(redundant_proteins(rest), "subsumable")
+    subsumable = stored(_redundant(rest), "subsumable")
     # a protein of unique peptides has one that no other has, so redundancy never takes it
     leading = stored(rest.select("protein").distinct().join(subsumable, "protein", "left_anti"), "leading")
 
@@ -115,12 +131,12 @@ def protein_groups(edges: DataFrame) -> dict[str, DataFrame]:
     in_groups = below.join(leading.select(F.col("protein").alias("superset")), "superset", "left_semi")
     as_subset = in_groups.select("protein", F.col("superset").alias("group"))
     # redundant proteins join all groups that share a peptide with them
-    lead_by_peptide = merged.join(lead_of, "protein").select("peptide", "group").distinct()
+    lead_by_peptide = merged.join(lead_of, "protein").select("peptide", "group")
     direct = merged.join(subsumable, "protein", "left_semi").join(lead_by_peptide, "peptide").select("protein", "group").distinct()
     late = below.join(in_groups.select("protein").distinct(), "protein", "left_anti")
-    indirect = late.join(direct.select(F.col("protein").alias("superset"), "group"), "superset").select("protein", "group").distinct()
+    indirect = late.join(direct.select(F.col("protein").alias("superset"), "group"), "superset").select("protein", "group")
     roles = lead_of.withColumn("role", F.lit("leading")).unionByName(as_subset.withColumn("role", F.lit("subset"))).unionByName(direct.unionByName(indirect).distinct().withColumn("role", F.lit("subsumable")))
-    roles = stored(roles.distinct(), "roles")
+    roles = stored(roles, "roles")
     names = same.select(F.col("representative").alias("protein"), F.explode("members").alias("member"))
     members = roles.join(names, "protein").select("group", F.col("member").alias("protein"), "role")
 
@@ -132,6 +148,10 @@ def protein_groups(edges: DataFrame) -> dict[str, DataFrame]:
     kinds = F.when(F.col("groups") > 1, "shared").when(F.col("one"), "unique").when(F.col("sub"), "groupSubsumable").otherwise("groupUnique")
     peptides = sorted_.select("peptide", kinds.alias("class"))
 
+    if not with_clusters:
+        return {"members": members, "peptides": peptides}
+
+    cluster = clusters(own)
     flag = lambda df, name: df.select("protein").distinct().withColumn(name, F.lit(True))
     each = names.select("protein", "member").join(flag(leading, "isLeading"), "protein", "left").join(flag(below, "isSubset"), "protein", "left").join(flag(direct.unionByName(indirect), "isSubsumable"), "protein", "left")
     size = same.select(F.col("representative").alias("protein"), (F.size("members") > 1).alias("isSameset"))

@@ -166,6 +166,24 @@ def test_groups(groups, graph):
     assert {r["protein"] for r in groups["proteins"] if r["isLeading"]} == leading
 
 
+def test_groups_without_clusters_ask_for_no_components(spark, edges, groups, monkeypatch):
+    monkeypatch.setattr(inference, "components", None)
+    got = inference.protein_groups(edges, with_clusters=False)
+    assert set(got) == {"members", "peptides"}
+    for name, df in got.items():
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, groups[name]))
+
+
+def test_subsets_of_proteins_with_more_peptides_than_bits(spark):
+    rng = np.random.default_rng(2)
+    sets = {f"q{i}": set(rng.choice(200, int(n), replace=False).tolist()) for i, n in enumerate(rng.integers(70, 190, 8))}
+    sets |= {f"{q}-part": set(sorted(own)[: len(own) // 2]) for q, own in sets.items()}
+    table = spark.createDataFrame([(q, f"k{k}") for q, own in sets.items() for k in own], "protein string, peptide string")
+    want = {(a, b) for a in sets for b in sets if sets[a] < sets[b]}
+    got = [tuple(r) for r in inference.subsets(table).collect()]
+    assert len(want) >= 8 and set(got) == want and len(got) == len(want)
+
+
 def test_peptide_classes(groups, graph):
     roles = {(r["group"], r["protein"], r["role"]) for r in groups["members"]}
     assert {r["peptide"]: r["class"] for r in groups["peptides"]} == plain_classes(graph, roles)
